@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,16 +102,20 @@ def ngram_set(text: str | None, n: int = 5) -> np.ndarray:
     return np.unique(window_hashes(h, min(n, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
-def chunks(batches: Iterator, chars: int = 2_000_000) -> Iterator[tuple[list, list]]:
+def chunks(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[tuple[pa.Array, list]]:
     """(first column, second column as texts) of Arrow batches, in pieces of about so many characters."""
     for batch in batches:
-        ids, texts, held = [], [], 0
-        for i, t in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)), strict=True):
-            ids.append(i)
-            texts.append(t)
-            held += len(t or "")
+        first, texts, held, at = batch.column(0), [], 0, 0
+        for k, t in enumerate(batch.column(1)):
+            texts.append(t.as_py())
+            held += len(texts[-1] or "")
             if held >= chars:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-        if ids:
-            yield ids, texts
+                yield first.slice(at, len(texts)), texts
+                texts, held, at = [], 0, k + 1
+        if texts:
+            yield first.slice(at, len(texts)), texts
+
+
+def hash_share(column: str, share: float) -> Column:
+    """True for about this share of the column's values, the same ones each time."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))

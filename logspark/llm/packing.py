@@ -110,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
             rows = []
-            for doc_id, data in zip(ids, encode(texts, tokenizer_path), strict=True):
+            for doc_id, data in zip(ids.to_pylist(), encode(texts, tokenizer_path), strict=True):
                 data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     piece = data[at : at + 4 * capacity]

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, urlfilter
-from .common import table
+from . import decontaminate, jaccard, langid, packing, sharding, toxicity, urlfilter
+from .common import crc32_text, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: The rules that op4 judges by.
@@ -27,6 +27,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), leaves=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -36,6 +44,29 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that a toxicity model may learn from."""
+    return table(spark, sf_dir, "labels").where(crc32_text(F.col("doc_id")) % 5 != 0)
+
+
+def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity_labels(spark, sf_dir))
+    held_out = F.coalesce(crc32_text(F.col("doc_id")) % 5 == 0, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted", "evidence", F.size("passages").alias("n_passages"))
+
+
+def language_rows(docs: DataFrame) -> DataFrame:
+    """The rows that a language model may learn from."""
+    return docs.where(crc32_text(F.col("doc_id")) % 4 != 2)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc32_text(F.col("doc_id")) % 4 == 2, F.lit(False)).alias("held_out")
+    return langid.predict(docs, langid.fit(language_rows(docs))).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -59,7 +90,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_kd_shards, op4_url_filter, op10_bin_completion)}
+    return {f.__name__: f for f in (op1_template_leaks, op2_ngram_jaccard, op3_kd_shards, op4_url_filter, op6_toxic_segments, op8_language_id, op10_bin_completion)}
 
 
 def oracle_sql() -> dict[str, str]:
