@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, packing, sharding, toxicity, urlfilter
+from . import ann, decontaminate, jaccard, langid, packing, sharding, toxicity, urlfilter
 from .common import crc32_text, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(language_rows(docs))).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op9_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -90,7 +94,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_leaks, op2_ngram_jaccard, op3_kd_shards, op4_url_filter, op6_toxic_segments, op8_language_id, op10_bin_completion)}
+    return {f.__name__: f for f in (op1_template_leaks, op2_ngram_jaccard, op3_kd_shards, op4_url_filter, op6_toxic_segments, op8_language_id, op9_hash_prefix_forest, op10_bin_completion)}
 
 
 def oracle_sql() -> dict[str, str]:
