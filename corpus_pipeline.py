@@ -1,12 +1,62 @@
-"""A corpus from raw documents to packed training sequences, as stages that are each written before the next reads."""
+"""A corpus from raw documents to packed training sequences, as stages that are each written before the next reads.
+
+Every stage works on all that the one before it kept, and all but the last return the columns of documents. A row
+whose doc_id is null passes the filters that can't name it; null texts go at language ID, as they have no language.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from logspark.llm import decontaminate, jaccard, langid, packing, toxicity
 from logspark.llm.common import materialize, table
+from logspark.llm.queries import language_rows, tokenizer_path, toxicity_labels
+
+#: A document goes if its most likely language is less likely than this.
+LEAST_LANGUAGE = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    model = toxicity.fit(docs, toxicity_labels(spark, sf_dir))
+    toxic = toxicity.score(docs, model).where("predicted = 1").select("doc_id").distinct()
+    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter whose language is told with some confidence."""
+    found = langid.predict(docs, langid.fit(language_rows(docs)))
+    unknown = found.where((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < LEAST_LANGUAGE)).select("doc_id").distinct()
+    return docs.join(unknown, "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the document with the smallest id; rows that share an id stand for one document, of which one stays."""
+    classes = jaccard.near_duplicates(docs)
+    copies = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    leaking = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaking, "doc_id", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all remaining documents and their places in training sequences."""
+    return packing.pack(docs, tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", keep_known_languages),
+    ("near_duplicates", keep_one_of_each_class),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+#: SQL can express none of the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, langid, packing, sharding, toxicity, urlfilter
+from . import ann, decontaminate, jaccard, langid, licenses, packing, revisits, sharding, toxicity, urlfilter
 from .common import crc32_text, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +44,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.captures(table(spark, sf_dir, "pages")))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select("record_id", "canonical", "time", "status", "response_id", "digest", text.alias("headers"))
+
+
+def op7_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels that a toxicity model may learn from."""
     return table(spark, sf_dir, "labels").where(crc32_text(F.col("doc_id")) % 5 != 0)
@@ -76,6 +86,35 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op5_revisit_resolution": """
+WITH base AS (
+  SELECT page_id, md5(coalesce(html, '')) AS tag, 'day-' || (page_id % 365) AS day, 'day-' || ((page_id + 1) % 365) AS next_day, length(coalesce(html, '')) AS n,
+    regexp_replace(regexp_replace(coalesce(url, ''), '#.*$', '', 's'), '^[A-Za-z][A-Za-z0-9+.-]*://', '', 's') AS rest
+  FROM pages),
+named AS (
+  SELECT *, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1, 's')), '^www\\.', '') || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1, 's'), '/$', '')
+    || regexp_extract(rest, '^[^?]*(\\?.+)$', 1, 's') AS canonical
+  FROM base),
+records AS (
+  SELECT canonical, page_id * 4 AS record_id, page_id * 10 AS time, 0 AS revisit, tag AS etag, day AS modified, tag AS digest, n, '' AS headers FROM named
+  UNION ALL SELECT canonical, page_id * 4 + 1, page_id * 10 + 3, 1, CASE WHEN page_id % 4 = 0 THEN 'changed' ELSE tag END, NULL, NULL, n, 'cache-control=max-age=600;content-length=0' FROM named
+  UNION ALL SELECT canonical, page_id * 4 + 2, page_id * 10 + 5, 1, NULL, CASE WHEN page_id % 3 <> 0 THEN day END, NULL, n, 'date=' || next_day || ';server=cache' FROM named
+  UNION ALL SELECT canonical, page_id * 4 + 3, page_id * 10 - 1, 1, tag, NULL, NULL, n, 'vary=accept' FROM named WHERE page_id % 5 = 0),
+latest AS (
+  SELECT *, last_value(CASE WHEN revisit = 0 THEN {'id': record_id, 'etag': etag, 'modified': modified, 'n': n} END IGNORE NULLS)
+    OVER (PARTITION BY canonical ORDER BY time, revisit, record_id ROWS UNBOUNDED PRECEDING) AS r
+  FROM records),
+judged AS (
+  SELECT *, CASE WHEN canonical = '' THEN 'no_url' WHEN r IS NULL THEN 'no_response' WHEN etag IS NULL AND modified IS NULL THEN 'no_validator'
+    WHEN etag IS NOT NULL AND etag = r.etag OR etag IS NULL AND modified = r.modified THEN 'resolved' ELSE 'mismatch' END AS status
+  FROM latest WHERE revisit = 1)
+SELECT record_id, canonical, time, status, CASE WHEN status = 'resolved' THEN r.id END AS response_id, CASE WHEN status = 'resolved' THEN r.etag END AS digest,
+  CASE WHEN status <> 'resolved' THEN headers ELSE
+    'cache-control=' || CASE record_id % 4 WHEN 1 THEN 'max-age=600' ELSE 'max-age=60' END || ';content-length=' || r.n || ';content-type=text/html'
+    || CASE WHEN record_id % 4 = 2 THEN ';' || split_part(headers, ';', 1) ELSE '' END || ';etag=' || r.etag || ';last-modified=' || r.modified
+    || CASE WHEN record_id % 4 = 3 THEN ';vary=accept' ELSE '' END END AS headers
+FROM judged
+""",
     "op4_url_filter": """
 WITH parts AS (
   SELECT page_id,
@@ -94,7 +133,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_leaks, op2_ngram_jaccard, op3_kd_shards, op4_url_filter, op6_toxic_segments, op8_language_id, op9_hash_prefix_forest, op10_bin_completion)}
+    return {f.__name__: f for f in (op1_template_leaks, op2_ngram_jaccard, op3_kd_shards, op4_url_filter, op5_revisit_resolution, op6_toxic_segments, op7_license_alignment, op8_language_id, op9_hash_prefix_forest, op10_bin_completion)}
 
 
 def oracle_sql() -> dict[str, str]:
