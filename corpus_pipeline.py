@@ -7,10 +7,9 @@ whose doc_id is null passes the filters that can't name it; null texts go at lan
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logspark.llm import decontaminate, jaccard, langid, packing, toxicity
-from logspark.llm.common import materialize, table
+from logspark.llm.common import keep_rows, materialize, table, without
 from logspark.llm.queries import language_rows, tokenizer_path, toxicity_labels
 
 #: A document goes if its most likely language is less likely than this.
@@ -20,28 +19,31 @@ LEAST_LANGUAGE = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     model = toxicity.fit(docs, toxicity_labels(spark, sf_dir))
-    toxic = toxicity.score(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+
+    def clean(texts: list) -> list[bool]:
+        return [v < 0.5 for v, _, _ in toxicity.score_texts(texts, model)]
+
+    return keep_rows(docs, clean)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter whose language is told with some confidence."""
-    found = langid.predict(docs, langid.fit(language_rows(docs)))
-    unknown = found.where((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < LEAST_LANGUAGE)).select("doc_id").distinct()
-    return docs.join(unknown, "doc_id", "left_anti").select(docs.columns)
+    model = langid.fit(language_rows(docs))
+
+    def known(texts: list) -> list[bool]:
+        return [lang != langid.UNDETERMINED and score >= LEAST_LANGUAGE for lang, score in map(model.predict, texts)]
+
+    return keep_rows(docs, known)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest id; rows that share an id stand for one document, of which one stays."""
-    classes = jaccard.near_duplicates(docs)
-    copies = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of each class of near duplicates, the rows of the smallest doc_id (one row, where ids are not repeated)."""
+    return without(docs, jaccard.near_duplicates(docs).where("doc_id <> class_id"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    leaking = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaking, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,3 +119,21 @@ def chunks(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterato
 def hash_share(column: str, share: float) -> Column:
     """True for about this share of the column's values, the same ones each time."""
     return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[list], list[bool]], text_column: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose texts keep lets through; no shuffle."""
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = [x for _, texts in chunks([pa.record_batch([batch.column(at), batch.column(at)], names=["a", "b"])]) for x in keep(texts)]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs without the rows whose column is among ids: broadcast up to broadcast_rows ids, else by a shuffle."""
+    ids = materialize(ids.select(column).distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, column, "left_anti").select(docs.columns)

@@ -192,27 +192,34 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float,
 
 
 PASSAGE = "array<struct<start:int,end:int,score:double,expected:double>>"
+_scorers: dict[int, tuple[Model, _TokenScores]] = {}
+
+
+def score_texts(texts: list[str | None], model: Model) -> Iterator[tuple[float, float, list[dict]]]:
+    """For each text its score, its evidence and its significant passages (offsets into the lower-cased text, which
+    has the text's length but for a few letters)."""
+    if id(model) not in _scorers:
+        _scorers.clear()
+        _scorers[id(model)] = (model, _TokenScores(model.lexicon))
+    scores = _scorers[id(model)][1]
+    for t in texts:
+        lower = (t or "").lower()
+        words = WORD.findall(lower)
+        found = segments(np.fromiter(map(scores.__getitem__, words), float, len(words)))
+        total, expected = evidence(model, len(words), found)
+        spans = [m.span() for m in WORD.finditer(lower)] if found else []
+        passages = [{"start": spans[a][0], "end": spans[b - 1][1], "score": s, "expected": e} for (a, b, s), e in zip(found, expected, strict=True) if e < MAX_E]
+        yield 1 / (1 + math.exp(-max(-40.0, min(40.0, model.slope * math.log1p(total) + model.intercept)))), total, passages
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id_column, score, predicted, evidence and passages (significant segments with character offsets) for each row of docs."""
     kind = docs.schema[id_column].dataType.simpleString()
+    passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _TokenScores(model.lexicon)
-        passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
         for ids, texts in chunks(batches):
-            value, weight, passages = [], [], []
-            for t in texts:
-                lower = (t or "").lower()
-                words = WORD.findall(lower)
-                found = segments(np.fromiter(map(scores.__getitem__, words), float, len(words)))
-                total, expected = evidence(model, len(words), found)
-                # Offsets are into the lower-cased text, which has the text's length but for a few letters.
-                spans = [m.span() for m in WORD.finditer(lower)] if found else []
-                passages.append([{"start": spans[a][0], "end": spans[b - 1][1], "score": s, "expected": e} for (a, b, s), e in zip(found, expected, strict=True) if e < MAX_E])
-                weight.append(total)
-                value.append(1 / (1 + math.exp(-max(-40.0, min(40.0, model.slope * math.log1p(total) + model.intercept)))))
-            yield pa.record_batch([ids, pa.array(value, pa.float64()), pa.array([int(v >= 0.5) for v in value], pa.int32()), pa.array(weight, pa.float64()), pa.array(passages, passage)], names=[id_column, "score", "predicted", "evidence", "passages"])
+            value, weight, found = zip(*score_texts(texts, model), strict=True)
+            yield pa.record_batch([ids, pa.array(value, pa.float64()), pa.array([int(v >= 0.5) for v in value], pa.int32()), pa.array(weight, pa.float64()), pa.array(found, passage)], names=[id_column, "score", "predicted", "evidence", "passages"])
 
     return docs.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, score double, predicted int, evidence double, passages {PASSAGE}")
