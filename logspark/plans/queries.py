@@ -1,9 +1,498 @@
-"""The registered log queries and their SQL."""
+"""The registered log queries and their SQL.
 
+The given tables hold no logs, so queries first render rows as log text and then read that text with the library; the
+SQL computes the same answer from the rows.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date, datetime
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logspark.functions import normalize as N
+from logspark.functions.ansi import strip_control
+from logspark.functions.match import Pattern, match_ranges
+from logspark.operators import detect, fragments
+from logspark.operators import table as T
+from logspark.operators.entries import entries_of_lines, read_logs
+from logspark.sources.event_xml import entries_of_events
+from logspark.sources.lines import lines_from_df, scan_lines
+from logspark.sources.scratch import new_folder
+from logspark.streaming import follow
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Rendering -----------------------------------------------------------------------------------------------------------
+
+LEVEL = {"view": "DEBUG", "click": "INFO", "signup": "NOTICE", "purchase": "WARN", "error": "ERROR"}
+PRIORITY = {"view": 7, "click": 6, "signup": 5, "purchase": 4, "error": 3}
+SHORT = {"view": "DBG", "click": "INF", "signup": "INF", "purchase": "WRN", "error": "ERR"}
+EVENT = {"view": "Verbose", "click": "Information", "signup": "Information", "purchase": "Warning", "error": "Error"}
+EVENT_NUMBER = {"view": "5", "click": "4", "signup": "0", "purchase": "3", "error": "2"}
+STATUS = {"view": "200", "click": "200", "signup": "302", "purchase": "404", "error": "500"}
+
+
+def by_type(values: dict) -> Column:
+    return F.try_element_at(N.literal_map(values), F.col("event_type"))
+
+
+def sql_case(values: dict) -> str:
+    return "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with clock (to the millisecond), iso, level and message."""
+    clock = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
+    return load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props", clock.alias("clock"), F.concat(F.replace(clock, F.lit(" "), F.lit("T")), F.lit("Z")).alias("iso"), by_type(LEVEL).alias("lv"), F.concat(F.lit("user "), "user_id", F.lit(" did "), "event_type").alias("msg"))
+
+
+def text(*parts) -> Column:
+    return F.concat(*(F.col(p[1:]) if isinstance(p, str) and p.startswith("$") else p if isinstance(p, Column) else F.lit(p) for p in parts))
+
+
+def as_lines(rows: DataFrame, line: Column, head: str | None = None) -> DataFrame:
+    """Rendered rows as the lines of one source, in the order of event_id, below a head line."""
+    shown = rows.select("event_id", line.alias("t"))
+    if head is not None:
+        shown = shown.unionByName(rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(head).alias("t")))
+    return lines_from_df(shown, F.col("event_id"), F.col("t"))
+
+
+def shown(entries: DataFrame) -> DataFrame:
+    extra = F.array_join(F.transform(F.array_sort(F.map_entries("extra")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return entries.select("entry_no", N.cell_text("time").alias("time"), "level", "thread", "target", "host", "pid", extra.alias("extra"), "message")
+
+
+def sql_shown(level: dict, thread="''", target="''", host="''", pid="''", extra="''", message="'user ' || user_id || ' did ' || event_type", fmt="%Y-%m-%d %H:%M:%S.%g", tail="") -> str:
+    levels = sql_case(level)
+    return f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS entry_no, strftime(ts, '{fmt}'){tail} AS time, {levels} AS level, {thread} AS thread, {target} AS target, {host} AS host, {pid} AS pid, {extra} AS extra, {message} AS message FROM events"
+
+
+# Formats -------------------------------------------------------------------------------------------------------------
+
+USER4, USER16 = F.col("user_id") % 4, F.col("user_id") % 16
+
+
+def generic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_lines(events(spark, sf_dir), text("$clock", " ", "$lv", " ", "$msg"))
+
+
+def generic_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries_of_lines(generic_lines(spark, sf_dir), "generic")
+
+
+LEVEL_ROWS = "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(N.LEVELS)) + ") AS l(level_idx, level)"
+
+
+@query(f"SELECT l.level_idx, l.level, count(e.event_id) AS n FROM {LEVEL_ROWS} LEFT JOIN (SELECT event_id, {sql_case(LEVEL)} AS level FROM events) e ON e.level = l.level GROUP BY l.level_idx, l.level")
+def level_counts_generic(spark, sf_dir):
+    return T.level_counts(generic_entries(spark, sf_dir))
+
+
+@query(f"SELECT DISTINCT l.level_idx, l.level FROM {LEVEL_ROWS} JOIN (SELECT {sql_case(LEVEL)} AS level FROM events) e ON e.level = l.level")
+def levels_present(spark, sf_dir):
+    return T.levels_present(generic_entries(spark, sf_dir))
+
+
+@query(sql_shown(LEVEL))
+def ingest_generic(spark, sf_dir):
+    return shown(generic_entries(spark, sf_dir))
+
+
+@query(sql_shown(LEVEL | {"signup": "INFO"}, thread="'worker-' || (user_id % 4)", target="'shop::events'", extra="'ThreadId=' || (user_id % 16)"))
+def ingest_tracing(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return shown(entries_of_lines(as_lines(e, text("$iso", "  ", by_type(LEVEL | {"signup": "INFO"}), " worker-", USER4, " ThreadId(", USER16, ") shop::events: ", "$msg"))))
+
+
+@query(sql_shown(LEVEL, target="'shop'", host="'host' || (user_id % 4)", pid="user_id::VARCHAR", extra="'MsgId=' || event_type"))
+def ingest_syslog5424(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return shown(entries_of_lines(as_lines(e, text("<", by_type(PRIORITY) + 8, ">1 ", "$iso", " host", USER4, " shop ", "$user_id", " ", "$event_type", " ", "$msg"))))
+
+
+def _syslog3164(spark, sf_dir, format):
+    e = load(spark, sf_dir, "events").withColumn("lv", by_type(LEVEL))
+    line = text(F.date_format("ts", "MMM dd HH:mm:ss"), " host", USER4, " shop[", "$user_id", "]: ", F.initcap("lv"), ": user did ", "$event_type")
+    lines = lines_from_df(e, F.col("event_id"), line, F.datediff(F.to_date("ts"), F.lit(date(2000, 1, 1))), F.concat(F.lit("app."), F.date_format("ts", "yyyy-MM-dd"), F.lit(".log")))
+    return shown(entries_of_lines(lines, format)).drop("entry_no")
+
+
+SYSLOG3164_SQL = sql_shown(LEVEL, target="'shop'", host="'host' || (user_id % 4)", pid="user_id::VARCHAR", message="'user did ' || event_type", fmt="%Y-%m-%d %H:%M:%S", tail=" || '.000'").replace("row_number() OVER (ORDER BY event_id) - 1 AS entry_no, ", "")
+
+
+@query(SYSLOG3164_SQL)
+def ingest_syslog3164(spark, sf_dir):
+    return _syslog3164(spark, sf_dir, "auto")
+
+
+@query(SYSLOG3164_SQL)
+def ingest_journalctl_short(spark, sf_dir):
+    return _syslog3164(spark, sf_dir, "journalctl_short")
+
+
+@query(sql_shown(LEVEL, target="'shop'", host="'host' || (user_id % 4)", pid="user_id::VARCHAR"))
+def ingest_journal_json(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("micros", (F.unix_millis(F.to_timestamp("clock")) * 1000).cast("string"))
+    line = F.to_json(F.struct(F.col("micros").alias("__REALTIME_TIMESTAMP"), by_type(PRIORITY).cast("string").alias("PRIORITY"), F.col("msg").alias("MESSAGE"), text("host", USER4).alias("_HOSTNAME"), F.lit("shop").alias("SYSLOG_IDENTIFIER"), F.col("user_id").cast("string").alias("_PID")))
+    return shown(entries_of_lines(as_lines(e, line)))
+
+
+@query(sql_shown(LEVEL, host="'host' || (user_id % 4)", extra="'user=' || user_id"))
+def ingest_json_lines(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return shown(entries_of_lines(as_lines(e, F.to_json(F.struct(F.col("iso").alias("time"), F.lower("lv").alias("level"), F.col("msg").alias("message"), text("host", USER4).alias("host"), F.col("user_id").alias("user"))))))
+
+
+@query(sql_shown(LEVEL, host="'host' || (user_id % 4)", extra="'user=' || user_id"))
+def ingest_logfmt(spark, sf_dir):
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    e = events(spark, sf_dir)
+    return shown(entries_of_lines(as_lines(e, text("time=", "$iso", " level=", F.lower("lv"), ' msg="', "$msg", '" host=host', USER4, " user=", "$user_id"))))
+
+
+@query(sql_shown(LEVEL, target="'shop'", extra="'User=' || user_id", message="'user, \"' || user_id || '\" did ' || event_type"))
+def ingest_csv(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return shown(entries_of_lines(as_lines(e, text("$iso", ",", "$lv", ',shop,"user, ""', "$user_id", '"" did ', "$event_type", '",', "$user_id"), "Time,Level,Logger,Message,User")))
+
+
+@query(sql_shown(LEVEL, target="'shop.events'"))
+def ingest_python(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return shown(entries_of_lines(as_lines(e, text(F.replace("clock", F.lit("."), F.lit(",")), " - ", "$lv", " - shop.events - ", "$msg"))))
+
+
+@query(sql_shown(LEVEL | {"signup": "INFO"}))
+def ingest_serilog(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return shown(entries_of_lines(as_lines(e, text("$clock", " +00:00 [", by_type(SHORT), "] ", "$msg"))))
+
+
+@query(sql_shown(LEVEL, thread="'main-' || (user_id % 4)", target="'com.shop.Events'"))
+def ingest_log4j(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return shown(entries_of_lines(as_lines(e, text(F.replace("clock", F.lit("."), F.lit(",")), " [main-", USER4, "] ", "$lv", "  com.shop.Events - ", "$msg"))))
+
+
+@query(sql_shown({"view": "TRACE", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, target="'shop'", extra="'EventId=' || user_id", message="'user ' || user_id || ' did ' || event_type || ' again'"))
+def ingest_wevt_text(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return shown(entries_of_lines(as_lines(e, text("TimeCreated      : ", "$clock", "\nProviderName     : shop\nEventId          : ", "$user_id", "\nLevelDisplayName : ", by_type(EVENT), "\nMessage          : ", "$msg", "\n  again"))))
+
+
+@query(sql_shown({"view": "TRACE", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, target="'shop'", extra="'Event ID=' || user_id", message="'user ' || user_id || chr(10) || 'did ' || event_type"))
+def ingest_wevt_tsv(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return shown(entries_of_lines(as_lines(e, text(by_type(EVENT), "\t", "$clock", "\tshop\t", "$user_id", '\tNone\t"user ', "$user_id", "\ndid ", "$event_type", '"'), "Level\tDate and Time\tSource\tEvent ID\tTask Category")))
+
+
+@query(sql_shown({"view": "TRACE", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, target="'shop'", host="'host' || (user_id % 4)", extra="'Data=user=' || user_id || '; did=' || event_type || ';Event ID=7'", message="'user=' || user_id || '; did=' || event_type"))
+def ingest_wevt_xml(spark, sf_dir):
+    e = events(spark, sf_dir)
+    xml = text('<Event xmlns="urn:x"><System><Provider Name="shop"/><EventID>7</EventID><Level>', by_type(EVENT_NUMBER), '</Level><TimeCreated SystemTime="', "$iso", '"/><Computer>host', USER4, '</Computer></System><EventData><Data Name="user">', "$user_id", '</Data><Data Name="did">', "$event_type", "</Data></EventData>")
+    return shown(entries_of_events(e.select(F.lit(0).alias("source_idx"), F.lit("events.xml").alias("source_name"), F.floor(F.col("event_id") / 10_000).alias("block"), F.col("event_id").alias("position"), xml.alias("xml"))))
+
+
+@query(sql_shown({"view": "INFO", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, host="'10.0.0.' || (user_id % 4)", extra="'UserAgent=agent' || (user_id % 16)", message="'GET /' || event_type || ' ' || " + sql_case(STATUS), fmt="%Y-%m-%d %H:%M:%S", tail=" || '.000'"))
+def ingest_iis(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return shown(entries_of_lines(as_lines(e, text(F.substring("clock", 1, 19), " 10.0.0.", USER4, " GET /", "$event_type", " ", by_type(STATUS), " agent", USER16), "#Fields: date time s-ip cs-method cs-uri-stem sc-status cs(User-Agent)")))
+
+
+DETECTED = ["tracing", "syslog5424", "json_lines", "logfmt", "python_logging", "serilog", "log4j_logback", "generic"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}', {0 if x == 'generic' else 100})" for i, x in enumerate(DETECTED)) + ") AS t(source_idx, format_id, score)")
+def detect_format_mixed(spark, sf_dir):
+    e = events(spark, sf_dir)
+    lv = by_type(LEVEL | {"signup": "INFO"})
+    rendered = [text("$iso", "  ", lv, " w ThreadId(1) shop: ", "$msg"), text("<11>1 ", "$iso", " h shop 1 m ", "$msg"), F.to_json(F.struct(F.col("iso").alias("time"), F.col("msg").alias("message"))), text("time=", "$iso", ' msg="', "$msg", '"'), text("$clock", " - ", "$lv", " - shop - ", "$msg"), text("$clock", " [", by_type(SHORT), "] ", "$msg"), text("$clock", " [main] ", "$lv", " shop.A - ", "$msg"), text("$msg")]
+    every = e.select("event_id", F.posexplode(F.array(*rendered)).alias("i", "t"))
+    return detect.detect_format(lines_from_df(every, F.col("event_id"), F.col("t"), F.col("i"))).select("source_idx", "format_id", F.col("score").cast("int").alias("score"))
+
+
+# Entries -------------------------------------------------------------------------------------------------------------
+
+
+def document_lines(spark, sf_dir) -> DataFrame:
+    """Each document below a title line that starts an entry."""
+    d = load(spark, sf_dir, "documents").where("text is not null")
+    return lines_from_df(d, F.col("doc_id"), text("2024-01-01 00:00:00 INFO doc ", "$doc_id", "\n", strip_control(F.col("text"))))
+
+
+@query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 2 AS physical_lines, 'doc ' || doc_id || chr(10) || text AS message FROM documents WHERE text IS NOT NULL")
+def fold_continuations(spark, sf_dir):
+    e = entries_of_lines(document_lines(spark, sf_dir), "generic")
+    return e.select(F.regexp_extract("message", r"^doc (\d+)", 1).cast("long").alias("doc_id"), F.col("physical_lines").cast("long").alias("physical_lines"), "message")
+
+
+@query("SELECT source, count(*) AS entries, sum(length(line)) AS chars FROM (SELECT 'first' AS source, 'doc ' || doc_id AS line FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'rest', unnest(string_split(text, chr(10))) FROM documents WHERE text IS NOT NULL) GROUP BY source")
+def no_merge_continuations(spark, sf_dir):
+    e = entries_of_lines(document_lines(spark, sf_dir), "generic", merge_continuations=False)
+    return e.groupBy(F.when(F.col("raw_level") == "INFO", "first").otherwise("rest").alias("source")).agg(F.count(F.lit(1)).alias("entries"), F.sum(F.length("message")).alias("chars"))
+
+
+# Filters, find, columns ----------------------------------------------------------------------------------------------
+
+FROM, TO = datetime(2024, 1, 1, 2), datetime(2024, 1, 1, 12)
+ENTRY_SQL = f"(SELECT row_number() OVER (ORDER BY event_id) - 1 AS entry_no, date_trunc('millisecond', ts) AS time, {sql_case(LEVEL)} AS level, 'user ' || user_id || ' did ' || event_type AS message, * EXCLUDE (event_id) FROM events) e"
+
+
+@query(f"SELECT entry_no, level, message FROM {ENTRY_SQL} WHERE level IN ('ERROR', 'WARN') AND time BETWEEN TIMESTAMP '{FROM}' AND TIMESTAMP '{TO}'")
+def filter_level_time(spark, sf_dir):
+    return T.apply_filter(generic_entries(spark, sf_dir), T.FilterSpec(frozenset(["ERROR", "WARN"]), FROM, TO)).select("entry_no", "level", "message")
+
+
+def _by_pattern(spark, sf_dir, pattern, invert=False, columns=("message",)):
+    return T.apply_filter(generic_entries(spark, sf_dir), T.FilterSpec(pattern=pattern, invert=invert, columns=columns)).select("entry_no", "message")
+
+
+@query(f"SELECT entry_no, message FROM {ENTRY_SQL} WHERE regexp_matches(message, '(^|[^A-Za-z0-9_])[uU][sS][eE][rR] 1($|[^A-Za-z0-9_])')")
+def filter_keyword_word(spark, sf_dir):
+    return _by_pattern(spark, sf_dir, Pattern("USER 1"))
+
+
+@query(f"SELECT entry_no, message FROM {ENTRY_SQL} WHERE regexp_matches(message, 'user .7 did [^/]*up')")
+def filter_wildcard(spark, sf_dir):
+    return _by_pattern(spark, sf_dir, Pattern("user ?7 did *up", "wildcard"))
+
+
+@query(f"SELECT entry_no, message FROM {ENTRY_SQL} WHERE regexp_matches(message, '^user [0-9]{{1,2}} did (view|error)$')")
+def filter_regex(spark, sf_dir):
+    return _by_pattern(spark, sf_dir, Pattern(r"^user \d{1,2} did (view|error)$", "regex", True))
+
+
+@query(f"SELECT entry_no, message FROM {ENTRY_SQL} WHERE NOT regexp_matches(message, 'view') AND level <> 'ERROR'")
+def filter_inverted(spark, sf_dir):
+    return _by_pattern(spark, sf_dir, Pattern("view|ERROR", "regex", True), True, ("level", "message"))
+
+
+@query(f"SELECT count(*) FILTER (level IN ('ERROR')) AS shown, count(*) AS total FROM {ENTRY_SQL}")
+def shown_of_total(spark, sf_dir):
+    return T.shown_of_total(generic_entries(spark, sf_dir), T.FilterSpec(frozenset(["ERROR"])))
+
+
+@query(f"SELECT entry_no, row_number() OVER (ORDER BY entry_no) - 1 AS visible_no FROM {ENTRY_SQL} WHERE level = 'WARN'")
+def visible_rows(spark, sf_dir):
+    return T.visible_rows(generic_entries(spark, sf_dir), T.FilterSpec(frozenset(["WARN"]))).select("entry_no", "visible_no")
+
+
+def talk_entries(spark, sf_dir) -> DataFrame:
+    """Conversation turns as entries, a turn's line ends made blank."""
+    c = load(spark, sf_dir, "conversations")
+    line = F.concat(F.lit("2024-01-01 00:00:00 INFO "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " "))
+    return entries_of_lines(lines_from_df(c, F.col("conv_id") * 1000 + F.col("turn"), line, segment=F.floor(F.col("conv_id") / 1000)), "generic")
+
+
+TALK_SQL = "(SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS entry_no, regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g') AS message FROM conversations)"
+HITS_SQL = f"(SELECT entry_no, row_number() OVER (ORDER BY entry_no) AS ordinal FROM {TALK_SQL} WHERE regexp_matches(message, '(^|[^A-Za-z0-9_])[tT][hH][aA][tT]($|[^A-Za-z0-9_])'))"
+
+
+@query(f"SELECT entry_no, ordinal, coalesce(lead(entry_no) OVER (ORDER BY ordinal), min(entry_no) OVER ()) AS next_entry, coalesce(lag(entry_no) OVER (ORDER BY ordinal), max(entry_no) OVER ()) AS previous_entry FROM {HITS_SQL}")
+def find_next_prev(spark, sf_dir):
+    return T.navigate(talk_entries(spark, sf_dir), Pattern("that")).select("entry_no", "ordinal", F.col("next.entry_no").alias("next_entry"), F.col("previous.entry_no").alias("previous_entry"))
+
+
+@query(f"SELECT count(*) AS match_count FROM {HITS_SQL}")
+def match_count(spark, sf_dir):
+    return T.match_count(talk_entries(spark, sf_dir), Pattern("that"))
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, 'tion', ''))) // 4 AS found, instr(text, 'tion') - 1 AS first_start FROM documents WHERE contains(text, 'tion')")
+def match_ranges_regex(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id", match_ranges(F.col("text"), Pattern("tion", "regex", True), 1_000_000).alias("r"))
+    return d.where(F.size("r") > 0).select("doc_id", F.size("r").cast("long").alias("found"), F.col("r")[0]["start"].cast("long").alias("first_start"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])') AS hit FROM documents WHERE text IS NOT NULL")
+def match_ranges_word(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", (F.size(match_ranges(F.col("text"), Pattern("the", case_sensitive=True))) > 0).alias("hit"))
+
+
+def sparse_entries(spark, sf_dir) -> DataFrame:
+    """JSON entries with an extra key in every second, in every third and in every entry."""
+    e = events(spark, sf_dir)
+    line = F.to_json(F.struct(F.col("iso").alias("time"), F.lower("lv").alias("level"), F.col("msg").alias("message"), F.when(F.col("event_id") % 2 == 0, "x").alias("half"), F.when(F.col("event_id") % 3 == 0, "x").alias("third"), F.col("user_id").alias("user")))
+    return entries_of_lines(as_lines(e, line), "json_lines")
+
+
+FILL_SQL = """SELECT 'time' AS "column", count(ts) AS filled, count(*) AS total FROM {t} UNION ALL SELECT 'level', count(event_type), count(*) FROM {t}
+UNION ALL SELECT 'extra:user', count(user_id), count(*) FROM {t} UNION ALL SELECT 'extra:half', count(*) FILTER (event_id % 2 = 0), count(*) FROM {t}
+UNION ALL SELECT 'extra:third', count(*) FILTER (event_id % 3 = 0), count(*) FROM {t}"""
+
+
+@query(FILL_SQL.format(t="events"))
+def column_fill(spark, sf_dir):
+    return T.column_fill(sparse_entries(spark, sf_dir))
+
+
+@query(f"WITH f AS ({FILL_SQL.format(t='(SELECT * FROM events ORDER BY event_id LIMIT 200)')}) SELECT string_agg(c, ',' ORDER BY k) AS columns FROM (SELECT 0 AS k, 'line' AS c UNION ALL SELECT CASE \"column\" WHEN 'time' THEN 1 WHEN 'level' THEN 2 ELSE 3 + row_number() OVER (ORDER BY \"column\") END, \"column\" FROM f WHERE filled * 2 >= total UNION ALL SELECT 99, 'message')")
+def infer_columns(spark, sf_dir):
+    # The columns, as the table they make would name them.
+    columns = T.infer_columns(sparse_entries(spark, sf_dir))
+    return events(spark, sf_dir).agg(F.lit(",".join(columns)).alias("columns"))
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS entry_no, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS time, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE '' END AS half, user_id::VARCHAR AS \"user\" FROM events")
+def wide_table(spark, sf_dir):
+    columns = T.hide_columns(["line", "time", "message", "extra:half", "extra:user"], {"message"})
+    return T.wide_table(sparse_entries(spark, sf_dir), columns).select("entry_no", "time", F.col("`extra:half`").alias("half"), F.col("`extra:user`").alias("user"))
+
+
+@query("SELECT 'a.log + 3 more files' AS name, 'generic' AS format_id, count(*) AS entries, count(DISTINCT user_id % 4) AS sources FROM events")
+def document_info(spark, sf_dir):
+    return T.document_info(_four_sources(spark, sf_dir))
+
+
+# Merging -------------------------------------------------------------------------------------------------------------
+
+
+def _four_sources(spark, sf_dir) -> DataFrame:
+    """Events in four sources by user; every seventh steps back by an hour."""
+    e = load(spark, sf_dir, "events").withColumn("t", F.col("ts") - F.when(F.col("event_id") % 7 == 0, F.expr("interval 1 hour")).otherwise(F.expr("interval 0 hour")))
+    line = text(F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSS"), " INFO ", "$event_id")
+    name = F.concat(F.element_at(F.array(*(F.lit(x) for x in "abcd")), (USER4 + 1).cast("int")), F.lit(".log"))
+    return entries_of_lines(lines_from_df(e, F.col("event_id"), line, USER4, name), "generic")
+
+
+@query("""WITH e AS (SELECT event_id, user_id % 4 AS source_idx, date_trunc('millisecond', ts) - CASE WHEN event_id % 7 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS t FROM events),
+m AS (SELECT *, max(t) OVER (PARTITION BY source_idx ORDER BY event_id) AS running FROM e)
+SELECT row_number() OVER (ORDER BY running, source_idx, event_id) - 1 AS merge_no, event_id::VARCHAR AS message FROM m""")
+def time_merge(spark, sf_dir):
+    return T.merge_numbers(T.time_merge(_four_sources(spark, sf_dir))).select("merge_no", "message")
+
+
+@query("SELECT substr(source, 4)::INT AS source_idx, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS entry_no, doc_id::VARCHAR AS message FROM documents WHERE regexp_matches(source, '^src[0-9]+$')")
+def concat_no_time(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").where(F.col("source").rlike("^src[0-9]+$"))
+    e = entries_of_lines(lines_from_df(d, F.col("doc_id"), F.col("doc_id").cast("string"), F.substring("source", 4, 9).cast("int"), F.col("source")), "generic")
+    merged, timed = T.merge_documents(e)
+    assert not timed
+    return merged.select("source_idx", "entry_no", "message")
+
+
+# Values --------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS of_seconds, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS of_millis, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS of_micros FROM events")
+def epoch_units(spark, sf_dir):
+    e = load(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    show = lambda c, f: F.date_format(N.time_of_value(c.cast("string")), f)
+    return e.select("event_id", show(F.floor(F.col("ms") / 1000), "yyyy-MM-dd HH:mm:ss").alias("of_seconds"), show(F.col("ms"), "yyyy-MM-dd HH:mm:ss.SSS").alias("of_millis"), show(F.col("ms") * 1000, "yyyy-MM-dd HH:mm:ss.SSS").alias("of_micros"))
+
+
+@query(f"SELECT event_id, {sql_case(LEVEL)} AS bracketed, {sql_case(LEVEL | {'signup': 'INFO'})} AS short, 'OTHER' AS rejected, {sql_case(LEVEL)} AS by_priority FROM events")
+def normalize_levels(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    return e.select("event_id", N.normalize_level(text("[", F.lower(by_type(LEVEL)), "]: ")).alias("bracketed"), N.normalize_level(by_type(SHORT)).alias("short"), N.normalize_level(text(by_type(LEVEL), "/", "$user_id")).alias("rejected"), N.level_from_priority(by_type(PRIORITY)).alias("by_priority"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity * 12 >= 500 THEN 'ERROR' WHEN l_quantity * 12 >= 400 THEN 'WARN' ELSE 'INFO' END AS level FROM lineitem")
+def http_levels(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.http_level((F.col("l_quantity") * 12).cast("int").cast("string")).alias("level"))
+
+
+# Escapes and fragments -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL")
+def strip_control_codes(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations").where("text is not null")
+    return c.select("conv_id", "turn", strip_control(text("\x1b[31m", "$text", "\x1b[0m\x1b]0;title\x07\x1b(B")).alias("text"))
+
+
+@query("SELECT conv_id, turn, length(role) + 1 AS start, length(text) AS length, 1 AS fg, true AS bold FROM conversations WHERE length(text) > 0")
+def styled_spans(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations").where(F.length("text") > 0)
+    raw = c.select("conv_id", "turn", text("$role", " ", "\x1b[1;31m", "$text", "\x1b[0m").alias("raw"))
+    return fragments.styled_spans(raw, ["conv_id", "turn"]).select("conv_id", "turn", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), "fg", "bold")
+
+
+@query("SELECT event_id, 'json' AS kind, 6 AS start, length(props) AS length, props AS text FROM events WHERE length(props) >= 8")
+def json_snippets(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("props "), "props", F.lit(" end")).alias("message"))
+    return fragments.extract_snippets(e, ["event_id"])
+
+
+@query()
+def xml_snippets(spark, sf_dir):
+    return fragments.extract_snippets(load(spark, sf_dir, "pages").where("html is not null"), ["page_id"], "html")
+
+
+@query("SELECT token, (count(*) * CASE token WHEN 'Punctuation' THEN 3 ELSE 1 END)::BIGINT AS n FROM events, (VALUES ('Key'), ('Number'), ('Punctuation')) AS t(token) WHERE length(props) >= 8 GROUP BY token")
+def snippet_token_counts(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", F.col("props").alias("message"))
+    return fragments.snippet_tokens(fragments.extract_snippets(e, ["event_id"]), ["event_id"]).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Files and streams ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS entry_no, 'doc ' || doc_id || chr(9) || 'INFO' AS head, 'doc ' || doc_id || ' ' || replace(text, chr(10), ' ') AS value FROM documents WHERE text IS NOT NULL")
+def export_flat_tsv(spark, sf_dir):
+    e = entries_of_lines(document_lines(spark, sf_dir), "generic")
+    flat = T.text_rows(e, ["message"], flat=True)
+    head = T.text_rows(e.withColumn("message", F.regexp_extract("message", r"^doc \d+", 0)), ["message", "level"], flat=True).select("entry_no", F.col("value").alias("head"))
+    return flat.join(head, "entry_no").select("entry_no", "head", "value")
+
+
+def event_files(spark, sf_dir) -> str:
+    """Events as generic log text in files, in the order of event_id inside each."""
+    folder = new_folder(spark, "logs")
+    e = events(spark, sf_dir)
+    e.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(text("$clock", " ", "$lv", " ", "$msg").alias("value")).write.text(folder)
+    return folder
+
+
+@query(SQL["level_counts_generic"])
+def read_log_files(spark, sf_dir):
+    return T.level_counts(read_logs(spark, [event_files(spark, sf_dir)]))
+
+
+@query("SELECT count(*) AS lines, count(*) AS distinct_places, 'UTF-8' AS encoding FROM events")
+def scan_numbered_lines(spark, sf_dir):
+    lines = scan_lines(spark, [event_files(spark, sf_dir)], max_lines=0)
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("source_idx", "line_no").alias("distinct_places"), F.max("encoding").alias("encoding"))
+
+
+@query(SQL["level_counts_generic"].replace("LEFT JOIN", "JOIN"))
+def stream_level_counts(spark, sf_dir):
+    lines = follow.landed(spark, event_files(spark, sf_dir))
+    marked = lines.select(F.lit(0).alias("source_idx"), F.col("file").alias("source_name"), F.lit(0).alias("block"), F.col("position").alias("entry_start"), F.array(strip_control(F.col("raw"))).alias("lines"), strip_control(F.col("raw")).alias("text"), F.current_date().alias("reference"))
+    from logspark.operators.entries import parse_entries
+    from logspark.operators.formats import find_format
+
+    counts = follow.running_level_counts(parse_entries(marked, find_format("generic")))
+    name = f"levels_{abs(hash(new_folder(spark, 's')))}"
+    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.col("level_idx").cast("int").alias("level_idx"), "level", F.col("n").cast("long").alias("n"))
