@@ -105,6 +105,6 @@ def lines_from_df(df: DataFrame, order: Column, text: Column, source_idx: Column
 
     segment rises with order; by default a segment is 10,000 consecutive numbers.
     """
-    own = df.select((F.lit(0) if source_idx is None else source_idx).cast("int").alias("source_idx"), (F.lit("table.log") if source_name is None else source_name).alias("source_name"), order.cast("long").alias("_order"), F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("_part", "text"))
-    own = own.withColumn("block", F.floor(F.col("_order") / 10_000) if segment is None else segment)
+    block = F.floor(order.cast("long") / 10_000) if segment is None else segment
+    own = df.select((F.lit(0) if source_idx is None else source_idx).cast("int").alias("source_idx"), (F.lit("table.log") if source_name is None else source_name).alias("source_name"), order.cast("long").alias("_order"), block.alias("block"), F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("_part", "text"))
     return number(own, ["source_idx"], "block", ["_order", "_part"], "line_no").select("source_idx", "source_name", "block", "line_no", strip_control(F.col("text")).alias("text"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -85,11 +86,9 @@ class TailReader(DataSourceStreamReader):
             f.seek(partition.start)
             data = f.read(partition.end - partition.start)
         at = partition.start
-        for raw in data.replace(b"\r\n", b"\n\x00").replace(b"\r", b"\n").split(b"\n")[:-1]:
-            crlf = raw.startswith(b"\x00")
-            text = raw[1:] if crlf else raw
-            yield os.path.basename(partition.path), partition.generation, at, text.decode("utf-8", "replace")
-            at += len(raw) + 1
+        for line in re.findall(rb"[^\r\n]*(?:\r\n|\r|\n)", data):
+            yield os.path.basename(partition.path), partition.generation, at, line.rstrip(b"\r\n").decode("utf-8", "replace")
+            at += len(line)
 
     def commit(self, end: dict) -> None:
         pass
@@ -116,9 +115,11 @@ def tail(spark: SparkSession, path: str) -> DataFrame:
 
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of the lines of files that are put into a folder whole."""
-    raw = spark.readStream.text(folder).select(F.col("_metadata.file_name").alias("file"), F.lit(0).alias("generation"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
-    return raw.select("file", "generation", (F.col("id") + F.col("block")).alias("position"), "raw")
+    """A stream of the lines of files that are put into a folder whole: file, generation (0), position (the line's number from 0), raw.
+    A file is one row before its lines are, so files should be cut to what a task can hold, as rotated logs are."""
+    whole = spark.readStream.option("wholetext", "true").text(folder).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"(\r\n|\r|\n)\z", "").alias("value"))
+    lines = F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("position", "raw")
+    return whole.where(F.length("value") > 0).select("file", lines).select("file", F.lit(0).alias("generation"), F.col("position").cast("long").alias("position"), "raw")
 
 
 FOLDED = "file string, generation int, entry_no long, entry_start long, lines array<string>"
