@@ -65,32 +65,29 @@ def http_level(status: Column) -> Column:
     return F.when(code >= 500, "ERROR").when(code >= 400, "WARN").otherwise("INFO")
 
 
-ISO = r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{1,2}):(\d{2}):(\d{2})(?:[.,](\d{1,9}))?\s*(Z|[+-]\d{2}:?\d{2})?$"
-SYSLOG = r"^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})$"
-CLOCK = r"^(\d{2}):(\d{2}):(\d{2})(?:[.,](\d{1,9}))?$"
+ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2}:\d{2}(?:[.,]\d{1,9})?\s*(?:Z|[+-]\d{2}:?\d{2})?$"
+SYSLOG = r"^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})$"
+CLOCK = r"^\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?$"
 
 
 def parse_time(text: Column, reference: Column | None = None) -> Column:
     """TIMESTAMP in milliseconds, NULL if it can't be read. reference: the date that stands in for a missing date or year
-    (a syslog date later than the day after it belongs to the year before); times without a zone are in the session's."""
-    reference = F.lit(None).cast("date") if reference is None else reference
-    part = lambda pattern, k: F.regexp_extract(text, pattern, k)
-    num = lambda pattern, k: part(pattern, k).try_cast("int")
-
-    def seconds(pattern: str, s: int, fraction: int | None) -> Column:
-        ms = F.rpad(F.substring(part(pattern, fraction), 1, 3), 3, "0") if fraction else F.lit("000")
-        return F.concat(part(pattern, s), F.lit("."), ms).try_cast("decimal(16,6)")
-
-    iso = [num(ISO, k) for k in range(1, 6)] + [seconds(ISO, 6, 7)]
-    zone = F.regexp_replace(part(ISO, 8), r"^([+-]\d{2})(\d{2})$", "$1:$2")
-    zone = F.when(zone == "Z", "UTC").otherwise(zone)
-    with_date = F.when(zone == "", F.try_make_timestamp(*iso)).otherwise(F.try_make_timestamp(*iso, F.when(zone == "", F.lit("UTC")).otherwise(zone)))
-    month = F.try_element_at(literal_map({m: i for i, m in enumerate(MONTHS, 1)}), part(SYSLOG, 1))
-    stamp = lambda year: F.try_make_timestamp(year, month, num(SYSLOG, 2), num(SYSLOG, 3), num(SYSLOG, 4), seconds(SYSLOG, 5, None))
-    this_year = stamp(F.year(reference))
-    syslog = F.when(F.to_date(this_year) > F.date_add(reference, 1), stamp(F.year(reference) - 1)).otherwise(F.coalesce(this_year, stamp(F.year(reference) - 1)))
-    clock = F.try_make_timestamp(F.year(reference), F.month(reference), F.day(reference), num(CLOCK, 1), num(CLOCK, 2), seconds(CLOCK, 3, 4))
-    return F.when(text.rlike(ISO), with_date).when(text.rlike(SYSLOG), syslog).when(text.rlike(CLOCK), clock)
+    (a syslog date later than the day after it belongs to the year before); times without a zone are in the session's.
+
+    A pattern admits the text, a cast reads it: a nine-digit fraction is cut, an impossible date is NULL.
+    """
+    dotted = F.translate(text, ",", ".")
+    iso = F.regexp_replace(dotted, r"\s*(?:(Z)|([+-]\d{2}):?(\d{2}))$", "$1$2:$3")
+    iso = F.regexp_replace(iso, "Z:$", "Z").try_cast("timestamp")
+    if reference is None:
+        return F.date_trunc("MILLISECOND", F.when(text.rlike(ISO), iso))
+    month = F.floor((F.instr(F.lit("".join(MONTHS)), F.regexp_extract(text, SYSLOG, 1)) + 2) / 3)
+    day = F.concat(F.lit("-"), month.cast("string"), F.lit("-"), F.regexp_extract(text, SYSLOG, 2), F.lit(" "), F.regexp_extract(text, SYSLOG, 3))
+    in_year = lambda year: F.concat(year.cast("string"), day).try_cast("timestamp")
+    this, last = in_year(F.year(reference)), in_year(F.year(reference) - 1)
+    syslog = F.when(this.isNull() | (this >= F.date_add(reference, 2).cast("timestamp")), last).otherwise(this)
+    clock = F.concat(reference.cast("string"), F.lit(" "), dotted).try_cast("timestamp")
+    return F.date_trunc("MILLISECOND", F.when(text.rlike(ISO), iso).when(text.rlike(SYSLOG), syslog).when(text.rlike(CLOCK), clock))
 
 
 def time_of_value(text: Column, reference: Column | None = None) -> Column:

@@ -56,27 +56,44 @@ def _iis_profile() -> tuple[Column, Column]:
     return score, fields
 
 
-def probe_formats(lines: DataFrame) -> DataFrame:
-    """One row for each source: score_<format> for every format, and what its parsers learn: csv_delimiter, csv_header,
-    csv_header_line, iis_fields, anchored."""
-    heads = sample_head(lines).groupBy("source_idx", "source_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]).alias("sample"))
-    csv_score, delimiter, header = _csv_profile()
-    iis_score, fields = _iis_profile()
+def _heads(lines: DataFrame) -> DataFrame:
+    return sample_head(lines).groupBy("source_idx", "source_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]).alias("sample"))
+
+
+def _score(f: X.FormatSpec) -> Column:
     first = F.col("sample")[0]
-    blocks = _count(lambda x: x.rlike(X.TIME_CREATED))
-    other_fields = _count(lambda x: x.rlike(X.FIELD) & ~x.rlike(X.TIME_CREATED))
-    markers = reduce(lambda a, b: a + b, [F.contains(F.lower(first), F.lit(m.lower())).cast("int") for m in X.EVENT_HEADER])
-    events = F.aggregate("sample", F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit("<Event ")))
-    special = {
-        "csv_tsv": csv_score,
-        "iis_w3c": iis_score,
-        "wevt_text": F.when(blocks > 0, F.least(F.lit(100), F.floor(blocks * 100 / (blocks + other_fields)) + 40)).otherwise(0),
-        "wevt_tsv": F.when((F.regexp_count(first, F.lit("\t")) >= 3) & (markers >= 3), 95).when(_share(_count(lambda x: x.rlike(X.EVENT_LEVEL))) >= 50, 80).otherwise(0),
-        "wevt_xml": F.when(events > 0, F.least(F.lit(100), 70 + F.floor(events / 10))).otherwise(0),
-    }
-    scores = [special.get(f.id, _share(_count(f.line_probe)) if f.line_probe else F.lit(0)).cast("int").alias(f"score_{f.id}") for f in X.REGISTRY]
-    learned = [delimiter.alias("csv_delimiter"), header.alias("csv_header"), F.when(delimiter.isNotNull(), first).alias("csv_header_line"), fields.alias("iis_fields"), (_count(lambda x: x.rlike(X.ANCHORS)) > 0).alias("anchored")]
-    return heads.select("source_idx", "source_name", *scores, *learned)
+    if f.id == "csv_tsv":
+        return _csv_profile()[0]
+    if f.id == "iis_w3c":
+        return _iis_profile()[0]
+    if f.id == "wevt_text":
+        blocks, fields = _count(lambda x: x.rlike(X.TIME_CREATED)), _count(lambda x: x.rlike(X.FIELD) & ~x.rlike(X.TIME_CREATED))
+        return F.when(blocks > 0, F.least(F.lit(100), F.floor(blocks * 100 / (blocks + fields)) + 40)).otherwise(0)
+    if f.id == "wevt_tsv":
+        markers = reduce(lambda a, b: a + b, [F.contains(F.lower(first), F.lit(m.lower())).cast("int") for m in X.EVENT_HEADER])
+        return F.when((F.regexp_count(first, F.lit("\t")) >= 3) & (markers >= 3), 95).when(_share(_count(lambda x: x.rlike(X.EVENT_LEVEL))) >= 50, 80).otherwise(0)
+    if f.id == "wevt_xml":
+        events = F.aggregate("sample", F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit("<Event ")))
+        return F.when(events > 0, F.least(F.lit(100), 70 + F.floor(events / 10))).otherwise(0)
+    return _share(_count(f.line_probe)) if f.line_probe else F.lit(0)
+
+
+def probe_formats(lines: DataFrame) -> DataFrame:
+    """source_idx, source_name and score_<format>, from 0 to 100, for every format."""
+    return _heads(lines).select("source_idx", "source_name", *(_score(f).cast("int").alias(f"score_{f.id}") for f in X.REGISTRY))
+
+
+def learn(lines: DataFrame, format: str) -> DataFrame | None:
+    """What the format's parser needs to know of each source's head, by source_idx; None if nothing."""
+    heads = _heads(lines)
+    if format == "csv_tsv":
+        _, delimiter, header = _csv_profile()
+        return heads.select("source_idx", delimiter.alias("csv_delimiter"), header.alias("csv_header"), F.col("sample")[0].alias("csv_header_line"))
+    if format == "iis_w3c":
+        return heads.select("source_idx", _iis_profile()[1].alias("iis_fields"))
+    if format == "generic":
+        return heads.select("source_idx", (_count(lambda x: x.rlike(X.ANCHORS)) > 0).alias("anchored"))
+    return None
 
 
 def scores(lines: DataFrame) -> DataFrame:
@@ -87,15 +104,15 @@ def scores(lines: DataFrame) -> DataFrame:
 
 
 def detect_format(lines: DataFrame, format: str = "auto") -> DataFrame:
-    """The file profile: source_idx, source_name, format_id, score and what the format's parser needs. The highest score wins,
-    ties go to the earlier format, and scores under 60 to the generic one. A named format is taken as it is."""
+    """source_idx, source_name, format_id, score. The highest score wins, ties go to the earlier format, and scores under 60 to
+    the generic one. A named format is taken as it is."""
     probed = probe_formats(lines)
     if format not in ("", "auto"):
         chosen, score = F.lit(X.find_format(format).id), F.col(f"score_{format}")
     else:
         best = F.greatest(*(F.struct(F.col(f"score_{f.id}").alias("score"), F.lit(-k).alias("k"), F.lit(f.id).alias("id")) for k, f in enumerate(X.REGISTRY) if f.id != "generic"))
         chosen, score = F.when(best["score"] >= LEAST_SCORE, best["id"]).otherwise("generic"), best["score"]
-    return probed.select("source_idx", "source_name", chosen.alias("format_id"), score.alias("score"), "csv_delimiter", "csv_header", "csv_header_line", "iis_fields", "anchored")
+    return probed.select("source_idx", "source_name", chosen.alias("format_id"), score.alias("score"))
 
 
 def require_same_format(profile: DataFrame) -> str:

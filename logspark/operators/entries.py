@@ -15,7 +15,7 @@ from logspark.functions import normalize as N
 from logspark.sources import lines as L
 
 from . import formats as X
-from .detect import detect_format, require_same_format
+from .detect import detect_format, learn, require_same_format
 from .ordered import carry, number
 
 COLUMNS = ["source_idx", "source_name", "format_id", "entry_no", "first_line", "physical_lines", "time", "level", "level_idx", "raw_level", "thread", "target", "host", "pid", "extra", "message"]
@@ -67,12 +67,11 @@ def parse_entries(folded: DataFrame, spec: X.FormatSpec, merge_continuations: bo
 
 def entries_of_lines(lines: DataFrame, format: str = "auto", merge_continuations: bool = True, reference: date | None = None) -> DataFrame:
     """The entries of a lines table whose sources all have one format. Detection reads the first 200 lines of each source."""
-    profile = detect_format(lines, format)
-    spec = X.find_format(format if format not in ("", "auto") else require_same_format(profile))
+    spec = X.find_format(format if format not in ("", "auto") else require_same_format(detect_format(lines)))
     if spec.id == "wevt_xml":
         raise ValueError("event XML is read by records: use sources.event_xml")
-    needs_profile = spec.id in ("csv_tsv", "iis_w3c", "generic")
-    known = lines.join(profile.select("source_idx", *PROFILE), "source_idx", "left") if needs_profile else lines
+    learned = learn(lines, spec.id)
+    known = lines.join(learned, "source_idx", "left") if learned is not None else lines
     known = known.withColumn("reference", reference_date(lines, reference))
     folded = fold_entries(assign_entries(mark_starts(known, spec), merge_continuations))
     parsed = parse_entries(folded, spec, merge_continuations)

@@ -2,7 +2,7 @@
 
 A format says how a line is recognised, whether it starts an entry, and how an entry's first line (or all its lines)
 becomes fields. Everything is a Column expression; a format that learns from the head of a file (CSV header, IIS field
-list, whether a plain log is anchored at all) finds it in the columns of ``file_profile``.
+list, whether a plain log is anchored at all) finds it in the columns that ``detect.learn`` adds.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def group(pattern: str, k: int, text: Column | None = None) -> Column:
 @dataclass(frozen=True)
 class FormatSpec:
     """One format. fields() maps the columns text (an entry's first line), lines (all of them), reference (a date) and those
-    of the file's profile to: time, raw_level, level (default: the raw level normalized), thread, target, host, pid, extra,
+    that detect.learn adds to: time, raw_level, level (default: the raw level normalized), thread, target, host, pid, extra,
     message, all of them optional but message; parsed is false where a line is not of the format."""
 
     id: str
@@ -227,7 +227,8 @@ def _generic() -> Fields:
     inner = timed & body.rlike(MESSAGE_LEVEL)
     raw = F.when(leveled, group(GENERIC_LEVEL, 2)).when(inner, group(MESSAGE_LEVEL, 1, body)).otherwise("")
     message = F.when(leveled, group(GENERIC_LEVEL, 3)).when(inner, group(MESSAGE_LEVEL, 2, body)).when(timed, body).when(syslog, group(GENERIC_SYSLOG, 2)).otherwise(text)
-    time = F.when(leveled, N.parse_time(group(GENERIC_LEVEL, 1))).when(timed, N.parse_time(group(GENERIC_TIME, 1))).when(syslog, N.parse_time(group(GENERIC_SYSLOG, 1), F.col("reference")))
+    stamp = F.when(leveled | timed, group(GENERIC_TIME, 1)).when(syslog, group(GENERIC_SYSLOG, 1))
+    time = N.parse_time(stamp, F.col("reference"))
     return {"time": time, "raw_level": raw, "message": message}
 
 
