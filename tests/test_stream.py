@@ -1,8 +1,17 @@
 """Following files: appended lines, unfinished lines, truncation, entries that grow."""
 
+import time
+
 from logspark.streaming import follow
 
 
+def wait_for(test, seconds=90):
+    until = time.time() + seconds
+    while not test():
+        assert time.time() < until
+        time.sleep(0.5)
+
+
 def run(spark, folder, name, entries, mode="append"):
     q = entries.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{folder}/checkpoint-{name}").start()
     return q
@@ -31,10 +40,10 @@ def test_follow_folds_across_batches(spark, tmp_path):
     f.write_text("2026-01-01 00:00:00 ERROR failed\n  at a\n")
     q = run(spark, tmp_path, "followed", follow.follow_entries(follow.tail(spark, str(logs / "*.log")), "generic", 600_000))
     try:
-        q.processAllAvailable()
+        wait_for(lambda: sum(p["numInputRows"] for p in q.recentProgress) >= 2)
         with f.open("a") as g:
             g.write("  at b\n2026-01-01 00:00:01 INFO ok\n2026-01-01 00:00:02 WARN open\n")
-        q.processAllAvailable()
+        wait_for(lambda: spark.table("followed").count() >= 2)
         got = [(r["entry_no"], r["first_line"], r["level"], r["message"]) for r in spark.table("followed").orderBy("entry_no").collect()]
     finally:
         q.stop()
