@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def clean(texts: list) -> list[bool]:
         return [v < 0.5 for v, _, _ in toxicity.score_texts(texts, model)]
 
-    return keep_rows(docs, clean)
+    return keep_rows(docs, clean, toxicity.__name__)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     def known(texts: list) -> list[bool]:
         return [lang != langid.UNDETERMINED and score >= LEAST_LANGUAGE for lang, score in map(model.predict, texts)]
 
-    return keep_rows(docs, known)
+    return keep_rows(docs, known, langid.__name__)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

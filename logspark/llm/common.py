@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 #: Words of all word-based operators: runs of letters, digits and underscores, lower-cased.
 WORD = re.compile(r"\w+")
 #: Distinct words whose hashes a Python worker keeps.
-WORD_CACHE = 400_000
+WORD_CACHE = 120_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +60,13 @@ def with_rank(df: DataFrame, keys: list[str], order: list[str], out: str, rows:
     return dealt.withColumn("_within", within).join(offsets, [*keys, "_bucket"]).withColumn(out, (F.col("_within") + F.col("_before")).cast("long")).drop("_bucket", "_within", "_before")
 
 
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = word_hash(word)
         if len(self) >= WORD_CACHE:
             self.clear()
         self[word] = value
@@ -102,7 +107,7 @@ def ngram_set(text: str | None, n: int = 5) -> np.ndarray:
     return np.unique(window_hashes(h, min(n, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[tuple[pa.Array, list]]:
+def chunks(batches: Iterator[pa.RecordBatch], chars: int = 500_000) -> Iterator[tuple[pa.Array, list]]:
     """(first column, second column as texts) of Arrow batches, in pieces of about so many characters."""
     for batch in batches:
         first, texts, held, at = batch.column(0), [], 0, 0
@@ -121,7 +126,40 @@ def hash_share(column: str, share: float) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
 
-def keep_rows(docs: DataFrame, keep: Callable[[list], list[bool]], text_column: str = "text") -> DataFrame:
+#: What each operator's module keeps in a worker, and how to let go of it.
+releases: dict[str, Callable[[], None]] = {}
+#: Rows and bytes of one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+_owner = ""
+
+
+def claim(owner: str) -> None:
+    """Lets go of what other operators keep in this worker, which Spark uses again for stage after stage."""
+    global _owner
+    if owner != _owner:
+        for name, release in releases.items():
+            if name != owner:
+                release()
+        _hashes.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _owner = owner
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema), in batches small enough for long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    owner = run.__module__
+
+    def claimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
+        yield from run(batches)
+
+    return df.mapInArrow(claimed, schema)
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[list], list[bool]], owner: str, text_column: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose texts keep lets through; no shuffle."""
     at = docs.columns.index(text_column)
 
@@ -130,7 +168,8 @@ def keep_rows(docs: DataFrame, keep: Callable[[list], list[bool]], text_column:
             mask = [x for _, texts in chunks([pa.record_batch([batch.column(at), batch.column(at)], names=["a", "b"])]) for x in keep(texts)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    run.__module__ = owner
+    return map_batches(docs, run, docs.schema)
 
 
 def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, window_hashes, word_hashes
+from .common import chunks, map_batches, materialize, window_hashes, word_hashes
 
 WINDOW, LEAST_WINDOW, LEAST_WORDS = 8, 5, 4
 #: A document leaks an item if consistent windows cover this share of the item's, or so many windows in one piece.
@@ -85,7 +85,7 @@ class _Kinds(dict):
             kind = 6 if low in UNITS else 5
         else:
             kind = 4 if low in UNITS else 0
-        if len(self) > 400_000:
+        if len(self) > 120_000:
             self.clear()
         self[t] = kind
         return kind
@@ -93,7 +93,7 @@ class _Kinds(dict):
 
 class _Lowered(dict):
     def __missing__(self, t: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 120_000:
             self.clear()
         self[t] = value = int(word_hashes([t.lower()])[0])
         return value
@@ -155,7 +155,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         for ids, texts in chunks(batches):
             yield _arrow(ids, [windows(t, item=True) for t in texts], "item_id")
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, f"item_id long, {WINDOW_SCHEMA}")
+    return map_batches(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), run, f"item_id long, {WINDOW_SCHEMA}")
 
 
 def bloom(items: DataFrame) -> np.ndarray:
@@ -192,7 +192,7 @@ def document_windows(docs: DataFrame, filter_bits: np.ndarray, sizes: list[int])
                     rows.append([])
             yield _arrow(ids, rows, "doc_id")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {WINDOW_SCHEMA}")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, f"doc_id long, {WINDOW_SCHEMA}")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:

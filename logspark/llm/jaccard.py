@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mixed, ngram_set
+from .common import chunks, map_batches, materialize, mixed, ngram_set
 
 THRESHOLD, NGRAM = 0.8, 5
 #: Chance that a pair exactly at the threshold shares a band, and most hashes of a signature.
@@ -77,7 +77,7 @@ def _profiles(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 hashes.append(h.view(np.int64) if len(s) else None)
             yield pa.record_batch([ids, pa.array(keys, pa.binary()), pa.array(grams, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "key", "grams", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, key binary, grams int, bands array<long>")
+    return map_batches(docs, run, "doc_id long, key binary, grams int, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
             yield pa.record_batch([ids, pa.array([xxhash.xxh3_128_digest(s) for s in made], pa.binary()), pa.array(made, pa.binary())], names=["rep", "key", "set"])
 
     # Ids are joined first so that only the members' texts are read for their sets; the key tells apart texts that share an id.
-    full = docs.withColumnRenamed("doc_id", "rep").join(member.select("rep"), "rep", "left_semi").mapInArrow(sets, "rep long, key binary, set binary")
+    full = map_batches(docs.withColumnRenamed("doc_id", "rep").join(member.select("rep"), "rep", "left_semi"), sets, "rep long, key binary, set binary")
     member = member.join(full, ["rep", "key"])
     pairs = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     found = pairs.groupBy("component", "i", "j").applyInPandas(lambda key, pdf: verify(key, pdf, threshold), "rep long, other long, texts long, docs long")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, map_batches
 
 BITS = 16
 UNDETERMINED = "und"
@@ -146,8 +146,8 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         m = train(rows, languages)
         yield pa.record_batch([pa.array([m.idf.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.temperature])], names=["idf", "weights", "temperature"])
 
-    vectors = sample.select("lang", "text").mapInArrow(extract, "lang string, idx binary, n binary")
-    r = vectors.repartition(1).mapInArrow(learn, "idf binary, weights binary, temperature double").first()
+    vectors = map_batches(sample.select("lang", "text"), extract, "lang string, idx binary, n binary")
+    r = map_batches(vectors.repartition(1), learn, "idf binary, weights binary, temperature double").first()
     if r is None:
         return Model()
     return Model(languages, np.frombuffer(r["idf"], np.float32), np.frombuffer(r["weights"], np.float32).reshape(1 << BITS, -1), r["temperature"])
@@ -166,4 +166,4 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
             found = [model.predict(t) for t in texts]
             yield pa.record_batch([ids, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[id_column, "lang_pred", "score"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, lang_pred string, score double")
+    return map_batches(docs.select(id_column, text_column), run, f"{id_column} {kind}, lang_pred string, score double")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, words
+from .common import chunks, map_batches, words
 
 COVERAGE = 0.8
 
@@ -127,4 +127,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.record_batch([ids.take(pa.array(list(cols[0]), pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols[1:], (pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()), strict=True))], names=[id_column, "license", "coverage", "first_word", "end_word", "passages"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, license string, coverage double, first_word int, end_word int, passages int")
+    return map_batches(docs.select(id_column, text_column), run, f"{id_column} {kind}, license string, coverage double, first_word int, end_word int, passages int")

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, with_rank
+from .common import chunks, map_batches, materialize, releases, with_rank
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Decisions that the search may try beyond its first descent, and steps of one enumeration of fillings.
 NODES, FILL_STEPS = 300, 1000
-#: Space-separated strings and words whose ids a worker keeps, and the longest that it keeps.
-TOKEN_CACHE, TOKEN_LONGEST = 400_000, 64
+#: Space-separated strings, their words, whose merges cost most, and the longest string, that a worker keeps ids of.
+STRING_CACHE, TOKEN_CACHE, TOKEN_LONGEST = 100_000, 250_000, 64
 #: How the vocabulary splits text before its merges, and the characters for which lower() is its normalization.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile("[!-~\u00a1-\u024f]+")
@@ -73,7 +73,7 @@ class _Encoder:
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.strings) > TOKEN_CACHE:
+        if len(self.strings) > STRING_CACHE:
             self.older, self.strings = self.strings, {"": b""}
         if len(self.words) > TOKEN_CACHE:
             self.words = {}
@@ -95,6 +95,7 @@ class _Encoder:
 
 
 _encoders: dict[str, _Encoder] = {}
+releases[__name__] = _encoders.clear
 
 
 def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
@@ -118,7 +119,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             doc, piece, start, length, crc = zip(*rows, strict=True)
             yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, PIECES)
 
 
 def fillings(room: int, counts: dict[int, int], steps: int = FILL_STEPS, most_waste: int | None = None, keep: int = 3) -> list[tuple[int, tuple[int, ...]]]:
@@ -314,4 +315,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     if not histogram and not full:
         return spark.createDataFrame([], PIECES + ", sequence_id long, offset long")
     ranked = with_rank(pieces, ["length"], ["doc_id", "piece"], "rank", full + sum(histogram.values()))
-    return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return map_batches(ranked, place, PIECES + ", sequence_id long, offset long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, chunks, hash_share, materialize, ngram_set
+from .common import WORD, chunks, hash_share, map_batches, materialize, ngram_set, releases
 
 #: Most labelled rows that the model is fitted to, in expectation: a hash of the id picks them.
 MAX_LABELLED = 50_000
@@ -55,7 +55,7 @@ class _TokenScores(dict):
 
     def __missing__(self, word: str) -> float:
         value = max((self.lexicon.get(f, 0.0) for f in features(word)), default=0.0)
-        if len(self) > 400_000:
+        if len(self) > 120_000:
             self.clear()
         self[word] = value
         return value
@@ -103,7 +103,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Dat
 
     # About max_labelled rows of 16 bytes are broadcast.
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rated), "doc_id")
-    keys = own.select("doc_id", "text").mapInArrow(least, "doc_id long, key long")
+    keys = map_batches(own.select("doc_id", "text"), least, "doc_id long, key long")
     kept = keys.join(F.broadcast(rated), "doc_id").groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id"))
     kept = materialize(kept.select("doc_id", "toxic"), "labelled")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(kept), "doc_id").select("toxic", "text")
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     train = _training_rows(docs, labels, max_labelled)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for toxic, texts in chunks(batches, 8_000_000):
+        for toxic, texts in chunks(batches, 4_000_000):
             out = (Counter(), Counter())
             for y, t in zip(toxic.to_pylist(), texts, strict=True):
                 words = set(WORD.findall((t or "").lower()))
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             names = list(out[0].keys() | out[1].keys())
             yield pa.record_batch([pa.array(names, pa.string()), pa.array([out[1][f] for f in names], pa.int64()), pa.array([out[0][f] for f in names], pa.int64())], names=["feature", "t", "o"])
 
-    counts = train.mapInArrow(count, "feature string, t long, o long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    counts = map_batches(train, count, "feature string, t long, o long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     kept = counts.where("feature = '' or t >= 3 and t * 50 > o").collect()
     nt, no = next(((r["t"], r["o"]) for r in kept if r["feature"] == ""), (0, 0))
     model = Model()
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             cols = list(zip(*rows, strict=True))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["toxic", "n", "positive", "total", "best", "found"])
 
-    rows = train.mapInArrow(scan, "toxic int, n long, positive long, total double, best double, found array<double>").collect()
+    rows = map_batches(train, scan, "toxic int, n long, positive long, total double, best double, found array<double>").collect()
     other = [r for r in rows if not r["toxic"]]
     tokens, hits = sum(r["n"] for r in other), sum(r["positive"] for r in other)
     typical = (sum(r["total"] for r in rows) / max(1, sum(r["positive"] for r in rows))) or 1.0
@@ -193,6 +193,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float,
 
 PASSAGE = "array<struct<start:int,end:int,score:double,expected:double>>"
 _scorers: dict[int, tuple[Model, _TokenScores]] = {}
+releases[__name__] = _scorers.clear
 
 
 def score_texts(texts: list[str | None], model: Model) -> Iterator[tuple[float, float, list[dict]]]:
@@ -222,4 +223,4 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             value, weight, found = zip(*score_texts(texts, model), strict=True)
             yield pa.record_batch([ids, pa.array(value, pa.float64()), pa.array([int(v >= 0.5) for v in value], pa.int32()), pa.array(weight, pa.float64()), pa.array(found, passage)], names=[id_column, "score", "predicted", "evidence", "passages"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, score double, predicted int, evidence double, passages {PASSAGE}")
+    return map_batches(docs.select(id_column, text_column), run, f"{id_column} {kind}, score double, predicted int, evidence double, passages {PASSAGE}")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 #: Characters of a URL have masks of their own up to this code; the others share one, as no rule names them.
 CODES = 128
 
@@ -132,4 +134,4 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_column
 
     parts = pages.select(id_column, host_of(F.col(url_column)).alias("host"), path_of(F.col(url_column)).alias("path"))
     kind = parts.schema[id_column].dataType.simpleString()
-    return parts.mapInArrow(decide, f"{id_column} {kind}, host string, path string, rule string, verdict string")
+    return map_batches(parts, decide, f"{id_column} {kind}, host string, path string, rule string, verdict string")
