@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_batches, materialize, window_hashes, word_hashes
+from .common import chunks, map_batches, materialize, releases, window_hashes, word_hash, word_hashes
 
 WINDOW, LEAST_WINDOW, LEAST_WORDS = 8, 5, 4
 #: A document leaks an item if consistent windows cover this share of the item's, or so many windows in one piece.
@@ -70,43 +70,62 @@ def template(text: str | None) -> tuple[list[str], list[str | None]]:
     return tokens, values
 
 
-class _Kinds(dict):
-    """A token's class: 0 plain word, 1 end of a sentence, 2 number, 3 currency or percent sign, 4 word of a unit, 5 capitalised."""
+def _kind(t: str) -> int:
+    """A token's class: 0 plain word, 1 end of a sentence, 2 number, 3 currency or percent sign, 4 word of a unit, 5 capitalised, 6 both."""
+    low = t.lower()
+    if t in _STOP:
+        return 1
+    if t[0].isdigit() or low in NUMBER_WORDS:
+        return 2
+    if t in "%€$£°":
+        return 3
+    if t[0] != low[0] and t[1:] == low[1:] and len(t) > 1:
+        return 6 if low in UNITS else 5
+    return 4 if low in UNITS else 0
 
-    def __missing__(self, t: str) -> int:
-        low = t.lower()
-        if t in _STOP:
-            kind = 1
-        elif t[0].isdigit() or low in NUMBER_WORDS:
-            kind = 2
-        elif t in "%€$£°":
-            kind = 3
-        elif t[0] != low[0] and t[1:] == low[1:] and len(t) > 1:
-            kind = 6 if low in UNITS else 5
-        else:
-            kind = 4 if low in UNITS else 0
-        if len(self) > 120_000:
-            self.clear()
-        self[t] = kind
-        return kind
+
+#: The low bits of a token's hash are left for its class.
+CLASS = np.uint64(7)
 
 
-class _Lowered(dict):
+class _Tokens(dict):
+    """A token's hash, lower-cased, with its class in the low bits."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, int] = {}
+
     def __missing__(self, t: str) -> int:
-        if len(self) > 120_000:
+        value = self.older.get(t)
+        if value is None:
+            value = word_hash(t.lower()) & ~7 | _kind(t)
+        if len(self) >= 120_000:
+            self.older = dict(self)
             self.clear()
-        self[t] = value = int(word_hashes([t.lower()])[0])
+        self[t] = value
         return value
 
 
-_kinds, _lowered = _Kinds(), _Lowered()
+    def release(self) -> None:
+        self.older = {}
+        self.clear()
+
+
+_tokens = _Tokens()
+releases[__name__] = _tokens.release
+
+
+def token_hashes(tokens: list[str]) -> np.ndarray:
+    """Hashes of template tokens."""
+    return word_hashes(tokens) & ~CLASS
 
 
 def template_hashes(text: str | None) -> np.ndarray:
-    """The hashes of template(text)'s tokens, without making them."""
+    """token_hashes of template(text)'s tokens, without making them."""
     found = TOKEN.findall(text or "")
-    kind = np.fromiter(map(_kinds.__getitem__, found), np.int8, len(found))
-    h = np.fromiter(map(_lowered.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(_tokens.__getitem__, found), np.uint64, len(found))
+    kind = (h & CLASS).astype(np.int8)
+    h &= ~CLASS
     begins = np.concatenate([[True], kind[:-1] == 1]) if len(kind) else np.empty(0, bool)
     kept = kind != 1
     kind, h, begins = kind[kept], h[kept], begins[kept]
@@ -115,7 +134,7 @@ def template_hashes(text: str | None) -> np.ndarray:
     unit = (kind == 3) | ((kind == 4) | (kind == 6)) & after_num
     name = (kind >= 5) & ~begins & ~unit
     for slot, mask in ((NUM, num), (UNIT, unit), (NAME, name)):
-        h[mask] = word_hashes([slot])[0]
+        h[mask] = token_hashes([slot])[0]
     first = ~name | ~np.concatenate([[False], name[:-1]]) if len(name) else name
     return h[first]
 
@@ -128,7 +147,7 @@ def windows(text: str | None, keep=None, item: bool = False) -> list[tuple[int,
 
 
 def _windows(tokens: list[str], values: list[str | None], size: int, keep) -> list[tuple[int, int, str, list[str]]]:
-    hashes = window_hashes(word_hashes(tokens), size)
+    hashes = window_hashes(token_hashes(tokens), size)
     at = np.arange(len(hashes)) if keep is None else np.flatnonzero(keep(hashes))
     if not len(at):
         return []
