@@ -120,20 +120,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
                 words = set(WORD.findall((t or "").lower()))
                 out[y > 0].update({f for w in words for f in features(w)})
                 out[y > 0][""] += len(words)
+                out[y > 0][" "] += 1
             names = list(out[0].keys() | out[1].keys())
             yield pa.record_batch([pa.array(names, pa.string()), pa.array([out[1][f] for f in names], pa.int64()), pa.array([out[0][f] for f in names], pa.int64())], names=["feature", "t", "o"])
 
     counts = map_batches(train, count, "feature string, t long, o long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    kept = counts.where("feature = '' or t >= 3 and t * 50 > o").collect()
+    kept = counts.where("trim(feature) = '' or t >= 3 and t * 50 > o").collect()
     nt, no = next(((r["t"], r["o"]) for r in kept if r["feature"] == ""), (0, 0))
+    rows_in_all = next((r["t"] + r["o"] for r in kept if r["feature"] == " "), 0)
+    # Of a larger vocabulary more words are toxic by chance, so a feature must be seen more often.
+    least_rows = max(3.0, 0.45 * math.log2(max(2, rows_in_all)))
+    # A beginning must tell more than its most frequent word does, or it would only lend that word's score to others.
+    alone: dict[str, int] = {}
+    for r in kept:
+        if not r["feature"].endswith("*"):
+            for f in features(r["feature"])[1:]:
+                alone[f] = max(alone.get(f, 0), r["t"])
+    kept = [r for r in kept if r["feature"].strip() and r["t"] >= least_rows and r["t"] >= 1.5 * alone.get(r["feature"], 0)]
     model = Model()
     if not nt or not no:
         return model
     strength = PRIOR * (nt + no)
     for f, t, o in kept:
         prior = PRIOR * (t + o)
-        odds = math.log((t + prior) / (nt + strength - t - prior)) - math.log((o + prior) / (no + strength - o - prior)) if f else 0.0
-        bound = odds - SIGMAS * math.sqrt(1 / (t + prior) + 1 / (o + prior)) if f else 0.0
+        odds = math.log((t + prior) / (nt + strength - t - prior)) - math.log((o + prior) / (no + strength - o - prior))
+        bound = odds - SIGMAS * math.sqrt(1 / (t + prior) + 1 / (o + prior))
         if bound >= LEAST:
             model.lexicon[f] = bound
 
