@@ -1,19 +1,28 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a template: numbers, names and units turn into typed placeholders, other words are lower-cased. Windows
-of ``WINDOW`` template tokens of benchmark items and documents are hash-joined; a Bloom filter of fixed size, built from
-the benchmark's windows, lets only possible matches of the documents reach the join, which compares whole windows.
-Windows of one document and item that lie along one diagonal must map each slot value of the item to one value of the
-document; that catches questions with other numbers or names and leaves alone texts that only share a form.
+A text becomes a template: numbers, names and units turn into typed placeholders, other words are lower-cased. It is read
+three ways: as plain lower-cased tokens, as a template in which a sentence's first word is a plain word, and as one in which
+it is a name if it is capitalised. Windows of ``WINDOW`` tokens of benchmark items and documents are hash-joined within a
+reading; a Bloom filter of fixed size, built from the benchmark's windows, lets only possible matches of the documents reach
+the join, which compares whole windows. Along a diagonal of one document and item, a window goes if one of its slots maps
+to a value that less than half of its role's places map to (a name's role is the name; a number's or unit's the value and
+the token after it), unless that is the item's own value. That catches questions with other numbers or names and leaves
+alone texts that only share a form.
+
+Windows count by the place of their first token in the item's plain tokens, in whichever reading they match. Template windows
+need ``LEAST_WORDS`` plain words, windows of plain tokens none: the share is of all places or of those with a template
+window, whichever is more.
 
 Edge cases: null and empty texts have no window and leak nothing; an item shorter than ``WINDOW`` tokens is one window
-of its own length, if that is ``LEAST_WINDOW`` at least, and else cannot leak; a window needs ``LEAST_WORDS`` plain words;
-repeated documents are reported once an id; an empty table on either side gives no leaks; of the inputs only ids and texts are read.
+of its own length, if that is ``LEAST_WINDOW`` at least, and else cannot leak; repeated documents are reported once an id;
+an empty table on either side gives no leaks; of the inputs only ids and texts are read.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +33,11 @@ from pyspark.sql import functions as F
 from .common import chunks, map_batches, materialize, releases, window_hashes, word_hash, word_hashes
 
 WINDOW, LEAST_WINDOW, LEAST_WORDS = 8, 5, 4
-#: A document leaks an item if consistent windows cover this share of the item's, or so many windows in one piece.
-COVERAGE, RUN = 0.5, 20
+#: A document leaks an item if consistent windows cover this share of the item's, or so many windows lie on one diagonal,
+#: or so many windows of plain tokens follow each other (27 tokens word for word).
+COVERAGE, RUN, VERBATIM_RUN = 0.5, 20, 20
+#: How a text is read: as plain tokens, or as a template with plain or with name-like first words of sentences.
+LITERAL, TEMPLATE, INITIALS = 0, 1, 2
 #: Bits of the Bloom filter, as a power of two: 2 MB, whatever the benchmark's size.
 FILTER_BITS = 24
 
@@ -37,37 +49,45 @@ NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 _STOP = frozenset(".!?:\n")
 
 
-def template(text: str | None) -> tuple[list[str], list[str | None]]:
+def template(text: str | None, initials: bool = False) -> tuple[list[str], list[str | None]]:
     """Template tokens of a text and, for each, the slot's value (None for a plain word).
 
-    A name is a capitalised word, not all capitals, that does not begin a sentence; neighbouring names are one.
+    A name is a capitalised word, not all capitals, that does not begin a sentence (with initials: that may begin one);
+    neighbouring names of a sentence are one.
     """
+    return _template(TOKEN.findall(text or ""), initials)[:2]
+
+
+def _template(found: list[str], initials: bool) -> tuple[list[str], list[str | None], list[int]]:
+    """Tokens, slot values and the place of each token's first word among the plain tokens."""
     tokens: list[str] = []
     values: list[str | None] = []
-    begins = True
-    for t in TOKEN.findall(text or ""):
+    starts: list[int] = []
+    begins, first, at = True, False, -1
+    for t in found:
         if t in _STOP:
             begins = True
             continue
+        at += 1
         low = t.lower()
+        value = low
         if t[0].isdigit() or low in NUMBER_WORDS:
             kind = NUM
         elif t in "%€$£°" or (tokens and tokens[-1] == NUM and low in UNITS):
             kind = UNIT
-        elif not begins and t[0] != low[0] and t[1:] == low[1:] and len(t) > 1:
-            if tokens and tokens[-1] == NAME:
-                values[-1] += f" {low}"
+        elif (initials or not begins) and t[0] != low[0] and t[1:] == low[1:] and len(t) > 1:
+            if tokens and tokens[-1] == NAME and not begins:
+                # A sentence's first word may be no part of the name after it.
+                values[-1] += f"\n{low}" if first and "\n" not in values[-1] else f" {low}"
                 continue
-            kind = NAME
+            kind, first = NAME, begins
         else:
-            tokens.append(low)
-            values.append(None)
-            begins = False
-            continue
+            kind, value = low, None
         tokens.append(kind)
-        values.append(low)
+        values.append(value)
+        starts.append(at)
         begins = False
-    return tokens, values
+    return tokens, values, starts
 
 
 def _kind(t: str) -> int:
@@ -122,59 +142,130 @@ def token_hashes(tokens: list[str]) -> np.ndarray:
 
 def template_hashes(text: str | None) -> np.ndarray:
     """token_hashes of template(text)'s tokens, without making them."""
+    return _reading_hashes(text)[TEMPLATE]
+
+
+_SLOTS = [token_hashes([slot])[0] for slot in (NUM, UNIT, NAME)]
+
+
+def _reading_hashes(text: str | None) -> list[np.ndarray]:
+    """token_hashes of each reading's tokens; none of INITIALS where it equals TEMPLATE."""
     found = TOKEN.findall(text or "")
     h = np.fromiter(map(_tokens.__getitem__, found), np.uint64, len(found))
+    if not len(h):
+        return [h, h, h]
     kind = (h & CLASS).astype(np.int8)
     h &= ~CLASS
-    begins = np.concatenate([[True], kind[:-1] == 1]) if len(kind) else np.empty(0, bool)
+    begins = np.concatenate([[True], kind[:-1] == 1])
     kept = kind != 1
-    kind, h, begins = kind[kept], h[kept], begins[kept]
+    kind, h = kind[kept], h[kept]
+    begins = begins[kept]
+    if not len(h):
+        return [h, h, h]
     num = kind == 2
-    after_num = np.concatenate([[False], num[:-1]]) if len(num) else num
+    after_num = np.concatenate([[False], num[:-1]])
     unit = (kind == 3) | ((kind == 4) | (kind == 6)) & after_num
-    name = (kind >= 5) & ~begins & ~unit
-    for slot, mask in ((NUM, num), (UNIT, unit), (NAME, name)):
-        h[mask] = token_hashes([slot])[0]
-    first = ~name | ~np.concatenate([[False], name[:-1]]) if len(name) else name
-    return h[first]
+    capital = (kind >= 5) & ~unit
+    slotted = h.copy()
+    slotted[num], slotted[unit] = _SLOTS[0], _SLOTS[1]
 
+    def named(name: np.ndarray) -> np.ndarray:
+        out = np.where(name, _SLOTS[2], slotted)
+        return out[~name | begins | ~np.concatenate([[False], name[:-1]])]
 
-def windows(text: str | None, keep=None, item: bool = False) -> list[tuple[int, int, str, list[str]]]:
-    """(position, hash, template window, its slot values) of a text, those that keep (a test of a hash array) lets through."""
-    tokens, values = template(text)
-    size = WINDOW if len(tokens) >= WINDOW or not item else len(tokens)
-    return _windows(tokens, values, size, keep) if size >= LEAST_WINDOW else []
+    return [h, named(capital & ~begins), named(capital) if (capital & begins).any() else h[:0]]
 
 
-def _windows(tokens: list[str], values: list[str | None], size: int, keep) -> list[tuple[int, int, str, list[str]]]:
-    hashes = window_hashes(token_hashes(tokens), size)
-    at = np.arange(len(hashes)) if keep is None else np.flatnonzero(keep(hashes))
-    if not len(at):
-        return []
+def _readings(text: str | None) -> list[tuple[int, list[str], list[str | None], list[int]]]:
+    """(reading, tokens, slot values, places among the plain tokens) of each reading that differs from those before it."""
+    found = TOKEN.findall(text or "")
+    literal = [t.lower() for t in found if t not in _STOP]
+    plain, named = _template(found, False), _template(found, True)
+    out = [(LITERAL, literal, [None] * len(literal), list(range(len(literal)))), (TEMPLATE, *plain)]
+    return out if named == plain else [*out, (INITIALS, *named)]
+
+
+def _who(value: str) -> str:
+    """The name, without a sentence's first word before it."""
+    return value.rpartition("\n")[2]
+
+
+def _rich(values: list[str | None], size: int) -> np.ndarray:
+    """For each window, whether it has enough plain words."""
     plain = np.concatenate([[0], np.cumsum([v is None for v in values])])
-    at = at[plain[at + size] - plain[at] >= LEAST_WORDS]
-    return [(p, int(hashes[p : p + 1].view(np.int64)[0]), " ".join(tokens[p : p + size]), [v for v in values[p : p + size] if v is not None]) for p in at.tolist()]
+    return plain[size:] - plain[:-size] >= LEAST_WORDS
+
+
+def _hash_list(tokens: list[str], size: int) -> np.ndarray:
+    return window_hashes(token_hashes(tokens), size)
 
 
-WINDOW_SCHEMA = "position int, hash long, window string, slots array<string>"
+def windows_of_item(text: str | None) -> list[tuple]:
+    """(reading, position, hash, window, slot values, their roles, their places, first, end, rich) of an item's windows; first
+    to end are the places that the window stands for, rich tells whether a template window stands for the first."""
+    read = _readings(text)
+    n = len(read[0][1])
+    last = max(0, n - WINDOW) + 1
+    out, rich_places = [], np.zeros(last, bool)
+    if n < LEAST_WINDOW:
+        return out
+    for reading, tokens, values, starts in read[::-1]:
+        size = min(WINDOW, len(tokens))
+        if size < LEAST_WINDOW:
+            continue
+        hashes = _hash_list(tokens, size).view(np.int64).tolist()
+        rich = _rich(values, size).tolist()
+        roles = [_who(v) if k == NAME and v else f"{v} {after}" for k, v, after in zip(tokens, values, [*(w or t for t, w in zip(tokens[1:], values[1:], strict=True)), ""], strict=True)]
+        for p, h in enumerate(hashes):
+            if reading != LITERAL and not rich[p]:
+                continue
+            first, end = starts[p], starts[p + 1] if p + 1 < len(hashes) else last
+            if reading != LITERAL:
+                rich_places[first:end] = True
+            elif not rich_places[first]:
+                continue
+            slots = [k for k in range(p, p + size) if values[k] is not None]
+            out.append((reading, p, h, " ".join(tokens[p : p + size]), [values[k] for k in slots], [roles[k] for k in slots], slots, first, end, bool(rich_places[first])))
+    return out
+
+
+def windows_of_document(text: str | None, sizes: list[int], keep) -> list[tuple]:
+    """(reading, position, hash, window, slot values) of the windows of a document that keep (a test of a hash array) lets through."""
+    out = []
+    for reading, tokens, values, _ in _readings(text)[TEMPLATE:INITIALS]:
+        for size in sizes:
+            if len(tokens) < size:
+                continue
+            hashes = _hash_list(tokens, size)
+            ok = keep(hashes)
+            if reading != LITERAL:
+                ok = ok & _rich(values, size)
+            for p in np.flatnonzero(ok).tolist():
+                out.append((reading, p, int(hashes[p : p + 1].view(np.int64)[0]), " ".join(tokens[p : p + size]), [v for v in values[p : p + size] if v is not None]))
+    return out
+
 
+WINDOW_FIELDS = {"reading": pa.int32(), "position": pa.int32(), "hash": pa.int64(), "window": pa.string(), "slots": pa.list_(pa.string())}
+ITEM_FIELDS = WINDOW_FIELDS | {"roles": pa.list_(pa.string()), "places": pa.list_(pa.int32()), "first": pa.int32(), "end": pa.int32(), "rich": pa.bool_()}
+WINDOW_SCHEMA = "reading int, position int, hash long, window string, slots array<string>"
 
-def _arrow(ids: pa.Array, per_row: list[list], name: str) -> pa.RecordBatch:
+
+def _arrow(ids: pa.Array, per_row: list[list], name: str, fields: dict[str, pa.DataType]) -> pa.RecordBatch:
     counts = [len(r) for r in per_row]
     flat = [w for r in per_row for w in r]
     take = np.repeat(np.arange(len(counts)), counts)
-    cols = list(zip(*flat, strict=True)) if flat else [[], [], [], []]
-    return pa.record_batch([ids.take(pa.array(take, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string())), strict=True))], names=[name, "position", "hash", "window", "slots"])
+    cols = list(zip(*flat, strict=True)) if flat else [[]] * len(fields)
+    return pa.record_batch([ids.take(pa.array(take, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, fields.values(), strict=True))], names=[name, *fields])
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, position, hash, window, slots."""
+    """item_id and the fields of windows_of_item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
-            yield _arrow(ids, [windows(t, item=True) for t in texts], "item_id")
+            yield _arrow(ids, [windows_of_item(t) for t in texts], "item_id", ITEM_FIELDS)
 
-    return map_batches(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), run, f"item_id long, {WINDOW_SCHEMA}")
+    return map_batches(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), run, f"item_id long, {WINDOW_SCHEMA}, roles array<string>, places array<int>, first int, end int, rich boolean")
 
 
 def bloom(items: DataFrame) -> np.ndarray:
@@ -189,7 +280,7 @@ def bloom(items: DataFrame) -> np.ndarray:
 
 
 def document_windows(docs: DataFrame, filter_bits: np.ndarray, sizes: list[int]) -> DataFrame:
-    """doc_id, position, hash, window, slots of the windows that pass the filter, for each window size among the items'."""
+    """doc_id, reading, position, hash, window, slots of the windows that pass the filter, for each window size among the items'."""
     mask = np.uint64((1 << FILTER_BITS) - 1)
     bits = docs.sparkSession.sparkContext.broadcast(filter_bits)
 
@@ -203,34 +294,61 @@ def document_windows(docs: DataFrame, filter_bits: np.ndarray, sizes: list[int])
         for ids, texts in chunks(batches):
             rows = []
             for t in texts:
-                h = template_hashes(t)
-                if any(keep(window_hashes(h, size)).any() for size in sizes):
-                    tokens, values = template(t)
-                    rows.append([w for size in sizes for w in _windows(tokens, values, size, keep)])
-                else:
-                    rows.append([])
-            yield _arrow(ids, rows, "doc_id")
+                # All readings in one array: a window over two of them may only let a text through to the exact test.
+                h = np.concatenate(_reading_hashes(t))
+                rows.append(windows_of_document(t, sizes, keep) if any(keep(window_hashes(h, size)).any() for size in sizes) else [])
+            yield _arrow(ids, rows, "doc_id", WINDOW_FIELDS)
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, f"doc_id long, {WINDOW_SCHEMA}")
 
 
+def kept_windows(reading: int, found: list[dict], run: int = RUN) -> tuple[list[tuple[dict, bool]], bool]:
+    """(window, whether it holds the item's own values) of the consistent windows of one diagonal, and whether they leak by themselves."""
+    if reading == LITERAL:
+        at = sorted(w["position"] for w in found)
+        longest = length = 1
+        for x, y in itertools.pairwise(at):
+            length = length + 1 if y == x + 1 else 1
+            longest = max(longest, length)
+        return [(w, True) for w in found], longest >= min(run, VERBATIM_RUN)
+    mapped = {p: (r, _who(o)) for w in found for p, r, o in zip(w["places"], w["roles"], w["ours"], strict=True)}
+    votes, places = Counter(mapped.values()), Counter(r for r, _ in mapped.values())
+    kept = []
+    for w in found:
+        slots = [(r, o, t.replace("\n", " ") == o.replace("\n", " ")) for r, t, o in zip(w["roles"], w["theirs"], w["ours"], strict=True)]
+        if all(own or 2 * votes[r, _who(o)] >= places[r] for r, o, own in slots):
+            kept.append((w, all(own for _, _, own in slots)))
+    return kept, len(kept) >= run
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
-    """doc_id, item_id, windows (of the item, matched with consistent slots), item_windows, coverage, exact (all slots hold
-    the item's own values) for each document that leaks an item of benchmark (item_id, text)."""
+    """doc_id, item_id, windows (of the item, matched with consistent slots), item_windows, coverage, exact (all matched windows
+    hold the item's own values) for each document that leaks an item of benchmark (item_id, text)."""
     items = materialize(item_windows(benchmark), "items")
-    totals = items.groupBy("item_id").agg(F.countDistinct("position").alias("item_windows"))
+    totals = items.where(F.col("reading") == LITERAL).groupBy("item_id").agg(F.countDistinct("position").alias("all_places"), F.countDistinct(F.when(F.col("rich"), F.col("position"))).alias("rich_places"))
     sizes = sorted(r[0] for r in items.select(F.size(F.split("window", " "))).distinct().collect())
     hits = document_windows(docs, bloom(items), sizes).distinct()
-    ours = items.select("item_id", F.col("position").alias("item_position"), "hash", "window", F.col("slots").alias("item_slots"))
+    ours = items.withColumnRenamed("slots", "theirs").withColumnRenamed("position", "item_position")
     # A window that many items share would pair all of them with all its documents, but adds nothing to tell them by; its
     # items are joined all the same: the count of pairs is the count of leaks times windows.
-    pairs = hits.join(ours, ["hash", "window"]).withColumn("diagonal", F.col("position") - F.col("item_position"))
-    pairs = materialize(pairs.select("doc_id", "item_id", "item_position", "diagonal", F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours")).alias("slots")), "pairs")
-    group = ["doc_id", "item_id", "diagonal"]
+    pairs = hits.join(ours, ["reading", "hash", "window"]).withColumn("diagonal", F.col("position") - F.col("item_position"))
+    window = F.struct(F.col("item_position").alias("position"), "places", "roles", "theirs", F.col("slots").alias("ours"), "first", "end", "rich")
     # Along a diagonal an item has each window once, so these groups are as small as an item.
-    along = pairs.groupBy(*group).agg(F.collect_set("item_position").alias("positions"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
-    consistent = along.where(F.size("slots") == F.size(F.array_distinct(F.col("slots.theirs"))))
-    exact = F.forall("slots", lambda s: s["theirs"] == s["ours"])
-    found = consistent.select("doc_id", "item_id", F.explode("positions").alias("p"), exact.alias("exact"), F.size("positions").alias("run"))
-    out = found.groupBy("doc_id", "item_id").agg(F.countDistinct("p").alias("windows"), F.min("exact").alias("exact"), F.max("run").alias("run")).join(totals, "item_id")
-    return out.withColumn("coverage", F.col("windows") / F.col("item_windows")).where((F.col("coverage") >= coverage) | (F.col("run") >= run)).select("doc_id", "item_id", "windows", "item_windows", "coverage", "exact")
+    along = pairs.groupBy("doc_id", "item_id", "diagonal", "reading").agg(F.collect_list(window).alias("found"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, (reading, found) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                kept, alone = kept_windows(reading, found, run)
+                rows += [(k, p, w["rich"], exact, alone) for w, exact in kept for p in range(w["first"], w["end"])]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            take = pa.array(list(cols[0]), pa.int64())
+            yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(list(cols[1]), pa.int32()), *(pa.array(list(c), pa.bool_()) for c in cols[2:])], names=["doc_id", "item_id", "place", "rich", "exact", "alone"])
+
+    places = map_batches(along.select("doc_id", "item_id", "reading", "found"), judge, "doc_id long, item_id long, place int, rich boolean, exact boolean, alone boolean")
+    places = places.groupBy("doc_id", "item_id", "place").agg(*(F.max(c).alias(c) for c in ("rich", "exact", "alone")))
+    out = places.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("rich").alias("n_rich"), F.min("exact").alias("exact"), F.max("alone").alias("alone")).join(totals, "item_id")
+    share = lambda n, of: F.struct(F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(0.0).alias("coverage"), F.col(n).alias("windows"), F.col(of).alias("item_windows"))
+    out = out.withColumn("best", F.greatest(share("n", "all_places"), share("n_rich", "rich_places")))
+    return out.where((F.col("best.coverage") >= coverage) | F.col("alone")).select("doc_id", "item_id", "best.windows", "best.item_windows", "best.coverage", "exact")

@@ -70,6 +70,18 @@ def test_slots_must_be_consistent(spark):
     assert got == {1}
 
 
+def leaked(spark, item, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r for r in decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+
+
+def test_a_conflict_costs_its_windows_only(spark):
+    long = "After lunch we paid 2 coins for the red kite and " + prose(random.Random(21), 12) + " then we paid 2 coins for the blue kite and went home"
+    roles = "At noon she buys 2 apples at 2 dollars each and 2 pears while her sister waits outside near the old gate"
+    assert leaked(spark, long, [long.replace("2 coins for the blue", "3 coins for the blue")]).keys() == {0}
+    assert leaked(spark, roles, [roles.replace("2 apples", "3 apples").replace("2 dollars", "4 dollars").replace("2 pears", "5 pears")]).keys() == {0}
+
+
 def test_templates_hash_alike():
     rng = random.Random(2)
     for _ in range(200):
