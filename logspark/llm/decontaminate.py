@@ -232,7 +232,7 @@ def windows_of_item(text: str | None) -> list[tuple]:
 def windows_of_document(text: str | None, sizes: list[int], keep) -> list[tuple]:
     """(reading, position, hash, window, slot values) of the windows of a document that keep (a test of a hash array) lets through."""
     out = []
-    for reading, tokens, values, _ in _readings(text)[TEMPLATE:INITIALS]:
+    for reading, tokens, values, _ in _readings(text):
         for size in sizes:
             if len(tokens) < size:
                 continue

@@ -82,6 +82,14 @@ def test_a_conflict_costs_its_windows_only(spark):
     assert leaked(spark, roles, [roles.replace("2 apples", "3 apples").replace("2 dollars", "4 dollars").replace("2 pears", "5 pears")]).keys() == {0}
 
 
+def test_names_that_begin_sentences_and_other_case(spark):
+    tom = "Tom has 3 apples. Mary has 5 apples. Tom gives 2 to Mary. How many apples does Tom have now?"
+    other = "Bob has 7 apples. Lucy has 9 apples. Bob gives 4 to Lucy. How many apples does Bob have now?"
+    assert leaked(spark, tom, [other, tom]).keys() == {0, 1}
+    names = "Der Hund von Anna jagt die Katze von Peter durch den Garten und bellt laut vor der Hecke von Berta"
+    assert leaked(spark, names, [names.lower(), names.upper(), names]).keys() == {0, 1, 2}
+
+
 def test_templates_hash_alike():
     rng = random.Random(2)
     for _ in range(200):
