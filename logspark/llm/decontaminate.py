@@ -34,8 +34,8 @@ from .common import chunks, map_batches, materialize, releases, window_hashes, w
 
 WINDOW, LEAST_WINDOW, LEAST_WORDS = 8, 5, 4
 #: A document leaks an item if consistent windows cover this share of the item's, or so many windows lie on one diagonal,
-#: or so many windows of plain tokens follow each other (27 tokens word for word).
-COVERAGE, RUN, VERBATIM_RUN = 0.5, 20, 20
+#: or so many windows of plain tokens follow each other (13 tokens word for word).
+COVERAGE, RUN, VERBATIM_RUN = 0.5, 20, 6
 #: How a text is read: as plain tokens, or as a template with plain or with name-like first words of sentences.
 LITERAL, TEMPLATE, INITIALS = 0, 1, 2
 #: Bits of the Bloom filter, as a power of two: 2 MB, whatever the benchmark's size.
@@ -222,8 +222,6 @@ def windows_of_item(text: str | None) -> list[tuple]:
             first, end = starts[p], starts[p + 1] if p + 1 < len(hashes) else last
             if reading != LITERAL:
                 rich_places[first:end] = True
-            elif not rich_places[first]:
-                continue
             slots = [k for k in range(p, p + size) if values[k] is not None]
             out.append((reading, p, h, " ".join(tokens[p : p + size]), [values[k] for k in slots], [roles[k] for k in slots], slots, first, end, bool(rich_places[first])))
     return out

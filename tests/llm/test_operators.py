@@ -90,6 +90,17 @@ def test_names_that_begin_sentences_and_other_case(spark):
     assert leaked(spark, names, [names.lower(), names.upper(), names]).keys() == {0, 1, 2}
 
 
+def test_verbatim_passages_and_items_poor_in_words(spark):
+    rng = random.Random(22)
+    item = prose(rng, 59)
+    part = " ".join(item.split()[10:35])
+    thirteen = " ".join(item.split()[40:53])
+    assert leaked(spark, item, [part, prose(rng, 40) + " " + thirteen + " " + prose(rng, 40), " ".join(item.split()[40:51])]).keys() == {0, 1}
+    numbers = "12 kg 7 lb 90 cm 14 mm 3 Anna 5 Bert 8 Carl 61 kg 77 lb"
+    got = leaked(spark, numbers, [prose(rng, 20) + " " + numbers + " " + prose(rng, 20), numbers.replace("12", "13").replace("90", "91").replace("61", "62").replace("8", "9")])
+    assert got.keys() == {0} and got[0]["exact"] and got[0]["coverage"] == 1
+
+
 def test_templates_hash_alike():
     rng = random.Random(2)
     for _ in range(200):
