@@ -172,6 +172,14 @@ def keep_rows(docs: DataFrame, keep: Callable[[list], list[bool]], owner: str, t
     return map_batches(docs, run, docs.schema)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a key that no two rows share, and the key's column."""
+    key = "row_key"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
 def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs without the rows whose column is among ids: broadcast up to broadcast_rows ids, else by a shuffle."""
     ids = materialize(ids.select(column).distinct(), "dropped")

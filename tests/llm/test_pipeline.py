@@ -33,6 +33,19 @@ def test_stages(spark):
     assert ids(packed) == ids(docs)
 
 
+def test_rows_with_null_and_repeated_ids(spark):
+    text = "the small brown bird sings every morning on the fence beside the long green garden"
+    other = "nobody in the old harbour town remembers when the last of the grey ferries left for the islands"
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    rows = [(5, text, "a"), (5, text, "b"), (None, text, "c"), (4, text, "d"), (None, other, "e"), (None, other, "f"), (7, item, "g"), (7, other + " so they say", "h"), (None, item, "i"), (8, None, "j"), (None, None, "k"), (5, "one more text that is quite unlike the others here", "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sources = lambda df: {r["source"] for r in df.collect()}
+    once = corpus_pipeline.keep_one_of_each_class(spark, docs, SF)
+    got = sources(once)
+    assert once.columns == docs.columns and got == {"d", "g", "h", "j", "k", "l"}
+    assert sources(corpus_pipeline.drop_leaks(spark, docs, SF)) == set("abcdefhjkl")
+
+
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_sql(spark, name):
     assert differences(queries.queries()[name](spark, SF), connect(SF), queries.oracle_sql()[name]) == []
