@@ -41,7 +41,7 @@ def assign_entries(lines: DataFrame, merge_continuations: bool = True) -> DataFr
 
 def fold_entries(lines: DataFrame) -> DataFrame:
     """One row for each entry: its first line's text, all lines in order, and the first line's number and block."""
-    keep = [c for c in ("format_id", "reference", *PROFILE) if c in lines.columns]
+    keep = [c for c in ("format_id", "reference", "truncated", *PROFILE) if c in lines.columns]
     folded = lines.groupBy("source_idx", "source_name", "entry_start").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_l"), F.min("block").alias("block"), *(F.first(c).alias(c) for c in keep))
     return folded.withColumn("lines", F.transform("_l", lambda x: x["text"])).withColumn("text", F.col("lines")[0]).drop("_l")
 
@@ -61,12 +61,12 @@ def parse_entries(folded: DataFrame, spec: X.FormatSpec, merge_continuations: bo
         "source_idx", "source_name", F.lit(spec.id).alias("format_id"), "block", "entry_start", F.size("lines").alias("physical_lines"),
         F.when(parsed, fields.get("time", F.lit(None))).cast("timestamp").alias("time"), level.alias("level"), raw.alias("raw_level"),
         *(text(c).alias(c) for c in ("thread", "target", "host", "pid")), F.when(parsed, fields.get("extra", X.no_extra())).otherwise(X.no_extra()).alias("extra"),
-        F.when(parsed, joined).otherwise(whole).alias("message"),
+        F.when(parsed, joined).otherwise(whole).alias("message"), *(c for c in folded.columns if c == "truncated"),
     ).withColumn("level_idx", N.level_index(F.col("level")))
 
 
 def entries_of_lines(lines: DataFrame, format: str = "auto", merge_continuations: bool = True, reference: date | None = None) -> DataFrame:
-    """The entries of a lines table whose sources all have one format. Detection reads the first 200 lines of each source."""
+    """The entries of a lines table whose sources all have one format, with truncated where the lines have it. Detection reads the first 200 lines of each source."""
     spec = X.find_format(format if format not in ("", "auto") else require_same_format(detect_format(lines)))
     if spec.id == "wevt_xml":
         raise ValueError("event XML is read by records: use sources.event_xml")
@@ -77,11 +77,14 @@ def entries_of_lines(lines: DataFrame, format: str = "auto", merge_continuations
     parsed = parse_entries(folded, spec, merge_continuations)
     numbered = number(parsed, ["source_idx"], "block", ["entry_start"], "entry_no", first=0)
     first = F.col("entry_no") + 1 if spec.sequential else F.col("entry_start")
-    return numbered.withColumn("first_line", first.cast("long")).withColumn("entry_no", F.col("entry_no").cast("long")).select(COLUMNS)
+    return numbered.withColumn("first_line", first.cast("long")).withColumn("entry_no", F.col("entry_no").cast("long")).select(COLUMNS + [c for c in numbered.columns if c == "truncated"])
 
 
-def read_logs(spark: SparkSession, paths: list[str] | str, format: str = "auto", max_lines: int = L.MAX_LINES, merge_continuations: bool = True, reference: date | None = None, encoding: str | None = None) -> DataFrame:
-    """Entries of log files of one format: lines scanned, decoded, stripped of escapes, folded and parsed. Lazy but for detection."""
+def read_logs(spark: SparkSession, paths: list[str] | str, format: str = "auto", max_lines: int = 0, merge_continuations: bool = True, reference: date | None = None, encoding: str | None = None) -> DataFrame:
+    """Entries of log files of one format: lines scanned, decoded, stripped of escapes, folded and parsed. Lazy but for detection.
+
+    max_lines: the most lines read of each file, 0: all; if given, entries also have truncated (their file has max_lines or more).
+    """
     L.legacy_charsets(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
     if format == "wevt_xml":
@@ -89,6 +92,8 @@ def read_logs(spark: SparkSession, paths: list[str] | str, format: str = "auto",
 
         return read_event_xml(spark, paths)
     lines = L.scan_lines(spark, paths, max_lines, encoding)
+    if not max_lines:
+        lines = lines.drop("truncated")
     if format in ("", "auto"):
         format = require_same_format(detect_format(lines))
         if format == "wevt_xml":

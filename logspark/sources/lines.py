@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from logspark.functions.ansi import strip_control
 from logspark.operators.ordered import number
 
-#: Lines read of each file unless told otherwise; 0: all.
-MAX_LINES = 2_000_000
 HEAD_BYTES = 4096
 #: Legacy encodings in the order in which they are tried.
 LEGACY = ["GB18030", "Big5", "Shift_JIS", "windows-1252"]
@@ -29,10 +27,10 @@ def source_map(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.select((F.row_number().over(Window.orderBy("given", "path")) - 1).cast("int").alias("source_idx"), F.element_at(F.split("path", "/"), -1).alias("source_name"), F.col("path").alias("file"))
 
 
-def scan_lines(spark: SparkSession, paths: list[str], max_lines: int = MAX_LINES, encoding: str | None = None) -> DataFrame:
+def scan_lines(spark: SparkSession, paths: list[str], max_lines: int = 0, encoding: str | None = None) -> DataFrame:
     """Lines of files, numbered within each. LF, CRLF and CR all end a line; a last line without an end counts.
 
-    encoding: decodes what is not valid UTF-8; None finds it for each file from its first bytes. Columns besides those of
+    max_lines: the most lines read of each file; 0: all. encoding: decodes what is not valid UTF-8; None finds it for each file from its first bytes. Columns besides those of
     a lines table: truncated (the file has max_lines or more), modified (of the file).
     """
     raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_modification_time").alias("modified"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
@@ -42,7 +40,7 @@ def scan_lines(spark: SparkSession, paths: list[str], max_lines: int = MAX_LINES
     numbered = raw.join(splits, ["file", "block"]).withColumn("line_no", F.col("id") - F.col("first") + F.col("before") + 1)
     if max_lines:
         numbered = numbered.where(F.col("line_no") <= max_lines)
-    numbered = numbered.withColumn("truncated", (F.lit(max_lines) > 0) & (F.col("lines") >= max_lines))
+    numbered = numbered.withColumn("truncated", F.lit(bool(max_lines)) & (F.col("lines") >= max_lines))
     named = numbered.join(source_map(spark, paths), "file")
     if encoding is None:
         named = named.join(detect_encoding(named), "source_idx", "left")

@@ -60,6 +60,16 @@ def test_line_limit_and_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_all_lines_are_read_unless_a_limit_is_given(spark, tmp_path):
+    (tmp_path / "long.log").write_text("x\n" * 2_000_003)
+    assert scan_lines(spark, [str(tmp_path / "long.log")]).count() == 2_000_003
+    (tmp_path / "few.log").write_text("".join(f"2024-01-02 03:04:{i:02d} INFO line {i}\n" for i in range(20)))
+    path = str(tmp_path / "few.log")
+    assert "truncated" not in read_logs(spark, path).columns and read_logs(spark, path).count() == 20
+    assert [r["truncated"] for r in read_logs(spark, path, max_lines=5).collect()] == [True] * 5
+    assert [r["truncated"] for r in read_logs(spark, path, max_lines=50).collect()] == [False] * 20
+
+
 def test_folding_over_splits(spark, tmp_path):
     rng = random.Random(2)
     lines = [f"2026-01-01 00:00:00 INFO m{i}" if rng.random() < 0.05 else f"  at frame {i}" for i in range(4000)]
