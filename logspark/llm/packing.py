@@ -38,15 +38,17 @@ class _Encoder:
 
     Blanks end tokens of this vocabulary, so what stands between them is encoded by itself. A plain string is split as
     the tokenizer splits it and its unknown words are encoded in one call: each word ends with the only token that may
-    end one. Any other string goes through the tokenizer whole.
+    end one. Any other string goes through the tokenizer whole; so does one that holds an added token, as none of them has a blank.
+    as_text: added tokens in a text are encoded like any other characters, not as themselves.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, as_text: bool):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = as_text
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
         self.split = regex.compile(SPLIT).findall
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -81,7 +83,7 @@ class _Encoder:
         new = [x for x in set().union(*parts) if x not in strings]
         strings.update((x, older[x]) for x in new if x in older)
         new = [x for x in new if x not in strings]
-        plain = {x: self.split(x.lower()) for x in new if len(x) <= TOKEN_LONGEST and PLAIN.fullmatch(x)}
+        plain = {x: self.split(x.lower()) for x in new if len(x) <= TOKEN_LONGEST and PLAIN.fullmatch(x) and not self.added.search(x)}
         self._learn_words(list({w for ws in plain.values() for w in ws if w not in words}))
         for x, ws in plain.items():
             strings[x] = b"".join(map(words.__getitem__, ws))
@@ -94,14 +96,15 @@ class _Encoder:
                 del strings[x]
 
 
-_encoders: dict[str, _Encoder] = {}
+_encoders: dict[tuple[str, bool], _Encoder] = {}
 releases[__name__] = _encoders.clear
 
 
-def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
-    if path not in _encoders:
-        _encoders[path] = _Encoder(path)
-    return _encoders[path](texts)
+def encode(texts: list[str | None], path: str, as_text: bool = True) -> Iterator[bytes]:
+    """Ids of texts; as_text: see _Encoder. Packing takes the tokenizer as its file has it."""
+    if (path, as_text) not in _encoders:
+        _encoders[path, as_text] = _Encoder(path, as_text)
+    return _encoders[path, as_text](texts)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -111,7 +114,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
             rows = []
-            for doc_id, data in zip(ids.to_pylist(), encode(texts, tokenizer_path), strict=True):
+            for doc_id, data in zip(ids.to_pylist(), encode(texts, tokenizer_path, as_text=False), strict=True):
                 data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     piece = data[at : at + 4 * capacity]

@@ -408,6 +408,19 @@ def test_encoding_is_the_tokenizers_own():
         assert np.frombuffer(data, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packed_ids_are_the_files_own(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    rng = random.Random(14)
+    texts = ["a <|endoftext|> b", *("".join(rng.choice(["a", "don't", " ", "\n", "İ", "é", "12", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "_", "x" * 80]) for _ in range(20)) for _ in range(200))]
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 # Awkward tables ------------------------------------------------------------------------------------------------------
 
 
