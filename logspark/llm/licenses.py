@@ -3,8 +3,9 @@
 Words that occur once in a passage and once in a template are anchors; the longest increasing run of anchors is kept and
 the gaps between them are aligned the same way. Coverage is the share of the template's words that are aligned.
 
-Only passages that can reach the coverage are aligned: windows of twice the template's length, a template's length
-apart, that hold enough words of the template. So a notice is found in the whole of any text, as often as it stands there.
+Only passages that can reach the coverage are aligned: windows of three times the template's length, half a length apart,
+that hold enough words of the template; so a notice spread over up to two and a half lengths lies whole in one. Where words
+that begin the template come again in a window, its parts between them are aligned as well, so notices in a row are told apart.
 
 Edge cases: null and empty texts hold no notice; repeated rows are reported each; a template without words is refused;
 equal coverage goes to the first passage; an empty table gives no rows; of the input only id and text are read.
@@ -81,25 +82,64 @@ def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def openings(template: list[str], coverage: float) -> dict[str, int]:
+    """Words that a passage that covers the template must hold one of near its beginning, and their places: those that the
+    template has once, or all where it has none such."""
+    upto = int((1 - coverage) * len(template) + 1e-9) + 1
+    once = Counter(template)
+    return {w: k for k, w in enumerate(template[:upto]) if once[w] == 1} or {w: template.index(w) for w in template[:upto]}
+
+
+def pieces(text: list[str], begins: dict[str, int], need: float, n: int) -> set[tuple[int, int]]:
+    """Parts of a window in which opening words come again: from one's beginning to the beginnings of later ones, and to the end."""
+    at = [(k, begins[w]) for k, w in enumerate(text) if w in begins]
+    if len({p for _, p in at}) == len(at):
+        return set()
+    starts = sorted({max(0, k - p) for k, p in at})
+    out = set()
+    for s in starts:
+        ends = [e for e in starts if s + need <= e <= s + 5 * n // 2]
+        out |= {(s, e) for e in (*ends[: 2 * len(begins) + 2], len(text))}
+    return out
+
+
 def passages(text: list[str], held: np.ndarray, template: list[str], coverage: float) -> list[tuple[float, int, int]]:
     """(coverage, first word, word after the last) of passages that cover the template, best first, without overlaps.
 
     held: for each word whether the template has it.
     """
     n, need = len(template), coverage * len(template)
+    counts, begins = Counter(template), openings(template, coverage)
     sums = np.concatenate([[0], np.cumsum(held)])
-    starts = np.arange(0, max(1, len(text)), n)
-    likely = starts[sums[np.minimum(starts + 2 * n, len(text))] - sums[starts] >= need]
-    found = []
+    starts = np.arange(0, max(1, len(text)), max(1, n // 2))
+    likely = starts[sums[np.minimum(starts + 3 * n, len(text))] - sums[starts] >= need]
+    done: set[tuple[int, int]] = set()
+    found: dict[tuple[int, int], int] = {}
     for at in likely.tolist():
-        pairs = align(template, text[at : at + 2 * n])
-        if len(pairs) >= need:
-            found.append((len(pairs) / n, at + pairs[0][1], at + pairs[-1][1] + 1))
+        window = text[at : at + 3 * n]
+        for s, e in {(0, len(window))} | pieces(window, begins, need, n):
+            if (at + s, at + e) in done or sums[at + e] - sums[at + s] < need:
+                continue
+            done.add((at + s, at + e))
+            part = window[s:e]
+            if (Counter(part) & counts).total() >= need and len(pairs := align(template, part)) >= need:
+                place = at + s + pairs[0][1], at + s + pairs[-1][1] + 1
+                found[place] = max(found.get(place, 0), len(pairs))
+    spans = sorted(found)
+
+    def holds_two(first: int, end: int) -> bool:
+        """Whether two passages lie in this one without overlap: it is aligned with some words of each."""
+        inner = [x for x in spans[bisect.bisect_left(spans, (first,)) : bisect.bisect_left(spans, (end,))] if x[1] <= end and x != (first, end)]
+        return bool(inner) and max(x[0] for x in inner) >= min(x[1] for x in inner)
+
     out: list[tuple[float, int, int]] = []
-    for f in sorted(found, key=lambda f: (-f[0], f[1])):
-        if all(f[2] <= o[1] or f[1] >= o[2] for o in out):
-            out.append(f)
-    return out
+    taken: list[tuple[int, int]] = []
+    for first, end in sorted((x for x in spans if not holds_two(*x)), key=lambda x: (-found[x], x[1] - x[0], x)):
+        k = bisect.bisect_left(taken, (first, end))
+        if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or taken[k][0] >= end):
+            taken.insert(k, (first, end))
+            out.append((found[first, end] / n, first, end))
+    return sorted(out, key=lambda f: (-f[0], f[1]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -288,6 +288,26 @@ def test_notices_are_found(spark):
     assert {k[0] for k in got} == {0, 1, 2}
 
 
+def test_notices_at_every_offset_and_in_a_row():
+    rng = random.Random(23)
+    template = [f"t{i}" for i in range(100)]
+
+    def found(text, template=template):
+        return licenses.passages(text, np.array([w in set(template) for w in text], np.int64), template, 0.8)
+
+    spread = [w for k, w in enumerate(template) if k % 7 != 3]
+    for _ in range(65):
+        spread.insert(rng.randrange(1, len(spread)), "gap")
+    for offset in range(0, 201, 5):
+        got = found(["x"] * offset + spread + ["x"] * 300)
+        assert [(f[1], f[2]) for f in got] == [(offset, offset + len(spread))] and got[0][0] >= 0.84
+    for name in licenses.TEMPLATES:
+        notice = licenses.words(licenses.TEMPLATES[name])
+        for offset in (0, 3, 37, 50):
+            got = found(["x"] * offset + notice * 5 + ["x"] * 40, notice)
+            assert sorted(f[1] for f in got) == [offset + k * len(notice) for k in range(5)] and {f[0] for f in got} == {1.0}
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------
 
 
