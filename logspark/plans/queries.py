@@ -97,7 +97,8 @@ def sql_shown(level: dict, thread="''", target="''", host="''", pid="''", extra=
 
 # Formats -------------------------------------------------------------------------------------------------------------
 
-USER4, USER16 = F.col("user_id") % 4, F.col("user_id") % 16
+def user(n: int) -> Column:
+    return F.col("user_id") % n
 
 
 def generic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,18 +130,18 @@ def ingest_generic(spark, sf_dir):
 @query(sql_shown(LEVEL | {"signup": "INFO"}, thread="'worker-' || (user_id % 4)", target="'shop::events'", extra="'ThreadId=' || (user_id % 16)"))
 def ingest_tracing(spark, sf_dir):
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, text("$iso", "  ", by_type(LEVEL | {"signup": "INFO"}), " worker-", USER4, " ThreadId(", USER16, ") shop::events: ", "$msg"))))
+    return shown(entries_of_lines(as_lines(e, text("$iso", "  ", by_type(LEVEL | {"signup": "INFO"}), " worker-", user(4), " ThreadId(", user(16), ") shop::events: ", "$msg"))))
 
 
 @query(sql_shown(LEVEL, target="'shop'", host="'host' || (user_id % 4)", pid="user_id::VARCHAR", extra="'MsgId=' || event_type"))
 def ingest_syslog5424(spark, sf_dir):
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, text("<", by_type(PRIORITY) + 8, ">1 ", "$iso", " host", USER4, " shop ", "$user_id", " ", "$event_type", " ", "$msg"))))
+    return shown(entries_of_lines(as_lines(e, text("<", by_type(PRIORITY) + 8, ">1 ", "$iso", " host", user(4), " shop ", "$user_id", " ", "$event_type", " ", "$msg"))))
 
 
 def _syslog3164(spark, sf_dir, format):
     e = load(spark, sf_dir, "events").withColumn("lv", by_type(LEVEL))
-    line = text(F.date_format("ts", "MMM dd HH:mm:ss"), " host", USER4, " shop[", "$user_id", "]: ", F.initcap("lv"), ": user did ", "$event_type")
+    line = text(F.date_format("ts", "MMM dd HH:mm:ss"), " host", user(4), " shop[", "$user_id", "]: ", F.initcap("lv"), ": user did ", "$event_type")
     lines = lines_from_df(e, F.col("event_id"), line, F.datediff(F.to_date("ts"), F.lit(date(2000, 1, 1))), F.concat(F.lit("app."), F.date_format("ts", "yyyy-MM-dd"), F.lit(".log")))
     return shown(entries_of_lines(lines, format)).drop("entry_no")
 
@@ -161,21 +162,21 @@ def ingest_journalctl_short(spark, sf_dir):
 @query(sql_shown(LEVEL, target="'shop'", host="'host' || (user_id % 4)", pid="user_id::VARCHAR"))
 def ingest_journal_json(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("micros", (F.unix_millis(F.to_timestamp("clock")) * 1000).cast("string"))
-    line = F.to_json(F.struct(F.col("micros").alias("__REALTIME_TIMESTAMP"), by_type(PRIORITY).cast("string").alias("PRIORITY"), F.col("msg").alias("MESSAGE"), text("host", USER4).alias("_HOSTNAME"), F.lit("shop").alias("SYSLOG_IDENTIFIER"), F.col("user_id").cast("string").alias("_PID")))
+    line = F.to_json(F.struct(F.col("micros").alias("__REALTIME_TIMESTAMP"), by_type(PRIORITY).cast("string").alias("PRIORITY"), F.col("msg").alias("MESSAGE"), text("host", user(4)).alias("_HOSTNAME"), F.lit("shop").alias("SYSLOG_IDENTIFIER"), F.col("user_id").cast("string").alias("_PID")))
     return shown(entries_of_lines(as_lines(e, line)))
 
 
 @query(sql_shown(LEVEL, host="'host' || (user_id % 4)", extra="'user=' || user_id"))
 def ingest_json_lines(spark, sf_dir):
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, F.to_json(F.struct(F.col("iso").alias("time"), F.lower("lv").alias("level"), F.col("msg").alias("message"), text("host", USER4).alias("host"), F.col("user_id").alias("user"))))))
+    return shown(entries_of_lines(as_lines(e, F.to_json(F.struct(F.col("iso").alias("time"), F.lower("lv").alias("level"), F.col("msg").alias("message"), text("host", user(4)).alias("host"), F.col("user_id").alias("user"))))))
 
 
 @query(sql_shown(LEVEL, host="'host' || (user_id % 4)", extra="'user=' || user_id"))
 def ingest_logfmt(spark, sf_dir):
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, text("time=", "$iso", " level=", F.lower("lv"), ' msg="', "$msg", '" host=host', USER4, " user=", "$user_id"))))
+    return shown(entries_of_lines(as_lines(e, text("time=", "$iso", " level=", F.lower("lv"), ' msg="', "$msg", '" host=host', user(4), " user=", "$user_id"))))
 
 
 @query(sql_shown(LEVEL, target="'shop'", extra="'User=' || user_id", message="'user, \"' || user_id || '\" did ' || event_type"))
@@ -199,7 +200,7 @@ def ingest_serilog(spark, sf_dir):
 @query(sql_shown(LEVEL, thread="'main-' || (user_id % 4)", target="'com.shop.Events'"))
 def ingest_log4j(spark, sf_dir):
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, text(F.replace("clock", F.lit("."), F.lit(",")), " [main-", USER4, "] ", "$lv", "  com.shop.Events - ", "$msg"))))
+    return shown(entries_of_lines(as_lines(e, text(F.replace("clock", F.lit("."), F.lit(",")), " [main-", user(4), "] ", "$lv", "  com.shop.Events - ", "$msg"))))
 
 
 @query(sql_shown({"view": "TRACE", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, target="'shop'", extra="'EventId=' || user_id", message="'user ' || user_id || ' did ' || event_type || ' again'"))
@@ -217,14 +218,14 @@ def ingest_wevt_tsv(spark, sf_dir):
 @query(sql_shown({"view": "TRACE", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, target="'shop'", host="'host' || (user_id % 4)", extra="'Data=user=' || user_id || '; did=' || event_type || ';Event ID=7'", message="'user=' || user_id || '; did=' || event_type"))
 def ingest_wevt_xml(spark, sf_dir):
     e = events(spark, sf_dir)
-    xml = text('<Event xmlns="urn:x"><System><Provider Name="shop"/><EventID>7</EventID><Level>', by_type(EVENT_NUMBER), '</Level><TimeCreated SystemTime="', "$iso", '"/><Computer>host', USER4, '</Computer></System><EventData><Data Name="user">', "$user_id", '</Data><Data Name="did">', "$event_type", "</Data></EventData>")
+    xml = text('<Event xmlns="urn:x"><System><Provider Name="shop"/><EventID>7</EventID><Level>', by_type(EVENT_NUMBER), '</Level><TimeCreated SystemTime="', "$iso", '"/><Computer>host', user(4), '</Computer></System><EventData><Data Name="user">', "$user_id", '</Data><Data Name="did">', "$event_type", "</Data></EventData>")
     return shown(entries_of_events(e.select(F.lit(0).alias("source_idx"), F.lit("events.xml").alias("source_name"), F.floor(F.col("event_id") / 10_000).alias("block"), F.col("event_id").alias("position"), xml.alias("xml"))))
 
 
 @query(sql_shown({"view": "INFO", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, host="'10.0.0.' || (user_id % 4)", extra="'UserAgent=agent' || (user_id % 16)", message="'GET /' || event_type || ' ' || " + sql_case(STATUS), fmt="%Y-%m-%d %H:%M:%S", tail=" || '.000'"))
 def ingest_iis(spark, sf_dir):
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, text(F.substring("clock", 1, 19), " 10.0.0.", USER4, " GET /", "$event_type", " ", by_type(STATUS), " agent", USER16), "#Fields: date time s-ip cs-method cs-uri-stem sc-status cs(User-Agent)")))
+    return shown(entries_of_lines(as_lines(e, text(F.substring("clock", 1, 19), " 10.0.0.", user(4), " GET /", "$event_type", " ", by_type(STATUS), " agent", user(16)), "#Fields: date time s-ip cs-method cs-uri-stem sc-status cs(User-Agent)")))
 
 
 DETECTED = ["tracing", "syslog5424", "json_lines", "logfmt", "python_logging", "serilog", "log4j_logback", "generic"]
@@ -380,8 +381,8 @@ def _four_sources(spark, sf_dir) -> DataFrame:
     """Events in four sources by user; every seventh steps back by an hour."""
     e = load(spark, sf_dir, "events").withColumn("t", F.col("ts") - F.when(F.col("event_id") % 7 == 0, F.expr("interval 1 hour")).otherwise(F.expr("interval 0 hour")))
     line = text(F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSS"), " INFO ", "$event_id")
-    name = F.concat(F.element_at(F.array(*(F.lit(x) for x in "abcd")), (USER4 + 1).cast("int")), F.lit(".log"))
-    return entries_of_lines(lines_from_df(e, F.col("event_id"), line, USER4, name), "generic")
+    name = F.concat(F.element_at(F.array(*(F.lit(x) for x in "abcd")), (user(4) + 1).cast("int")), F.lit(".log"))
+    return entries_of_lines(lines_from_df(e, F.col("event_id"), line, user(4), name), "generic")
 
 
 @query("""WITH e AS (SELECT event_id, user_id % 4 AS source_idx, date_trunc('millisecond', ts) - CASE WHEN event_id % 7 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS t FROM events),
