@@ -5,15 +5,19 @@ there are of each length, so the branch-and-bound runs on that histogram (at mos
 the corpus size) and yields filling patterns with multiplicities; pieces are then dealt to the patterns' places
 by their rank within their length, as a distributed job.
 
-Edge cases: a null or empty text is a piece of one token (the end id); repeated rows are packed each; an empty
-table gives no rows; other columns of the input are ignored.
+Edge cases: a null or empty text is a piece of one token (the end id); repeated rows, rows without an id and rows that share
+one are packed each; pieces of equal length take their places in any order; a very long text is cut into as many pieces as it
+needs, in the task that reads it; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
+import time
 import zlib
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +28,8 @@ from .common import chunks, map_batches, materialize, releases, with_rank
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Decisions that the search may try beyond its first descent, and steps of one enumeration of fillings.
-NODES, FILL_STEPS = 300, 1000
+#: The longest that the driver searches for a packing with fewer bins; it ends sooner where the packing is proved the best.
+SECONDS = 60.0
 #: Space-separated strings, their words, whose merges cost most, and the longest string, that a worker keeps ids of.
 STRING_CACHE, TOKEN_CACHE, TOKEN_LONGEST = 100_000, 250_000, 64
 #: How the vocabulary splits text before its merges, and the characters for which lower() is its normalization.
@@ -125,60 +129,97 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, PIECES)
 
 
-def fillings(room: int, counts: dict[int, int], steps: int = FILL_STEPS, most_waste: int | None = None, keep: int = 3) -> list[tuple[int, tuple[int, ...]]]:
-    """Up to keep undominated fillings of room from counts, least waste first: (waste, lengths in falling order).
+class OutOfTime(Exception):
+    """The search has used up its time."""
 
-    A filling is dominated if an unused length could take the place of one of its items, or of two, and leave less room.
-    Lengths are tried from the largest, so the first filling found is best-fit's.
-    """
-    lengths = sorted((x for x in counts if x <= room and counts[x] > 0), reverse=True)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    left = [steps]
-    arr = np.asarray(lengths)
-
-    def undominated(waste: int, used: list[int]) -> bool:
-        if not waste:
-            return True
-        spare = lambda z: counts.get(z, 0) > used.count(z)
-        sums = {*used, *(x + y for i, x in enumerate(used) for y in used[i + 1 :])} if len(used) <= 12 else {*used}
-        return not any(spare(z) for s in sums for z in range(s + 1, s + waste + 1)) if waste * len(sums) <= 2000 else True
-
-    def go(room: int, at: int, used: list[int]) -> bool:
-        left[0] -= 1
-        if room and at < len(lengths):
-            at = max(at, int(np.searchsorted(-arr, -room)))
-        fits = False
-        for i in range(at, len(lengths)):
-            x = lengths[i]
-            if x > room or used.count(x) >= counts[x]:
-                continue
-            n = 1
-            if room // x > 1 and i == len(lengths) - 1:
-                n = min(room // x, counts[x] - used.count(x))
-            fits = True
-            if go(room - n * x, i, used + [x] * n):
-                return True
-            if left[0] <= 0:
-                return bool(found)
-            if most_waste is not None and room - x > 0 and found and found[0][0] == 0:
-                break
-        if not fits and (most_waste is None or room <= most_waste) and undominated(room, used):
-            found.append((room, tuple(used)))
-            found.sort(key=lambda f: (f[0], len(f[1])))
-            del found[keep:]
-            return len(found) >= keep and found[-1][0] == 0
-        return False
 
-    go(room, 0, [])
-    return found
+def _reach(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For each place in lengths a bitset of the sums up to room that the lengths from there on can make, within counts."""
+    mask = (1 << room + 1) - 1
+    out = [1]
+    for x in reversed(lengths):
+        bits, left, step = out[-1], min(counts[x], room // x), 1
+        while left > 0:
+            take = min(step, left)
+            bits |= bits << take * x
+            left, step = left - take, 2 * step
+        out.append(bits & mask)
+    return out[::-1]
+
+
+def _summing(lengths: list[int], counts: dict[int, int], reach: list[int], total: int) -> Iterator[tuple[int, ...]]:
+    """All ways to make total from lengths (falling) within counts, those of the largest lengths first."""
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, total, ())]
+    falling = [-x for x in lengths]
+    while stack:
+        i, rest, used = stack.pop()
+        if not rest:
+            yield used
+            continue
+        i = max(i, bisect.bisect_left(falling, -rest))
+        x = lengths[i]
+        for n in range(min(counts[x], rest // x) + 1):
+            if reach[i + 1] >> (rest - n * x) & 1:
+                stack.append((i + 1, rest - n * x, used + (x,) * n))
+
+
+def _smeared(bits: int, by: int) -> int:
+    """bits and their copies moved up by 1 to by."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(used: tuple[int, ...], waste: int, spare: int) -> bool:
+    """Whether a spare length (spare: their bitset) could be added to a filling, or take the place of one or more of its
+    items and leave less room, or take the place of two or more that it equals."""
+    one, many = 0, 0
+    for x in used:
+        many |= (many << x) | (one << x)
+        one |= 1 << x
+    better = _smeared(many, waste)
+    if waste:
+        better |= _smeared((one | 1) << 1, waste - 1)
+    return bool(better & spare)
+
+
+def fillings(room: int, counts: dict[int, int], most_waste: int, tick: Callable[[], None] = lambda: None) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """All undominated fillings of room from counts that leave most_waste at most, least waste first: (waste, lengths in falling order)."""
+    lengths = sorted((x for x, n in counts.items() if n > 0 and x <= room), reverse=True)
+    reach = _reach(lengths, counts, room)
+    spare = sum(1 << x for x in lengths)
+    for waste in range(min(room, most_waste) + 1):
+        if reach[0] >> (room - waste) & 1:
+            for used in _summing(lengths, counts, reach, room - waste):
+                tick()
+                gone = sum(1 << x for x in set(used) if used.count(x) == counts[x])
+                if not dominated(used, waste, spare & ~gone):
+                    yield waste, used
+
+
+def least_bins(histogram: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's bound: items over half a bin have a bin each, and what can't stand beside them needs more.
+
+    For each k the items of k and more count, those over capacity - k as whole bins; k = 0 is the bound by volume.
+    """
+    n = np.zeros(capacity + 2, np.int64)
+    n[list(histogram)] = list(histogram.values())
+    many, volume = np.cumsum(n), np.cumsum(n * np.arange(capacity + 2))
+    k, half = np.arange(capacity // 2 + 1), capacity // 2
+    alone = many[capacity] - many[capacity - k]
+    large = many[capacity - k] - many[half]
+    room = large * capacity - (volume[capacity - k] - volume[half])
+    small = volume[half] - np.where(k > 0, volume[k - 1], 0)
+    return int((alone + large + np.maximum(0, -(-(small - room) // capacity))).max())
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing on a histogram: patterns with multiplicities."""
     open_bins: dict[int, list[list]] = {}
     rooms: list[int] = []
-    import bisect
-
     for x in sorted(histogram, reverse=True):
         n = histogram[x]
         while n:
@@ -206,100 +247,116 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
 
 
 def _put(open_bins: dict, rooms: list, room: int, item: list) -> None:
-    import bisect
-
     if room not in open_bins:
         open_bins[room] = []
         bisect.insort(rooms, room)
     open_bins[room].append(item)
 
 
-def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in falling order) with multiplicities that use up the histogram in few bins.
+def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, seconds: float = SECONDS) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (lengths in falling order) with multiplicities that use up the histogram in as few bins as the search finds.
 
-    Depth first: the largest remaining length is completed by its fillings, least waste first, each applied as often
-    as counts allow; a branch ends when its waste reaches what the incumbent (at first best-fit decreasing) leaves to
-    improve. The incumbent is returned when it meets the volume bound or when ``nodes`` decisions are spent.
+    Depth first with limited discrepancy: the largest remaining length is completed by its undominated fillings, least
+    waste first, as often as counts allow, or once; the j-th choice of a node costs j of a path's discrepancies, of which
+    there are 0, 1, 2, 4 and so on until no choice is left out. A branch ends when its waste and the volume that is left need
+    as many bins as the incumbent has. The incumbent is best-fit decreasing until a completion is as good. The search
+    ends when the incumbent meets the lower bound or the tree is exhausted, and both prove it the best, or after ``seconds``.
     """
     total = sum(x * n for x, n in histogram.items())
-    best = best_fit(histogram, capacity)
-    bins = sum(m for _, m in best)
-    bound = -(-total // capacity)
-    if bins <= bound:
-        return best
     start = {x: n for x, n in histogram.items() if n}
-    # One entry for each open decision: counts before it, chosen so far, bins, waste, fillings still to try, largest length.
-    stack: list[list] = []
-    spent = 0
+    if not start:
+        return []
+    best = best_fit(histogram, capacity)
+    # A completion with as many bins takes the place of best-fit's packing.
+    limit, bound = sum(m for _, m in best) + 1, least_bins(start, capacity)
+    until = time.monotonic() + seconds
+
+    def tick() -> None:
+        if time.monotonic() > until:
+            raise OutOfTime
 
-    def open_node(counts: dict[int, int], chosen: list, used: int, waste: int) -> None:
-        largest = max(counts)
+    def choices(counts: dict[int, int], largest: int, most_waste: int) -> Iterator[tuple[int, tuple[int, ...], int]]:
+        """(waste, pattern, how often) of an open decision."""
         rest = dict(counts)
         rest[largest] -= 1
-        slack = (bins - 1) * capacity - total - waste
-        options = fillings(capacity - largest, rest, most_waste=max(slack, 0))
-        stack.append([counts, chosen, used, waste, options, largest])
-
-    if (bins - 1) * capacity >= total:
-        open_node(start, [], 0, 0)
-    while stack and spent < nodes + len(histogram):
-        counts, chosen, used, waste, options, largest = stack[-1]
-        if not options:
-            stack.pop()
-            continue
-        lost, filling = options.pop(0)
-        slack = (bins - 1) * capacity - total - waste
-        if lost > slack:
-            stack.pop()
-            continue
-        spent += 1
-        pattern = (largest, *filling)
-        need: dict[int, int] = {}
-        for x in pattern:
-            need[x] = need.get(x, 0) + 1
-        times = min(counts[x] // k for x, k in need.items())
-        if lost:
-            times = min(times, max(1, slack // lost))
-        rest = dict(counts)
-        for x, k in need.items():
-            rest[x] -= k * times
-            if not rest[x]:
-                del rest[x]
-        now = [*chosen, (pattern, times)]
-        if not rest:
-            if used + times < bins:
-                best, bins = now, used + times
-                if bins <= bound:
-                    break
-            continue
-        if used + times + -(-sum(x * n for x, n in rest.items()) // capacity) < bins:
-            open_node(rest, now, used + times, waste + lost * times)
-    return best
+        for lost, filling in fillings(capacity - largest, rest, most_waste, tick):
+            pattern = (largest, *filling)
+            times = min(counts[x] // pattern.count(x) for x in set(pattern))
+            yield lost, pattern, times
+            if times > 1:
+                yield lost, pattern, 1
+
+    try:
+        allowed = 0
+        while limit > bound:
+            left_out = False
+            # An open decision: counts before it, the choices before it (a linked list), bins, waste, its choices, discrepancies left, choices tried.
+            stack = [[start, None, 0, 0, choices(start, max(start), (limit - 1) * capacity - total), allowed, 0]]
+            while stack:
+                tick()
+                counts, chosen, used, waste, options, spare, tried = node = stack[-1]
+                option = next(options, None) if tried <= spare else None
+                if option is None:
+                    left_out |= tried > spare
+                    stack.pop()
+                    continue
+                lost, pattern, times = option
+                node[-1] += 1
+                slack = (limit - 1) * capacity - total - waste
+                if lost > slack:
+                    stack.pop()
+                    continue
+                if lost:
+                    times = min(times, slack // lost)
+                rest = dict(counts)
+                for x in pattern:
+                    rest[x] -= times
+                rest = {x: n for x, n in rest.items() if n}
+                now = (pattern, times, chosen)
+                used, waste = used + times, waste + lost * times
+                if not rest:
+                    if used < limit:
+                        limit, best = used, now
+                        if limit <= bound:
+                            break
+                elif used + -(-sum(x * n for x, n in rest.items()) // capacity) < limit:
+                    stack.append([rest, now, used, waste, choices(rest, max(rest), (limit - 1) * capacity - total - waste), spare - tried, 0])
+            if not left_out:
+                break
+            allowed = max(1, 2 * allowed)
+    except OutOfTime:
+        pass
+    if isinstance(best, list):
+        return best
+    out = []
+    while best:
+        pattern, times, best = best
+        out.append((pattern, times))
+    return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, nodes: int = NODES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, seconds: float = SECONDS) -> DataFrame:
     """One row for each piece of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Pieces of full length have a sequence of their own; the others share sequences by ``complete_bins``.
     """
     spark = docs.sparkSession
-    pieces = materialize(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    # Each piece gets a number of its own, so that any number of rows without an id, or with the same, can be dealt out.
+    pieces = materialize(token_pieces(docs, tokenizer_path, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     full = histogram.pop(capacity, 0)
-    plan = [((capacity,), full)] * bool(full) + complete_bins(histogram, capacity, nodes)
-    # Places: length, first rank, places in each bin, first sequence, first offset.
-    places, seen, sequence = [], {}, 0
+    plan = [((capacity,), full)] * bool(full) + complete_bins(histogram, capacity, seconds)
+    # By length: first rank, places in each bin, first sequence, first offset.
+    places, seen, sequence = defaultdict(list), Counter(), 0
     for pattern, times in plan:
         offset = 0
         for x in dict.fromkeys(pattern):
             k = pattern.count(x)
-            places.append((x, seen.get(x, 0), k, sequence, offset))
-            seen[x] = seen.get(x, 0) + k * times
+            places[x].append((seen[x], k, sequence, offset))
+            seen[x] += k * times
             offset += k * x
         sequence += times
-    by_length: dict[int, np.ndarray] = {}
-    for x in seen:
-        by_length[x] = np.array([p[1:] for p in places if p[0] == x], np.int64)
+    by_length = {x: np.array(p, np.int64) for x, p in places.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,5 +374,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     if not histogram and not full:
         return spark.createDataFrame([], PIECES + ", sequence_id long, offset long")
-    ranked = with_rank(pieces, ["length"], ["doc_id", "piece"], "rank", full + sum(histogram.values()))
+    ranked = with_rank(pieces, ["length"], ["row"], "rank", full + sum(histogram.values()))
     return map_batches(ranked, place, PIECES + ", sequence_id long, offset long")
