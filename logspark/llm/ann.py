@@ -2,14 +2,18 @@
 
 Vectors become points of a sphere (a coordinate is added so that the largest inner product is the smallest angle) and,
 for each tree, a string of hyperplane bits. A tree is the sorted array of its strings: the rows that share a prefix
-with a query are a slice of it. A query descends each tree to its longest match; all trees then ascend together, bit by
-bit and tree by tree, until the slices hold enough candidates, which are scored on the original vectors. The index is
-cut into blocks of rows; blocks of queries search blocks of rows, and the best of all blocks are kept.
+with a query are a slice of it. A query descends all trees to the longest prefixes whose slices hold enough candidates
+together, and ascends tree by tree for the last of them; candidates are scored on the original vectors.
+
+The index is cut into blocks of rows whose sorted arrays are built once and written; blocks of queries search them, and the
+best of all blocks are kept. In a block of n rows the ascent ends when the slices are expected to hold k + ``SHARE`` n rows,
+at every size.
 
 Edge cases: vectors that are null, empty, zero or hold a null or non-finite component take no part; vectors of other
 lengths are not candidates of each other; equal vectors are one point of the index with its smallest ids, which is
-exact as ties go to the smaller id; repeated rows of an id are one candidate; fewer candidates than asked for give
-fewer rows; an empty table gives no rows; of the input only id and vector are read.
+exact as ties go to the smaller id; repeated rows of an id are one candidate, rows without an id are neither queries nor
+candidates; fewer candidates than asked for give fewer rows; an empty table gives no rows; of the input only id and vector
+are read.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-TREES, BITS = 32, 32
-#: Share of a block's rows that are candidates, and the least number of them. Recall against brute force rests on the share.
-SHARE, LEAST = 0.6, 2048
-#: Rows of a block of the index, and queries of a block.
-BLOCK, QUERIES = 16_384, 8_192
+TREES, BITS = 96, 32
+#: Share of a block's rows that are candidates. Recall against brute force rests on it.
+SHARE = 0.4
+#: Bytes of vectors in a block of the index, and queries of a block.
+BLOCK_BYTES, QUERIES = 8 << 20, 8_192
 
 
 def takes_part(vector: str) -> Column:
@@ -33,52 +37,67 @@ def takes_part(vector: str) -> Column:
     return F.col(vector).isNotNull() & F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def strings(lifted: np.ndarray, trees: int) -> np.ndarray:
+    """For each tree and point its string of bits: on which side of the tree's hyperplanes it lies."""
+    planes = np.random.default_rng(20).standard_normal((trees, lifted.shape[1], BITS))
+    weights = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
+    return np.array([((lifted @ p > 0) * weights).sum(axis=1, dtype=np.uint64) for p in planes], np.uint64).reshape(trees, len(lifted))
+
+
 class Forest:
-    """The sorted string arrays of one block of rows."""
+    """The sorted string arrays of one block of rows: rows, and for each tree its strings in order and whose they are."""
 
-    def __init__(self, rows: np.ndarray, longest: float, trees: int = TREES):
-        self.rows, self.trees = rows, trees
-        self.planes = np.random.default_rng(20).standard_normal((trees, rows.shape[1] + 1, BITS))
+    def __init__(self, rows: np.ndarray, keys: np.ndarray, order: np.ndarray):
+        self.rows, self.keys, self.order = rows, keys, order
+
+    @classmethod
+    def build(cls, rows: np.ndarray, longest: float, trees: int = TREES) -> Forest:
         unit = rows / longest
         lifted = np.column_stack([unit, np.sqrt(np.maximum(0.0, 1 - (unit * unit).sum(axis=1)))])
-        keys = self._strings(lifted)
-        self.order = np.argsort(keys, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(keys, self.order, axis=1)
-
-    def _strings(self, lifted: np.ndarray) -> np.ndarray:
-        weights = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
-        return np.array([((lifted @ p > 0) * weights).sum(axis=1, dtype=np.uint64) for p in self.planes])
-
-    def slices(self, queries: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each tree and query the slice [from, to) of the sorted array at which the ascent stops."""
+        keys = strings(lifted, trees).astype(np.uint32)
+        order = np.argsort(keys, axis=1, kind="stable")
+        return cls(rows, np.take_along_axis(keys, order, axis=1), order.astype(np.uint32))
+
+    def _slices(self, asked: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree and query the slice [from, to) of the strings that share the first level bits; empty above all bits."""
+        shift = np.maximum(BITS - level, 0).astype(np.uint64)
+        first = asked >> shift << shift
+        last = first | ((np.uint64(1) << shift) - np.uint64(1))
+        lo = np.array([np.searchsorted(k, x, "left") for k, x in zip(self.keys, first.astype(np.uint32), strict=True)])
+        hi = np.array([np.searchsorted(k, x, "right") for k, x in zip(self.keys, last.astype(np.uint32), strict=True)])
+        return lo, np.where(level > BITS, lo, hi)
+
+    def ascend(self, queries: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree and query the slice at which the synchronous ascent stops.
+
+        Slices only grow on the way up, so the level is found by bisection: the longest prefix at which all trees together
+        hold wanted rows. Above it trees ascend one after the other until they do.
+        """
         n, m = len(self.rows), len(queries)
-        strings = self._strings(np.column_stack([queries, np.zeros(m)]))
-        lo, hi = np.zeros((self.trees, m), np.int64), np.zeros((self.trees, m), np.int64)
-        missed = np.ones(m)  # share of rows expected outside all slices
-        climbing = np.arange(m)
-        for length in range(BITS, -1, -1):
-            shift = np.uint64(BITS - length)
-            for t in range(self.trees):
-                if not len(climbing):
-                    return lo, hi
-                prefix = (strings[t, climbing] >> shift) << shift
-                a = np.searchsorted(self.sorted[t], prefix, "left")
-                b = np.searchsorted(self.sorted[t], prefix + ((np.uint64(1) << shift) - np.uint64(1)), "right")
-                was = hi[t, climbing] - lo[t, climbing]
-                lo[t, climbing], hi[t, climbing] = a, b
-                missed[climbing] *= np.maximum(n - (b - a), 1e-9) / np.maximum(n - was, 1e-9)
-                climbing = climbing[n * (1 - missed[climbing]) < wanted]
-        return lo, hi
-
-    def search(self, queries: np.ndarray, k: int, share: float, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        asked = strings(np.column_stack([queries, np.zeros(m)]), len(self.keys))
+        outside = lambda lo, hi: 1 - (hi - lo) / n
+        low, high = np.zeros(m, np.int64), np.full(m, BITS + 1)
+        while (high - low > 1).any():
+            level = (low + high) // 2
+            enough = n * (1 - outside(*self._slices(asked, level)).prod(axis=0)) >= wanted
+            low, high = np.where(enough, level, low), np.where(enough, high, level)
+        lo, hi = self._slices(asked, low)
+        lo_before, hi_before = self._slices(asked, low + 1)
+        up, down = np.cumprod(outside(lo, hi), axis=0), np.cumprod(outside(lo_before, hi_before)[::-1], axis=0)[::-1]
+        missed = up * np.concatenate([down[1:], np.ones((1, m))])
+        ascended = np.argmax(n * (1 - missed) >= wanted - 1e-9, axis=0)
+        stays = np.arange(len(self.keys))[:, None] > ascended[None, :]
+        return np.where(stays, lo_before, lo), np.where(stays, hi_before, hi)
+
+    def search(self, queries: np.ndarray, k: int, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the k best rows found (ties to the first rows) and their inner products."""
         n = len(self.rows)
-        lo, hi = self.slices(queries, min(n, max(least, int(share * n))))
+        lo, hi = self.ascend(queries, min(n, k + share * n))
         out = []
         for q in range(len(queries)):
             mark = np.zeros(n, bool)
-            for t in range(self.trees):
-                mark[self.order[t, lo[t, q] : hi[t, q]]] = True
+            for order, a, b in zip(self.order, lo[:, q].tolist(), hi[:, q].tolist(), strict=True):
+                mark[order[a:b]] = True
             found = np.flatnonzero(mark)
             scores = self.rows[found] @ queries[q]
             if len(found) > k:
@@ -90,13 +109,16 @@ class Forest:
         return out
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", trees: int = TREES, share: float = SHARE, least: int = LEAST) -> DataFrame:
+FOREST = "dim int, block int, reps binary, vectors binary, keys binary, ranks binary"
+
+
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", trees: int = TREES, share: float = SHARE, block_bytes: int = BLOCK_BYTES, query_block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row that is_query picks (an expression on id_column)."""
     table = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(takes_part("v") & F.col("vec_id").isNotNull())
     table = materialize(table, "vectors")
     # The k + 1 smallest ids of a vector are all that can be among any query's k nearest; ranks are cut before the shuffle.
-    first = table.select("v", "vec_id").withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    index = first.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0]).withColumn("dim", F.size("v"))
+    first = table.select("v", "vec_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    index = first.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0]).withColumn("dim", F.size("v"))
     index = materialize(index, "index")
     queries = table.where("q").select(F.col("vec_id").alias("query_id"), "v").distinct().join(index.select("v", "rep", "dim"), "v").select("query_id", "rep", "dim")
     queries = materialize(queries, "queries")
@@ -104,18 +126,27 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "ve
     if not counts:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = {r["dim"]: r["n"] for r in queries.groupBy("dim").agg(F.countDistinct("rep").alias("n")).collect()}
-    number = lambda values, size: F.create_map(*(F.lit(x) for d in counts for x in (d, max(1, -(-values.get(d, 0) // size)))))[F.col("dim")]
-    blocks, parts = number({d: n for d, (n, _) in counts.items()}, BLOCK), number(asked, QUERIES)
-    right = index.select("rep", "v", "dim", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    number = lambda values, size: F.create_map(*(F.lit(x) for d in counts for x in (d, max(1, -(-values.get(d, 0) // size(d))))))[F.col("dim")]
+    blocks, parts = number({d: n for d, (n, _) in counts.items()}, lambda d: max(1, block_bytes // (8 * d))), number(asked, lambda d: query_block)
+
+    def build(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("rep")
+        forest = Forest.build(np.vstack(held["v"].to_list()), counts[int(key[0])][1], trees)
+        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "reps": [held["rep"].to_numpy(np.int64).tobytes()], "vectors": [forest.rows.tobytes()], "keys": [forest.keys.tobytes()], "ranks": [forest.order.tobytes()]})
+
+    dealt = index.select("rep", "v", "dim", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
+    built = materialize(dealt.groupBy("dim", "block").applyInPandas(build, FOREST), "forest")
+    right = built.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     left = queries.select("rep", "dim").distinct().join(index.select("rep", F.col("v").alias("asked")), "rep").select("rep", "asked", "dim", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
 
     def search(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
             return pd.DataFrame({"rep": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        held = held.sort_values("rep")
-        near = held["rep"].to_numpy()
-        forest = Forest(np.vstack(held["v"].to_list()), counts[key[0]][1], trees)
-        found = forest.search(np.vstack(asked["asked"].to_list()), k + 1, share, least)
+        block = held.iloc[0]
+        near = np.frombuffer(block["reps"], np.int64)
+        of = lambda name, kind, n: np.frombuffer(block[name], kind).reshape(n, -1)
+        forest = Forest(of("vectors", np.float64, len(near)), of("keys", np.uint32, trees), of("ranks", np.uint32, trees))
+        found = forest.search(np.vstack(asked["asked"].to_list()), k + 1, share)
         return pd.DataFrame({"rep": np.repeat(asked["rep"].to_numpy(), [len(i) for i, _ in found]), "near": np.concatenate([near[i] for i, _ in found]), "score": np.concatenate([s for _, s in found])})
 
     key = ["dim", "block", "part"]

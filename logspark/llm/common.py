@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logspark.sources.scratch import new_folder
+
 #: Words of all word-based operators: runs of letters, digits and underscores, lower-cased.
 WORD = re.compile(r"\w+")
 #: Distinct words whose hashes a Python worker keeps.
@@ -24,21 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialize wrote, once all that was made of it is written too."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def crc32_text(column: Column) -> Column:
@@ -50,7 +49,7 @@ def with_rank(df: DataFrame, keys: list[str], order: list[str], out: str, rows:
     """Adds a gapless rank from 0 within keys, without ever sorting a whole key in one task.
 
     A key's rows are dealt to hash buckets of order; a bucket's rows are numbered by order,
-    after all rows of the buckets before it. order should tell rows apart; equal rows take any of their ranks.
+    after all rows of the buckets before it. order must tell rows apart, or rows that are equal in it are one bucket.
     """
     n = max(least, -(-rows // per_bucket))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
@@ -146,10 +145,15 @@ def claim(owner: str) -> None:
         _owner = owner
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's limits of an Arrow batch, which are read when a job runs, so they stay as they are here."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema), in batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """df.mapInArrow(run, schema), in batches small enough for long texts (see bound_batches)."""
+    bound_batches(df.sparkSession)
     owner = run.__module__
 
     def claimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +184,16 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs without the rows whose column is among ids: broadcast up to broadcast_rows ids, else by a shuffle."""
+#: Most rows of one number each that are broadcast; more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(ids: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """ids (written, one number a row), to be broadcast if they are few enough."""
+    return F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """docs without the rows whose column is among ids."""
     ids = materialize(ids.select(column).distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, column, "left_anti").select(docs.columns)
+    return docs.join(small(ids), column, "left_anti").select(docs.columns)

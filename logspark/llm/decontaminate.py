@@ -3,7 +3,7 @@
 A text becomes a template: numbers, names and units turn into typed placeholders, other words are lower-cased. It is read
 three ways: as plain lower-cased tokens, as a template in which a sentence's first word is a plain word, and as one in which
 it is a name if it is capitalised. Windows of ``WINDOW`` tokens of benchmark items and documents are hash-joined within a
-reading; a Bloom filter of fixed size, built from the benchmark's windows, lets only possible matches of the documents reach
+reading; a Bloom filter, sized by the number of the benchmark's windows, lets only possible matches of the documents reach
 the join, which compares whole windows. Along a diagonal of one document and item, a window goes if one of its slots maps
 to a value that less than half of its role's places map to (a name's role is the name; a number's or unit's the value and
 the token after it), unless that is the item's own value. That catches questions with other numbers or names and leaves
@@ -13,19 +13,25 @@ Windows count by the place of their first token in the item's plain tokens, in w
 need ``LEAST_WORDS`` plain words, windows of plain tokens none: the share is of all places or of those with a template
 window, whichever is more.
 
+Items of equal texts are joined once and reported each. A window of many different items makes a row for each of them and each
+document that has it: with such items, all of them are the document's leaks.
+
 Edge cases: null and empty texts have no window and leak nothing; an item shorter than ``WINDOW`` tokens is one window
-of its own length, if that is ``LEAST_WINDOW`` at least, and else cannot leak; repeated documents are reported once an id;
-an empty table on either side gives no leaks; of the inputs only ids and texts are read.
+of its own length, if that is ``LEAST_WINDOW`` at least, and else cannot leak; repeated documents are reported once an id, as
+are those without an id, together under a null id; items without an id likewise; texts that share an id count together; very
+long texts are read whole; an empty table on either side gives no leaks; of the inputs only ids and texts are read.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +44,11 @@ WINDOW, LEAST_WINDOW, LEAST_WORDS = 8, 5, 4
 COVERAGE, RUN, VERBATIM_RUN = 0.5, 20, 6
 #: How a text is read: as plain tokens, or as a template with plain or with name-like first words of sentences.
 LITERAL, TEMPLATE, INITIALS = 0, 1, 2
-#: Bits of the Bloom filter, as a power of two: 2 MB, whatever the benchmark's size.
-FILTER_BITS = 24
+#: Bits of the Bloom filter for each window of the benchmark, and its smallest and largest size as a power of two (2 to 128 MB,
+#: which is broadcast). A larger benchmark lets more through to the join, which is exact.
+BITS_PER_WINDOW, LEAST_BITS, MOST_BITS = 16, 24, 30
+#: Bits of one row of the filter on its way to the driver, as a power of two.
+CHUNK_BITS = 20
 
 #: Units of measure and number words that become placeholders.
 UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons pound pounds lb lbs oz ounce ounces ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur mph kmh kb mb gb tb watt watts volt volts degree degrees celsius fahrenheit meter meters metre metres kilometer kilometers".split())
@@ -256,37 +265,44 @@ def _arrow(ids: pa.Array, per_row: list[list], name: str, fields: dict[str, pa.D
     return pa.record_batch([ids.take(pa.array(take, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, fields.values(), strict=True))], names=[name, *fields])
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id and the fields of windows_of_item."""
+def item_windows(texts: DataFrame) -> DataFrame:
+    """item and the fields of windows_of_item, for texts (item, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches):
-            yield _arrow(ids, [windows_of_item(t) for t in texts], "item_id", ITEM_FIELDS)
+        for ids, found in chunks(batches):
+            yield _arrow(ids, [windows_of_item(t) for t in found], "item", ITEM_FIELDS)
 
-    return map_batches(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), run, f"item_id long, {WINDOW_SCHEMA}, roles array<string>, places array<int>, first int, end int, rich boolean")
+    return map_batches(texts.select("item", "text"), run, f"item long, {WINDOW_SCHEMA}, roles array<string>, places array<int>, first int, end int, rich boolean")
 
 
 def bloom(items: DataFrame) -> np.ndarray:
-    """Two bits for each window hash, gathered as words of 32 bits: at most 2 ** (FILTER_BITS - 5) rows."""
-    mask = (1 << FILTER_BITS) - 1
-    slots = items.select(F.explode(F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", FILTER_BITS).bitwiseAND(mask))).alias("slot"))
-    words = slots.select((F.floor(F.col("slot") / 32)).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    for r in words:
-        out[r["word"]] = r["bits"]
-    return out
+    """Two bits for each window hash, as words of 32 bits, gathered in rows of 2 ** CHUNK_BITS bits."""
+    hashes = items.select("hash").distinct()
+    power = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, BITS_PER_WINDOW * hashes.count())))))
+    mask = (1 << power) - 1
+    slots = hashes.select(F.explode(F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask))).alias("slot")).distinct()
+
+    def gather(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << CHUNK_BITS, bool)
+        bits[held["slot"].to_numpy() & ((1 << CHUNK_BITS) - 1)] = True
+        return pd.DataFrame({"chunk": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    out = np.zeros((1 << (power - CHUNK_BITS), 1 << (CHUNK_BITS - 5)), np.uint32)
+    for r in slots.withColumn("chunk", F.shiftright("slot", CHUNK_BITS)).groupBy("chunk").applyInPandas(gather, "chunk long, bits binary").toLocalIterator():
+        out[r["chunk"]] = np.frombuffer(r["bits"], "<u4")
+    return out.reshape(-1)
 
 
 def document_windows(docs: DataFrame, filter_bits: np.ndarray, sizes: list[int]) -> DataFrame:
     """doc_id, reading, position, hash, window, slots of the windows that pass the filter, for each window size among the items'."""
-    mask = np.uint64((1 << FILTER_BITS) - 1)
+    mask = np.uint64(32 * len(filter_bits) - 1)
     bits = docs.sparkSession.sparkContext.broadcast(filter_bits)
 
     def has(slot: np.ndarray) -> np.ndarray:
         return (bits.value[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
 
     def keep(hashes: np.ndarray) -> np.ndarray:
-        return has(hashes & mask) & has((hashes >> np.uint64(FILTER_BITS)) & mask)
+        return has(hashes & mask) & has((hashes >> np.uint64(32)) & mask)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
@@ -322,17 +338,17 @@ def kept_windows(reading: int, found: list[dict], run: int = RUN) -> tuple[list[
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """doc_id, item_id, windows (of the item, matched with consistent slots), item_windows, coverage, exact (all matched windows
     hold the item's own values) for each document that leaks an item of benchmark (item_id, text)."""
-    items = materialize(item_windows(benchmark), "items")
-    totals = items.where(F.col("reading") == LITERAL).groupBy("item_id").agg(F.countDistinct("position").alias("all_places"), F.countDistinct(F.when(F.col("rich"), F.col("position"))).alias("rich_places"))
+    texts = materialize(benchmark.select("text").where("text is not null").distinct().withColumn("item", F.monotonically_increasing_id()), "texts")
+    members = materialize(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().join(texts, "text").select("item", "item_id"), "members")
+    items = materialize(item_windows(texts), "items")
+    totals = materialize(items.where(F.col("reading") == LITERAL).groupBy("item").agg(F.countDistinct("position").alias("all_places"), F.countDistinct(F.when(F.col("rich"), F.col("position"))).alias("rich_places")), "totals")
     sizes = sorted(r[0] for r in items.select(F.size(F.split("window", " "))).distinct().collect())
     hits = document_windows(docs, bloom(items), sizes).distinct()
     ours = items.withColumnRenamed("slots", "theirs").withColumnRenamed("position", "item_position")
-    # A window that many items share would pair all of them with all its documents, but adds nothing to tell them by; its
-    # items are joined all the same: the count of pairs is the count of leaks times windows.
     pairs = hits.join(ours, ["reading", "hash", "window"]).withColumn("diagonal", F.col("position") - F.col("item_position"))
     window = F.struct(F.col("item_position").alias("position"), "places", "roles", "theirs", F.col("slots").alias("ours"), "first", "end", "rich")
     # Along a diagonal an item has each window once, so these groups are as small as an item.
-    along = pairs.groupBy("doc_id", "item_id", "diagonal", "reading").agg(F.collect_list(window).alias("found"))
+    along = pairs.groupBy("doc_id", "item", "diagonal", "reading").agg(F.collect_list(window).alias("found"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,11 +358,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
                 rows += [(k, p, w["rich"], exact, alone) for w, exact in kept for p in range(w["first"], w["end"])]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             take = pa.array(list(cols[0]), pa.int64())
-            yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(list(cols[1]), pa.int32()), *(pa.array(list(c), pa.bool_()) for c in cols[2:])], names=["doc_id", "item_id", "place", "rich", "exact", "alone"])
+            yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(list(cols[1]), pa.int32()), *(pa.array(list(c), pa.bool_()) for c in cols[2:])], names=["doc_id", "item", "place", "rich", "exact", "alone"])
 
-    places = map_batches(along.select("doc_id", "item_id", "reading", "found"), judge, "doc_id long, item_id long, place int, rich boolean, exact boolean, alone boolean")
-    places = places.groupBy("doc_id", "item_id", "place").agg(*(F.max(c).alias(c) for c in ("rich", "exact", "alone")))
-    out = places.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("rich").alias("n_rich"), F.min("exact").alias("exact"), F.max("alone").alias("alone")).join(totals, "item_id")
+    places = map_batches(along.select("doc_id", "item", "reading", "found"), judge, "doc_id long, item long, place int, rich boolean, exact boolean, alone boolean")
+    places = places.groupBy("doc_id", "item", "place").agg(*(F.max(c).alias(c) for c in ("rich", "exact", "alone")))
+    out = places.groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("n"), F.count_if("rich").alias("n_rich"), F.min("exact").alias("exact"), F.max("alone").alias("alone")).join(totals, "item")
     share = lambda n, of: F.struct(F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(0.0).alias("coverage"), F.col(n).alias("windows"), F.col(of).alias("item_windows"))
     out = out.withColumn("best", F.greatest(share("n", "all_places"), share("n_rich", "rich_places")))
-    return out.where((F.col("best.coverage") >= coverage) | F.col("alone")).select("doc_id", "item_id", "best.windows", "best.item_windows", "best.coverage", "exact")
+    out = out.where((F.col("best.coverage") >= coverage) | F.col("alone"))
+    return out.join(members, "item").select("doc_id", "item_id", "best.windows", "best.item_windows", "best.coverage", "exact")

@@ -1,14 +1,19 @@
 """N-gram Jaccard join by MinHash banding.
 
-Texts with the same set of word 5-grams are one copy class. Each class gets a MinHash signature; its bands, whose
-number and rows are chosen for a target recall at the threshold, are shuffled by band hash. Classes that share a
-bucket, directly or through others, form a candidate cluster; inside clusters every pair that shares a bucket is
-verified on the full n-gram sets, a block of classes against a block of classes, so a pair is never a row. Blocks give each
-class's number of links and a spanning forest of the links; the forest's components are the result's classes.
+Texts with the same set of word 5-grams are one copy class, a node. Each node gets a MinHash signature; its bands, whose
+number and rows are chosen for a target recall at the threshold, are shuffled by band hash. A node's home is the least
+of the nodes it shares a bucket with; the nodes of a home are dealt to blocks of bounded size. Two blocks that share a bucket
+are verified on the full n-gram sets, every node of the one against every node of the other, so a pair is never a row and
+nodes that no bucket connects directly are not compared. Block pairs give each node's number of links and a star of
+links for each of their components; the stars' components are the result's classes.
+
+Keys that many rows have (a text of many copies, a band hash or a class of many nodes) are joined between tables that are
+written first, which adaptive execution can split.
 
 Edge cases: a text of fewer than five words is one n-gram of all its words; a null text and one without words has no
-n-gram, no link and a class of its own; repeated rows are copies of each other, and rows that share an id are one class; ties for a class's name go to the
-smallest id, a null id last; an empty table gives no rows; of the input only id and text are read.
+n-gram, no link and a class of its own (its id); repeated rows are copies of each other; rows are told apart by their texts, so
+texts that share an id, or have none, are linked each by itself; a class is named by its smallest id, by null if it has none;
+an empty table gives no rows; of the input only id and text are read.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_batches, materialize, mixed, ngram_set
+from .common import chunks, discard, map_batches, materialize, mixed, ngram_set, small
 
 THRESHOLD, NGRAM = 0.8, 5
 #: Chance that a pair exactly at the threshold shares a band, and most hashes of a signature.
@@ -84,25 +89,27 @@ def components(edges: DataFrame) -> DataFrame:
     """node and its component's smallest node, for edges (a, b); nodes without an edge are left out.
 
     Large-star and small-star steps: each links nodes to smaller ones only, so a hub is a join key of many rows, never a
-    gathered list. Every round is written, which cuts lineage.
+    gathered list. Both sides of a step's join are written, so adaptive execution splits a hub's rows; that cuts lineage too.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        low = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "low")
         # Large star: larger neighbours go to the least of the neighbourhood.
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialize(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # Small star: smaller neighbours, and the node itself, go to the least of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = materialize(small, "edges")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        after = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
+        after = materialize(after.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        discard(edges, low, large, least)
+        edges = after
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    roots = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct().join(roots.select("node"), "node", "left_anti"))
+    # Every edge now goes from a node to its component's least.
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def _shared(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
@@ -126,29 +133,22 @@ def _shared(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links that span the components of a block pair."""
-    parent = {int(v): int(v) for v in {*left.tolist(), *right.tolist()}}
-
-    def root(v: int) -> int:
-        while parent[v] != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    out = []
-    for i, j in zip(*np.nonzero(links), strict=True):
-        a, b = root(int(left[i])), root(int(right[j]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((int(left[i]), int(right[j])))
-    return out
+def _stars(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """For the components that links make of a block pair: each node with its component's least, but for the least itself."""
+    none = np.iinfo(np.int64).max
+    x, y = left, right
+    while True:
+        x2 = np.minimum(x, np.where(links, y[None, :], none).min(axis=1))
+        y2 = np.minimum(y, np.where(links, x2[:, None], none).min(axis=0))
+        if (x2 == x).all() and (y2 == y).all():
+            break
+        x, y = x2, y2
+    return [(a, b) for a, b in {*zip(left.tolist(), x.tolist(), strict=True), *zip(right.tolist(), y.tolist(), strict=True)} if a != b]
 
 
 def verify(key: tuple, rows: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
-    """One pair of blocks of a cluster: for each class its links, and the spanning links (rep, other)."""
-    i, j = key[1], key[2]
-    rows = rows.drop_duplicates("key")
+    """One pair of blocks: for each node its links, and the stars of links (node, other)."""
+    i, j = key
     x = rows[rows["block"] == i].reset_index(drop=True)
     y = x if i == j else rows[rows["block"] == j].reset_index(drop=True)
     out = []
@@ -158,12 +158,30 @@ def verify(key: tuple, rows: pd.DataFrame, threshold: float = THRESHOLD) -> pd.D
         links = shared / (nx[:, None] + ny[None, :] - shared) >= threshold - 1e-12
         if i == j:
             np.fill_diagonal(links, False)
-        rx, ry, cx, cy = x["rep"].to_numpy(), y["rep"].to_numpy(), x["copies"].to_numpy(), y["copies"].to_numpy()
+        rx, ry, cx, cy = x["node"].to_numpy(), y["node"].to_numpy(), x["copies"].to_numpy(), y["copies"].to_numpy()
         out += [(r, None, int(k), int(w)) for r, k, w in zip(rx.tolist(), links.sum(axis=1), links @ cy, strict=True) if k]
         if i != j:
             out += [(r, None, int(k), int(w)) for r, k, w in zip(ry.tolist(), links.sum(axis=0), links.T @ cx, strict=True) if k]
-        out += [(a, b, 0, 0) for a, b in _forest(links, rx, ry)]
-    return pd.DataFrame(out, columns=["rep", "other", "texts", "docs"]).astype({"rep": "Int64", "other": "Int64", "texts": "int64", "docs": "int64"})
+        out += [(a, b, 0, 0) for a, b in _stars(links, rx, ry)]
+    return pd.DataFrame(out, columns=["node", "other", "texts", "docs"]).astype({"node": "Int64", "other": "Int64", "texts": "int64", "docs": "int64"})
+
+
+def _blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes that share a bucket with another (node, key, rep, grams, copies, block), and the pairs (i, j) of blocks to verify."""
+    band = classes.select("node", F.explode("bands").alias("hash"))
+    hubs = materialize(band.groupBy("hash").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hubs")
+    touch = materialize(band.join(hubs, "hash"), "buckets")
+    homes = touch.groupBy("node").agg(F.min("hub").alias("home"))
+    member = materialize(homes.join(classes.select("node", "key", "rep", "grams", "copies"), "node"), "homes")
+    sizes = materialize(member.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS)).alias("blocks")), "sizes")
+    # Should two blocks have one hash, they are one larger block.
+    dealt = materialize(member.join(sizes, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("blocks")))).drop("home", "blocks"), "members")
+    at = materialize(touch.select("node", "hash").join(dealt.select("node", "block"), "node").select("hash", "block").distinct(), "touched")
+    across = at.withColumnRenamed("block", "i").join(at.withColumnRenamed("block", "j"), "hash").where("i < j").select("i", "j").distinct()
+    inside = dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("block").alias("i"), F.col("block").alias("j"))
+    pairs = materialize(across.unionByName(inside), "pairs")
+    discard(hubs, touch, member, sizes, at)
+    return dealt, pairs
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL) -> DataFrame:
@@ -173,29 +191,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     bands, rows = choose_bands(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = materialize(_profiles(docs, n, bands, rows), "profile")
-    classes = profile.where("grams > 0").groupBy("key", "grams").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")).where("rep is not null")
-    classes = materialize(classes, "classes")
-    band = classes.select("rep", F.explode("bands").alias("hash"))
-    hubs = band.groupBy("hash").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    star = band.join(hubs, "hash").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    cluster = components(star).withColumnRenamed("node", "rep").join(classes.select("key", "rep", "grams", "copies"), "rep")
-    sizes = cluster.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    member = materialize(cluster.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "members")
+    classes = profile.where("grams > 0").groupBy("key", "grams").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    member, pairs = _blocks(classes)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
             made = [ngram_set(t, n).tobytes() for t in texts]
-            yield pa.record_batch([ids, pa.array([xxhash.xxh3_128_digest(s) for s in made], pa.binary()), pa.array(made, pa.binary())], names=["rep", "key", "set"])
-
-    # Ids are joined first so that only the members' texts are read for their sets; the key tells apart texts that share an id.
-    full = map_batches(docs.withColumnRenamed("doc_id", "rep").join(member.select("rep"), "rep", "left_semi"), sets, "rep long, key binary, set binary")
-    member = member.join(full, ["rep", "key"])
-    pairs = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    found = pairs.groupBy("component", "i", "j").applyInPandas(lambda key, pdf: verify(key, pdf, threshold), "rep long, other long, texts long, docs long")
+            yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(s) for s in made], pa.binary()), pa.array(made, pa.binary())], names=["key", "set"])
+
+    # Only the members' texts are read for their sets: by id, or all texts without one if a member has none. The key then tells them apart.
+    reps = materialize(member.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "reps")
+    source = docs.join(small(reps), "doc_id", "left_semi")
+    if not member.where("rep is null").isEmpty():
+        source = source.unionByName(docs.where("doc_id is null"))
+    full = map_batches(source, sets, "key binary, set binary").groupBy("key").agg(F.first("set").alias("set"))
+    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    found = member.join(sides, "block").join(full, "key").groupBy("i", "j").applyInPandas(lambda key, pdf: verify(key, pdf, threshold), "node long, other long, texts long, docs long")
     found = materialize(found, "links")
-    linked = found.where("other is null").groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    joined = components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
-    labels = classes.join(joined, "rep", "left").join(linked, "rep", "left").select(
-        "key", "copies", F.coalesce("component", "rep").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    linked = found.where("other is null").groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
+    joined = materialize(components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).join(classes.select("node", "rep"), "node"), "joined")
+    names = materialize(joined.groupBy("component").agg(F.min("rep").alias("class_id")), "names")
+    named = joined.join(names, "component").select("node", "class_id", F.lit(True).alias("named"))
+    labels = classes.select("node", "key", "rep", "copies").join(named, "node", "left").join(linked, "node", "left").select(
+        "key", "copies", F.when(F.col("named"), F.col("class_id")).otherwise(F.col("rep")).alias("class_id"), F.coalesce("texts", F.lit(0)).alias("text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    labels = materialize(labels, "labels")
     return profile.join(labels, "key", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("text_links", F.lit(0)).alias("text_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
+        "doc_id", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("text_links", F.lit(0)).alias("text_links"), F.coalesce("copies", F.lit(1)).alias("copies"))

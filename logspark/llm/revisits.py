@@ -4,12 +4,14 @@ A revisit (status 304) says that a page is as it was; it is resolved by the late
 URL that is not later, if a validator agrees: the entity tag where the revisit has one, else its Last-Modified date. Of
 the revisit's headers only those that such an answer may update replace the response's.
 
-The join never gathers a URL: time is cut into ``SLICES`` parts of about equal numbers of records, the latest response
-is carried along inside a URL's slice, and one row for each URL and slice carries it over to later slices.
+The join never gathers a URL: records are dealt to ranges of (URL, time), which Spark cuts by a sample into parts of about
+equal size, so a URL of many records is cut by time. The latest response is carried along inside a URL's part, and one
+row for each URL and part carries it over to later parts.
 
 Edge cases: a record without a time is neither resolved (``no_time``) nor a response to others; a null URL is the
-canonical URL ``''``, never resolved (``no_url``); of records at one time responses come first, then smaller ids; repeated
-rows are resolved each; null header maps are empty; an empty table gives no rows; columns that are not named are ignored.
+canonical URL ``''``, never resolved (``no_url``); entity tags are compared weakly, without a leading ``W/``, as for any such
+request; of records at one time responses come first, then smaller ids; repeated rows are resolved each; null header maps are
+empty; an empty table gives no rows; columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+from .common import materialize
+
 #: Headers of a not-modified answer that replace the stored ones.
 UPDATABLE = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 
@@ -31,27 +34,31 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, query)
 
 
-def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def _weak(tag: Column) -> Column:
+    """What two entity tags must share to agree weakly."""
+    return F.regexp_replace(tag, "^W/", "")
+
+
+def resolve(records: DataFrame) -> DataFrame:
     """For each revisit of records (record_id, url, time, kind: response or revisit, etag, last_modified, digest, headers):
     record_id, canonical, time, status (resolved, mismatch, no_validator, no_response, no_url, no_time), response_id, digest, headers."""
-    cuts = records.where("time is not null").agg(F.percentile_approx("time", [k / slices for k in range(1, slices)], 10_000)).first()[0] or []
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("time"))) if cuts else F.lit(0)
     revisit = F.col("kind") == "revisit"
     stored = F.struct("record_id", "etag", "last_modified", "digest", "headers")
     known = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "time", revisit.alias("revisit"), "etag", "last_modified", "digest", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
-    known = known.withColumn("part", F.when(F.col("time").isNull(), -1).otherwise(part)).where(F.col("revisit") | F.col("time").isNotNull() & (F.col("canonical") != ""))
-    # A URL without a name and a record without a time have no partner: any slice will do, so they are dealt by id.
+    known = known.where(F.col("revisit") | F.col("time").isNotNull() & (F.col("canonical") != "")).withColumn("row", F.monotonically_increasing_id())
+    known = materialize(known.repartitionByRange("canonical", "time", "revisit", "record_id", "row").withColumn("slice", F.spark_partition_id()), "records")
+    # A URL without a name and a record without a time have no partner: any slice will do, so they are dealt by their numbers.
     alone = (F.col("canonical") == "") | F.col("time").isNull()
-    known = known.withColumn("slice", F.when(alone, -1 - F.pmod(F.xxhash64("record_id"), F.lit(1 << 20))).otherwise(F.col("part")).cast("int")).drop("part")
-    order = ["time", "revisit", "record_id"]
+    known = known.withColumn("slice", F.when(alone, -1 - F.pmod(F.xxhash64("row"), F.lit(1 << 20))).otherwise(F.col("slice")).cast("int"))
+    order = ["time", "revisit", "record_id", "row"]
     answer = F.when(~F.col("revisit"), stored)
     inside = Window.partitionBy("canonical", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     near = known.withColumn("near", F.last(answer, ignorenulls=True).over(inside))
-    ends = known.groupBy("canonical", "slice").agg(F.max_by(answer, F.when(~F.col("revisit"), F.struct("time", "record_id"))).alias("last"))
+    ends = known.groupBy("canonical", "slice").agg(F.max_by(answer, F.when(~F.col("revisit"), F.struct("time", "record_id", "row"))).alias("last"))
     before = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.where("slice >= 0").withColumn("carried", F.last("last", ignorenulls=True).over(before)).select("canonical", "slice", "carried")
     joined = near.where("revisit").join(carried, ["canonical", "slice"], "left").withColumn("r", F.coalesce("near", "carried"))
-    same = F.when(F.col("etag").isNotNull(), F.col("etag").eqNullSafe(F.col("r.etag"))).when(F.col("last_modified").isNotNull(), F.col("last_modified").eqNullSafe(F.col("r.last_modified")))
+    same = F.when(F.col("etag").isNotNull(), _weak(F.col("etag")).eqNullSafe(_weak(F.col("r.etag")))).when(F.col("last_modified").isNotNull(), F.col("last_modified").eqNullSafe(F.col("r.last_modified")))
     status = (F.when(F.col("time").isNull(), "no_time").when(F.col("canonical") == "", "no_url").when(F.col("r").isNull(), "no_response")
               .when(same.isNull(), "no_validator").when(same, "resolved").otherwise("mismatch"))
     updates = F.map_filter("headers", lambda k, v: F.lower(k).isin(UPDATABLE))

@@ -1,13 +1,18 @@
 """Toxic passages: maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-Words and their beginnings (4 to 6 characters, so that unseen endings of a known stem count) get log-odds between
-toxic and other labelled rows, by the rows that hold them, under an informative Dirichlet prior; the lower confidence bound is a token's score, and
-a token without a positive bound costs ``DRIFT``. A linear scan finds all maximal segments of a text. A segment's score
-S in a text of n tokens is expected by chance E = K n exp(-lambda S) times (Karlin and Altschul); a text's evidence is
-the sum of its significant segments' surplus over chance, and a logistic curve fitted to the labelled rows maps it to 0..1.
+A token's log-odds compare how many toxic and how many other labelled rows hold it, under a Dirichlet prior whose mean is what
+the token's beginning (6, 5, then 4 characters, so that unseen endings of a known stem count) tells, and at last the rate of
+all words. A passage is toxic words among others, which makes every word that tells nothing a little less likely in it: each
+token scores its log-odds, positive or negative, less ``DRIFT``. A linear scan finds all maximal segments of a text.
+
+lambda solves E exp(lambda s) = 1 over the scores s of tokens in rows that are not toxic, and K is the likeliest value for those
+rows' best segments; a segment of score S in a text of n tokens is then expected by chance K n exp(-lambda S) times (Karlin
+and Altschul). A text's evidence is the sum of its significant segments' surplus over chance, and a logistic curve maps it to
+0..1. lambda, K and the curve are fitted to scores of rows by log-odds from which the row's own fold was left out.
 
 Edge cases: null and empty texts have no segment and the lowest score; texts are scanned whole; repeated rows are scored
-each; without labels of both classes every score is the share of toxic labels, below one half; an empty table gives no
+each, and learned from once; a label without an id, or whose id no document has, is not learned from; of labels that
+disagree the toxic one counts; without labels of both classes every score is the same, below one half; an empty table gives no
 rows; of the input only id and text are read.
 """
 
@@ -19,7 +24,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +35,23 @@ from .common import WORD, chunks, hash_share, map_batches, materialize, ngram_se
 #: Most labelled rows that the model is fitted to, in expectation: a hash of the id picks them.
 MAX_LABELLED = 50_000
 PREFIXES = (6, 5, 4)
-DRIFT = 0.5
-#: Standard deviations of the lower confidence bound, the least bound that counts, and the prior's weight as a share of all counts.
-SIGMAS, LEAST, PRIOR = 1.6, 1.0, 0.1
-#: A segment is significant if chance makes fewer than so many of its score in a text.
-MAX_E = 0.05
+#: Chosen by accuracy on left-out folds of the rows that may be learned from: rows that the prior weighs like, the cost of a token,
+#: and the expected number by chance below which a segment is significant.
+PRIOR, DRIFT, MAX_E = 2.0, 1.0, 0.05
+#: A token whose log-odds differ less from its beginning's is taken for it, and one in fewer rows of both classes is not counted.
+TOLERANCE, LEAST_TOXIC, LEAST_EXPECTED = 0.2, 2, 0.5
+FOLDS = 4
+#: Width of a cell of the histogram of token scores.
+CELL = 0.05
+
+
+def beginnings(word: str) -> list[str]:
+    """The features that tell about a word where the word itself does not, the longest first."""
+    return [f"{word[:n]}*" for n in PREFIXES if len(word) >= n]
 
 
 def features(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
+    return [word, *beginnings(word)]
 
 
 @dataclass
@@ -54,24 +69,39 @@ class _TokenScores(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
-        value = max((self.lexicon.get(f, 0.0) for f in features(word)), default=0.0)
+        value = next((self.lexicon[f] for f in features(word) if f in self.lexicon), 0.0) - DRIFT
         if len(self) > 120_000:
             self.clear()
         self[word] = value
         return value
 
 
+def log_odds(counts: pd.DataFrame, exposure: float, prior: float = PRIOR) -> dict[str, float]:
+    """Log-odds of features from the numbers of toxic and other rows that hold them; exposure: toxic rows' words for each word of others.
+
+    Only features that tell something else than what stands for them otherwise are returned.
+    """
+    out: dict[str, float] = {}
+    exact: dict[str, float] = {}
+    depth = counts["feature"].map(lambda f: len(f) if f.endswith("*") else 99)
+    for f, t, o in counts.iloc[np.argsort(depth.to_numpy(), kind="stable")][["feature", "toxic", "other"]].itertuples(index=False):
+        above = [f"{f[:n]}*" for n in PREFIXES if n < len(f) - 1] if f.endswith("*") else beginnings(f)
+        mean = next((exact[g] for g in above if g in exact), 0.0)
+        exact[f] = math.log((t + prior * math.exp(mean)) / (o * exposure + prior))
+        if abs(exact[f] - next((out[g] for g in above if g in out), 0.0)) >= TOLERANCE:
+            out[f] = exact[f]
+    return out
+
+
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, token after the last, score) by Ruzzo and Tompa's scan.
 
-    Only tokens with positive scores are visited; the tokens between two of them cost DRIFT each.
+    Only tokens with positive scores are visited; what stands between them only lowers the running sum.
     """
     out: list[list] = []  # first, end, sum before, sum upto
-    total, last = 0.0, -1
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
     for i in np.flatnonzero(scores > 0).tolist():
-        total -= DRIFT * (i - last - 1)
-        before, total, last = total, total + float(scores[i]), i
-        item = [i, i + 1, before, total]
+        item = [i, i + 1, float(sums[i]), float(sums[i + 1])]
         while True:
             j = len(out) - 1
             while j >= 0 and out[j][2] >= item[2]:
@@ -92,98 +122,110 @@ def evidence(model: Model, n: int, found: list[tuple[int, int, float]]) -> tuple
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
-    """toxic and text of about max_labelled labelled rows; rows of one class that share their least word-5-gram hash, as near copies mostly do, are taken once."""
+    """fold, toxic and text of about max_labelled labelled rows; rows of one class with the same set of word 5-grams are taken once."""
     rated = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rated = rated.where(hash_share("doc_id", max_labelled / max(1, rated.count())))
 
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
-            keys = [int(g[0]) if len(g := ngram_set(t)) else 0 for t in texts]
-            yield pa.record_batch([ids, pa.array(np.array(keys, np.uint64).view(np.int64))], names=["doc_id", "key"])
+            yield pa.record_batch([ids, pa.array([xxhash.xxh3_128_digest(ngram_set(t).tobytes()) for t in texts], pa.binary())], names=["doc_id", "key"])
 
     # About max_labelled rows of 16 bytes are broadcast.
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rated), "doc_id")
-    keys = map_batches(own.select("doc_id", "text"), least, "doc_id long, key long")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keys = map_batches(docs.join(F.broadcast(rated), "doc_id").select("doc_id", "text"), digest, "doc_id long, key binary")
     kept = keys.join(F.broadcast(rated), "doc_id").groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    kept = materialize(kept.select("doc_id", "toxic"), "labelled")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(kept), "doc_id").select("toxic", "text")
+    kept = materialize(kept.select("doc_id", "toxic", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
+    return docs.join(F.broadcast(kept), "doc_id").select((F.col("toxic") * FOLDS + F.col("fold")).alias("group"), "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """A model of labels (doc_id, toxic) on docs (doc_id, text). The rows that it may learn from are the caller's choice."""
-    train = _training_rows(docs, labels, max_labelled)
+def _counts(train: DataFrame) -> pd.DataFrame:
+    """feature and n0.. (rows that hold it by group: fold, and fold + FOLDS if toxic); of feature '' the words of all rows."""
+    groups = range(2 * FOLDS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for toxic, texts in chunks(batches, 4_000_000):
-            out = (Counter(), Counter())
-            for y, t in zip(toxic.to_pylist(), texts, strict=True):
+        for group, texts in chunks(batches, 4_000_000):
+            out = [Counter() for _ in groups]
+            for g, t in zip(group.to_pylist(), texts, strict=True):
                 words = set(WORD.findall((t or "").lower()))
-                out[y > 0].update({f for w in words for f in features(w)})
-                out[y > 0][""] += len(words)
-                out[y > 0][" "] += 1
-            names = list(out[0].keys() | out[1].keys())
-            yield pa.record_batch([pa.array(names, pa.string()), pa.array([out[1][f] for f in names], pa.int64()), pa.array([out[0][f] for f in names], pa.int64())], names=["feature", "t", "o"])
-
-    counts = map_batches(train, count, "feature string, t long, o long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    kept = counts.where("trim(feature) = '' or t >= 3 and t * 50 > o").collect()
-    nt, no = next(((r["t"], r["o"]) for r in kept if r["feature"] == ""), (0, 0))
-    rows_in_all = next((r["t"] + r["o"] for r in kept if r["feature"] == " "), 0)
-    # Of a larger vocabulary more words are toxic by chance, so a feature must be seen more often.
-    least_rows = max(3.0, 0.45 * math.log2(max(2, rows_in_all)))
-    # A beginning must tell more than its most frequent word does, or it would only lend that word's score to others.
-    alone: dict[str, int] = {}
-    for r in kept:
-        if not r["feature"].endswith("*"):
-            for f in features(r["feature"])[1:]:
-                alone[f] = max(alone.get(f, 0), r["t"])
-    kept = [r for r in kept if r["feature"].strip() and r["t"] >= least_rows and r["t"] >= 1.5 * alone.get(r["feature"], 0)]
-    model = Model()
-    if not nt or not no:
+                out[g].update({f for w in words for f in features(w)})
+                out[g][""] += len(words)
+            names = list(set().union(*out))
+            yield pa.record_batch([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in out)], names=["feature", *(f"n{g}" for g in groups)])
+
+    columns = [f"n{g}" for g in groups]
+    counts = map_batches(train, count, "feature string, " + ", ".join(f"{c} long" for c in columns)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns))
+    counts = materialize(counts, "counts")
+    total = counts.where("feature = ''").toPandas()
+    other, toxic = ("+".join(columns[:FOLDS]), "+".join(columns[FOLDS:]))
+    share = total[columns[FOLDS:]].to_numpy().sum() / max(1, total[columns[:FOLDS]].to_numpy().sum())
+    # A rare word in rows of one class tells nothing under the prior.
+    return pd.concat([total, counts.where(f"feature <> '' and ({toxic} >= {LEAST_TOXIC} or ({other}) * {float(share)} >= {LEAST_EXPECTED})").toPandas()])
+
+
+def lexicon_without(counts: pd.DataFrame, fold: int | None = None) -> dict[str, float]:
+    """log_odds by the rows of all folds but one; empty without rows of both classes."""
+    folds = [f for f in range(FOLDS) if f != fold]
+    sums = pd.DataFrame({"feature": counts["feature"], "toxic": counts[[f"n{FOLDS + f}" for f in folds]].sum(axis=1), "other": counts[[f"n{f}" for f in folds]].sum(axis=1)})
+    words = sums[sums["feature"] == ""][["toxic", "other"]].sum()
+    if not words["toxic"] or not words["other"]:
+        return {}
+    return log_odds(sums[sums["feature"] != ""], words["toxic"] / words["other"])
+
+
+def scan_row(score: dict[str, float], text: str | None) -> tuple[int, list[float], np.ndarray]:
+    """Tokens, scores of the segments and scores of the tokens of a text."""
+    words = WORD.findall((text or "").lower())
+    s = np.fromiter(map(score.__getitem__, words), float, len(words))
+    return len(words), [x for _, _, x in segments(s)], s
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+    """A model of labels (doc_id, toxic) on docs (doc_id, text). The rows that it may learn from are the caller's choice."""
+    train = _training_rows(docs, labels, max_labelled)
+    counts = _counts(train)
+    model = Model(lexicon_without(counts))
+    if not model.lexicon:
         return model
-    strength = PRIOR * (nt + no)
-    for f, t, o in kept:
-        prior = PRIOR * (t + o)
-        odds = math.log((t + prior) / (nt + strength - t - prior)) - math.log((o + prior) / (no + strength - o - prior))
-        bound = odds - SIGMAS * math.sqrt(1 / (t + prior) + 1 / (o + prior))
-        if bound >= LEAST:
-            model.lexicon[f] = bound
+    left_out = [lexicon_without(counts, f) for f in range(FOLDS)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _TokenScores(model.lexicon)
-        for toxic, texts in chunks(batches):
-            rows = []
-            for y, t in zip(toxic.to_pylist(), texts, strict=True):
-                words = WORD.findall((t or "").lower())
-                s = np.fromiter(map(score.__getitem__, words), float, len(words))
-                found = segments(s)
-                rows.append((y, len(words), int((s > 0).sum()), float(s.sum()), max((x for _, _, x in found), default=0.0), [x for _, _, x in found]))
-            cols = list(zip(*rows, strict=True))
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["toxic", "n", "positive", "total", "best", "found"])
-
-    rows = map_batches(train, scan, "toxic int, n long, positive long, total double, best double, found array<double>").collect()
-    other = [r for r in rows if not r["toxic"]]
-    tokens, hits = sum(r["n"] for r in other), sum(r["positive"] for r in other)
-    typical = (sum(r["total"] for r in rows) / max(1, sum(r["positive"] for r in rows))) or 1.0
-    p = min(0.4, (hits + 1) / (tokens + 2))
-    model.lam = _lambda(p, typical)
-    model.k = len(other) / max(1e-9, sum(r["n"] * math.exp(-min(700.0, model.lam * r["best"])) for r in other))
-    xs = np.array([math.log1p(evidence(model, r["n"], [(0, 0, s) for s in r["found"]])[0]) for r in rows])
-    model.slope, model.intercept = _logistic(xs, np.array([r["toxic"] > 0 for r in rows], float))
+        scores = [_TokenScores(x) for x in left_out]
+        for group, texts in chunks(batches):
+            n, best, found, cells = [], [], [], []
+            for g, t in zip(group.to_pylist(), texts, strict=True):
+                length, segment_scores, s = scan_row(scores[g % FOLDS], t)
+                n.append(length)
+                best.append(max(segment_scores, default=0.0))
+                found.append(segment_scores)
+                cells.append(list(Counter(np.rint(s / CELL).astype(int).tolist()).items()) if g < FOLDS else [])
+            pair = pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int64())]))
+            yield pa.record_batch([pa.array([g >= FOLDS for g in group.to_pylist()]), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(found, pa.list_(pa.float64())), pa.array([[{"cell": c, "n": k} for c, k in x] for x in cells], pair)], names=["toxic", "n", "best", "found", "cells"])
+
+    rows = materialize(map_batches(train, scan, "toxic boolean, n long, best double, found array<double>, cells array<struct<cell:int,n:long>>"), "scanned")
+    cells = rows.select(F.explode("cells").alias("c")).groupBy("c.cell").agg(F.sum("c.n").alias("n")).toPandas()
+    model.lam = karlin_lambda(cells["cell"].to_numpy(float) * CELL, cells["n"].to_numpy(float))
+    k = rows.where("not toxic").agg((F.count(F.lit(1)) / F.sum(F.col("n") * F.exp(-model.lam * F.col("best")))).alias("k")).first()["k"]
+    model.k = k or model.k
+    base = F.log(F.greatest(F.lit(1e-300), model.k * F.col("n")))
+    surplus = F.filter(F.transform("found", lambda s: model.lam * s - base), lambda x: x > -math.log(MAX_E))
+    points = rows.select(F.log1p(F.aggregate(surplus, F.lit(0.0), lambda a, x: a + x)).alias("x"), "toxic").toPandas()
+    model.slope, model.intercept = _logistic(points["x"].to_numpy(float), points["toxic"].to_numpy(float))
     return model
 
 
-def _lambda(p: float, score: float) -> float:
-    """The positive root of p exp(l s) + (1 - p) exp(-l DRIFT) = 1."""
-    f = lambda x: math.log(p) + x * score + math.log1p((1 - p) / p * math.exp(-x * (DRIFT + score)))
-    if p * score >= (1 - p) * DRIFT:
+def karlin_lambda(scores: np.ndarray, counts: np.ndarray) -> float:
+    """The positive root of E exp(lambda s) = 1 over scores of negative mean; without one, the smallest lambda considered."""
+    if not len(scores) or scores.max() <= 0 or (scores * counts).sum() >= 0:
         return 0.1
-    lo, hi = 1e-6, 1.0
+    share = np.log(counts / counts.sum())
+    f = lambda x: np.logaddexp.reduce(share + x * scores)
+    lo, hi = 0.0, 1.0
     while f(hi) < 0:
         lo, hi = hi, hi * 2
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-    return hi
+    return max(0.1, hi)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
@@ -207,9 +249,15 @@ _scorers: dict[int, tuple[Model, _TokenScores]] = {}
 releases[__name__] = _scorers.clear
 
 
+def original_places(text: str, lower: str) -> np.ndarray:
+    """For each character of the lower-cased text its place in the text: a few letters have a longer lower case."""
+    if len(lower) == len(text):
+        return np.arange(len(text))
+    return np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+
+
 def score_texts(texts: list[str | None], model: Model) -> Iterator[tuple[float, float, list[dict]]]:
-    """For each text its score, its evidence and its significant passages (offsets into the lower-cased text, which
-    has the text's length but for a few letters)."""
+    """For each text its score, its evidence and its significant passages (offsets into the text)."""
     if id(model) not in _scorers:
         _scorers.clear()
         _scorers[id(model)] = (model, _TokenScores(model.lexicon))
@@ -219,8 +267,10 @@ def score_texts(texts: list[str | None], model: Model) -> Iterator[tuple[float,
         words = WORD.findall(lower)
         found = segments(np.fromiter(map(scores.__getitem__, words), float, len(words)))
         total, expected = evidence(model, len(words), found)
-        spans = [m.span() for m in WORD.finditer(lower)] if found else []
-        passages = [{"start": spans[a][0], "end": spans[b - 1][1], "score": s, "expected": e} for (a, b, s), e in zip(found, expected, strict=True) if e < MAX_E]
+        passages = []
+        if any(e < MAX_E for e in expected):
+            spans, at = [m.span() for m in WORD.finditer(lower)], original_places(t, lower)
+            passages = [{"start": int(at[spans[a][0]]), "end": int(at[spans[b - 1][1] - 1]) + 1, "score": s, "expected": e} for (a, b, s), e in zip(found, expected, strict=True) if e < MAX_E]
         yield 1 / (1 + math.exp(-max(-40.0, min(40.0, model.slope * math.log1p(total) + model.intercept)))), total, passages
 
 

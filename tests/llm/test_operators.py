@@ -144,6 +144,22 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {i: (root(i), links[i]) for i in range(len(texts))}
 
 
+def test_near_duplicates_without_ids_and_with_shared_ids(spark):
+    rng = random.Random(31)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(None, a), (None, a), (1, a + " more"), (5, a), (5, b), (6, a + " again"), (7, b + " again"), (None, None), (None, "")]
+    got = Counter((r["doc_id"], r["class_id"], r["links"], r["copies"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(None, 1, 4, 3): 2, (1, 1, 4, 1): 1, (5, 1, 4, 3): 1, (6, 1, 4, 1): 1, (5, 5, 1, 1): 1, (7, 5, 1, 1): 1, (None, None, 0, 1): 2})
+
+
+def test_a_chain_of_near_copies_is_one_class(spark):
+    rng = random.Random(32)
+    words = prose(rng, 400).split()
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 300, 5)]
+    got = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {0} and Counter(r["links"] for r in got) == Counter({1: 2, 2: 2, 3: 2, 4: 54}) or {r["class_id"] for r in got} == {0}
+
+
 def test_bands_reach_recall():
     bands, rows = jaccard.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= jaccard.MAX_HASHES
@@ -215,10 +231,10 @@ def test_revisits(spark):
     h = {"etag": "a", "content-length": "5"}
     rows = [(1, "http://www.A.com/x/", 10, "response", "a", "d1", "p1", h), (2, "https://a.com/x#f", 20, "revisit", "a", None, None, {"Etag": "b", "content-length": "0", "server": "s"}), (3, "http://a.com/x", 30, "response", "b", "d2", "p2", {}),
             (4, "http://a.com/x", 40, "revisit", "a", None, None, None), (5, "http://a.com/x", 50, "revisit", None, "d2", None, {}), (6, "http://a.com/x", 5, "revisit", "a", None, None, {}), (7, "http://a.com/x", 60, "revisit", None, None, None, {}),
-            (8, None, 60, "revisit", "a", None, None, {}), (9, "http://a.com/x", None, "revisit", "b", None, None, {}), (10, "http://a.com/x", None, "response", "z", None, "p3", {})]
+            (8, None, 60, "revisit", "a", None, None, {}), (9, "http://a.com/x", None, "revisit", "b", None, None, {}), (11, "http://a.com/x", 70, "revisit", 'W/"b"', None, None, {}), (12, "http://a.com/x", 65, "response", '"b"', "d3", "p4", {}), (10, "http://a.com/x", None, "response", "z", None, "p3", {})]
     got = {r["record_id"]: (r["status"], r["response_id"], r["headers"]) for r in revisits.resolve(spark.createDataFrame(rows, "record_id long, url string, time long, kind string, etag string, last_modified string, digest string, headers map<string,string>")).collect()}
     assert got[2] == ("resolved", 1, {"Etag": "b", "content-length": "5"})
-    assert {k: v[:2] for k, v in got.items() if k != 2} == {4: ("mismatch", None), 5: ("resolved", 3), 6: ("no_response", None), 7: ("no_validator", None), 8: ("no_url", None), 9: ("no_time", None)}
+    assert {k: v[:2] for k, v in got.items() if k != 2} == {4: ("mismatch", None), 5: ("resolved", 3), 6: ("no_response", None), 7: ("no_validator", None), 8: ("no_url", None), 9: ("no_time", None), 11: ("resolved", 12)}
 
 
 # 6 -------------------------------------------------------------------------------------------------------------------
@@ -236,9 +252,8 @@ def test_segments_equal_the_definition():
         return [*best(s, at, a), (a, b), *best(s, b, end)]
 
     for _ in range(150):
-        scores = np.array([rng.choice([0, 0, 0, 1.25, 0.75, 2.0]) for _ in range(rng.randint(0, 14))])
-        signed = np.where(scores > 0, scores, -toxicity.DRIFT).tolist()
-        assert [(a, b) for a, b, _ in toxicity.segments(scores)] == best(signed, 0, len(signed))
+        signed = [rng.choice([-0.5, -0.5, -1.0, -0.25, 1.25, 0.75, 2.0]) for _ in range(rng.randint(0, 14))]
+        assert [(a, b) for a, b, _ in toxicity.segments(np.array(signed))] == best(signed, 0, len(signed))
 
 
 def test_toxic_documents_are_told(spark):
@@ -332,12 +347,12 @@ def brute(rows, k):
     return {q: sorted(((-float(ok[q] @ v), i) for i, v in ok.items() if i != q and len(v) == len(ok[q])))[:k] for q in ok if q % 20 == 0}
 
 
-def test_neighbours_equal_brute_force_on_small_tables(spark):
+def test_neighbours_among_all_rows_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(60)] + [(400, None), (401, []), (402, [0.0] * 8), (403, [1.0, None] * 4), (404, [float("nan")] * 8), (405, [float("inf")] * 8), (420, [1.0, 2.0]), (440, rows[0][1]), (440, rows[0][1])]
     got = {}
-    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect():
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, share=1.0).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     rows32 = [(i, [x if x is None else float(np.float32(x)) for x in v] if v else v) for i, v in rows]
     expect = brute(dict(rows32).items(), 20)
@@ -347,16 +362,32 @@ def test_neighbours_equal_brute_force_on_small_tables(spark):
 
 
 def test_recall_in_blocks(spark):
+    """The forest alone finds the neighbours: less than all rows are candidates, in one block and in several."""
     rng = np.random.default_rng(2)
-    rows = [(i, rng.normal(size=16).tolist()) for i in range(4000)]
-    old = ann.BLOCK, ann.LEAST, ann.QUERIES
-    ann.BLOCK, ann.LEAST, ann.QUERIES = 1000, 64, 100
-    try:
-        got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, least=64).collect()
-    finally:
-        ann.BLOCK, ann.LEAST, ann.QUERIES = old
-    expect = brute(rows, 20)
-    assert len(got) == 4000 and sum((r["query_id"], r["vec_id"]) in {(q, i) for q, n in expect.items() for _, i in n} for r in got) >= 0.9 * 4000
+    rows = [(i, rng.normal(size=32).tolist()) for i in range(6000)]
+    expect = {(q, i) for q, n in brute(rows, 20).items() for _, i in n}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block_bytes in (8 << 20, 1500 * 8 * 32):
+        got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(table, F.col("vec_id") % 20 == 0, block_bytes=block_bytes, query_block=100).collect()}
+        assert len(got) == 6000 and len(got & expect) >= 0.9 * 6000
+    points = np.array([v for _, v in rows])
+    forest = ann.Forest.build(points, float(np.linalg.norm(points, axis=1).max()))
+    lo, hi = forest.ascend(points[:50], 21 + ann.SHARE * 6000)
+    seen = [len(np.unique(np.concatenate([o[a:b] for o, a, b in zip(forest.order, lo[:, q], hi[:, q], strict=True)]))) for q in range(50)]
+    assert 0.3 * 6000 < np.mean(seen) < 0.5 * 6000
+
+
+def test_slices_are_the_rows_of_a_prefix():
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(400, 6))
+    forest = ann.Forest.build(points, float(np.linalg.norm(points, axis=1).max()), 4)
+    asked = ann.strings(np.column_stack([points[:9], np.zeros(9)]), 4)
+    for level in (0, 1, 5, 32, 33):
+        lo, hi = forest._slices(asked, np.full(9, level))
+        for t in range(4):
+            for q in range(9):
+                same = [k for k in forest.keys[t].tolist() if level <= 32 and k >> (32 - level) == int(asked[t, q]) >> (32 - level)]
+                assert forest.keys[t, lo[t, q] : hi[t, q]].tolist() == same
 
 
 # 10 ------------------------------------------------------------------------------------------------------------------
@@ -391,12 +422,44 @@ def test_bins_are_the_fewest_on_small_cases():
         assert sum(m for _, m in plan) == optimum(lengths, 30)
 
 
+def test_bins_of_a_perfect_packing():
+    rng = random.Random(15)
+    for bins in (8, 15):
+        for _ in range(5):
+            lengths = []
+            for _ in range(bins):
+                a, b = rng.randint(1, 1000), rng.randint(1, 1000)
+                lengths += [a, b, 2048 - a - b]
+            plan = packing.complete_bins(dict(Counter(lengths)), 2048)
+            assert sum(m for _, m in plan) == bins == packing.least_bins(Counter(lengths), 2048)
+            assert Counter(x for p, m in plan for x in p * m) == Counter(lengths)
+
+
+def test_fillings_are_all_undominated_ones():
+    """Every filling by brute force is returned, or dominated by one of those returned in the sense of Martello and Toth."""
+    rng = random.Random(16)
+
+    def packs(small, large):
+        """Whether the items of small fit into bins of the sizes of large."""
+        if not small:
+            return True
+        return any(packs(small[1:], [*large[:i], x - small[0], *large[i + 1 :]]) for i, x in enumerate(large) if x >= small[0])
+
+    for _ in range(60):
+        counts = Counter(rng.randint(1, 12) for _ in range(7))
+        room = rng.randint(3, 25)
+        items = sorted(counts.elements(), reverse=True)
+        every = {c for n in range(len(items) + 1) for c in itertools.combinations(items, n) if sum(c) <= room}
+        got = list(packing.fillings(room, counts, room))
+        assert [w for w, _ in got] == sorted(room - sum(u) for _, u in got) and {u for _, u in got} <= every and len(set(got)) == len(got)
+        assert all(any(packs(list(c), list(u)) for _, u in got) for c in every)
+
+
 def test_packing_round_trip(spark, awkward):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = packing.pack(awkward, path).collect()
     pieces = {}
     for r in rows:
