@@ -15,9 +15,10 @@ from __future__ import annotations
 import bisect
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,74 +31,96 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The longest that the driver searches for a packing with fewer bins; it ends sooner where the packing is proved the best.
 SECONDS = 60.0
-#: Space-separated strings, their words, whose merges cost most, and the longest string, that a worker keeps ids of.
-STRING_CACHE, TOKEN_CACHE, TOKEN_LONGEST = 100_000, 250_000, 64
-#: How the vocabulary splits text before its merges, and the characters for which lower() is its normalization.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = re.compile("[!-~\u00a1-\u024f]+")
+#: Words, whose merges cost most, and blank-separated strings that a worker keeps ids of (twice that at most), and the longest kept.
+WORD_CACHE, STRING_CACHE, LONGEST = 200_000, 20_000, 64
+#: The characters for which lower() is the vocabulary's normalization, what parts strings, and contractions that it splits off.
+PLAIN = "!-~\u00a1-\u024f"
+BLANKS = " \n\t\r"
+CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
+
+
+def _splitter() -> re.Pattern:
+    """How the vocabulary splits lower-cased plain text before its merges: contractions, runs of letters, single digits, runs of other characters."""
+    plain = re.compile(f"[{PLAIN}]")
+    lowered = sorted({x for c in map(chr, range(0x250)) if plain.match(c) for x in c.lower()})
+    letters, digits = ("".join(re.escape(c) for c in lowered if unicodedata.category(c)[0] == kind) for kind in "LN")
+    return re.compile("|".join([*CONTRACTIONS, f"[{letters}]+", f"[{digits}]", f"[^\\s{letters}{digits}]+"]))
+
+
+class _Kept(dict):
+    """Ids of strings in two generations: what the younger one lacks is looked up in the older, which goes when the younger is full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, found: Iterable[str]) -> list[str]:
+        new = [x for x in found if x not in self]
+        older = self.older
+        if older:
+            self.update((x, older[x]) for x in new if x in older)
+            new = [x for x in new if x not in self]
+        return new
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
 
 
 class _Encoder:
-    """Ids of texts as little-endian uint32, as the tokenizer gives them, with those of frequent strings kept.
+    """Ids of texts as little-endian uint32, as the tokenizer gives them, with those of frequent words kept.
 
-    Blanks end tokens of this vocabulary, so what stands between them is encoded by itself. A plain string is split as
-    the tokenizer splits it and its unknown words are encoded in one call: each word ends with the only token that may
-    end one. Any other string goes through the tokenizer whole; so does one that holds an added token, as none of them has a blank.
+    A plain text is split as the tokenizer splits it and its unknown words are encoded in one call: each word ends with the
+    only token that may end one. Blanks end tokens of this vocabulary, so of any other text what stands between blanks is
+    encoded by itself, by the tokenizer whole; so is a text that holds an added token, as none of them has a blank.
     as_text: added tokens in a text are encoded like any other characters, not as themselves.
     """
 
     def __init__(self, path: str, as_text: bool):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = as_text
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
-        self.split = regex.compile(SPLIT).findall
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
+        self.begins = {c for t in added for c in (t[:1].lower(), t[:1].upper())}
+        self.plain = re.compile(f"[{BLANKS}{PLAIN}]*").fullmatch
+        self.split = _splitter().findall
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.strings: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words, self.strings = _Kept(WORD_CACHE), _Kept(STRING_CACHE)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _learn_words(self, new: list[str]) -> None:
-        if not new:
-            return
+    def _learn(self, new: list[str]) -> None:
         ids = np.asarray(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(ends) != len(new):
             self.words.update(zip(new, self._whole(new), strict=True))
             return
-        data, at = ids.tobytes(), 0
-        for word, end in zip(new, ends.tolist(), strict=True):
-            self.words[word] = data[4 * at : 4 * end]
-            at = end
+        data = ids.tobytes()
+        self.words.update((word, data[a:b]) for word, a, b in zip(new, [0, *ends], ends, strict=False))
+
+    def _is_plain(self, text: str) -> bool:
+        return bool(self.plain(text)) and not (any(c in text for c in self.begins) and self.added.search(text))
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.strings) > STRING_CACHE:
-            self.older, self.strings = self.strings, {"": b""}
-        if len(self.words) > TOKEN_CACHE:
-            self.words = {}
-        strings, older, words = self.strings, self.older, self.words
-        new = [x for x in set().union(*parts) if x not in strings]
-        strings.update((x, older[x]) for x in new if x in older)
-        new = [x for x in new if x not in strings]
-        plain = {x: self.split(x.lower()) for x in new if len(x) <= TOKEN_LONGEST and PLAIN.fullmatch(x) and not self.added.search(x)}
-        self._learn_words(list({w for ws in plain.values() for w in ws if w not in words}))
-        for x, ws in plain.items():
-            strings[x] = b"".join(map(words.__getitem__, ws))
-        other = [x for x in new if x not in plain]
-        strings.update(zip(other, self._whole(other), strict=True))
-        for p in parts:
-            yield b"".join(map(strings.__getitem__, p))
-        for x in other:
-            if len(x) > TOKEN_LONGEST:
-                del strings[x]
+        plain = [self._is_plain(t or "") for t in texts]
+        parts = [self.split((t or "").lower()) if p else re.split(f"[{BLANKS}]", t) for t, p in zip(texts, plain, strict=True)]
+        long = []
+        for kept, learn, mine in ((self.words, self._learn, True), (self.strings, lambda new: self.strings.update(zip(new, self._whole(new), strict=True)), False)):
+            kept.trim()
+            new = kept.missing(set().union(*(x for x, p in zip(parts, plain, strict=True) if p is mine)))
+            if new:
+                learn(new)
+                long += [(kept, x) for x in new if len(x) > LONGEST]
+        for x, p in zip(parts, plain, strict=True):
+            yield b"".join(map((self.words if p else self.strings).__getitem__, x))
+        for kept, x in long:
+            del kept[x]
 
 
 _encoders: dict[tuple[str, bool], _Encoder] = {}
