@@ -77,8 +77,9 @@ def parse_time(text: Column, reference: Column | None = None) -> Column:
     A pattern admits the text, a cast reads it: a nine-digit fraction is cut, an impossible date is NULL.
     """
     dotted = F.translate(text, ",", ".")
-    iso = F.regexp_replace(dotted, r"\s*(?:(Z)|([+-]\d{2}):?(\d{2}))$", "$1$2:$3")
-    iso = F.regexp_replace(iso, "Z:$", "Z").try_cast("timestamp")
+    zoned = F.regexp_replace(F.regexp_replace(dotted, r"\s*(?:(Z)|([+-]\d{2}):?(\d{2}))$", "$1$2:$3"), "Z:$", "Z")
+    # Only a text that is longer than a date and a clock time can end with a zone.
+    iso = F.when(dotted.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$") & (F.length(dotted) > 16), zoned).otherwise(dotted).try_cast("timestamp")
     if reference is None:
         return F.date_trunc("MILLISECOND", F.when(text.rlike(ISO), iso))
     month = F.floor((F.instr(F.lit("".join(MONTHS)), F.regexp_extract(text, SYSLOG, 1)) + 2) / 3)

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.functions import normalize as N
-
 from . import formats as X
 
 SAMPLE = 200
@@ -24,58 +20,17 @@ def sample_head(lines: DataFrame, n: int = SAMPLE) -> DataFrame:
     return lines.where(F.col("line_no") <= n)
 
 
-def _share(hits: Column) -> Column:
-    return F.floor(hits * 100 / F.greatest(F.size("sample"), F.lit(1))).cast("int")
-
-
-def _count(test) -> Column:
-    return F.size(F.filter("sample", test))
-
-
-def _csv_profile() -> tuple[Column, Column, Column]:
-    """Score, delimiter and header of a table in the sample."""
-    head = F.col("sample")[0]
-    counts = [F.struct((F.length(head) - F.length(F.replace(head, F.lit(d)))).alias("n"), F.lit(-k).alias("k"), F.lit(d).alias("d")) for k, d in enumerate(X.CSV_DELIMITERS)]
-    best = F.greatest(*counts)
-    delimiter = F.when(best["n"] > 0, best["d"])
-    cells = lambda text: reduce(lambda out, d: out.when(delimiter == d, N.split_cells(text, d)), X.CSV_DELIMITERS, F.when(F.lit(False), F.array().cast("array<string>")))
-    header = cells(head)
-    named = F.size(F.filter(header, lambda c: F.trim(c).rlike(X.CSV_NAME))) * 100 >= F.size(header) * 70
-    rows = F.slice("sample", 2, 19)
-    alike = F.size(F.filter(rows, lambda r: F.size(cells(r)) == F.size(header))) * 100 >= F.size(rows) * 60
-    ok = delimiter.isNotNull() & (F.size("sample") >= 2) & named & alike
-    return F.when(F.coalesce(ok, F.lit(False)), 90).otherwise(0), delimiter, header
-
-
-def _iis_profile() -> tuple[Column, Column]:
-    heads = F.filter("sample", lambda x: F.lower(x).startswith("#fields:"))
-    fields = F.filter(F.split(F.trim(F.substring(F.element_at(heads, -1), 9, 1_000_000)), " "), lambda f: f != "")
-    fields = F.when(F.size(heads) > 0, fields)
-    wide = F.size(F.filter("sample", lambda x: ~x.startswith("#") & (F.size(F.filter(F.split(x, " "), lambda v: v != "")) == F.size(fields))))
-    score = F.when(F.coalesce(F.array_contains(fields, "date"), F.lit(False)), F.least(F.lit(100), _share(F.size(heads) * 3 + wide))).otherwise(0)
-    return score, fields
-
-
 def _heads(lines: DataFrame) -> DataFrame:
+    """source_idx, source_name and sample, of lines or of files whose heads are read (sources.lines.read_heads)."""
+    if "sample" in lines.columns:
+        return lines.select("source_idx", "source_name", "sample")
     return sample_head(lines).groupBy("source_idx", "source_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]).alias("sample"))
 
 
 def _score(f: X.FormatSpec) -> Column:
-    first = F.col("sample")[0]
-    if f.id == "csv_tsv":
-        return _csv_profile()[0]
-    if f.id == "iis_w3c":
-        return _iis_profile()[0]
-    if f.id == "wevt_text":
-        blocks, fields = _count(lambda x: x.rlike(X.TIME_CREATED)), _count(lambda x: x.rlike(X.FIELD) & ~x.rlike(X.TIME_CREATED))
-        return F.when(blocks > 0, F.least(F.lit(100), F.floor(blocks * 100 / (blocks + fields)) + 40)).otherwise(0)
-    if f.id == "wevt_tsv":
-        markers = reduce(lambda a, b: a + b, [F.contains(F.lower(first), F.lit(m.lower())).cast("int") for m in X.EVENT_HEADER])
-        return F.when((F.regexp_count(first, F.lit("\t")) >= 3) & (markers >= 3), 95).when(_share(_count(lambda x: x.rlike(X.EVENT_LEVEL))) >= 50, 80).otherwise(0)
-    if f.id == "wevt_xml":
-        events = F.aggregate("sample", F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit("<Event ")))
-        return F.when(events > 0, F.least(F.lit(100), 70 + F.floor(events / 10))).otherwise(0)
-    return _share(_count(f.line_probe)) if f.line_probe else F.lit(0)
+    if f.score:
+        return f.score()
+    return X.share(X.count(f.line_probe)) if f.line_probe else F.lit(0)
 
 
 def probe_formats(lines: DataFrame) -> DataFrame:
@@ -85,15 +40,8 @@ def probe_formats(lines: DataFrame) -> DataFrame:
 
 def learn(lines: DataFrame, format: str) -> DataFrame | None:
     """What the format's parser needs to know of each source's head, by source_idx; None if nothing."""
-    heads = _heads(lines)
-    if format == "csv_tsv":
-        _, delimiter, header = _csv_profile()
-        return heads.select("source_idx", delimiter.alias("csv_delimiter"), header.alias("csv_header"), F.col("sample")[0].alias("csv_header_line"))
-    if format == "iis_w3c":
-        return heads.select("source_idx", _iis_profile()[1].alias("iis_fields"))
-    if format == "generic":
-        return heads.select("source_idx", (_count(lambda x: x.rlike(X.ANCHORS)) > 0).alias("anchored"))
-    return None
+    spec = X.find_format(format)
+    return _heads(lines).select("source_idx", *(c.alias(name) for name, c in spec.learn().items())) if spec.learn else None
 
 
 def scores(lines: DataFrame) -> DataFrame:

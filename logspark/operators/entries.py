@@ -8,18 +8,18 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logspark.functions import normalize as N
 from logspark.sources import lines as L
+from logspark.sources.scratch import new_folder
 
 from . import formats as X
 from .detect import detect_format, learn, require_same_format
 from .ordered import carry, number
 
 COLUMNS = ["source_idx", "source_name", "format_id", "entry_no", "first_line", "physical_lines", "time", "level", "level_idx", "raw_level", "thread", "target", "host", "pid", "extra", "message"]
-PROFILE = ["csv_delimiter", "csv_header", "csv_header_line", "iis_fields", "anchored"]
 
 
 def reference_date(lines: DataFrame, given: date | None) -> Column:
@@ -41,13 +41,15 @@ def assign_entries(lines: DataFrame, merge_continuations: bool = True) -> DataFr
 
 def fold_entries(lines: DataFrame) -> DataFrame:
     """One row for each entry: its first line's text, all lines in order, and the first line's number and block."""
-    keep = [c for c in ("format_id", "reference", "truncated", *PROFILE) if c in lines.columns]
+    keep = [c for c in lines.columns if c not in ("source_idx", "source_name", "block", "line_no", "text", "start", "entry_start", "modified", "encoding")]
     folded = lines.groupBy("source_idx", "source_name", "entry_start").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_l"), F.min("block").alias("block"), *(F.first(c).alias(c) for c in keep))
     return folded.withColumn("lines", F.transform("_l", lambda x: x["text"])).withColumn("text", F.col("lines")[0]).drop("_l")
 
 
 def parse_entries(folded: DataFrame, spec: X.FormatSpec, merge_continuations: bool = True) -> DataFrame:
     """Folded lines as entries, without their numbers. What can't be parsed keeps its whole text as message, at level OTHER."""
+    # The match is a column of its own, which Spark does not compute again for each field.
+    folded = folded.withColumn("m", spec.match()) if spec.match else folded
     fields = spec.fields()
     parsed = F.coalesce(fields.pop("parsed", F.lit(True)), F.lit(False))
     raw = F.when(parsed, N.or_empty(fields.get("raw_level", F.lit("")))).otherwise("")
@@ -58,13 +60,51 @@ def parse_entries(folded: DataFrame, spec: X.FormatSpec, merge_continuations: bo
     whole = F.array_join(F.col("lines"), "\n")
     joined = message if spec.block else F.when(F.size("lines") > 1, F.concat(message, F.lit("\n"), more)).otherwise(message)
     return folded.select(
-        "source_idx", "source_name", F.lit(spec.id).alias("format_id"), "block", "entry_start", F.size("lines").alias("physical_lines"),
+        "source_idx", "source_name", F.lit(spec.id).alias("format_id"), "block", "entry_start", *(c for c in folded.columns if c == "entry_no"), F.size("lines").alias("physical_lines"),
         F.when(parsed, fields.get("time", F.lit(None))).cast("timestamp").alias("time"), level.alias("level"), raw.alias("raw_level"),
         *(text(c).alias(c) for c in ("thread", "target", "host", "pid")), F.when(parsed, fields.get("extra", X.no_extra())).otherwise(X.no_extra()).alias("extra"),
         F.when(parsed, joined).otherwise(whole).alias("message"), *(c for c in folded.columns if c == "truncated"),
     ).withColumn("level_idx", N.level_index(F.col("level")))
 
 
+def block_edges(marked: DataFrame) -> DataFrame:
+    """For each block of marked lines (source_idx, block, place, start): the lines and entries before it in its source, the
+    last entry before it (owner: its block and number there, from 1) and whether the block begins with lines of that one."""
+    per = marked.groupBy("source_idx", "block").agg(F.count(F.lit(1)).alias("n"), F.count_if("start").alias("starts"), F.min_by("start", "place").alias("first"))
+    before = Window.partitionBy("source_idx").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    owner = F.last(F.when(F.col("starts") > 0, F.struct(F.col("block").alias("block"), F.col("starts").alias("piece"))), ignorenulls=True).over(before)
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{name}_before") for c, name in (("n", "lines"), ("starts", "entries"))]
+    return per.select("source_idx", "block", *sums, owner.alias("owner"), "first").withColumn("spills", F.col("owner").isNotNull() & ~F.col("first")).drop("first")
+
+
+def fold_blocks(marked: DataFrame, edges: DataFrame, spills: bool = True) -> DataFrame:
+    """Entries of marked lines (source_idx, block, place, start, text and columns that a source's lines share): their lines, first line's
+    text, entry_start (its number in the source, from 1) and entry_no (from 0).
+
+    Lines are dealt once, by block, and folded there; the lines that begin a block before its first start are then added to the
+    entry that they belong to. spills: whether any block has such lines (block_edges).
+    """
+    shared = [c for c in marked.columns if c not in ("source_idx", "block", "place", "start", "text")]
+    inside = Window.partitionBy("source_idx", "block").orderBy("place")
+    numbered = marked.withColumn("k", F.row_number().over(inside)).withColumn("piece", F.sum(F.col("start").cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = numbered.groupBy("source_idx", "block", "piece").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("l"), F.min("k").alias("k"), *(F.first(c).alias(c) for c in shared))
+    pieces = pieces.withColumn("lines", F.transform("l", lambda x: x["text"])).drop("l")
+    own = pieces.where("piece > 0").join(edges, ["source_idx", "block"])
+    if spills:
+        late = pieces.where("piece = 0").join(edges.where("spills"), ["source_idx", "block"]).groupBy("source_idx", F.col("owner.block").alias("block"), F.col("owner.piece").alias("piece"))
+        late = late.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(edges["block"].alias("at"), "lines"))), lambda x: x["lines"])).alias("late"))
+        own = own.join(late, ["source_idx", "block", "piece"], "left").withColumn("lines", F.when(F.col("late").isNull(), F.col("lines")).otherwise(F.concat("lines", "late")))
+    return own.select(
+        "source_idx", "block", *shared, (F.col("k") + F.col("lines_before")).alias("entry_start"), (F.col("entries_before") + F.col("piece") - 1).cast("long").alias("entry_no"),
+        "lines", F.col("lines")[0].alias("text"))
+
+
+def _finished(parsed: DataFrame, spec: X.FormatSpec) -> DataFrame:
+    """Parsed entries with their numbers as the schema has them."""
+    first = F.col("entry_no") + 1 if spec.sequential else F.col("entry_start")
+    return parsed.withColumn("first_line", first.cast("long")).withColumn("entry_no", F.col("entry_no").cast("long")).select(COLUMNS + [c for c in parsed.columns if c == "truncated"])
+
+
 def entries_of_lines(lines: DataFrame, format: str = "auto", merge_continuations: bool = True, reference: date | None = None) -> DataFrame:
     """The entries of a lines table whose sources all have one format, with truncated where the lines have it. Detection reads the first 200 lines of each source."""
     spec = X.find_format(format if format not in ("", "auto") else require_same_format(detect_format(lines)))
@@ -72,17 +112,20 @@ def entries_of_lines(lines: DataFrame, format: str = "auto", merge_continuations
         raise ValueError("event XML is read by records: use sources.event_xml")
     learned = learn(lines, spec.id)
     known = lines.join(learned, "source_idx", "left") if learned is not None else lines
-    known = known.withColumn("reference", reference_date(lines, reference))
-    folded = fold_entries(assign_entries(mark_starts(known, spec), merge_continuations))
-    parsed = parse_entries(folded, spec, merge_continuations)
-    numbered = number(parsed, ["source_idx"], "block", ["entry_start"], "entry_no", first=0)
-    first = F.col("entry_no") + 1 if spec.sequential else F.col("entry_start")
-    return numbered.withColumn("first_line", first.cast("long")).withColumn("entry_no", F.col("entry_no").cast("long")).select(COLUMNS + [c for c in numbered.columns if c == "truncated"])
+    known = mark_starts(known.withColumn("reference", reference_date(lines, reference)), spec)
+    if merge_continuations:
+        keep = [c for c in ("source_name", "reference", "truncated", *(learned.columns[1:] if learned is not None else [])) if c in known.columns]
+        marked = known.select("source_idx", "block", F.col("line_no").alias("place"), "start", "text", *keep)
+        return _finished(parse_entries(fold_blocks(marked, block_edges(marked)), spec), spec)
+    parsed = parse_entries(fold_entries(assign_entries(known, False)), spec, False)
+    return _finished(number(parsed, ["source_idx"], "block", ["entry_start"], "entry_no", first=0), spec)
 
 
 def read_logs(spark: SparkSession, paths: list[str] | str, format: str = "auto", max_lines: int = 0, merge_continuations: bool = True, reference: date | None = None, encoding: str | None = None) -> DataFrame:
-    """Entries of log files of one format: lines scanned, decoded, stripped of escapes, folded and parsed. Lazy but for detection.
+    """Entries of log files of one format: lines scanned, decoded, stripped of escapes, folded and parsed.
 
+    At once: the head of each file is read for encoding and format, and line and entry starts are counted by split, which is the
+    index that numbers rest on. The entries are lazy: one more scan, whose lines are dealt once.
     max_lines: the most lines read of each file, 0: all; if given, entries also have truncated (their file has max_lines or more).
     """
     L.legacy_charsets(spark)
@@ -91,13 +134,25 @@ def read_logs(spark: SparkSession, paths: list[str] | str, format: str = "auto",
         from logspark.sources.event_xml import read_event_xml
 
         return read_event_xml(spark, paths)
-    lines = L.scan_lines(spark, paths, max_lines, encoding)
-    if not max_lines:
-        lines = lines.drop("truncated")
+    heads = L.read_heads(spark, paths, encoding)
     if format in ("", "auto"):
-        format = require_same_format(detect_format(lines))
+        format = require_same_format(detect_format(heads))
         if format == "wevt_xml":
             from logspark.sources.event_xml import read_event_xml
 
             return read_event_xml(spark, paths)
-    return entries_of_lines(lines, format, merge_continuations, reference)
+    spec = X.find_format(format)
+    if max_lines or not merge_continuations:
+        lines = L.scan_lines(spark, heads, max_lines)
+        return entries_of_lines(lines if max_lines else lines.drop("truncated"), format, merge_continuations, reference)
+    learned = {name: c.alias(name) for name, c in (spec.learn() if spec.learn else {}).items()}
+    sources = heads.select("source_idx", "source_name", reference_date(heads, reference).alias("reference"), *learned.values())
+    lines = L.placed_lines(spark, heads)
+    if learned:
+        lines = lines.join(sources.select("source_idx", *learned), "source_idx")
+    marked = lines.select("source_idx", "block", "place", spec.starts().alias("start"), "text")
+    folder = new_folder(spark, "edges")
+    block_edges(marked).write.parquet(folder)
+    edges = spark.read.parquet(folder)
+    folded = fold_blocks(marked, edges, not edges.where("spills").isEmpty())
+    return _finished(parse_entries(folded.join(sources, "source_idx"), spec), spec)

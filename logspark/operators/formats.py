@@ -2,24 +2,25 @@
 
 A format says how a line is recognised, whether it starts an entry, and how an entry's first line (or all its lines)
 becomes fields. Everything is a Column expression; a format that learns from the head of a file (CSV header, IIS field
-list, whether a plain log is anchored at all) finds it in the columns that ``detect.learn`` adds.
+list, whether a plain log is anchored at all) finds it in the columns that its learn() adds.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logspark.functions import normalize as N
 
+# The formats' line patterns, groups by number, and what they are made of.
 LEVEL = "TRACE|TRC|VERBOSE|VRB|DEBUG|DBG|INFO|INF|NOTICE|WARN|WARNING|WRN|ERROR|ERR|SEVERE|CRITICAL|CRIT|FATAL|FTL"
 ZONE = r"(?:Z|[+-]\d{2}:?\d{2})"
 STAMP = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"
-
-# The formats' line patterns, groups by number.
 TRACING = rf"^(\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?{ZONE})\s+(TRACE|DEBUG|INFO|WARN|ERROR)\s+(?:(\S+)\s+)?ThreadId\((\d+)\)\s+(.*?):\s(.*)$"
 SYSLOG5424 = r"^<(\d{1,3})>(\d)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s*(?:\[([^\]]*)\]\s*)?(.*)$"
 SYSLOG3164 = r"^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+([^\s:\[\]]+)(?:\[(\d+)\])?:\s?(.*)$"
@@ -32,6 +33,8 @@ GENERIC_TIME = rf"^\s*({STAMP}(?:[.,]\d{{1,9}})?{ZONE}?)\s+(.*)$"
 GENERIC_SYSLOG = r"^\s*([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(.*)$"
 MESSAGE_LEVEL = rf"^\s*\[?({LEVEL}|ALERT|EMERG)\]?\s*[:\-]\s*(.*)$"
 ANCHORS = rf"{GENERIC_TIME}|{GENERIC_SYSLOG}"
+#: The three generic patterns in one: time, level and message; time and rest; syslog time and rest.
+GENERIC = rf"^\s*(?:({STAMP}(?:[.,]\d{{1,9}})?{ZONE}?)\s+(?:\[?\(?({LEVEL}|ALERT|EMERG)\)?\]?\s*[:\-]?\s+(.*)|(.*))|([A-Z][a-z]{{2}}\s+\d{{1,2}}\s+\d{{2}}:\d{{2}}:\d{{2}})\s+(.*))$"
 PAIR = r'([A-Za-z_][\w.\-]*)=("([^"]*)"|\S*)'
 FIELD = r"^\s*([A-Za-z][A-Za-z0-9_]*)\s*:\s?(.*)$"
 TIME_CREATED = r"^\s*TimeCreated\s*:"
@@ -53,48 +56,70 @@ def extra(pairs: dict[str, Column]) -> Column:
     return F.map_filter(F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), N.or_empty(v)))), lambda _, v: v != "")
 
 
-def group(pattern: str, k: int, text: Column | None = None) -> Column:
-    return F.regexp_extract(F.col("text") if text is None else text, pattern, k)
+#: Stands between groups; lines hold no control characters.
+MARK = "\x01"
+
+
+def groups(text: Column, pattern: str) -> Column:
+    """All groups of a pattern that matches the whole text, by one match; the text alone if it does not match."""
+    return F.split(F.regexp_replace(text, pattern, MARK.join(f"${k}" for k in range(1, re.compile(pattern).groups + 1))), MARK, -1)
+
+
+def fits(pattern: str) -> Column:
+    """Whether m are the groups of the pattern."""
+    return F.size("m") == re.compile(pattern).groups
+
+
+def g(k: int) -> Column:
+    """Group k of m."""
+    return F.get("m", F.lit(k - 1))
 
 
 @dataclass(frozen=True)
 class FormatSpec:
-    """One format. fields() maps the columns text (an entry's first line), lines (all of them), reference (a date) and those
-    that detect.learn adds to: time, raw_level, level (default: the raw level normalized), thread, target, host, pid, extra,
+    """One format. fields() maps the columns text (an entry's first line), lines (all of them), m (what match() makes of them,
+    computed once), reference (a date) and those that learn adds to: time, raw_level, level (default: the raw level normalized), thread, target, host, pid, extra,
     message, all of them optional but message; parsed is false where a line is not of the format."""
 
     id: str
     name: str
     fields: Callable[[], Fields]
     starts: Callable[[], Column]
-    #: Share of sample lines that fit, for formats whose score is that; else see operators.detect.
+    #: Share of sample lines that fit, for formats whose score is that.
     line_probe: Callable[[Column], Column] | None = None
+    match: Callable[[], Column] | None = None
+    #: The score of a file by sample, the array of its first lines; by default the share of lines that fit line_probe.
+    score: Callable[[], Column] | None = None
+    #: Columns that the parser needs to know of a file, by sample.
+    learn: Callable[[], Fields] | None = None
     sequential: bool = False
     #: The fields use all lines, so continuations are not appended to the message.
     block: bool = False
 
 
 def by_pattern(id: str, name: str, pattern: str, fields: Callable[[], Fields]) -> FormatSpec:
-    return FormatSpec(id, name, lambda: fields() | {"parsed": F.col("text").rlike(pattern)}, lambda: F.col("text").rlike(pattern), lambda text: text.rlike(pattern))
+    return FormatSpec(id, name, lambda: fields() | {"parsed": fits(pattern)}, lambda: F.col("text").rlike(pattern), lambda text: text.rlike(pattern), lambda: groups(F.col("text"), pattern))
 
 
 def _tracing() -> Fields:
-    id = group(TRACING, 4)
-    return {"time": N.parse_time(group(TRACING, 1)), "raw_level": group(TRACING, 2), "thread": F.when(group(TRACING, 3) != "", group(TRACING, 3)).otherwise(F.concat(F.lit("ThreadId("), id, F.lit(")"))), "target": group(TRACING, 5), "extra": extra({"ThreadId": id}), "message": group(TRACING, 6)}
+    thread = F.when(g(3) != "", g(3)).otherwise(F.concat(F.lit("ThreadId("), g(4), F.lit(")")))
+    return {"time": N.parse_time(g(1)), "raw_level": g(2), "thread": thread, "target": g(5), "extra": extra({"ThreadId": g(4)}), "message": g(6)}
 
 
 def _syslog5424() -> Fields:
-    g = lambda k: group(SYSLOG5424, k)
     dash = lambda c: F.when(c == "-", "").otherwise(c)
-    return {"time": N.parse_time(g(3), F.col("reference")), "raw_level": g(1), "level": N.level_from_priority(g(1).try_cast("int") % 8), "host": dash(g(4)), "target": dash(g(5)), "pid": dash(g(6)), "extra": extra({"MsgId": dash(g(7)), "SD": g(8)}), "message": g(9)}
+    return {
+        "time": N.parse_time(g(3), F.col("reference")), "raw_level": g(1), "level": N.level_from_priority(g(1).try_cast("int") % 8),
+        "host": dash(g(4)), "target": dash(g(5)), "pid": dash(g(6)), "extra": extra({"MsgId": dash(g(7)), "SD": g(8)}), "message": g(9),
+    }
 
 
 def _syslog3164() -> Fields:
-    g = lambda k: group(SYSLOG3164, k)
     colon = F.instr(g(5), ":")
     prefix = F.substring(g(5), F.lit(1), colon - 1)
     leveled = g(5).rlike("^[A-Z]") & (colon >= 2) & (colon <= 11) & (N.normalize_level(prefix) != "OTHER")
-    return {"time": N.parse_time(g(1), F.col("reference")), "raw_level": F.when(leveled, prefix).otherwise(""), "host": g(2), "target": g(3), "pid": g(4), "message": F.when(leveled, F.trim(F.substring(g(5), colon + 1, F.length(g(5))))).otherwise(g(5))}
+    message = F.when(leveled, F.trim(F.substring(g(5), colon + 1, F.length(g(5))))).otherwise(g(5))
+    return {"time": N.parse_time(g(1), F.col("reference")), "raw_level": F.when(leveled, prefix).otherwise(""), "host": g(2), "target": g(3), "pid": g(4), "message": message}
 
 
 def json_map(text: Column) -> Column:
@@ -103,13 +128,21 @@ def json_map(text: Column) -> Column:
 
 
 def _json() -> Fields:
-    m = json_map(F.col("text"))
+    m = F.col("m")
     raw = N.first_key(m, N.LEVEL_KEYS)
     known = [k.lower() for keys in (N.TIME_KEYS, N.LEVEL_KEYS, N.MESSAGE_KEYS, N.HOST_KEYS, N.PID_KEYS, N.TARGET_KEYS) for k in keys]
     rest = F.map_filter(m, lambda k, v: ~F.lower(k).isin(known) & ~k.startswith("_") & (F.length(N.or_empty(v)) <= N.LONGEST_EXTRA))
     return {"parsed": m.isNotNull(), "time": N.time_of_value(N.first_key(m, N.TIME_KEYS), F.col("reference")), "raw_level": raw, "level": F.when(raw.rlike(r"^\d+$"), N.level_from_priority(raw.try_cast("int"))).otherwise(N.normalize_level(raw)), "host": N.first_key(m, N.HOST_KEYS), "pid": N.first_key(m, N.PID_KEYS), "target": N.first_key(m, N.TARGET_KEYS), "extra": F.coalesce(F.transform_values(rest, lambda _, v: N.or_empty(v)), no_extra()), "message": N.first_key(m, N.MESSAGE_KEYS)}
 
 
+def _json_match() -> Column:
+    return json_map(F.col("text"))
+
+
+def _json_starts() -> Column:
+    return json_map(F.col("text")).isNotNull()
+
+
 def _json_probe(text: Column) -> Column:
     return F.coalesce(~F.map_contains_key(json_map(text), F.lit("__REALTIME_TIMESTAMP")), F.lit(False))
 
@@ -119,20 +152,26 @@ def _journal_probe(text: Column) -> Column:
     return F.coalesce(F.map_contains_key(m, F.lit("MESSAGE")) & F.map_contains_key(m, F.lit("PRIORITY")), F.lit(False))
 
 
-def _logfmt() -> Fields:
+def _logfmt_match() -> Column:
+    """The pairs as a map, and how many characters they take."""
     text = F.col("text")
     whole = F.regexp_extract_all(text, F.lit(f"({PAIR})"), 1)
-    key, value, quoted = (F.regexp_extract_all(text, F.lit(PAIR), k) for k in (1, 2, 3))
-    pairs = F.map_from_entries(F.zip_with(key, F.zip_with(value, quoted, lambda v, q: F.when(q == "", v).otherwise(q)), lambda k, v: F.struct(k.alias("key"), v.alias("value"))))
+    consumed = F.aggregate(whole, F.lit(0), lambda a, w: a + F.length(w))
+    value = lambda w: F.regexp_replace(F.substring(w, F.instr(w, "=") + 1, F.length(w)), '^"([^"]*)"$', "$1")
+    pairs = F.map_from_entries(F.transform(whole, lambda w: F.struct(F.substring_index(w, "=", 1).alias("key"), value(w).alias("value"))))
+    return F.struct(pairs.alias("pairs"), consumed.alias("consumed"))
+
+
+def _logfmt() -> Fields:
+    text, pairs, consumed = F.col("text"), F.col("m.pairs"), F.col("m.consumed")
     # The first key of each list is consumed, so the next list can't see it.
     keys = [N.TIME_KEYS, N.LEVEL_KEYS, N.MESSAGE_KEYS, N.HOST_KEYS, N.PID_KEYS, N.TARGET_KEYS]
     taken = [F.coalesce(*(F.when(F.map_contains_key(pairs, F.lit(k)), F.lit(k)) for k in ks), F.lit("")) for ks in keys]
     at = lambda k: N.or_empty(F.try_element_at(pairs, taken[k]))
     trimmed = F.trim(text)
-    consumed = F.aggregate(whole, F.lit(0), lambda a, w: a + F.length(w))
     rest = F.when(consumed * 100 < F.length(trimmed) * 50, F.trim(F.substring(trimmed, consumed + 1, F.length(trimmed)))).otherwise("")
     message = F.trim(F.concat_ws(" ", F.filter(F.array(at(2), rest), lambda x: x != "")))
-    return {"parsed": F.size(key) > 0, "time": N.time_of_value(at(0), F.col("reference")), "raw_level": at(1), "host": at(3), "pid": at(4), "target": at(5), "extra": F.map_filter(pairs, lambda k, _: ~F.array_contains(F.array(*taken), k)), "message": F.when(message == "", trimmed).otherwise(message)}
+    return {"parsed": F.size(pairs) > 0, "time": N.time_of_value(at(0), F.col("reference")), "raw_level": at(1), "host": at(3), "pid": at(4), "target": at(5), "extra": F.map_filter(pairs, lambda k, _: ~F.array_contains(F.array(*taken), k)), "message": F.when(message == "", trimmed).otherwise(message)}
 
 
 def _logfmt_probe(text: Column) -> Column:
@@ -147,10 +186,15 @@ def csv_cells(text: Column) -> Column:
     return out
 
 
-def _csv() -> Fields:
+def _csv_match() -> Column:
+    """The cells with their column's name, also in lower case."""
     header = F.transform("csv_header", lambda h: F.trim(h))
     cells = F.zip_with(header, F.transform(csv_cells(F.col("text")), lambda c: F.trim(c)), lambda h, v: F.struct(h.alias("h"), F.lower(h).alias("l"), v.alias("v")))
-    cells = F.filter(cells, lambda c: c["h"].isNotNull() & c["v"].isNotNull())
+    return F.filter(cells, lambda c: c["h"].isNotNull() & c["v"].isNotNull())
+
+
+def _csv() -> Fields:
+    cells = F.col("m")
     named = F.filter(cells, lambda c: c["h"] != "")
     pick = lambda test, last=False: N.or_empty(F.try_element_at(F.transform(F.filter(named, lambda c: test(c["l"])), lambda c: c["v"]), F.lit(-1 if last else 1)))
     is_time = lambda n: n.contains("time") | (n == "date")
@@ -173,21 +217,34 @@ def _csv_starts() -> Column:
 
 
 def _python() -> Fields:
-    return {"time": N.parse_time(group(PYTHON, 1)), "raw_level": group(PYTHON, 2), "target": group(PYTHON, 3), "message": group(PYTHON, 4)}
+    return {"time": N.parse_time(g(1)), "raw_level": g(2), "target": g(3), "message": g(4)}
+
+
+def _serilog_match() -> Column:
+    """The groups of either pattern; they have the same three."""
+    full = groups(F.col("text"), SERILOG)
+    return F.when(F.size(full) > 1, full).otherwise(groups(F.col("text"), SERILOG_CLOCK))
 
 
 def _serilog() -> Fields:
-    full = F.col("text").rlike(SERILOG)
-    either = lambda k: F.when(full, group(SERILOG, k)).otherwise(group(SERILOG_CLOCK, k))
-    return {"time": N.parse_time(either(1), F.col("reference")), "raw_level": either(2), "message": either(3)}
+    return {"parsed": fits(SERILOG), "time": N.parse_time(g(1), F.col("reference")), "raw_level": g(2), "message": g(3)}
+
+
+def _serilog_line(text: Column) -> Column:
+    return text.rlike(SERILOG) | text.rlike(SERILOG_CLOCK)
 
 
 def _log4j() -> Fields:
-    return {"time": N.parse_time(group(LOG4J, 1)), "raw_level": group(LOG4J, 3), "thread": group(LOG4J, 2), "target": group(LOG4J, 4), "message": group(LOG4J, 5)}
+    return {"time": N.parse_time(g(1)), "raw_level": g(3), "thread": g(2), "target": g(4), "message": g(5)}
+
+
+def _event_text_match() -> Column:
+    """Of each line the field, its value and the trimmed line."""
+    return F.transform("lines", lambda x: F.struct(F.regexp_extract(x, FIELD, 1).alias("f"), F.regexp_extract(x, FIELD, 2).alias("v"), F.trim(x).alias("t")))
 
 
 def _event_text() -> Fields:
-    fields = F.transform("lines", lambda x: F.struct(F.regexp_extract(x, FIELD, 1).alias("f"), F.regexp_extract(x, FIELD, 2).alias("v"), F.trim(x).alias("t")))
+    fields = F.col("m")
     value = lambda *names: N.or_empty(F.try_element_at(F.transform(F.filter(fields, lambda c: F.lower(c["f"]).isin([n.lower() for n in names])), lambda c: c["v"]), F.lit(-1)))
     parts = F.aggregate(fields, F.array().cast("array<string>"), lambda a, c: F.when((F.lower(c["f"]) == "message") & (c["v"] != ""), F.array_append(a, c["v"])).when((c["f"] == "") & (c["t"] != "") & (F.size(a) > 0), F.array_append(a, c["t"])).otherwise(a))
     known = ["timecreated", "leveldisplayname", "level", "providername", "message", "processid", "machinename", ""]
@@ -196,7 +253,7 @@ def _event_text() -> Fields:
 
 
 def _event_tsv() -> Fields:
-    cells = F.split("text", "\t")
+    cells = F.col("m")
     cell = lambda k: F.trim(N.or_empty(F.try_element_at(cells, F.lit(k))))
     first = F.trim(F.array_join(F.slice(cells, 6, 1_000_000), " "))
     more = F.array_join(F.slice(F.col("lines"), 2, 2_147_483_646), "\n")
@@ -209,50 +266,137 @@ def _event_tsv_starts() -> Column:
     return (F.regexp_count("text", F.lit("\t")) >= 4) & F.col("text").rlike(EVENT_LEVEL)
 
 
+def _iis_values() -> Column:
+    return F.filter(F.split("text", " "), lambda v: v != "")
+
+
+def _iis_starts() -> Column:
+    ok = ~F.col("text").startswith("#") & (F.trim("text") != "") & (F.size(_iis_values()) == F.size("iis_fields"))
+    return F.coalesce(ok, F.lit(False))
+
+
+def _iis_match() -> Column:
+    """The line's values by field; NULL if their numbers differ."""
+    return F.when(_iis_starts(), F.map_from_entries(F.zip_with("iis_fields", _iis_values(), lambda f, v: F.struct(f.alias("key"), v.alias("value")))))
+
+
 def _iis() -> Fields:
-    values = F.filter(F.split("text", " "), lambda v: v != "")
-    pairs = F.map_from_entries(F.zip_with("iis_fields", values, lambda f, v: F.struct(f.alias("key"), v.alias("value"))))
-    ok = ~F.col("text").startswith("#") & (F.trim("text") != "") & (F.size(values) == F.size("iis_fields"))
-    pairs = F.when(F.coalesce(ok, F.lit(False)), pairs)
+    pairs = F.col("m")
     at = lambda k: N.or_empty(F.try_element_at(pairs, F.lit(k)))
     named = F.map_filter(pairs, lambda k, v: ~k.isin("date", "time", "cs-method", "cs-uri-stem", "sc-status", "s-ip") & ((v != "-") | (k == "cs(User-Agent)")))
     named = F.transform_keys(named, lambda k, _: F.when(k == "cs(User-Agent)", "UserAgent").otherwise(k))
     return {"parsed": pairs.isNotNull(), "time": N.parse_time(F.concat(at("date"), F.lit(" "), at("time"))), "raw_level": at("sc-status"), "level": F.when(at("sc-status") == "", "OTHER").otherwise(N.http_level(at("sc-status"))), "host": at("s-ip"), "extra": F.coalesce(named, no_extra()), "message": F.trim(F.concat_ws(" ", at("cs-method"), at("cs-uri-stem"), at("sc-status")))}
 
 
+def _generic_match() -> Column:
+    """The groups of GENERIC, then those of a level that begins the message of a line with a time but without a level before it."""
+    found = groups(F.col("text"), GENERIC)
+    rest = F.get(found, F.lit(3))
+    return F.concat(found, F.when((F.size(found) > 1) & (F.get(found, F.lit(1)) == "") & (rest != ""), groups(rest, MESSAGE_LEVEL)).otherwise(F.array().cast("array<string>")))
+
+
 def _generic() -> Fields:
-    text = F.col("text")
-    leveled, timed, syslog = text.rlike(GENERIC_LEVEL), text.rlike(GENERIC_TIME), text.rlike(GENERIC_SYSLOG)
-    body = group(GENERIC_TIME, 2)
-    inner = timed & body.rlike(MESSAGE_LEVEL)
-    raw = F.when(leveled, group(GENERIC_LEVEL, 2)).when(inner, group(MESSAGE_LEVEL, 1, body)).otherwise("")
-    message = F.when(leveled, group(GENERIC_LEVEL, 3)).when(inner, group(MESSAGE_LEVEL, 2, body)).when(timed, body).when(syslog, group(GENERIC_SYSLOG, 2)).otherwise(text)
-    stamp = F.when(leveled | timed, group(GENERIC_TIME, 1)).when(syslog, group(GENERIC_SYSLOG, 1))
-    time = N.parse_time(stamp, F.col("reference"))
-    return {"time": time, "raw_level": raw, "message": message}
+    parts = F.size("m")
+    matched, inner = parts >= 6, parts == 8
+    raw = F.when(inner, g(7)).when(matched, g(2)).otherwise("")
+    # At most one of the groups that may be the message is not empty.
+    message = F.when(inner, g(8)).when(matched, F.concat(g(3), g(4), g(6))).otherwise(F.col("text"))
+    return {"time": N.parse_time(F.when(matched, F.concat(g(1), g(5))), F.col("reference")), "raw_level": raw, "message": message}
 
 
 def _xml() -> Fields:
     raise ValueError("event XML is read by records, not lines: see sources.event_xml")
 
 
+# What a file's sample, its first lines, tells ---------------------------------------------------------------------------
+
+
+def share(hits: Column) -> Column:
+    """Hits in hundredths of the sample's lines."""
+    return F.floor(hits * 100 / F.greatest(F.size("sample"), F.lit(1))).cast("int")
+
+
+def count(test: Callable[[Column], Column]) -> Column:
+    return F.size(F.filter("sample", test))
+
+
+def _csv_profile() -> tuple[Column, Column, Column]:
+    """Whether the sample is a table, its delimiter and header."""
+    head = F.col("sample")[0]
+    counts = [F.struct((F.length(head) - F.length(F.replace(head, F.lit(d)))).alias("n"), F.lit(-k).alias("k"), F.lit(d).alias("d")) for k, d in enumerate(CSV_DELIMITERS)]
+    best = F.greatest(*counts)
+    delimiter = F.when(best["n"] > 0, best["d"])
+    cells = lambda text: reduce(lambda out, d: out.when(delimiter == d, N.split_cells(text, d)), CSV_DELIMITERS, F.when(F.lit(False), F.array().cast("array<string>")))
+    header = cells(head)
+    named = F.size(F.filter(header, lambda c: F.trim(c).rlike(CSV_NAME))) * 100 >= F.size(header) * 70
+    rows = F.slice("sample", 2, 19)
+    alike = F.size(F.filter(rows, lambda r: F.size(cells(r)) == F.size(header))) * 100 >= F.size(rows) * 60
+    return delimiter.isNotNull() & (F.size("sample") >= 2) & named & alike, delimiter, header
+
+
+def _csv_score() -> Column:
+    return F.when(F.coalesce(_csv_profile()[0], F.lit(False)), 90).otherwise(0)
+
+
+def _csv_learn() -> Fields:
+    _, delimiter, header = _csv_profile()
+    return {"csv_delimiter": delimiter, "csv_header": header, "csv_header_line": F.col("sample")[0]}
+
+
+def _iis_fields() -> tuple[Column, Column]:
+    """The lines that name fields, and the fields of the last of them."""
+    heads = F.filter("sample", lambda x: F.lower(x).startswith("#fields:"))
+    fields = F.filter(F.split(F.trim(F.substring(F.element_at(heads, -1), 9, 1_000_000)), " "), lambda f: f != "")
+    return heads, F.when(F.size(heads) > 0, fields)
+
+
+def _iis_score() -> Column:
+    heads, fields = _iis_fields()
+    wide = count(lambda x: ~x.startswith("#") & (F.size(F.filter(F.split(x, " "), lambda v: v != "")) == F.size(fields)))
+    return F.when(F.coalesce(F.array_contains(fields, "date"), F.lit(False)), F.least(F.lit(100), share(F.size(heads) * 3 + wide))).otherwise(0)
+
+
+def _iis_learn() -> Fields:
+    return {"iis_fields": _iis_fields()[1]}
+
+
+def _event_text_score() -> Column:
+    blocks, fields = count(lambda x: x.rlike(TIME_CREATED)), count(lambda x: x.rlike(FIELD) & ~x.rlike(TIME_CREATED))
+    return F.when(blocks > 0, F.least(F.lit(100), F.floor(blocks * 100 / (blocks + fields)) + 40)).otherwise(0)
+
+
+def _event_tsv_score() -> Column:
+    first = F.col("sample")[0]
+    markers = reduce(lambda a, b: a + b, [F.contains(F.lower(first), F.lit(m.lower())).cast("int") for m in EVENT_HEADER])
+    return F.when((F.regexp_count(first, F.lit("\t")) >= 3) & (markers >= 3), 95).when(share(count(lambda x: x.rlike(EVENT_LEVEL))) >= 50, 80).otherwise(0)
+
+
+def _event_xml_score() -> Column:
+    events = F.aggregate("sample", F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit("<Event ")))
+    return F.when(events > 0, F.least(F.lit(100), 70 + F.floor(events / 10))).otherwise(0)
+
+
+def _generic_learn() -> Fields:
+    return {"anchored": count(lambda x: x.rlike(ANCHORS)) > 0}
+
+
 REGISTRY: list[FormatSpec] = [
     by_pattern("tracing", "tracing", TRACING, _tracing),
     by_pattern("syslog5424", "Syslog (RFC 5424)", SYSLOG5424, _syslog5424),
     by_pattern("syslog3164", "Syslog (RFC 3164)", SYSLOG3164, _syslog3164),
     by_pattern("journalctl_short", "journalctl short", SYSLOG3164, _syslog3164),
-    FormatSpec("journal_json", "journal JSON", _json, lambda: json_map(F.col("text")).isNotNull(), _journal_probe),
-    FormatSpec("json_lines", "JSON lines", _json, lambda: json_map(F.col("text")).isNotNull(), _json_probe),
-    FormatSpec("logfmt", "logfmt (key=value)", _logfmt, lambda: F.col("text").rlike(PAIR), _logfmt_probe),
-    FormatSpec("csv_tsv", "CSV / TSV table", _csv, _csv_starts),
+    FormatSpec("journal_json", "journal JSON", _json, _json_starts, _journal_probe, _json_match),
+    FormatSpec("json_lines", "JSON lines", _json, _json_starts, _json_probe, _json_match),
+    FormatSpec("logfmt", "logfmt (key=value)", _logfmt, lambda: F.col("text").rlike(PAIR), _logfmt_probe, _logfmt_match),
+    FormatSpec("csv_tsv", "CSV / TSV table", _csv, _csv_starts, match=_csv_match, score=_csv_score, learn=_csv_learn),
     by_pattern("python_logging", "Python logging", PYTHON, _python),
-    FormatSpec("serilog", "Serilog", lambda: _serilog() | {"parsed": F.col("text").rlike(SERILOG) | F.col("text").rlike(SERILOG_CLOCK)}, lambda: F.col("text").rlike(SERILOG) | F.col("text").rlike(SERILOG_CLOCK), lambda text: text.rlike(SERILOG) | text.rlike(SERILOG_CLOCK)),
+    FormatSpec("serilog", "Serilog", _serilog, lambda: _serilog_line(F.col("text")), _serilog_line, _serilog_match),
     by_pattern("log4j_logback", "Log4j / Logback", LOG4J, _log4j),
-    FormatSpec("wevt_text", "Windows event text export", _event_text, lambda: F.col("text").rlike(TIME_CREATED), block=True),
-    FormatSpec("wevt_tsv", "Windows event text export (tab separated)", _event_tsv, _event_tsv_starts, sequential=True, block=True),
-    FormatSpec("wevt_xml", "Windows event XML export", _xml, lambda: F.lit(False), sequential=True),
-    FormatSpec("iis_w3c", "IIS W3C log", _iis, lambda: _iis()["parsed"]),
-    FormatSpec("generic", "Generic text", _generic, lambda: F.col("text").rlike(ANCHORS) | ~F.coalesce(F.col("anchored"), F.lit(False)), lambda text: text.rlike(ANCHORS)),
+    FormatSpec("wevt_text", "Windows event text export", _event_text, lambda: F.col("text").rlike(TIME_CREATED), match=_event_text_match, score=_event_text_score, block=True),
+    FormatSpec("wevt_tsv", "Windows event text export (tab separated)", _event_tsv, _event_tsv_starts, match=lambda: F.split("text", "\t"), score=_event_tsv_score, sequential=True, block=True),
+    FormatSpec("wevt_xml", "Windows event XML export", _xml, lambda: F.lit(False), score=_event_xml_score, sequential=True),
+    FormatSpec("iis_w3c", "IIS W3C log", _iis, _iis_starts, match=_iis_match, score=_iis_score, learn=_iis_learn),
+    FormatSpec("generic", "Generic text", _generic, lambda: F.col("text").rlike(ANCHORS) | ~F.coalesce(F.col("anchored"), F.lit(False)), lambda text: text.rlike(ANCHORS), _generic_match, learn=_generic_learn),
 ]
 
 

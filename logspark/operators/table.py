@@ -169,7 +169,7 @@ def levels_present(entries: DataFrame) -> DataFrame:
 
 
 def document_info(entries: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """name ("first + k more files" for several), format_id, entries, sources; sizes (source_idx, bytes, truncated, encoding) adds theirs."""
+    """name ("first + k more files" for several), format_id, entries, sources; sizes (sources.lines.document_sizes) adds bytes, truncated and encoding."""
     per = entries.groupBy("source_idx", "source_name").agg(F.first("format_id").alias("format_id"), F.count(F.lit(1)).alias("n"))
     per = per.join(sizes, "source_idx", "left") if sizes is not None else per
     more = [F.sum("bytes").alias("bytes"), F.max("truncated").alias("truncated"), F.min_by("encoding", "source_idx").alias("encoding")] if sizes is not None else []

@@ -5,72 +5,142 @@ A lines table has source_idx, source_name, block (a split of the source, rising)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logspark.functions.ansi import strip_control
 from logspark.operators.ordered import number
 
-HEAD_BYTES = 4096
+from .scratch import new_folder
+
+#: Bytes of a file that its encoding is guessed from, and lines that its format is.
+HEAD_BYTES, HEAD_LINES = 4096, 200
 #: Legacy encodings in the order in which they are tried.
 LEGACY = ["GB18030", "Big5", "Shift_JIS", "windows-1252"]
+#: Encodings whose line ends are two bytes, so that files are cut at other bytes.
+WIDE = ["UTF-16LE", "UTF-16BE"]
+#: Most files whose names and encodings are broadcast to the lines; with more they are joined by a shuffle.
+BROADCAST_FILES = 100_000
+#: With splits of this many bytes and as many for opening a file, every file is one partition.
+_WHOLE = str(1 << 46)
 
 
 def source_map(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """source_idx and source_name of each file that paths name, in the order of paths, then by name."""
+    """source_idx, source_name, file, bytes and modified of each file that paths name, in the order of paths, then by name."""
     found = None
     for k, p in enumerate(paths):
-        one = spark.read.format("binaryFile").load(p).select(F.lit(k).alias("given"), "path")
+        one = spark.read.format("binaryFile").load(p).select(F.lit(k).alias("given"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
         found = one if found is None else found.unionByName(one)
     # One row for each file.
-    files = found.groupBy("path").agg(F.min("given").alias("given"))
-    return files.select((F.row_number().over(Window.orderBy("given", "path")) - 1).cast("int").alias("source_idx"), F.element_at(F.split("path", "/"), -1).alias("source_name"), F.col("path").alias("file"))
-
-
-def scan_lines(spark: SparkSession, paths: list[str], max_lines: int = 0, encoding: str | None = None) -> DataFrame:
-    """Lines of files, numbered within each. LF, CRLF and CR all end a line; a last line without an end counts.
+    files = found.groupBy("path").agg(F.min("given").alias("given"), F.first("bytes").alias("bytes"), F.first("modified").alias("modified"))
+    place = (F.row_number().over(Window.orderBy("given", "path")) - 1).cast("int")
+    return files.select(place.alias("source_idx"), F.element_at(F.split("path", "/"), -1).alias("source_name"), F.col("path").alias("file"), "bytes", "modified")
+
+
+def _head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first lines of a partition that is one file, and its encoding; the rest of the file is not read."""
+    file, raw, size = None, [], 0
+    for batch in batches:
+        for name, value in zip(batch.column(0), batch.column(1), strict=True):
+            if len(raw) < HEAD_LINES or size < HEAD_BYTES:
+                file, data = name.as_py(), value.as_py()
+                raw.append(data)
+                size += len(data) + 1
+        if len(raw) >= HEAD_LINES and size >= HEAD_BYTES:
+            break
+    if raw:
+        encoding = encoding_of(b"\n".join(raw)[:HEAD_BYTES])
+        texts = [decode_line(x, encoding) for x in raw] if encoding not in WIDE else b"\n".join(raw).decode(encoding, "replace").replace("\n\n", "\n").split("\n")
+        sample = [x.removeprefix("\ufeff") for x in texts[:HEAD_LINES]]
+        yield pa.record_batch([pa.array([file]), pa.array([encoding]), pa.array([sample], pa.list_(pa.string()))], names=["file", "encoding", "sample"])
+
+
+def read_heads(spark: SparkSession, paths: list[str], encoding: str | None = None) -> DataFrame:
+    """The files of paths: source_idx, source_name, file, bytes, modified, encoding (the given one, or that of the first bytes)
+    and sample (the first lines; empty for an empty file). Reads the beginning of each file now, and writes what it found."""
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = {k: spark.conf.get(k) for k in names}
+    folder = new_folder(spark, "heads")
+    try:
+        for k in names:
+            spark.conf.set(k, _WHOLE)
+        raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
+        raw.mapInArrow(_head, "file string, encoding string, sample array<string>").write.parquet(folder)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    found = spark.read.schema("file string, encoding string, sample array<string>").parquet(folder)
+    known = source_map(spark, paths).join(found, "file", "left")
+    own = F.lit(encoding) if encoding else F.coalesce("encoding", F.lit("UTF-8"))
+    sample = F.transform(F.coalesce("sample", F.array().cast("array<string>")), strip_control)
+    known.select("source_idx", "source_name", "file", "bytes", "modified", own.alias("encoding"), sample.alias("sample")).write.parquet(f"{folder}-named")
+    return spark.read.parquet(f"{folder}-named")
+
+
+def placed_lines(spark: SparkSession, heads: DataFrame) -> DataFrame:
+    """The lines of files (read_heads): source_idx, block, place (rising in a block) and text; no shuffle but for very many files.
+
+    LF, CRLF and CR all end a line, LF and CRLF in UTF-16; a last line without an end counts.
+    """
+    files = heads.select("source_idx", "file", "encoding")
+    of = {r["wide"]: r for r in files.groupBy(F.when(F.col("encoding").isin(WIDE), F.col("encoding")).alias("wide")).agg(F.count(F.lit(1)).alias("n"), F.collect_list("file").alias("files")).collect()}
+    out = None
+    for wide, r in of.items():
+        reader = spark.read.option("encoding", wide).option("lineSep", "\n") if wide else spark.read
+        raw = reader.text(r["files"]).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"))
+        named = raw.join(F.broadcast(files) if r["n"] <= BROADCAST_FILES else files, "file")
+        text = F.regexp_replace(F.decode(F.col("raw").cast("binary"), wide), "\r$", "") if wide else decoded(F.col("raw"), F.col("encoding"))
+        # A mark of the byte order may begin a file.
+        text = F.when((F.col("block") == 0) & text.startswith("\ufeff"), F.substring(text, 2, 2_147_483_646)).otherwise(text)
+        some = named.select("source_idx", "block", "place", strip_control(text).alias("text"))
+        out = some if out is None else out.unionByName(some)
+    return out if out is not None else spark.createDataFrame([], "source_idx int, block long, place long, text string")
+
+
+def scan_lines(spark: SparkSession, paths: list[str] | DataFrame, max_lines: int = 0, encoding: str | None = None) -> DataFrame:
+    """Lines of files (paths, or what read_heads found), numbered within each.
 
     max_lines: the most lines read of each file; 0: all. encoding: decodes what is not valid UTF-8; None finds it for each file from its first bytes. Columns besides those of
     a lines table: truncated (the file has max_lines or more), modified (of the file).
     """
-    raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_modification_time").alias("modified"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
-    splits = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("lines", F.sum("n").over(Window.partitionBy("file")))
-    numbered = raw.join(splits, ["file", "block"]).withColumn("line_no", F.col("id") - F.col("first") + F.col("before") + 1)
+    heads = paths if isinstance(paths, DataFrame) else read_heads(spark, [paths] if isinstance(paths, str) else paths, encoding)
+    placed = placed_lines(spark, heads)
+    numbered = number(placed, ["source_idx"], "block", ["place"], "line_no")
+    about = heads.select("source_idx", "source_name", "modified", "encoding")
     if max_lines:
+        about = about.join(placed.groupBy("source_idx").agg(F.count(F.lit(1)).alias("lines")), "source_idx", "left")
         numbered = numbered.where(F.col("line_no") <= max_lines)
-    numbered = numbered.withColumn("truncated", F.lit(bool(max_lines)) & (F.col("lines") >= max_lines))
-    named = numbered.join(source_map(spark, paths), "file")
-    if encoding is None:
-        named = named.join(detect_encoding(named), "source_idx", "left")
-    else:
-        named = named.withColumn("encoding", F.lit(encoding))
-    return named.select("source_idx", "source_name", "block", "line_no", strip_control(decoded(F.col("raw"), F.col("encoding"))).alias("text"), "truncated", "modified", "encoding")
-
+    truncated = F.col("lines") >= max_lines if max_lines else F.lit(False)
+    return numbered.join(about, "source_idx").select("source_idx", "source_name", "block", "line_no", "text", truncated.alias("truncated"), "modified", "encoding")
 
-def detect_encoding(lines: DataFrame) -> DataFrame:
-    """source_idx and encoding, from each file's first 4 KB (lines: source_idx, line_no, raw)."""
-    upto = Window.partitionBy("source_idx").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    # Every line has a byte at least, so the head lies in the first 4096 lines.
-    head = lines.where(F.col("line_no") <= HEAD_BYTES).select("source_idx", "line_no", F.substring(F.col("raw").cast("binary"), 1, HEAD_BYTES).alias("bytes")).withColumn("at", F.coalesce(F.sum(F.length("bytes") + 1).over(upto), F.lit(0))).where(F.col("at") < HEAD_BYTES)
 
-    def guess(pdf):
-        import pandas as pd
+def document_sizes(heads: DataFrame, max_lines: int = 0, lines: DataFrame | None = None) -> DataFrame:
+    """What table.document_info shows of files (read_heads): source_idx, bytes, encoding, truncated (by max_lines, of scanned lines)."""
+    cut = lines.groupBy("source_idx").agg(F.max("truncated").alias("truncated")) if max_lines and lines is not None else None
+    out = heads.select("source_idx", "bytes", "encoding")
+    return out.join(cut, "source_idx", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False))) if cut is not None else out.withColumn("truncated", F.lit(False))
 
-        data = b"\n".join(pdf.sort_values("line_no")["bytes"])[:HEAD_BYTES]
-        return pd.DataFrame({"source_idx": pdf["source_idx"][:1], "encoding": [encoding_of(data)]})
 
-    return head.groupBy("source_idx").applyInPandas(guess, "source_idx int, encoding string")
+def decode_line(raw: bytes, encoding: str) -> str:
+    """As decoded does, for lines of a head."""
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode(encoding if encoding in LEGACY else "utf-8", "replace")
 
 
 def encoding_of(data: bytes) -> str:
+    """The encoding of a file that begins with data."""
     if data.startswith(b"\xef\xbb\xbf"):
         return "UTF-8"
     if data.startswith((b"\xff\xfe", b"\xfe\xff")):
-        return "UTF-16"
+        return "UTF-16LE" if data[0] == 0xFF else "UTF-16BE"
     if data.count(0) * 5 > len(data):
-        return "UTF-16LE"
+        # In text the zeros are the high bytes.
+        return "UTF-16LE" if data[1::2].count(0) >= data[::2].count(0) else "UTF-16BE"
     for name in ["UTF-8", *LEGACY]:
         try:
             data.decode(name)

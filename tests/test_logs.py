@@ -95,7 +95,7 @@ def test_folding_over_splits(spark, tmp_path):
 def test_encodings(spark, tmp_path):
     assert encoding_of("中文日志".encode("gb18030")) == "GB18030"
     assert encoding_of("plain ü".encode()) == "UTF-8"
-    assert encoding_of(b"\xff\xfea\x00") == "UTF-16" and encoding_of(b"a\x00b\x00c\x00") == "UTF-16LE"
+    assert encoding_of(b"\xff\xfea\x00") == "UTF-16LE" and encoding_of(b"\xfe\xff\x00a") == "UTF-16BE" and encoding_of(b"a\x00b\x00c\x00") == "UTF-16LE"
     legacy_charsets(spark)
     (tmp_path / "g.log").write_bytes("错误 一\n信息 二\n".encode("gb18030"))
     assert [r["text"] for r in scan_lines(spark, [str(tmp_path / "g.log")]).orderBy("line_no").collect()] == ["错误 一", "信息 二"]
