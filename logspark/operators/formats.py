@@ -28,13 +28,15 @@ PYTHON = rf"^({STAMP}(?:[.,]\d{{1,6}})?)\s*[-–]\s*({LEVEL})\s*[-–:]\s*(?:([\
 SERILOG = rf"^({STAMP}(?:[.,]\d{{1,6}})?(?:\s*{ZONE})?)\s*\[(VRB|DBG|INF|WRN|ERR|FTL)\]\s*(.*)$"
 SERILOG_CLOCK = r"^\[(\d{2}:\d{2}:\d{2}(?:[.,]\d{1,6})?)\s+(VRB|DBG|INF|WRN|ERR|FTL)\]\s*(.*)$"
 LOG4J = rf"^({STAMP}(?:[.,]\d{{1,6}})?)\s+\[([^\]]*)\]\s*({LEVEL})\s+([\w.$]+)\s*[-:]\s*(.*)$"
-GENERIC_LEVEL = rf"^\s*({STAMP}(?:[.,]\d{{1,9}})?{ZONE}?)\s+\[?\(?({LEVEL}|ALERT|EMERG)\)?\]?\s*[:\-]?\s+(.*)$"
 GENERIC_TIME = rf"^\s*({STAMP}(?:[.,]\d{{1,9}})?{ZONE}?)\s+(.*)$"
 GENERIC_SYSLOG = r"^\s*([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(.*)$"
-MESSAGE_LEVEL = rf"^\s*\[?({LEVEL}|ALERT|EMERG)\]?\s*[:\-]\s*(.*)$"
 ANCHORS = rf"{GENERIC_TIME}|{GENERIC_SYSLOG}"
-#: The three generic patterns in one: time, level and message; time and rest; syslog time and rest.
-GENERIC = rf"^\s*(?:({STAMP}(?:[.,]\d{{1,9}})?{ZONE}?)\s+(?:\[?\(?({LEVEL}|ALERT|EMERG)\)?\]?\s*[:\-]?\s+(.*)|(.*))|([A-Z][a-z]{{2}}\s+\d{{1,2}}\s+\d{{2}}:\d{{2}}:\d{{2}})\s+(.*))$"
+#: The generic patterns in one: time, then level and message, or a level that begins the message and the rest of it, or only a
+#: message; or syslog time and message.
+GENERIC = (
+    rf"^\s*(?:({STAMP}(?:[.,]\d{{1,9}})?{ZONE}?)\s+(?:\[?\(?({LEVEL}|ALERT|EMERG)\)?\]?\s*[:\-]?\s+(.*)|\[?({LEVEL}|ALERT|EMERG)\]?\s*[:\-]\s*(.*)|(.*))"
+    r"|([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(.*))$"
+)
 PAIR = r'([A-Za-z_][\w.\-]*)=("([^"]*)"|\S*)'
 FIELD = r"^\s*([A-Za-z][A-Za-z0-9_]*)\s*:\s?(.*)$"
 TIME_CREATED = r"^\s*TimeCreated\s*:"
@@ -288,20 +290,11 @@ def _iis() -> Fields:
     return {"parsed": pairs.isNotNull(), "time": N.parse_time(F.concat(at("date"), F.lit(" "), at("time"))), "raw_level": at("sc-status"), "level": F.when(at("sc-status") == "", "OTHER").otherwise(N.http_level(at("sc-status"))), "host": at("s-ip"), "extra": F.coalesce(named, no_extra()), "message": F.trim(F.concat_ws(" ", at("cs-method"), at("cs-uri-stem"), at("sc-status")))}
 
 
-def _generic_match() -> Column:
-    """The groups of GENERIC, then those of a level that begins the message of a line with a time but without a level before it."""
-    found = groups(F.col("text"), GENERIC)
-    rest = F.get(found, F.lit(3))
-    return F.concat(found, F.when((F.size(found) > 1) & (F.get(found, F.lit(1)) == "") & (rest != ""), groups(rest, MESSAGE_LEVEL)).otherwise(F.array().cast("array<string>")))
-
-
 def _generic() -> Fields:
-    parts = F.size("m")
-    matched, inner = parts >= 6, parts == 8
-    raw = F.when(inner, g(7)).when(matched, g(2)).otherwise("")
-    # At most one of the groups that may be the message is not empty.
-    message = F.when(inner, g(8)).when(matched, F.concat(g(3), g(4), g(6))).otherwise(F.col("text"))
-    return {"time": N.parse_time(F.when(matched, F.concat(g(1), g(5))), F.col("reference")), "raw_level": raw, "message": message}
+    matched = fits(GENERIC)
+    # Of the groups that may be the level, or the message, at most one is not empty.
+    time = F.when(matched & (g(1) != ""), N.parse_time(g(1))).when(matched, N.parse_time(g(7), F.col("reference")))
+    return {"time": time, "raw_level": F.when(matched, F.concat(g(2), g(4))).otherwise(""), "message": F.when(matched, F.concat(g(3), g(5), g(6), g(8))).otherwise(F.col("text"))}
 
 
 def _xml() -> Fields:
@@ -396,7 +389,7 @@ REGISTRY: list[FormatSpec] = [
     FormatSpec("wevt_tsv", "Windows event text export (tab separated)", _event_tsv, _event_tsv_starts, match=lambda: F.split("text", "\t"), score=_event_tsv_score, sequential=True, block=True),
     FormatSpec("wevt_xml", "Windows event XML export", _xml, lambda: F.lit(False), score=_event_xml_score, sequential=True),
     FormatSpec("iis_w3c", "IIS W3C log", _iis, _iis_starts, match=_iis_match, score=_iis_score, learn=_iis_learn),
-    FormatSpec("generic", "Generic text", _generic, lambda: F.col("text").rlike(ANCHORS) | ~F.coalesce(F.col("anchored"), F.lit(False)), lambda text: text.rlike(ANCHORS), _generic_match, learn=_generic_learn),
+    FormatSpec("generic", "Generic text", _generic, lambda: F.col("text").rlike(ANCHORS) | ~F.coalesce(F.col("anchored"), F.lit(False)), lambda text: text.rlike(ANCHORS), lambda: groups(F.col("text"), GENERIC), learn=_generic_learn),
 ]
 
 
