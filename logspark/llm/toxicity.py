@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
     rows = materialize(map_batches(train, scan, "toxic boolean, n long, best double, found array<double>, cells array<struct<cell:int,n:long>>"), "scanned")
     cells = rows.select(F.explode("cells").alias("c")).groupBy("c.cell").agg(F.sum("c.n").alias("n")).toPandas()
-    model.lam = karlin_lambda(cells["cell"].to_numpy(float) * CELL, cells["n"].to_numpy(float))
+    model.lam = karlin_lambda(cells["cell"].to_numpy(float) * CELL, cells["n"].to_numpy(float), max(model.lexicon.values()) - DRIFT)
     k = rows.where("not toxic").agg((F.count(F.lit(1)) / F.sum(F.col("n") * F.exp(-model.lam * F.col("best")))).alias("k")).first()["k"]
     model.k = k or model.k
     base = F.log(F.greatest(F.lit(1e-300), model.k * F.col("n")))
@@ -213,8 +213,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return model
 
 
-def karlin_lambda(scores: np.ndarray, counts: np.ndarray) -> float:
-    """The positive root of E exp(lambda s) = 1 over scores of negative mean; without one, the smallest lambda considered."""
+def karlin_lambda(scores: np.ndarray, counts: np.ndarray, top: float) -> float:
+    """The positive root of E exp(lambda s) = 1 over scores of negative mean; if the mean is not, the smallest lambda considered.
+    If no score is positive, one token of the score top stands for what was not seen."""
+    if len(scores) and scores.max() <= 0:
+        scores, counts = np.append(scores, top), np.append(counts, 1.0)
     if not len(scores) or scores.max() <= 0 or (scores * counts).sum() >= 0:
         return 0.1
     share = np.log(counts / counts.sum())
