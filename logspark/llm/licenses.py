@@ -1,14 +1,18 @@
 """License scan by patience alignment.
 
 Words that occur once in a passage and once in a template are anchors; the longest increasing run of anchors is kept and
-the gaps between them are aligned the same way. Coverage is the share of the template's words that are aligned.
+the gaps between them are aligned the same way; a gap without an anchor takes its longest common subsequence, which is the
+longest increasing run of all places of equal words. Coverage is the share of the template's words that are aligned.
 
 Only passages that can reach the coverage are aligned: windows of three times the template's length, half a length apart,
 that hold enough words of the template; so a notice spread over up to two and a half lengths lies whole in one. Where words
 that begin the template come again in a window, its parts between them are aligned as well, so notices in a row are told apart.
+A passage that does not hold the whole template is aligned once more within a length of its own on both sides, so that what is
+found does not depend on where windows begin.
 
-Edge cases: null and empty texts hold no notice; repeated rows are reported each; a template without words is refused;
-equal coverage goes to the first passage; an empty table gives no rows; of the input only id and text are read.
+Edge cases: null and empty texts hold no notice; very long texts are scanned whole, in the task that reads them; repeated rows
+and rows without an id are reported each; a template without words is refused; equal coverage goes to the first passage; an
+empty table gives no rows; of the input only id and text are read.
 """
 
 from __future__ import annotations
@@ -25,16 +29,79 @@ from .common import chunks, map_batches, words
 
 COVERAGE = 0.8
 
-#: Public license notices to look for.
+#: Public license notices and texts to look for.
+DISCLAIMER = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+BSD_ENDORSEMENT = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission. "
+)
+BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+    "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+    "following conditions: "
+)
+MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+    "copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES "
+    "WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY "
+    "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION "
+    "OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+    "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+    "alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must "
+    "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+    "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+    "software. 3. This notice may not be removed or altered from any source distribution."
+)
+APACHE_NOTICE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a "
+    "copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed "
+    "under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for "
+    "the specific language governing permissions and limitations under the License."
+)
+GPL_NOTICE = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+    "Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will "
+    "be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General "
+    "Public License for more details. You should have received a copy of the GNU General Public License along with this program."
+)
 TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "mit": "Released under the MIT License.",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software",
-    "apache-2.0-text": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "gpl-3.0-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "mit-grant": MIT_GRANT,
+    "mit-text": MIT_GRANT + MIT_NOTICE + DISCLAIMER,
+    "apache-2.0-notice": APACHE_NOTICE,
+    "gpl-3.0-notice": GPL_NOTICE,
+    "bsd-conditions": BSD_CONDITIONS,
+    "bsd-2-clause-text": BSD_CONDITIONS + BSD_DISCLAIMER,
+    "bsd-3-clause-text": BSD_CONDITIONS + BSD_ENDORSEMENT + BSD_DISCLAIMER,
+    "isc-text": ISC,
+    "zlib-text": ZLIB,
 }
 
 
@@ -58,6 +125,16 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def common(template: list[str], text: list[str], a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+    """A longest common subsequence of template[a:b] and text[c:d]: of each word's places in the text the last come first, so
+    an increasing run takes one of them at most."""
+    places: dict[str, list[int]] = {}
+    for y in range(d - 1, c - 1, -1):
+        places.setdefault(text[y], []).append(y)
+    pairs = [(x, y) for x in range(a, b) for y in places.get(template[x], ())]
+    return [pairs[i] for i in increasing([y for _, y in pairs])]
+
+
 def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
     """Aligned (template place, text place) pairs, increasing in both."""
     out: list[tuple[int, int]] = []
@@ -75,9 +152,12 @@ def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
         ours, theirs = Counter(template[a:b]), Counter(text[c:d])
         where = {w: k for k, w in enumerate(text[c:d], c) if theirs[w] == 1}
         anchors = [(k, where[w]) for k, w in enumerate(template[a:b], a) if ours[w] == 1 and w in where]
+        if not anchors:
+            out += common(template, text, a, b, c, d)
+            continue
         chain = [anchors[i] for i in increasing([y for _, y in anchors])]
         out += chain
-        for (p, q), (r, s) in zip([(a - 1, c - 1), *chain], [*chain, (b, d)], strict=True) if chain else ():
+        for (p, q), (r, s) in zip([(a - 1, c - 1), *chain], [*chain, (b, d)], strict=True):
             todo.append((p + 1, r, q + 1, s))
     return sorted(out)
 
@@ -123,8 +203,15 @@ def passages(text: list[str], held: np.ndarray, template: list[str], coverage: f
             done.add((at + s, at + e))
             part = window[s:e]
             if (Counter(part) & counts).total() >= need and len(pairs := align(template, part)) >= need:
-                place = at + s + pairs[0][1], at + s + pairs[-1][1] + 1
-                found[place] = max(found.get(place, 0), len(pairs))
+                place, score = (at + s + pairs[0][1], at + s + pairs[-1][1] + 1), len(pairs)
+                while score < n:
+                    # What lies beyond the window may hold more of the template.
+                    first = max(0, place[0] - n)
+                    pairs = align(template, text[first : place[1] + n])
+                    if len(pairs) <= score:
+                        break
+                    place, score = (first + pairs[0][1], first + pairs[-1][1] + 1), len(pairs)
+                found[place] = max(found.get(place, 0), score)
     spans = sorted(found)
 
     def holds_two(first: int, end: int) -> bool:

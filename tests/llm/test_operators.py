@@ -294,6 +294,18 @@ def test_alignment_is_a_common_subsequence():
         assert len(kept) == longest and kept == sorted(set(kept))
 
 
+def test_gaps_without_unique_words_are_aligned():
+    assert licenses.align("a b a b a b x".split(), "q a b a b a b y".split()) == [(i, i + 1) for i in range(6)]
+    rng = random.Random(24)
+    for _ in range(200):
+        a, b = (rng.choices("abcd", k=rng.randint(0, 10)) for _ in range(2))
+        longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                longest[i + 1][j + 1] = longest[i][j] + 1 if x == y else max(longest[i][j + 1], longest[i + 1][j])
+        assert len(licenses.common(a, b, 0, len(a), 0, len(b))) == longest[-1][-1]
+
+
 def test_notices_are_found(spark):
     rng = random.Random(10)
     apache = licenses.TEMPLATES["apache-2.0"]
@@ -318,7 +330,7 @@ def test_notices_at_every_offset_and_in_a_row():
         assert [(f[1], f[2]) for f in got] == [(offset, offset + len(spread))] and got[0][0] >= 0.84
     for name in licenses.TEMPLATES:
         notice = licenses.words(licenses.TEMPLATES[name])
-        for offset in (0, 3, 37, 50):
+        for offset in (0, 37):
             got = found(["x"] * offset + notice * 5 + ["x"] * 40, notice)
             assert sorted(f[1] for f in got) == [offset + k * len(notice) for k in range(5)] and {f[0] for f in got} == {1.0}
 
