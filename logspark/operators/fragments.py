@@ -110,83 +110,109 @@ def styled_spans(raw: DataFrame, keys: list[str], text: str = "raw", message: st
 SHORTEST, LONGEST, MOST = 8, 2000, 4
 _JSON_PART = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]"]', re.S)
 _XML_PART = re.compile(r"<!--.*?-->|<!--|<[^>]*>|<", re.S)
+# What begins a line of YAML.
 _YAML_KEY = re.compile(r"^\s*(?:-\s+)?[A-Za-z_][A-Za-z0-9_.\-]*\s*:(?:\s|$)")
 _YAML_ITEM = re.compile(r"^\s*-\s+\S")
 
 
-def json_end(text: str, start: int) -> int:
-    """The end of a balanced object or array, -1 if it is not closed."""
-    depth = 0
+def json_ends(text: str, start: int, ends: dict[int, int]) -> None:
+    """Adds to ends, for the bracket at start and each one passed on the way to its partner, the end of what it opens, -1 if
+    that is not closed; so no bracket is passed twice."""
+    opened: list[int] = []
     for m in _JSON_PART.finditer(text, start):
         c = m.group()
         if c == '"':
-            return -1
+            break
         if c in "{[":
-            depth += 1
+            opened.append(m.start())
         elif c in "}]":
-            depth -= 1
-            if not depth:
-                return m.end()
-    return -1
-
-
-def xml_end(text: str, start: int) -> tuple[int, int]:
-    """The end of a balanced element and its number of tags; (-1, 0) if there is none."""
-    depth = tags = 0
+            ends[opened.pop()] = m.end()
+            if not opened:
+                return
+    ends.update(dict.fromkeys(opened, -1))
+
+
+def xml_ends(text: str, start: int, ends: dict[int, tuple[int, int]]) -> None:
+    """Adds to ends, for the tag at start and each one passed on the way to its partner, the end of its element and the number of
+    tags in it, (-1, 0) if it has none. A tag that closes itself goes on to the element after it."""
+    tags: list[tuple[int, bool]] = []  # place, whether it stands alone
+    opened: list[int] = []
+    found: dict[int, tuple[int, int]] = {}
     for m in _XML_PART.finditer(text, start):
         tag = m.group()
         if tag in ("<", "<!--"):
-            return -1, 0
+            break
         if tag.startswith("<!--"):
+            tags.append((m.start(), True))
             continue
-        tags += 1
         if tag.startswith("</"):
-            depth -= 1
-            if depth <= 0:
-                return (m.end(), tags) if depth == 0 else (-1, 0)
-        elif not tag.endswith("/>"):
-            depth += 1
-    return -1, 0
+            if not opened:
+                break
+            k = opened.pop()
+            found[k] = m.end(), len(tags)
+            tags.append((m.start(), False))
+            if not opened:
+                break
+        else:
+            if not tag.endswith("/>"):
+                opened.append(len(tags))
+            tags.append((m.start(), tag.endswith("/>")))
+    comments = [0]
+    for place, _ in tags:
+        comments.append(comments[-1] + text.startswith("<!--", place))
+    end, last = -1, 0
+    for k in range(len(tags) - 1, -1, -1):
+        place, alone = tags[k]
+        if not alone:
+            end, last = found.get(k, (-1, 0))
+        ends[place] = (end, last - k + 1 - (comments[last + 1] - comments[k])) if end > 0 else (-1, 0)
+
+
+_BEGIN = re.compile(r"[{\[]|<[A-Za-z?!]")
 
 
 def snippets_of(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of at most MOST fragments: JSON and XML in text order, then YAML."""
+    """(kind, start, end) of at most MOST fragments: JSON (with a colon or a comma) and XML in text order, then YAML."""
     out: list[tuple[str, int, int]] = []
+    json_at: dict[int, int] = {}
+    xml_at: dict[int, tuple[int, int]] = {}
     at = 0
-    while len(out) < MOST and (m := re.compile(r"[{\[]|<[A-Za-z?!]").search(text, at)):
-        start, end, kind = m.start(), -1, "json"
-        if text[start] != "<":
-            end = json_end(text, start)
-            inner = text[start:end]
-            if not (SHORTEST <= end - start <= LONGEST and (":" in inner or "," in inner) and _likely_json(inner)):
-                end = -1
+    while len(out) < MOST and (m := _BEGIN.search(text, at)):
+        start, kind, tags = m.start(), "json" if text[m.start()] != "<" else "xml", 2
+        if kind == "json":
+            if start not in json_at:
+                json_ends(text, start, json_at)
+            end = json_at[start]
         else:
-            kind, (end, tags) = "xml", xml_end(text, start)
-            if tags < 2 or not SHORTEST <= end - start <= LONGEST:
-                end = -1
-        if end > 0:
-            out.append((kind, start, end))
-        at = end if end > 0 else start + 1
-    lines, place = text.split("\n"), 0
-    taken = [(s, e) for _, s, e in out]
-    block: list[tuple[int, int]] = []
-    for i, line in enumerate([*lines, ""]):
-        following = lines[i + 1] if i + 1 < len(lines) else ""
-        fits = i < len(lines) and bool(_YAML_KEY.match(line) or _YAML_ITEM.match(line) and (_YAML_KEY.match(following) or len(line.strip()) > 3))
-        fits = fits and not any(s < place + len(line) and e > place for s, e in taken)
+            if start not in xml_at:
+                xml_ends(text, start, xml_at)
+            end, tags = xml_at.get(start, (-1, 0))
+        fits = tags >= 2 and SHORTEST <= end - start <= LONGEST
+        fits = fits and (kind == "xml" or text.find(":", start, end) >= 0 or text.find(",", start, end) >= 0)
         if fits:
-            block.append((place, place + len(line)))
-        else:
-            if len(block) >= 2 and len(out) < MOST and block[-1][1] - block[0][0] <= LONGEST:
-                out.append(("yaml", block[0][0], block[-1][1]))
-            block = []
-        place += len(line) + 1
-    return out
+            out.append((kind, start, end))
+        at = end if fits else start + 1
+    return out + yaml_blocks(text, [(s, e) for _, s, e in out])[: MOST - len(out)]
 
 
-def _likely_json(text: str) -> bool:
-    """Something between the brackets that JSON could hold."""
-    return bool(re.match(r'[{\[]\s*(?:["{\[\d\-]|true|false|null|[A-Za-z_][\w.\-]*\s*:)', text))
+def yaml_blocks(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Runs of two lines or more that are YAML (a key, or an item that is long or has a key below it) and lie outside of what is taken."""
+    lines, place, block, out = text.split("\n"), 0, [], []
+    spans = []
+    for line in lines:
+        spans.append((place, place + len(line)))
+        place += len(line) + 1
+    keyed = [bool(_YAML_KEY.match(x)) for x in lines]
+    for k, (start, end) in enumerate([*spans, (place, place)]):
+        if k < len(lines):
+            listed = bool(_YAML_ITEM.match(lines[k])) and (len(lines[k].strip()) > 3 or k + 1 < len(lines) and keyed[k + 1])
+            if (keyed[k] or listed) and not any(s < end and e > start for s, e in taken):
+                block.append((start, end))
+                continue
+        if len(block) >= 2 and SHORTEST <= block[-1][1] - block[0][0] <= LONGEST:
+            out.append(("yaml", block[0][0], block[-1][1]))
+        block = []
+    return out
 
 
 TOKENS = {

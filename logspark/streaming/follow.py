@@ -3,6 +3,9 @@
 ``TailSource`` is a stream source of growing files: it hands out bytes up to the last line end, so an unfinished line
 waits; a file that shrinks or is replaced starts a new generation. ``follow_entries`` keeps, for each file and
 generation, the entry that may still grow; it is emitted when the next one begins or after a time without lines.
+
+What is appended to a file after the last poll before it is replaced is not seen. A generation is told by the file's first
+line, so a file that is replaced by one with the same first line and is not smaller is taken for the same file.
 """
 
 from __future__ import annotations
@@ -11,20 +14,27 @@ import glob
 import json
 import os
 import re
+import zlib
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
 
+from logspark.functions import normalize as N
 from logspark.functions.ansi import strip_control
 from logspark.operators import formats as X
 from logspark.operators.entries import parse_entries
 
+#: How often files are looked at.
 POLL = "300 milliseconds"
-#: Bytes of a file in one input partition.
-RANGE = 16 << 20
+#: Bytes of a file in one input partition, and of its first line that tell its generation.
+RANGE, FIRST_LINE = 16 << 20, 256
+#: The counters of a generation that had no line for so long are dropped.
+FORGET_MS = 24 * 3600 * 1000
 
 
 class _Range(InputPartition):
@@ -48,37 +58,36 @@ def last_line_end(path: str, start: int, end: int) -> int:
     return start
 
 
+def generation_of(path: str) -> int:
+    """A number that tells a file with a finished line from another of the same name: of its first line."""
+    with open(path, "rb") as f:
+        return zlib.crc32(re.split(rb"[\r\n]", f.read(FIRST_LINE))[0])
+
+
 class TailReader(DataSourceStreamReader):
-    """Offsets are {path: [generation, inode, bytes]} as JSON values."""
+    """Offsets are {path: [generation, bytes]} as a JSON value. They say all that is needed to go on, so a reader keeps nothing."""
 
     def __init__(self, pattern: str):
         self.pattern = pattern
-        self.known: dict[str, list[int]] = {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
-        for path in sorted(glob.glob(self.pattern)):
-            stat = os.stat(path)
-            generation, inode, done = self.known.get(path, [0, stat.st_ino, 0])
-            if stat.st_ino != inode or stat.st_size < done:
-                generation, done = generation + 1, 0
-            self.known[path] = [generation, stat.st_ino, last_line_end(path, done, stat.st_size)]
-        return {"files": json.dumps(self.known, sort_keys=True)}
+        found = {path: last_line_end(path, 0, os.stat(path).st_size) for path in sorted(glob.glob(self.pattern))}
+        return {"files": json.dumps({path: [generation_of(path), end] for path, end in found.items() if end}, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
-        if not self.known:
-            self.known = after
         out = []
-        for path, (generation, _, upto) in after.items():
-            had = before.get(path, [generation, 0, 0])
-            at = had[2] if had[0] == generation else 0
+        for path, (generation, upto) in after.items():
+            had, at = before.get(path, [generation, 0])
+            if had != generation or upto < at:
+                at = 0
             while at < upto:
-                cut = upto if upto - at <= RANGE else (last_line_end(path, at, at + RANGE) if last_line_end(path, at, at + RANGE) > at else upto)
-                out.append(_Range(path, generation, at, cut))
-                at = cut
+                cut = upto if upto - at <= RANGE else last_line_end(path, at, at + RANGE)
+                out.append(_Range(path, generation, at, cut if cut > at else upto))
+                at = out[-1].end
         return out
 
     def read(self, partition: _Range) -> Iterator[tuple]:
@@ -102,7 +111,7 @@ class TailSource(DataSource):
         return "log_tail"
 
     def schema(self) -> str:
-        return "file string, generation int, position long, raw string"
+        return "file string, generation long, position long, raw string"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return TailReader(self.options["path"])
@@ -116,19 +125,40 @@ def tail(spark: SparkSession, path: str) -> DataFrame:
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the lines of files that are put into a folder whole: file, generation (0), position (the line's number from 0), raw.
-    A file is one row before its lines are, so files should be cut to what a task can hold, as rotated logs are."""
+    A file is one row before its lines are, so files should be cut to what a task can hold, as rotated logs are; where lines
+    need no order, landed_lines takes files of any size."""
     whole = spark.readStream.option("wholetext", "true").text(folder).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"(\r\n|\r|\n)\z", "").alias("value"))
     lines = F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("position", "raw")
-    return whole.where(F.length("value") > 0).select("file", lines).select("file", F.lit(0).alias("generation"), F.col("position").cast("long").alias("position"), "raw")
+    return whole.where(F.length("value") > 0).select("file", lines).select("file", F.lit(0).cast("long").alias("generation"), F.col("position").cast("long").alias("position"), "raw")
 
 
-FOLDED = "file string, generation int, entry_no long, entry_start long, lines array<string>"
+def landed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the lines of files that are put into a folder whole: file, raw; large files are split."""
+    return spark.readStream.text(folder).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
+
+
+FOLDED = "file string, generation long, entry_no long, entry_start long, lines array<string>"
 STATE = "open array<string>, start long, line_no long, entry_no long"
 
 
-def follow_folded(lines: DataFrame, spec: X.FormatSpec, flush_after_ms: int = 1000) -> DataFrame:
-    """Closed entries of a stream of lines, as their lines. State for each file and generation: the open entry's lines and two counters."""
-    marked = lines.withColumn("text", strip_control(F.col("raw"))).withColumn("anchored", F.lit(True)).withColumn("start", spec.starts()).select("file", "generation", "position", "text", "start")
+def _learned(lines: DataFrame, spec: X.FormatSpec, heads: DataFrame | None, name: str) -> DataFrame:
+    """lines with what the format learns of each file's head (sources.lines.read_heads), by the file's name; without heads,
+    plain logs count as ones whose entries begin with a time."""
+    if not spec.learn:
+        return lines
+    if heads is None:
+        if spec.id == "generic":
+            return lines.withColumn("anchored", F.lit(True))
+        raise ValueError(f"{spec.id} needs the heads of the files that are followed")
+    known = heads.groupBy(F.col("source_name").alias(name)).agg(F.first("sample").alias("sample")).select(name, *(c.alias(k) for k, c in spec.learn().items()))
+    return lines.join(F.broadcast(known), name, "left")
+
+
+def follow_folded(lines: DataFrame, spec: X.FormatSpec, flush_after_ms: int = 1000, heads: DataFrame | None = None, forget_after_ms: int = FORGET_MS) -> DataFrame:
+    """Closed entries of a stream of lines, as their lines. State for each file and generation: the open entry's lines and two
+    counters, until nothing came for forget_after_ms. A task holds what one micro-batch brings of one file."""
+    text = _learned(lines.withColumn("text", strip_control(F.col("raw"))), spec, heads, "file")
+    marked = text.withColumn("start", spec.starts()).select("file", "generation", "position", "text", "start")
 
     def step(key, batches, state):
         held, begun, line_no, entry_no = state.get if state.exists else ([], 0, 0, 0)
@@ -147,23 +177,46 @@ def follow_folded(lines: DataFrame, spec: X.FormatSpec, flush_after_ms: int = 10
         elif held:
             out.append((key[0], key[1], entry_no, begun, held))
             entry_no, held = entry_no + 1, []
+        else:
+            state.remove()
+            return
         state.update((held, begun, line_no, entry_no))
-        if held:
-            state.setTimeoutDuration(flush_after_ms)
+        state.setTimeoutDuration(flush_after_ms if held else forget_after_ms)
         yield pd.DataFrame(out, columns=["file", "generation", "entry_no", "entry_start", "lines"])
 
     return marked.groupBy("file", "generation").applyInPandasWithState(step, FOLDED, STATE, "append", "ProcessingTimeTimeout")
 
 
-def follow_entries(lines: DataFrame, format: str, flush_after_ms: int = 1000) -> DataFrame:
-    """A stream of entries, with generation: of files that all have the named format. An unfinished last line waits for its end."""
+def follow_entries(lines: DataFrame, format: str, flush_after_ms: int = 1000, heads: DataFrame | None = None, reference: date | None = None) -> DataFrame:
+    """A stream of entries, with generation: of files that all have the named format. An unfinished last line waits for its end.
+
+    heads: what read_heads found of the files, for formats that learn from it. A date that a line lacks is that of the file's name, else reference.
+    """
     spec = X.find_format(format)
-    folded = follow_folded(lines, spec, flush_after_ms).withColumn("text", F.col("lines")[0])
-    ready = folded.select(F.lit(0).alias("source_idx"), F.col("file").alias("source_name"), "generation", "entry_no", "entry_start", F.col("generation").alias("block"), "lines", "text", F.current_date().alias("reference"))
-    parsed = parse_entries(ready.withColumn("entry_start", F.struct("generation", "entry_no", "entry_start")), spec)
+    folded = follow_folded(lines, spec, flush_after_ms, heads).withColumn("text", F.col("lines")[0])
+    day = F.coalesce(N.date_of_name(F.col("file")), F.lit(reference).cast("date"))
+    place = F.struct("generation", "entry_no", "entry_start").alias("entry_start")
+    ready = folded.select(F.lit(0).alias("source_idx"), F.col("file").alias("source_name"), F.col("generation").alias("block"), place, "lines", "text", day.alias("reference"))
+    parsed = parse_entries(_learned(ready, spec, heads, "source_name"), spec)
     return parsed.select("source_name", F.col("entry_start.generation").alias("generation"), F.col("entry_start.entry_no").alias("entry_no"), F.col("entry_start.entry_start").alias("first_line"), "physical_lines", "time", "level", "level_idx", "raw_level", "thread", "target", "host", "pid", "extra", "message")
 
 
+def line_entries(lines: DataFrame, format: str, heads: DataFrame | None = None, reference: date | None = None) -> DataFrame:
+    """A stream in which every line is an entry of its own, for counts and filters that need no continuations: source_name and the fields of an entry."""
+    spec = X.find_format(format)
+    day = F.coalesce(N.date_of_name(F.col("file")), F.lit(reference).cast("date"))
+    text = strip_control(F.col("raw"))
+    ready = lines.select(F.lit(0).alias("source_idx"), F.col("file").alias("source_name"), F.lit(0).alias("block"), F.lit(0).alias("entry_start"), F.array(text).alias("lines"), text.alias("text"), day.alias("reference"))
+    return parse_entries(_learned(ready, spec, heads, "source_name"), spec).drop("source_idx", "block", "entry_start")
+
+
 def running_level_counts(entries: DataFrame) -> DataFrame:
     """For outputMode complete."""
     return entries.groupBy("level_idx", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def start(stream: DataFrame, sink: str, checkpoint: str, name: str | None = None, mode: str = "append", poll: str | None = POLL, **options) -> StreamingQuery:
+    """Starts a query that looks for new lines every ``poll``; with None it takes what is there and ends."""
+    writer = stream.writeStream.format(sink).outputMode(mode).option("checkpointLocation", checkpoint).options(**options)
+    writer = writer.queryName(name) if name else writer
+    return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()

@@ -1,7 +1,12 @@
 """Following files: appended lines, unfinished lines, truncation, entries that grow."""
 
+import json
 import time
 
+import pytest
+
+from logspark.operators.table import FilterSpec, apply_filter
+from logspark.sources.lines import read_heads
 from logspark.streaming import follow
 
 
@@ -23,14 +28,23 @@ def test_tail_reader(tmp_path):
     r = follow.TailReader(str(tmp_path / "*.log"))
     read = lambda a, b: [(x[1], x[2], x[3]) for p in r.partitions(a, b) for x in r.read(p)]
     first = r.latestOffset()
-    assert read(r.initialOffset(), first) == [(0, 0, "one"), (0, 4, "two")]
+    got = read(r.initialOffset(), first)
+    assert [x[1:] for x in got] == [(0, "one"), (4, "two")]
     with f.open("ab") as g:
         g.write(b"tial line\r\nx\r")
+    # A reader of a query that starts again goes on where the offset says.
+    r = follow.TailReader(str(tmp_path / "*.log"))
     second = r.latestOffset()
-    assert read(first, second) == [(0, 8, "partial line")]
-    f.write_bytes(b"new\n")
+    assert read(first, second) == [(got[0][0], 8, "partial line")] and read(second, r.latestOffset()) == []
+    # A replaced file is read from its beginning, as another generation, also if it is larger.
+    f.write_bytes(b"new\n" * 20)
     third = r.latestOffset()
-    assert read(second, third) == [(1, 0, "new")]
+    found = read(second, third)
+    assert [x[1:] for x in found] == [(4 * k, "new") for k in range(20)] and found[0][0] != got[0][0]
+    f.write_bytes(b"new\n")
+    assert [x[2] for x in read(third, r.latestOffset())] == ["new"]
+    f.write_bytes(b"unfinished")
+    assert json.loads(r.latestOffset()["files"]) == {}
 
 
 def test_follow_folds_across_batches(spark, tmp_path):
@@ -48,3 +62,21 @@ def test_follow_folds_across_batches(spark, tmp_path):
     finally:
         q.stop()
     assert got == [(0, 1, "ERROR", "failed\n  at a\n  at b"), (1, 4, "INFO", "ok")]
+
+
+def test_follow_tables_and_start(spark, tmp_path):
+    logs = tmp_path / "tables"
+    logs.mkdir()
+    (logs / "a.csv").write_text("Time,Level,Message\n2026-01-01T00:00:00Z,WARN,one\n2026-01-01T00:00:01Z,INFO,two\n")
+    (logs / "b.csv").write_text("Time;Level;Message\n2026-01-01T00:00:02Z;ERROR;three\n")
+    heads = read_heads(spark, [str(logs)])
+    entries = follow.follow_entries(follow.tail(spark, str(logs / "*.csv")), "csv_tsv", 500, heads)
+    q = follow.start(apply_filter(entries, FilterSpec(frozenset(["WARN", "ERROR"]))), "memory", str(tmp_path / "checkpoint"), "tables")
+    try:
+        wait_for(lambda: spark.table("tables").count() == 2)
+        got = {(r["source_name"], r["level"], r["message"]) for r in spark.table("tables").collect()}
+    finally:
+        q.stop()
+    assert got == {("a.csv", "WARN", "one"), ("b.csv", "ERROR", "three")}
+    with pytest.raises(ValueError):
+        follow.follow_entries(follow.tail(spark, str(logs / "*.csv")), "csv_tsv")
