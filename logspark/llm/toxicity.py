@@ -39,7 +39,7 @@ PREFIXES = (6, 5, 4)
 #: and the expected number by chance below which a segment is significant.
 PRIOR, DRIFT, MAX_E = 2.0, 1.0, 0.05
 #: A token whose log-odds differ less from its beginning's is taken for it, and one in fewer rows of both classes is not counted.
-TOLERANCE, LEAST_TOXIC, LEAST_EXPECTED = 0.2, 2, 0.5
+TOLERANCE, LEAST_TOXIC, LEAST_EXPECTED = 0.4, 2, 1.0
 FOLDS = 4
 #: Width of a cell of the histogram of token scores.
 CELL = 0.05
@@ -158,8 +158,9 @@ def _counts(train: DataFrame) -> pd.DataFrame:
     total = counts.where("feature = ''").toPandas()
     other, toxic = ("+".join(columns[:FOLDS]), "+".join(columns[FOLDS:]))
     share = total[columns[FOLDS:]].to_numpy().sum() / max(1, total[columns[:FOLDS]].to_numpy().sum())
-    # A rare word in rows of one class tells nothing under the prior.
-    return pd.concat([total, counts.where(f"feature <> '' and ({toxic} >= {LEAST_TOXIC} or ({other}) * {float(share)} >= {LEAST_EXPECTED})").toPandas()])
+    # A rare word tells nothing under the prior, nor does one that both classes hold as often; the driver sees the others.
+    tells = f"abs(ln(({toxic} + {PRIOR}) / (({other}) * {float(share)} + {PRIOR}))) >= {TOLERANCE}"
+    return pd.concat([total, counts.where(f"feature <> '' and ({toxic} >= {LEAST_TOXIC} or ({other}) * {float(share)} >= {LEAST_EXPECTED}) and {tells}").toPandas()])
 
 
 def lexicon_without(counts: pd.DataFrame, fold: int | None = None) -> dict[str, float]:
@@ -187,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     if not model.lexicon:
         return model
     left_out = [lexicon_without(counts, f) for f in range(FOLDS)]
+    del counts
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = [_TokenScores(x) for x in left_out]
