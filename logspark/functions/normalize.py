@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,13 +12,13 @@ LEVELS = ["TRACE", "DEBUG", "INFO", "NOTICE", "WARN", "ERROR", "FATAL", "OTHER"]
 
 # Level tokens, syslog priorities, numeric event levels, month names, candidate keys.
 LEVEL_TOKENS = {
-    "TRACE": "TRACE TRC VERBOSE VRB 详细",
-    "DEBUG": "DEBUG DBG D",
-    "INFO": "INFO INF I INFORMATION 信息 成功",
-    "NOTICE": "NOTICE NOT",
-    "WARN": "WARN WARNING WRN W 警告",
-    "ERROR": "ERROR ERR E SEVERE 错误",
-    "FATAL": "FATAL FTL CRITICAL CRIT ALERT EMERG EMERGENCY PANIC 严重",
+    "TRACE": ["TRACE", "TRC", "VERBOSE", "VRB", "详细"],
+    "DEBUG": ["DEBUG", "DBG", "D"],
+    "INFO": ["INFO", "INF", "I", "INFORMATION", "信息", "成功"],
+    "NOTICE": ["NOTICE", "NOT"],
+    "WARN": ["WARN", "WARNING", "WRN", "W", "警告"],
+    "ERROR": ["ERROR", "ERR", "E", "SEVERE", "错误"],
+    "FATAL": ["FATAL", "FTL", "CRITICAL", "CRIT", "ALERT", "EMERG", "EMERGENCY", "PANIC", "严重"],
 }
 PRIORITIES = {0: "FATAL", 1: "FATAL", 2: "FATAL", 3: "ERROR", 4: "WARN", 5: "NOTICE", 6: "INFO", 7: "DEBUG"}
 EVENT_LEVELS = {0: "INFO", 1: "FATAL", 2: "ERROR", 3: "WARN", 4: "INFO", 5: "TRACE"}
@@ -37,6 +38,11 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), where of uses the value more than once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -44,7 +50,7 @@ def or_empty(c: Column) -> Column:
 def normalize_level(text: Column) -> Column:
     """One of LEVELS: the token without brackets and punctuation, if it is a known one of at most 12 characters."""
     token = F.regexp_replace(F.regexp_replace(F.trim(or_empty(text)), r"^[\[({<\s]+", ""), r"[\])}>:,\-\s]+$", "")
-    tokens = {t: level for level, ts in LEVEL_TOKENS.items() for t in ts.split()}
+    tokens = {t: level for level, ts in LEVEL_TOKENS.items() for t in ts}
     return F.when(F.length(token) > 12, "OTHER").otherwise(F.coalesce(F.try_element_at(literal_map(tokens), F.upper(token)), F.lit("OTHER")))
 
 
@@ -93,10 +99,13 @@ def parse_time(text: Column, reference: Column | None = None) -> Column:
 
 def time_of_value(text: Column, reference: Column | None = None) -> Column:
     """parse_time, or for a number the seconds, milliseconds (over 1e12) or microseconds (over 1e15) since 1970."""
-    trimmed = F.trim(or_empty(text))
-    n = F.when(trimmed.rlike(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"), trimmed.try_cast("double"))
-    ms = F.when(n > 1e15, n / 1000).when(n > 1e12, n).otherwise(n * 1000)
-    return F.when(n.isNotNull(), F.timestamp_millis(ms.cast("long"))).otherwise(parse_time(trimmed, reference))
+
+    def read(trimmed: Column) -> Column:
+        n = F.when(trimmed.rlike(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"), trimmed.try_cast("double"))
+        ms = F.when(n > 1e15, n / 1000).when(n > 1e12, n).otherwise(n * 1000)
+        return F.when(n.isNotNull(), F.timestamp_millis(ms.cast("long"))).otherwise(parse_time(trimmed, reference))
+
+    return let(F.trim(or_empty(text)), read)
 
 
 def date_of_name(name: Column) -> Column:

@@ -48,8 +48,8 @@ def fold_entries(lines: DataFrame) -> DataFrame:
 
 def parse_entries(folded: DataFrame, spec: X.FormatSpec, merge_continuations: bool = True) -> DataFrame:
     """Folded lines as entries, without their numbers. What can't be parsed keeps its whole text as message, at level OTHER."""
-    # The match is a column of its own, which Spark does not compute again for each field.
-    folded = folded.withColumn("m", spec.match()) if spec.match else folded
+    # As the only element of an array that is exploded, the match is computed once: neither the fields nor filters on them repeat it.
+    folded = folded.select("*", F.explode(F.array(spec.match())).alias("m")) if spec.match else folded
     fields = spec.fields()
     parsed = F.coalesce(fields.pop("parsed", F.lit(True)), F.lit(False))
     raw = F.when(parsed, N.or_empty(fields.get("raw_level", F.lit("")))).otherwise("")

@@ -130,15 +130,20 @@ def json_map(text: Column) -> Column:
 
 
 def _json() -> Fields:
-    m = F.col("m")
-    raw = N.first_key(m, N.LEVEL_KEYS)
+    m, raw = F.col("m.all"), F.col("m.level")
     known = [k.lower() for keys in (N.TIME_KEYS, N.LEVEL_KEYS, N.MESSAGE_KEYS, N.HOST_KEYS, N.PID_KEYS, N.TARGET_KEYS) for k in keys]
     rest = F.map_filter(m, lambda k, v: ~F.lower(k).isin(known) & ~k.startswith("_") & (F.length(N.or_empty(v)) <= N.LONGEST_EXTRA))
-    return {"parsed": m.isNotNull(), "time": N.time_of_value(N.first_key(m, N.TIME_KEYS), F.col("reference")), "raw_level": raw, "level": F.when(raw.rlike(r"^\d+$"), N.level_from_priority(raw.try_cast("int"))).otherwise(N.normalize_level(raw)), "host": N.first_key(m, N.HOST_KEYS), "pid": N.first_key(m, N.PID_KEYS), "target": N.first_key(m, N.TARGET_KEYS), "extra": F.coalesce(F.transform_values(rest, lambda _, v: N.or_empty(v)), no_extra()), "message": N.first_key(m, N.MESSAGE_KEYS)}
+    level = F.when(raw.rlike(r"^\d+$"), N.level_from_priority(raw.try_cast("int"))).otherwise(N.normalize_level(raw))
+    return {
+        "parsed": m.isNotNull(), "time": N.time_of_value(F.col("m.stamp"), F.col("reference")), "raw_level": raw, "level": level, "host": F.col("m.host"), "pid": F.col("m.pid"),
+        "target": F.col("m.target"), "extra": F.coalesce(F.transform_values(rest, lambda _, v: N.or_empty(v)), no_extra()), "message": F.col("m.message"),
+    }
 
 
 def _json_match() -> Column:
-    return json_map(F.col("text"))
+    """The object, and its values that have columns of their own."""
+    keys = {"stamp": N.TIME_KEYS, "level": N.LEVEL_KEYS, "host": N.HOST_KEYS, "pid": N.PID_KEYS, "target": N.TARGET_KEYS, "message": N.MESSAGE_KEYS}
+    return N.let(json_map(F.col("text")), lambda m: F.struct(m.alias("all"), *(N.first_key(m, k).alias(name) for name, k in keys.items())))
 
 
 def _json_starts() -> Column:

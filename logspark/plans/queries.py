@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logspark.functions import normalize as N
@@ -18,8 +18,8 @@ from logspark.functions.match import Pattern, match_ranges
 from logspark.operators import detect, fragments
 from logspark.operators import table as T
 from logspark.operators.entries import entries_of_lines, read_logs
-from logspark.sources.event_xml import entries_of_events
-from logspark.sources.lines import lines_from_df, scan_lines
+from logspark.sources.event_xml import entries_of_events, read_event_xml
+from logspark.sources.lines import document_sizes, legacy_charsets, lines_from_df, read_heads, scan_lines
 from logspark.sources.scratch import new_folder
 from logspark.streaming import follow
 
@@ -174,7 +174,7 @@ def ingest_json_lines(spark, sf_dir):
 
 @query(sql_shown(LEVEL, host="'host' || (user_id % 4)", extra="'user=' || user_id"))
 def ingest_logfmt(spark, sf_dir):
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    legacy_charsets(spark)
     e = events(spark, sf_dir)
     return shown(entries_of_lines(as_lines(e, text("time=", "$iso", " level=", F.lower("lv"), ' msg="', "$msg", '" host=host', user(4), " user=", "$user_id"))))
 
@@ -217,9 +217,21 @@ def ingest_wevt_tsv(spark, sf_dir):
 
 @query(sql_shown({"view": "TRACE", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, target="'shop'", host="'host' || (user_id % 4)", extra="'Data=user=' || user_id || '; did=' || event_type || ';Event ID=7'", message="'user=' || user_id || '; did=' || event_type"))
 def ingest_wevt_xml(spark, sf_dir):
+    e = _event_xml(spark, sf_dir)
+    return shown(entries_of_events(e.select(F.lit(0).alias("source_idx"), F.lit("events.xml").alias("source_name"), F.floor(F.col("event_id") / 10_000).alias("block"), F.col("event_id").alias("position"), "xml")))
+
+
+@query(SQL["ingest_wevt_xml"].replace("row_number() OVER (ORDER BY event_id) - 1 AS entry_no, ", ""))
+def read_event_xml_files(spark, sf_dir):
+    folder = new_folder(spark, "event-xml")
+    _event_xml(spark, sf_dir).select(F.concat("xml", F.lit("</Event>")).alias("value")).write.text(folder)
+    return shown(read_event_xml(spark, [folder])).drop("entry_no")
+
+
+def _event_xml(spark, sf_dir) -> DataFrame:
+    """events with xml: each as an Event element without its end tag."""
     e = events(spark, sf_dir)
-    xml = text('<Event xmlns="urn:x"><System><Provider Name="shop"/><EventID>7</EventID><Level>', by_type(EVENT_NUMBER), '</Level><TimeCreated SystemTime="', "$iso", '"/><Computer>host', user(4), '</Computer></System><EventData><Data Name="user">', "$user_id", '</Data><Data Name="did">', "$event_type", "</Data></EventData>")
-    return shown(entries_of_events(e.select(F.lit(0).alias("source_idx"), F.lit("events.xml").alias("source_name"), F.floor(F.col("event_id") / 10_000).alias("block"), F.col("event_id").alias("position"), xml.alias("xml"))))
+    return e.withColumn("xml", text('<Event xmlns="urn:x"><System><Provider Name="shop"/><EventID>7</EventID><Level>', by_type(EVENT_NUMBER), '</Level><TimeCreated SystemTime="', "$iso", '"/><Computer>host', user(4), '</Computer></System><EventData><Data Name="user">', "$user_id", '</Data><Data Name="did">', "$event_type", "</Data></EventData>"))
 
 
 @query(sql_shown({"view": "INFO", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, host="'10.0.0.' || (user_id % 4)", extra="'UserAgent=agent' || (user_id % 16)", message="'GET /' || event_type || ' ' || " + sql_case(STATUS), fmt="%Y-%m-%d %H:%M:%S", tail=" || '.000'"))
@@ -244,18 +256,24 @@ def detect_format_mixed(spark, sf_dir):
 
 
 def document_lines(spark, sf_dir) -> DataFrame:
-    """Each document below a title line that starts an entry."""
-    d = load(spark, sf_dir, "documents").where("text is not null")
-    return lines_from_df(d, F.col("doc_id"), text("2024-01-01 00:00:00 INFO doc ", "$doc_id", "\n", strip_control(F.col("text"))))
+    """Each document below a title line that starts an entry; a null text is an empty line."""
+    d = load(spark, sf_dir, "documents")
+    return lines_from_df(d, F.col("doc_id"), text("2024-01-01 00:00:00 INFO doc ", "$doc_id", "\n", strip_control(F.coalesce("text", F.lit("")))))
 
 
-@query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 2 AS physical_lines, 'doc ' || doc_id || chr(10) || text AS message FROM documents WHERE text IS NOT NULL")
+DOCUMENTS = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+
+
+@query(f"SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 2 AS physical_lines, 'doc ' || doc_id || chr(10) || text AS message FROM {DOCUMENTS}")
 def fold_continuations(spark, sf_dir):
     e = entries_of_lines(document_lines(spark, sf_dir), "generic")
     return e.select(F.regexp_extract("message", r"^doc (\d+)", 1).cast("long").alias("doc_id"), F.col("physical_lines").cast("long").alias("physical_lines"), "message")
 
 
-@query("SELECT source, count(*) AS entries, sum(length(line)) AS chars FROM (SELECT 'first' AS source, 'doc ' || doc_id AS line FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'rest', unnest(string_split(text, chr(10))) FROM documents WHERE text IS NOT NULL) GROUP BY source")
+@query(
+    f"SELECT source, count(*) AS entries, sum(length(line)) AS chars FROM (SELECT 'first' AS source, 'doc ' || doc_id AS line FROM {DOCUMENTS} "
+    f"UNION ALL SELECT 'rest', unnest(string_split(text, chr(10))) FROM {DOCUMENTS}) GROUP BY source"
+)
 def no_merge_continuations(spark, sf_dir):
     e = entries_of_lines(document_lines(spark, sf_dir), "generic", merge_continuations=False)
     return e.groupBy(F.when(F.col("raw_level") == "INFO", "first").otherwise("rest").alias("source")).agg(F.count(F.lit(1)).alias("entries"), F.sum(F.length("message")).alias("chars"))
@@ -333,9 +351,9 @@ def match_ranges_regex(spark, sf_dir):
     return d.where(F.size("r") > 0).select("doc_id", F.size("r").cast("long").alias("found"), F.col("r")[0]["start"].cast("long").alias("first_start"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])') AS hit FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, coalesce(regexp_matches(text, '(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])'), false) AS hit FROM documents")
 def match_ranges_word(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where("text is not null")
+    d = load(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return d.select("doc_id", (F.size(match_ranges(F.col("text"), Pattern("the", case_sensitive=True))) > 0).alias("hit"))
 
 
@@ -358,9 +376,11 @@ def column_fill(spark, sf_dir):
 
 @query(f"WITH f AS ({FILL_SQL.format(t='(SELECT * FROM events ORDER BY event_id LIMIT 200)')}) SELECT string_agg(c, ',' ORDER BY k) AS columns FROM (SELECT 0 AS k, 'line' AS c UNION ALL SELECT CASE \"column\" WHEN 'time' THEN 1 WHEN 'level' THEN 2 ELSE 3 + row_number() OVER (ORDER BY \"column\") END, \"column\" FROM f WHERE filled * 2 >= total UNION ALL SELECT 99, 'message')")
 def infer_columns(spark, sf_dir):
-    # The columns, as the table they make would name them.
-    columns = T.infer_columns(sparse_entries(spark, sf_dir))
-    return events(spark, sf_dir).agg(F.lit(",".join(columns)).alias("columns"))
+    # The columns of the table that they make, as its rows would name them.
+    entries = sparse_entries(spark, sf_dir)
+    table = T.wide_table(entries, T.infer_columns(entries))
+    named = [F.max(F.when(F.col(f"`{c}`").isNotNull(), F.lit(c))) for c in table.columns if c not in ("source_idx", "entry_no")]
+    return table.agg(F.concat_ws(",", *named).alias("columns"))
 
 
 @query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS entry_no, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS time, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE '' END AS half, user_id::VARCHAR AS \"user\" FROM events")
@@ -392,10 +412,18 @@ def time_merge(spark, sf_dir):
     return T.merge_numbers(T.time_merge(_four_sources(spark, sf_dir))).select("merge_no", "message")
 
 
-@query("SELECT substr(source, 4)::INT AS source_idx, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS entry_no, doc_id::VARCHAR AS message FROM documents WHERE regexp_matches(source, '^src[0-9]+$')")
+# Sources are numbered by name; a missing name is the last.
+SOURCE_SQL = "(SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS LAST) - 1 AS source_idx FROM documents)"
+
+
+@query(f"SELECT source_idx::INT AS source_idx, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) - 1 AS entry_no, doc_id::VARCHAR AS message FROM {SOURCE_SQL}")
 def concat_no_time(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where(F.col("source").rlike("^src[0-9]+$"))
-    e = entries_of_lines(lines_from_df(d, F.col("doc_id"), F.col("doc_id").cast("string"), F.substring("source", 4, 9).cast("int"), F.col("source")), "generic")
+    d = load(spark, sf_dir, "documents")
+    names = d.select("source").distinct()
+    # One row for each source.
+    numbered = names.withColumn("i", (F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1).cast("int"))
+    d = d.join(numbered.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    e = entries_of_lines(lines_from_df(d, F.col("doc_id"), F.col("doc_id").cast("string"), F.col("i"), F.coalesce("source", F.lit(""))), "generic")
     merged, timed = T.merge_documents(e)
     assert not timed
     return merged.select("source_idx", "entry_no", "message")
@@ -425,9 +453,9 @@ def http_levels(spark, sf_dir):
 # Escapes and fragments -----------------------------------------------------------------------------------------------
 
 
-@query("SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL")
+@query("SELECT conv_id, turn, text FROM conversations")
 def strip_control_codes(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations").where("text is not null")
+    c = load(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", strip_control(text("\x1b[31m", "$text", "\x1b[0m\x1b]0;title\x07\x1b(B")).alias("text"))
 
 
@@ -446,7 +474,7 @@ def json_snippets(spark, sf_dir):
 
 @query()
 def xml_snippets(spark, sf_dir):
-    return fragments.extract_snippets(load(spark, sf_dir, "pages").where("html is not null"), ["page_id"], "html")
+    return fragments.extract_snippets(load(spark, sf_dir, "pages"), ["page_id"], "html")
 
 
 @query("SELECT token, (count(*) * CASE token WHEN 'Punctuation' THEN 3 ELSE 1 END)::BIGINT AS n FROM events, (VALUES ('Key'), ('Number'), ('Punctuation')) AS t(token) WHERE length(props) >= 8 GROUP BY token")
@@ -458,7 +486,7 @@ def snippet_token_counts(spark, sf_dir):
 # Files and streams ---------------------------------------------------------------------------------------------------
 
 
-@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS entry_no, 'doc ' || doc_id || chr(9) || 'INFO' AS head, 'doc ' || doc_id || ' ' || replace(text, chr(10), ' ') AS value FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS entry_no, 'doc ' || doc_id || chr(9) || 'INFO' AS head, 'doc ' || doc_id || ' ' || replace(text, chr(10), ' ') AS value FROM {DOCUMENTS}")
 def export_flat_tsv(spark, sf_dir):
     e = entries_of_lines(document_lines(spark, sf_dir), "generic")
     flat = T.text_rows(e, ["message"], flat=True)
@@ -485,15 +513,145 @@ def scan_numbered_lines(spark, sf_dir):
     return lines.agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("source_idx", "line_no").alias("distinct_places"), F.max("encoding").alias("encoding"))
 
 
+def stream_rows(spark, stream: DataFrame, mode: str, ends: bool = True) -> DataFrame:
+    """What a stream has put out when all that is there is read."""
+    name = f"rows_{new_folder(spark, 's').rpartition('-')[2]}"
+    q = follow.start(stream, "memory", new_folder(spark, "stream"), name, mode, None if ends else follow.POLL)
+    try:
+        q.awaitTermination() if ends else q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.table(name)
+
+
 @query(SQL["level_counts_generic"].replace("LEFT JOIN", "JOIN"))
 def stream_level_counts(spark, sf_dir):
-    lines = follow.landed(spark, event_files(spark, sf_dir))
-    marked = lines.select(F.lit(0).alias("source_idx"), F.col("file").alias("source_name"), F.lit(0).alias("block"), F.col("position").alias("entry_start"), F.array(strip_control(F.col("raw"))).alias("lines"), strip_control(F.col("raw")).alias("text"), F.current_date().alias("reference"))
-    from logspark.operators.entries import parse_entries
-    from logspark.operators.formats import find_format
-
-    counts = follow.running_level_counts(parse_entries(marked, find_format("generic")))
-    name = f"levels_{abs(hash(new_folder(spark, 's')))}"
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("level_idx").cast("int").alias("level_idx"), "level", F.col("n").cast("long").alias("n"))
+    entries = follow.line_entries(follow.landed_lines(spark, event_files(spark, sf_dir)), "generic")
+    found = stream_rows(spark, follow.running_level_counts(entries), "complete")
+    return found.select(F.col("level_idx").cast("int").alias("level_idx"), "level", F.col("n").cast("long").alias("n"))
+
+
+@query(f"SELECT level, message FROM {ENTRY_SQL} WHERE level = 'ERROR' AND contains(message, '7')")
+def tail_filtered(spark, sf_dir):
+    # A followed file is opened by its path.
+    folder = event_files(spark, sf_dir).removeprefix("file://")
+    entries = follow.line_entries(follow.tail(spark, f"{folder}/part-*.txt"), "generic")
+    spec = T.FilterSpec(frozenset(["ERROR"]), pattern=Pattern("7", "regex"))
+    return stream_rows(spark, T.apply_filter(entries, spec).select("level", "message"), "append", ends=False)
+
+
+# Limits, encodings, sinks --------------------------------------------------------------------------------------------
+
+
+@query("SELECT (user_id % 4)::INT AS source_idx, least(count(*), 50) AS lines, count(*) >= 50 AS truncated FROM events GROUP BY 1")
+def limit_lines(spark, sf_dir):
+    folder = new_folder(spark, "by-user")
+    e = events(spark, sf_dir).select("event_id", user(4).alias("u"), "msg").repartition("u").sortWithinPartitions("event_id")
+    e.select("u", F.col("msg").alias("value")).write.partitionBy("u").text(folder)
+    lines = scan_lines(spark, [f"{folder}/u={u}" for u in range(4)], max_lines=50)
+    return lines.groupBy("source_idx").agg(F.count(F.lit(1)).alias("lines"), F.max("truncated").alias("truncated"))
+
+
+ENCODINGS = ["UTF-16LE", "UTF-16BE", "GB18030"]
+
+
+def encoded_files(spark, sf_dir) -> list[str]:
+    """Events as text in a folder for each of ENCODINGS."""
+    legacy_charsets(spark)
+    out = []
+    for name in ENCODINGS:
+        out.append(new_folder(spark, "encoded"))
+        rows = events(spark, sf_dir).select(F.concat(F.lit("用户 "), "msg").alias("value"))
+        rows.write.option("encoding", name).option("quote", "").csv(out[-1])
+    return out
+
+
+@query("SELECT encoding, count(*) AS lines, sum(length('用户 user ' || user_id || ' did ' || event_type)) AS chars, count(*) AS marked FROM events, (VALUES " + ", ".join(f"('{x}')" for x in ENCODINGS) + ") AS t(encoding) GROUP BY encoding")
+def decode_lines(spark, sf_dir):
+    lines = scan_lines(spark, encoded_files(spark, sf_dir))
+    return lines.groupBy("encoding").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("text").startswith("用户 user ")).alias("marked"))
+
+
+@query("SELECT 'generic' AS format_id, count(*) AS entries, sum(length(strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' ' || " + sql_case(LEVEL) + " || ' user ' || user_id || ' did ' || event_type) + 1)::BIGINT AS bytes, 'UTF-8' AS encoding, false AS truncated FROM events")
+def document_facts(spark, sf_dir):
+    heads = read_heads(spark, [event_files(spark, sf_dir)])
+    entries = entries_of_lines(scan_lines(spark, heads).drop("truncated"), "generic")
+    return T.document_info(entries, document_sizes(heads)).select("format_id", "entries", "bytes", "encoding", "truncated")
+
+
+@query(f"SELECT doc_id, sum(n) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n + 1 AS first_line FROM (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 2 AS n FROM {DOCUMENTS})")
+def first_lines(spark, sf_dir):
+    e = entries_of_lines(document_lines(spark, sf_dir), "generic")
+    return e.select(F.regexp_extract("message", r"^doc (\d+)", 1).cast("long").alias("doc_id"), "first_line")
+
+
+@query(
+    "SELECT event_id, strftime(CASE WHEN t >= DATE '2024-07-02' THEN t - INTERVAL 1 YEAR ELSE t END, '%Y-%m-%d %H:%M:%S') AS time "
+    "FROM (SELECT event_id, date_trunc('second', ts) + to_days((event_id % 300)::INT) AS t FROM events)"
+)
+def year_rollover(spark, sf_dir):
+    e = load(spark, sf_dir, "events").withColumn("t", F.col("ts") + F.make_dt_interval((F.col("event_id") % 300).cast("int")))
+    line = text(F.date_format("t", "MMM dd HH:mm:ss"), " host shop[1]: ", "$event_id")
+    entries = entries_of_lines(lines_from_df(e, F.col("event_id"), line), "syslog3164", reference=date(2024, 6, 30))
+    return entries.select(F.col("message").cast("long").alias("event_id"), F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"))
+
+
+def half_timed(spark, sf_dir) -> DataFrame:
+    """JSON entries, of which every fifth has no time."""
+    e = events(spark, sf_dir)
+    line = F.to_json(F.struct(F.when(F.col("event_id") % 5 != 0, F.col("iso")).alias("time"), F.col("event_id").cast("string").alias("message")))
+    return entries_of_lines(as_lines(e, line), "json_lines")
+
+
+@query(f"SELECT event_id::VARCHAR AS message FROM events WHERE event_id % 5 = 0 OR date_trunc('millisecond', ts) BETWEEN TIMESTAMP '{FROM}' AND TIMESTAMP '{TO}'")
+def filter_with_untimed(spark, sf_dir):
+    return T.apply_filter(half_timed(spark, sf_dir), T.FilterSpec(start=FROM, end=TO, include_untimed=True)).select("message")
+
+
+@query("SELECT preset, event_id::VARCHAR AS message FROM events, (VALUES ('today', 720), ('90m', 90)) AS p(preset, minutes) WHERE event_id % 5 <> 0 AND date_trunc('millisecond', ts) " f"BETWEEN TIMESTAMP '{TO}' - to_minutes(minutes) AND TIMESTAMP '{TO}'")
+def filter_presets(spark, sf_dir):
+    out = None
+    for name in ("today", "90m"):
+        first, last = T.time_preset(name, TO)
+        rows = T.apply_filter(half_timed(spark, sf_dir), T.FilterSpec(start=first, end=last)).select(F.lit(name).alias("preset"), "message")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT event_id, 'xml' AS kind, 5 AS start, length(x) AS length, x AS text FROM (SELECT event_id, '<e id=\"' || event_id || '\"><kind>' || event_type || '</kind><br/></e>' AS x FROM events)")
+def xml_snippets_of_events(spark, sf_dir):
+    x = text('<e id="', "$event_id", '"><kind>', "$event_type", "</kind><br/></e>")
+    return fragments.extract_snippets(load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("got: "), x, F.lit(" < 3")).alias("message")), ["event_id"])
+
+
+@query("SELECT event_id, 'yaml' AS kind, 7 AS start, length(x) AS length, x AS text FROM (SELECT event_id, 'user: ' || user_id || chr(10) || 'kind: ' || event_type || chr(10) || '- item of a list' AS x FROM events)")
+def yaml_snippets_of_events(spark, sf_dir):
+    x = text("user: ", "$user_id", "\nkind: ", "$event_type", "\n- item of a list")
+    return fragments.extract_snippets(load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("report\n"), x, F.lit("\nthat is all")).alias("message")), ["event_id"])
+
+
+@query("SELECT token, (count(*) * n)::BIGINT AS n FROM events, (VALUES ('TagName', 5), ('Key', 1), ('AttributeValue', 1), ('Punctuation', 10)) AS t(token, n) GROUP BY token, n")
+def xml_token_counts(spark, sf_dir):
+    return fragments.snippet_tokens(xml_snippets_of_events(spark, sf_dir), ["event_id"]).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, 4::BIGINT AS fragments, 3 AS first_start FROM events")
+def snippet_budget(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("6: "), F.repeat(text('{"user": ', "$user_id", "} "), F.lit(6))).alias("message"))
+    return fragments.extract_snippets(e, ["event_id"]).groupBy("event_id").agg(F.count(F.lit(1)).alias("fragments"), F.min("start").alias("first_start"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY event_id))::VARCHAR AS line, " + sql_case(LEVEL) + " AS level, 'user \"' || user_id || '\", did' || chr(10) || event_type AS message FROM events")
+def export_csv(spark, sf_dir):
+    lines = as_lines(events(spark, sf_dir), text("$clock", " ", "$lv", ' user "', "$user_id", '", did\n', "$event_type"))
+    folder = new_folder(spark, "csv")
+    entries = entries_of_lines(lines, "generic").withColumn("first_line", F.col("entry_no") + 1)
+    T.write_csv(entries, ["line", "level", "message"], folder)
+    return spark.read.csv(folder, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).select("line", "level", "message")
+
+
+@query("SELECT " + sql_case(LEVEL) + " || chr(9) || 'user ' || user_id || ' did ' || event_type AS value FROM events")
+def export_text(spark, sf_dir):
+    folder = new_folder(spark, "text")
+    T.write_text(generic_entries(spark, sf_dir), ["level", "message"], folder)
+    return spark.read.text(folder)
