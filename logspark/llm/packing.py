@@ -13,6 +13,7 @@ needs, in the task that reads it; an empty table gives no rows; other columns of
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 import time
 import unicodedata
@@ -298,64 +299,63 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, seconds:
         if time.monotonic() > until:
             raise OutOfTime
 
-    def choices(counts: dict[int, int], largest: int, most_waste: int) -> Iterator[tuple[int, tuple[int, ...], int]]:
-        """(waste, pattern, how often) of an open decision."""
+    def choice(counts: dict[int, int], most_waste: int, k: int) -> tuple[int, tuple[int, ...], int] | None:
+        """(waste, pattern, how often) of the k-th choice of an open decision."""
+        largest = max(counts)
         rest = dict(counts)
         rest[largest] -= 1
-        for lost, filling in fillings(capacity - largest, rest, most_waste, tick):
-            pattern = (largest, *filling)
-            times = min(counts[x] // pattern.count(x) for x in set(pattern))
-            yield lost, pattern, times
-            if times > 1:
-                yield lost, pattern, 1
 
+        def every() -> Iterator[tuple[int, tuple[int, ...], int]]:
+            for lost, filling in fillings(capacity - largest, rest, most_waste, tick):
+                pattern = (largest, *filling)
+                times = min(counts[x] // pattern.count(x) for x in set(pattern))
+                yield lost, pattern, times
+                if times > 1:
+                    yield lost, pattern, 1
+
+        return next(itertools.islice(every(), k, None), None)
+
+    # One set of counts serves all decisions; a decision is [bins, waste, discrepancies left, choices tried, its pattern, how often].
+    counts = dict(start)
     try:
         allowed = 0
         while limit > bound:
             left_out = False
-            # An open decision: counts before it, the choices before it (a linked list), bins, waste, its choices, discrepancies left, choices tried.
-            stack = [[start, None, 0, 0, choices(start, max(start), (limit - 1) * capacity - total), allowed, 0]]
+            stack: list[list] = [[0, 0, allowed, 0, (), 0]]
             while stack:
                 tick()
-                counts, chosen, used, waste, options, spare, tried = node = stack[-1]
-                option = next(options, None) if tried <= spare else None
-                if option is None:
-                    left_out |= tried > spare
-                    stack.pop()
-                    continue
-                lost, pattern, times = option
-                node[-1] += 1
+                node = stack[-1]
+                used, waste, spare, tried, pattern, times = node
+                for x in pattern:
+                    counts[x] = counts.get(x, 0) + times
+                node[4] = ()
                 slack = (limit - 1) * capacity - total - waste
-                if lost > slack:
+                found = choice(counts, slack, tried) if tried <= spare and slack >= 0 else None
+                if found is None:
+                    left_out |= tried > spare
                     stack.pop()
                     continue
-                if lost:
-                    times = min(times, slack // lost)
-                rest = dict(counts)
+                lost, pattern, times = found
+                times = min(times, slack // lost) if lost else times
                 for x in pattern:
-                    rest[x] -= times
-                rest = {x: n for x, n in rest.items() if n}
-                now = (pattern, times, chosen)
+                    counts[x] -= times
+                    if not counts[x]:
+                        del counts[x]
+                node[3:] = tried + 1, pattern, times
                 used, waste = used + times, waste + lost * times
-                if not rest:
+                if not counts:
                     if used < limit:
-                        limit, best = used, now
+                        limit, best = used, [(n[4], n[5]) for n in stack]
                         if limit <= bound:
                             break
-                elif used + -(-sum(x * n for x, n in rest.items()) // capacity) < limit:
-                    stack.append([rest, now, used, waste, choices(rest, max(rest), (limit - 1) * capacity - total - waste), spare - tried, 0])
+                elif used + -(-(total - used * capacity + waste) // capacity) < limit:
+                    stack.append([used, waste, spare - tried, 0, (), 0])
             if not left_out:
                 break
             allowed = max(1, 2 * allowed)
     except OutOfTime:
         pass
-    if isinstance(best, list):
-        return best
-    out = []
-    while best:
-        pattern, times, best = best
-        out.append((pattern, times))
-    return out
+    return best
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, seconds: float = SECONDS) -> DataFrame:
