@@ -27,6 +27,7 @@ from .common import chunks, map_batches
 BITS = 16
 UNDETERMINED = "und"
 #: Labelled rows that the model is trained on, in expectation, in equal parts for each language that has enough.
+MAX_LANGUAGES = 256
 MAX_ROWS = 3000
 EPOCHS = 3
 #: FTRL-proximal: step, smoothing, and the elastic net's two penalties.
@@ -124,10 +125,13 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     Features are made where the rows are; one task trains on the sample, whose size max_rows bounds.
     """
     labelled = docs.where("lang is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    # One more than the bound tells that there are too many.
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     languages = sorted(counts)
     if not languages:
         return Model()
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages to learn; the model's table is bounded for {MAX_LANGUAGES}")
     shares = F.create_map(*(F.lit(v) for x in languages for v in (x, float(min(1.0, max_rows / len(languages) / counts[x])))))
     # The same hash for every language, so the share of one language does not hang on another's.
     sample = labelled.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30)) | (shares[F.col("lang")] >= 1.0))

@@ -117,7 +117,7 @@ FROM judged
 """,
     "op4_url_filter": """
 WITH parts AS (
-  SELECT page_id,
+  SELECT page_id, row_number() OVER () AS n,
     translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
   FROM pages),
@@ -125,7 +125,7 @@ rules(verdict, rule, rhost, rpath) AS (VALUES
   ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('allow', 'net/de/', 'net', '/de/'),
   ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')),
 fits AS (
-  SELECT p.*, r.rule, r.verdict, row_number() OVER (PARTITION BY p.page_id, p.host, p.path ORDER BY length(r.rule) DESC NULLS LAST, r.rule) AS k
+  SELECT p.*, r.rule, r.verdict, row_number() OVER (PARTITION BY p.n ORDER BY length(r.rule) DESC NULLS LAST, r.rule) AS k
   FROM parts p LEFT JOIN rules r ON ends_with('.' || p.host, '.' || r.rhost) AND starts_with(p.path, r.rpath))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE k = 1
 """,

@@ -516,6 +516,144 @@ def test_packed_ids_are_the_files_own(spark):
         assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
+# Brute force ---------------------------------------------------------------------------------------------------------
+
+
+def test_leaks_equal_brute_force(spark):
+    """Every document against every item, window by window."""
+    import os
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    items += [(9001, items[0][1]), (9002, None), (9003, "too short")]
+    docs += [(9100 + k, t) for k, (_, t) in enumerate(items[:5])] + [(9200, items[5][1].replace(items[5][1].split()[6], "7"))]
+    expect, D = {}, decontaminate
+    made = {i: D.windows_of_item(t) for i, t in items}
+    sizes = sorted({len(w[3].split(" ")) for ws in made.values() for w in ws})
+    held = {}
+    for i, ws in made.items():
+        for w in ws:
+            held.setdefault((w[0], w[3]), []).append((i, w))
+    for doc_id, text in docs:
+        along = {}
+        for reading, position, _, window, slots in D.windows_of_document(text, sizes, lambda h: np.ones(len(h), bool)):
+            for i, w in held.get((reading, window), ()):
+                along.setdefault((i, position - w[1], reading), {})[w[1]] = {"position": w[1], "places": w[6], "roles": w[5], "theirs": w[4], "ours": slots, "first": w[7], "end": w[8], "rich": w[9]}
+        places, alone = {}, set()
+        for (i, _, reading), found in along.items():
+            kept, enough = D.kept_windows(reading, list(found.values()))
+            for w, exact in kept:
+                for p in range(w["first"], w["end"]):
+                    places.setdefault(i, {})[p] = places.get(i, {}).get(p, False) or bool(w["rich"])
+                if enough:
+                    alone.add(i)
+        for i, got in places.items():
+            every = {w[1] for w in made[i] if w[0] == D.LITERAL}
+            rich = {w[1] for w in made[i] if w[0] == D.LITERAL and w[9]}
+            share = max(len(got) / len(every), sum(got.values()) / len(rich) if rich else 0)
+            if share >= D.COVERAGE or i in alone:
+                expect[doc_id, i] = round(share, 9)
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): round(r["coverage"], 9) for r in got.collect()} == expect and len(expect) >= 7
+
+
+def test_tree_equals_brute_force(spark):
+    """The same cuts in memory: weighted quantiles along the widest dimension."""
+    rng = random.Random(41)
+    rows = [(i if i % 4 else None, "x" * int(rng.paretovariate(1.2) * 20 % 3000), rng.choice(["en", "de"]), f"s{min(3, i % 7)}", 0) for i in range(1200)]
+    points = sharding.materialize(sharding.coordinates(spark.createDataFrame(rows, DOCS), "doc_id", "text", ["source", "lang"]), "points")
+    leaves, dims = 13, ["c0", "c1", "c2"]
+    got = {r["row"]: r["node"] for r in sharding.kd_partition(points, dims, "size", leaves).collect()}
+    data = points.collect()
+    expect = {}
+
+    def split(rows, first, span):
+        if span == 1:
+            expect.update((r["row"], first) for r in rows)
+            return
+        _, _, dim = max((max(r[d] for r in rows) - min(r[d] for r in rows), -k, d) for k, d in enumerate(dims))
+        goal, upto, cut = sum(r["size"] for r in rows) * (span // 2) / span, 0, None
+        for r in sorted(rows, key=lambda r: r[dim]):
+            upto += r["size"]
+            cut = r[dim]
+            if upto >= goal:
+                break
+        split([r for r in rows if r[dim] <= cut], first, span // 2)
+        split([r for r in rows if r[dim] > cut], first + span // 2, span - span // 2)
+
+    split(data, 0, leaves)
+    assert sum(got[r] == n for r, n in expect.items()) >= 0.995 * len(expect) and set(got.values()) == set(range(leaves))
+
+
+def test_toxicity_equals_plain_python(spark):
+    """Counts, left-out log-odds, lambda, K and curve from lists in memory."""
+    import math
+
+    import pandas as pd
+    import xxhash
+
+    rng, T = random.Random(42), toxicity
+    rows = []
+    for i in range(400):
+        text = prose(rng, rng.randint(20, 120)).split()
+        for _ in range(3 if i % 5 == 0 else i % 37 == 0):
+            text.insert(rng.randrange(len(text)), rng.choice(["zagnob", "frukels", "frukeli"]))
+        rows.append((i, " ".join(text), int(i % 5 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = T.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    key = spark.createDataFrame([(i, xxhash.xxh3_128_digest(ngram_set(t).tobytes())) for i, t, _ in rows], "i long, k binary")
+    fold = {r["i"]: r["f"] for r in key.select("i", F.pmod(F.xxhash64("k"), F.lit(T.FOLDS)).alias("f")).collect()}
+    counts = [Counter() for _ in range(2 * T.FOLDS)]
+    for i, t, y in rows:
+        words = set(t.split())
+        counts[y * T.FOLDS + fold[i]].update({f for w in words for f in T.features(w)})
+        counts[y * T.FOLDS + fold[i]][""] += len(words)
+    table = pd.DataFrame([{"feature": f, **{f"n{g}": c[f] for g, c in enumerate(counts)}} for f in set().union(*counts)])
+    toxic, other = table[[f"n{g}" for g in range(T.FOLDS, 2 * T.FOLDS)]].sum(axis=1), table[[f"n{g}" for g in range(T.FOLDS)]].sum(axis=1)
+    total = table["feature"] == ""
+    share = toxic[total].sum() / other[total].sum()
+    tells = np.abs(np.log((toxic + T.PRIOR) / (other * share + T.PRIOR))) >= T.TOLERANCE
+    table = table[total | ((toxic >= T.LEAST_TOXIC) | (other * share >= T.LEAST_EXPECTED)) & tells]
+    lexicon = T.lexicon_without(table)
+    assert model.lexicon.keys() == lexicon.keys() and all(abs(model.lexicon[f] - v) < 1e-12 for f, v in lexicon.items())
+    left_out = [T._TokenScores(T.lexicon_without(table, f)) for f in range(T.FOLDS)]
+    scanned = [(y, *T.scan_row(left_out[fold[i]], t)) for i, t, y in rows]
+    scores = np.concatenate([np.rint(s / T.CELL) * T.CELL for y, _, _, s in scanned if not y])
+    lam = T.karlin_lambda(scores, np.ones(len(scores)), max(lexicon.values()) - T.DRIFT)
+    k = sum(not y for y, *_ in scanned) / sum(n * math.exp(-lam * max(found, default=0.0)) for y, n, found, _ in scanned if not y)
+    assert abs(model.lam - lam) < 1e-6 * lam and abs(model.k - k) < 1e-6 * k
+    plain = T.Model(lexicon, lam, k)
+    x = np.array([math.log1p(T.evidence(plain, n, [(0, 0, s) for s in found])[0]) for _, n, found, _ in scanned])
+    plain.slope, plain.intercept = T._logistic(x, np.array([y for y, *_ in scanned], float))
+    got = {r["doc_id"]: r["score"] for r in T.score(docs, model).collect()}
+    T._scorers.clear()
+    assert all(abs(got[i] - s) < 1e-4 for (i, _, _), (s, _, _) in zip(rows, T.score_texts([t for _, t, _ in rows], plain), strict=True))
+
+
+def test_passages_equal_whole_alignment():
+    """A notice anywhere in a text covers as much as the longest common subsequence with the best stretch of words around it."""
+    rng = random.Random(43)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            left = 0
+            for j, y in enumerate(b, 1):
+                row[j], left = (left + 1 if x == y else max(row[j], row[j - 1])), row[j]
+        return row[-1]
+
+    template = [f"w{k}" for k in range(40)]
+    for _ in range(60):
+        notice = [w for w in template if rng.random() < rng.choice([0.7, 0.85, 1.0])]
+        for _ in range(rng.randint(0, 12)):
+            notice.insert(rng.randrange(len(notice) + 1), "gap")
+        text = ["x"] * rng.randint(0, 130) + notice + ["y"] * rng.randint(0, 130)
+        got = licenses.passages(text, np.array([w in set(template) for w in text], np.int64), template, 0.8)
+        best = lcs(template, text) / 40
+        assert [f[0] for f in got] == ([best] if best >= 0.8 else [])
+
+
 # Awkward tables ------------------------------------------------------------------------------------------------------
 
 
@@ -543,3 +681,41 @@ def test_empty_tables(spark):
     assert urlfilter.judge(empty(spark, "page_id long, url string"), queries.URL_RULES).count() == 0
     assert revisits.resolve(revisits.captures(empty(spark, "page_id long, url string, html string"))).count() == 0
     assert ann.nearest(empty(spark, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_awkward_pages_and_records(spark):
+    """Repeated and tied rows, null ids and columns with names that operators use."""
+    rows = [(1, "http://a.com/en/x", "<p>"), (1, "http://a.com/en/x", "<p>"), (2, None, None), (None, "http://b.org/es/", ""), (3, "http://" + "h" * 5000 + ".com/" + "p" * 50_000, "x" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("host", "path", "rule", "verdict", "canonical", "slice", "row", "revisit"):
+        pages = pages.withColumn(c, F.lit("clash"))
+    judged = urlfilter.judge(pages, queries.URL_RULES).collect()
+    assert Counter((r["page_id"], r["verdict"]) for r in judged) == Counter({(1, "block"): 2, (2, "allow"): 1, (None, "block"): 1, (3, "allow"): 1})
+    assert revisits.resolve(revisits.captures(pages.where("page_id is not null"))).count() == 4 * 2
+    kind = "record_id long, url string, time long, kind string, etag string, last_modified string, digest string, headers map<string,string>"
+    tied = [(1, "http://a.com/x", 5, "response", "a", None, "d1", {}), (1, "http://a.com/x", 5, "response", "a", None, "d1", {}), (2, "http://a.com/x", 5, "response", "b", None, "d2", None)] + [(3, "http://a.com/x", 5, "revisit", "b", None, None, None)] * 3
+    records = spark.createDataFrame(tied, kind)
+    for c in ("canonical", "slice", "row", "near", "carried", "revisit"):
+        records = records.withColumn(c, F.lit(1))
+    assert [(r["status"], r["response_id"], r["headers"]) for r in revisits.resolve(records).collect()] == [("resolved", 2, {})] * 3
+
+
+def test_awkward_vectors(spark):
+    rows = [(i if i % 3 else None, [float(i % 5), 1.0, float(i % 7)], "x") for i in range(90)] + [(20, [1.0, 2.0, 3.0], "y"), (20, [3.0, 2.0, 1.0], "y")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
+    for c in ("v", "q", "rep", "dim", "block", "score", "ids"):
+        table = table.withColumn(c, F.lit(1))
+    got = ann.nearest(table, F.col("vec_id") % 20 == 0).collect()
+    assert got and all(r["vec_id"] is not None and r["vec_id"] != r["query_id"] for r in got) and {r["query_id"] for r in got} == {20, 40, 80}
+
+
+def test_floods_of_rows_without_ids(spark):
+    """Thousands of equal rows without an id."""
+    docs = spark.createDataFrame([(None, "one two three", None, None, 0)] * 3000 + [(1, "four five", "en", "s", 0)], DOCS)
+    sizes = Counter(r["shard"] for r in sharding.shard(docs, leaves=6).collect())
+    assert sorted(sizes) == list(range(6)) and max(sizes.values()) - min(sizes.values()) < 40
+    packed = packing.pack(docs, queries.tokenizer_path()).collect()
+    assert len(packed) == 3001 and len({(r["sequence_id"], r["offset"]) for r in packed}) == 3001
+    model = toxicity.fit(docs, spark.createDataFrame([(1, 0), (None, 1)], "doc_id long, toxic int"))
+    assert toxicity.score(docs, model).count() == 3001
+    assert {(r["class_id"], r["links"]) for r in jaccard.near_duplicates(docs).collect()} == {(None, 2999), (1, 0)}
