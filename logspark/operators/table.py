@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions import normalize as N
 from logspark.functions.match import Pattern, finds, match_ranges, matches
+from logspark.sources.scratch import new_folder
 
 from .ordered import number, running_max
 
@@ -131,9 +132,10 @@ def find_rows(entries: DataFrame, pattern: Pattern, columns: list[str] = ("messa
 
 
 def find_matches(entries: DataFrame, pattern: Pattern, columns: list[str] = ("message",)) -> DataFrame:
-    """source_idx, entry_no, column, start, length of every match."""
+    """source_idx, entry_no, column, start, length of every match. Places are sought only in entries that a plain test lets through."""
+    hit = entries.where(N.fold([matches(N.cell_text(c), pattern) for c in columns]))
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), match_ranges(N.cell_text(c), pattern).alias("ranges")) for c in columns)))
-    return entries.select("source_idx", "entry_no", cells.alias("c")).select("source_idx", "entry_no", F.col("c.column").alias("column"), F.explode("c.ranges").alias("m")).select("source_idx", "entry_no", "column", "m.start", "m.length")
+    return hit.select("source_idx", "entry_no", cells.alias("c")).select("source_idx", "entry_no", F.col("c.column").alias("column"), F.explode("c.ranges").alias("m")).select("source_idx", "entry_no", "column", "m.start", "m.length")
 
 
 def match_count(entries: DataFrame, pattern: Pattern, columns: list[str] = ("message",)) -> DataFrame:
@@ -207,9 +209,13 @@ def merge_documents(entries: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def merge_numbers(merged: DataFrame) -> DataFrame:
-    """merge_no, from 0: each row's place, by hour of merge_time and then inside the hour."""
-    dealt = merged.withColumn("_all", F.lit(0)).withColumn("_hour", F.coalesce(F.floor(F.unix_timestamp("merge_time") / 3600), F.lit(-1 << 60)))
-    return number(dealt, ["_all"], "_hour", ["merge_time", "source_idx", "entry_no"], "merge_no", 0).drop("_all", "_hour")
+    """merge_no, from 0: each row's place. Rows are dealt to ranges of that order of about equal size, and written, so that
+    their ranges stay as they are; places are counted by range and then inside it."""
+    order = ["merge_time", "source_idx", "entry_no"]
+    folder = new_folder(merged.sparkSession, "merged")
+    merged.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(folder)
+    dealt = merged.sparkSession.read.parquet(folder).withColumn("_all", F.lit(0))
+    return number(dealt, ["_all"], "_range", order, "merge_no", 0).drop("_all", "_range")
 
 
 # Export --------------------------------------------------------------------------------------------------------------
