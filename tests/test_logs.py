@@ -253,3 +253,62 @@ def test_snippets_and_export(spark, tmp_path):
     assert '"1","DEBUG","started plugin listener"\n' in text
     T.write_text(e, ["line", "message"], str(tmp_path / "txt"))
     assert "5\tconnection closed" in "".join(p.read_text() for p in (tmp_path / "txt").glob("part-*"))
+
+
+@pytest.mark.parametrize("encoding,mark", [("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("utf-16-le", b""), ("utf-16-be", b"")])
+def test_wide_files(spark, tmp_path, encoding, mark):
+    legacy_charsets(spark)
+    texts = ["2026-01-01 00:00:00 ERROR größer 错误", "  at x", "", "2026-01-01 00:00:01 INFO ok"]
+    (tmp_path / "w.log").write_bytes(mark + "\r\n".join(texts).encode(encoding))
+    assert [r["text"] for r in scan_lines(spark, [str(tmp_path)]).orderBy("line_no").collect()] == texts
+    got = read_logs(spark, [str(tmp_path)]).orderBy("entry_no").collect()
+    assert [(r["level"], r["message"], r["first_line"]) for r in got] == [("ERROR", "größer 错误\n  at x\n", 1), ("INFO", "ok", 4)]
+
+
+@pytest.mark.parametrize("split", [300, 1000, 1 << 20])
+def test_entries_over_splits(spark, tmp_path, split):
+    """Entries, some longer than a split of their file, whatever the splits."""
+    rng = random.Random(split)
+    for name in ("a", "b"):
+        lines, expect = ["before the first entry"], []
+        for k in range(60):
+            more = [f"  more {j} " + "x" * rng.randint(0, 60) for j in range(rng.choice([0, 0, 0, 1, 3, 25]))]
+            expect.append((name + ".log", k, len(lines) + 1, len(more) + 1, "\n".join([f"entry {k}", *more])))
+            lines += [f"2026-01-01 00:00:{k:02d} INFO entry {k}", *more]
+        (tmp_path / f"{name}.log").write_text("\n".join(lines) + "\n")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            every = read_logs(spark, [str(tmp_path)]).where(F.col("source_name") == name + ".log").orderBy("entry_no").collect()
+            cut = read_logs(spark, [str(tmp_path / f"{name}.log")], max_lines=40).orderBy("entry_no").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [(r["source_name"], r["entry_no"], r["first_line"], r["physical_lines"], r["message"]) for r in every] == expect
+        assert all(r["truncated"] for r in cut) and sum(r["physical_lines"] for r in cut) == 39
+
+
+def test_a_registered_format_scores_and_learns(spark):
+    """A format of one's own, with a score over the sample and a word that it learns from the head."""
+    spec = X.FormatSpec(
+        "own", "Own", lambda: {"parsed": F.size("m") == 2, "raw_level": F.get("m", F.lit(0)), "message": F.concat(F.get("m", F.lit(1)), F.lit(" of "), F.col("who"))},
+        lambda: F.col("text").startswith("@"), match=lambda: F.split(F.substring("text", 2, 1000), "@"),
+        score=lambda: F.when(F.col("sample")[0].startswith("#own "), 99).otherwise(0), learn=lambda: {"who": F.substring(F.col("sample")[0], 6, 100)})
+    X.register_format(spec)
+    try:
+        with pytest.raises(ValueError):
+            X.register_format(spec)
+        got = parsed(spark, "#own me\n@WARN@one\nmore\n@INFO@two")
+        assert [(r["format_id"], r["level"], r["message"]) for r in got] == [("own", "WARN", "one of me\nmore"), ("own", "INFO", "two of me")]
+        assert [r["id"] for r in X.list_formats(spark).orderBy("rank").collect()][-2:] == ["own", "generic"]
+    finally:
+        X.REGISTRY.remove(spec)
+    with pytest.raises(detect.FormatMismatch):
+        entries_of_lines(lines_of(spark, "2026-01-01T00:00:00Z  INFO w ThreadId(1) a: b", '{"time": 1, "message": "x"}'))
+
+
+def test_fragments_that_json_and_yaml_take():
+    kinds = lambda t: [k for k, _, _ in fragments.snippets_of(t)]
+    assert kinds("{ one, two }") == ["json"] and kinds("[alpha, beta, gamma]") == ["json"]
+    assert kinds("a: 1\nb: 2") == ["yaml"] and kinds("a:\nb:") == []
+    assert len(fragments.snippets_of("<b>" * 20_000 + "{" * 20_000)) == 0
