@@ -53,7 +53,7 @@ CHUNK_BITS = 20
 #: Units of measure and number words that become placeholders.
 UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons pound pounds lb lbs oz ounce ounces ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur mph kmh kb mb gb tb watt watts volt volts degree degrees celsius fahrenheit meter meters metre metres kilometer kilometers".split())
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%€$£°]|[.!?:\n]")
+TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?:\n]|\d+(?:[.,:/]\d+)*|[%€$£°]")
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 _STOP = frozenset(".!?:\n")
 
@@ -115,26 +115,27 @@ def _kind(t: str) -> int:
 
 #: The low bits of a token's hash are left for its class.
 CLASS = np.uint64(7)
+#: Tokens whose hashes a worker keeps; twice that at most.
+TOKEN_CACHE = 250_000
 
 
 class _Tokens(dict):
-    """A token's hash, lower-cased, with its class in the low bits."""
+    """A token's hash, lower-cased, with its class in the low bits, as eight bytes."""
 
     def __init__(self):
         super().__init__()
-        self.older: dict[str, int] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, t: str) -> int:
+    def __missing__(self, t: str) -> bytes:
         value = self.older.get(t)
         if value is None:
-            value = word_hash(t.lower()) & ~7 | _kind(t)
-        if len(self) >= 120_000:
+            value = (word_hash(t.lower()) & ~7 | _kind(t)).to_bytes(8, "little")
+        if len(self) >= TOKEN_CACHE:
             self.older = dict(self)
             self.clear()
         self[t] = value
         return value
 
-
     def release(self) -> None:
         self.older = {}
         self.clear()
@@ -160,11 +161,11 @@ _SLOTS = [token_hashes([slot])[0] for slot in (NUM, UNIT, NAME)]
 def _reading_hashes(text: str | None) -> list[np.ndarray]:
     """token_hashes of each reading's tokens; none of INITIALS where it equals TEMPLATE."""
     found = TOKEN.findall(text or "")
-    h = np.fromiter(map(_tokens.__getitem__, found), np.uint64, len(found))
+    h = np.frombuffer(b"".join(map(_tokens.__getitem__, found)), "<u8")
     if not len(h):
         return [h, h, h]
     kind = (h & CLASS).astype(np.int8)
-    h &= ~CLASS
+    h = h & ~CLASS
     begins = np.concatenate([[True], kind[:-1] == 1])
     kept = kind != 1
     kind, h = kind[kept], h[kept]
