@@ -6,8 +6,8 @@ with a query are a slice of it. A query descends all trees to the longest prefix
 together, and ascends tree by tree for the last of them; candidates are scored on the original vectors.
 
 The index is cut into blocks of rows whose sorted arrays are built once and written; blocks of queries search them, and the
-best of all blocks are kept. In a block of n rows the ascent ends when the slices are expected to hold k + ``SHARE`` n rows,
-at every size.
+best of all blocks are kept. In a block of n rows the ascent ends when the slices are expected to hold
+k + ``CANDIDATES`` n ** ``GROWTH`` rows, at every size.
 
 Edge cases: vectors that are null, empty, zero or hold a null or non-finite component take no part; vectors of other
 lengths are not candidates of each other; equal vectors are one point of the index with its smallest ids, which is
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 TREES, BITS = 96, 32
-#: Share of a block's rows that are candidates. Recall against brute force rests on it.
-SHARE = 0.4
+#: How many of a block's n rows are candidates: k + CANDIDATES * n ** GROWTH. Recall against brute force rests on it.
+CANDIDATES, GROWTH = 1.6, 0.86
 #: Bytes of vectors in a block of the index, and queries of a block.
 BLOCK_BYTES, QUERIES = 8 << 20, 8_192
 
@@ -89,10 +89,10 @@ class Forest:
         stays = np.arange(len(self.keys))[:, None] > ascended[None, :]
         return np.where(stays, lo_before, lo), np.where(stays, hi_before, hi)
 
-    def search(self, queries: np.ndarray, k: int, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    def search(self, queries: np.ndarray, k: int, candidates: float = CANDIDATES, growth: float = GROWTH) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the k best rows found (ties to the first rows) and their inner products."""
         n = len(self.rows)
-        lo, hi = self.ascend(queries, min(n, k + share * n))
+        lo, hi = self.ascend(queries, min(n, k + candidates * n**growth))
         out = []
         for q in range(len(queries)):
             mark = np.zeros(n, bool)
@@ -112,7 +112,7 @@ class Forest:
 FOREST = "dim int, block int, reps binary, vectors binary, keys binary, ranks binary"
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", trees: int = TREES, share: float = SHARE, block_bytes: int = BLOCK_BYTES, query_block: int = QUERIES) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", trees: int = TREES, candidates: float = CANDIDATES, growth: float = GROWTH, block_bytes: int = BLOCK_BYTES, query_block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row that is_query picks (an expression on id_column)."""
     table = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(takes_part("v") & F.col("vec_id").isNotNull())
     table = materialize(table, "vectors")
@@ -146,7 +146,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "ve
         near = np.frombuffer(block["reps"], np.int64)
         of = lambda name, kind, n: np.frombuffer(block[name], kind).reshape(n, -1)
         forest = Forest(of("vectors", np.float64, len(near)), of("keys", np.uint32, trees), of("ranks", np.uint32, trees))
-        found = forest.search(np.vstack(asked["asked"].to_list()), k + 1, share)
+        found = forest.search(np.vstack(asked["asked"].to_list()), k + 1, candidates, growth)
         return pd.DataFrame({"rep": np.repeat(asked["rep"].to_numpy(), [len(i) for i, _ in found]), "near": np.concatenate([near[i] for i, _ in found]), "score": np.concatenate([s for _, s in found])})
 
     key = ["dim", "block", "part"]
