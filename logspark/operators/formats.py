@@ -318,27 +318,35 @@ def count(test: Callable[[Column], Column]) -> Column:
     return F.size(F.filter("sample", test))
 
 
-def _csv_profile() -> tuple[Column, Column, Column]:
-    """Whether the sample is a table, its delimiter and header."""
+def _csv_profile() -> Column:
+    """table (whether the sample is one), delimiter and header."""
     head = F.col("sample")[0]
     counts = [F.struct((F.length(head) - F.length(F.replace(head, F.lit(d)))).alias("n"), F.lit(-k).alias("k"), F.lit(d).alias("d")) for k, d in enumerate(CSV_DELIMITERS)]
-    best = F.greatest(*counts)
-    delimiter = F.when(best["n"] > 0, best["d"])
-    cells = lambda text: reduce(lambda out, d: out.when(delimiter == d, N.split_cells(text, d)), CSV_DELIMITERS, F.when(F.lit(False), F.array().cast("array<string>")))
-    header = cells(head)
-    named = F.size(F.filter(header, lambda c: F.trim(c).rlike(CSV_NAME))) * 100 >= F.size(header) * 70
-    rows = F.slice("sample", 2, 19)
-    alike = F.size(F.filter(rows, lambda r: F.size(cells(r)) == F.size(header))) * 100 >= F.size(rows) * 60
-    return delimiter.isNotNull() & (F.size("sample") >= 2) & named & alike, delimiter, header
+
+    def by(delimiter: Column) -> Column:
+        def cells(text: Column) -> Column:
+            none = F.when(F.lit(False), F.array().cast("array<string>"))
+            return reduce(lambda out, d: out.when(delimiter == d, N.split_cells(text, d)), CSV_DELIMITERS, none)
+
+        def of(header: Column) -> Column:
+            named = F.size(F.filter(header, lambda c: F.trim(c).rlike(CSV_NAME))) * 100 >= F.size(header) * 70
+            rows = F.slice("sample", 2, 19)
+            alike = F.size(F.filter(rows, lambda r: F.size(cells(r)) == F.size(header))) * 100 >= F.size(rows) * 60
+            table = delimiter.isNotNull() & (F.size("sample") >= 2) & named & alike
+            return F.struct(F.coalesce(table, F.lit(False)).alias("table"), delimiter.alias("delimiter"), header.alias("header"))
+
+        return N.let(cells(head), of)
+
+    return N.let(F.greatest(*counts), lambda best: N.let(F.when(best["n"] > 0, best["d"]), by))
 
 
 def _csv_score() -> Column:
-    return F.when(F.coalesce(_csv_profile()[0], F.lit(False)), 90).otherwise(0)
+    return F.when(_csv_profile()["table"], 90).otherwise(0)
 
 
 def _csv_learn() -> Fields:
-    _, delimiter, header = _csv_profile()
-    return {"csv_delimiter": delimiter, "csv_header": header, "csv_header_line": F.col("sample")[0]}
+    found = _csv_profile()
+    return {"csv_delimiter": found["delimiter"], "csv_header": found["header"], "csv_header_line": F.col("sample")[0]}
 
 
 def _iis_fields() -> tuple[Column, Column]:
