@@ -35,9 +35,15 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     level = F.when(F.col("l_returnflag") == "R", "ERROR").when(F.col("l_returnflag") == "A", "WARN").otherwise("INFO")
-    head = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), level, F.lit(" order "), "l_orderkey", F.lit(" line "), "l_linenumber", F.lit(" part "), "l_partkey")
+    head = F.concat(
+        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), level, F.lit(" order "), "l_orderkey", F.lit(" line "), "l_linenumber",
+        F.lit(" part "), "l_partkey",
+    )
     # Every tenth entry has two lines more, as a stack trace would.
-    text = F.when(F.col("l_partkey") % 10 == 0, F.concat(head, F.lit("\n  at supplier "), "l_suppkey", F.lit("\n  at quantity "), F.col("l_quantity").cast("string"))).otherwise(head)
+    text = F.when(
+        F.col("l_partkey") % 10 == 0,
+        F.concat(head, F.lit("\n  at supplier "), "l_suppkey", F.lit("\n  at quantity "), F.col("l_quantity").cast("string")),
+    ).otherwise(head)
     folder = new_folder(spark, "bench-logs")
     rows.repartitionByRange(8, "l_shipdate").sortWithinPartitions("l_shipdate").select(text.alias("value")).write.text(folder)
     entries = lambda: read_logs(spark, [folder], max_lines=0)
@@ -58,7 +64,10 @@ def main() -> None:
         began = time.time()
         run()
         took[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "log_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": float(sf_dir.rstrip("/").rpartition("sf")[2] or 0)}))
+    print(json.dumps({
+        "metric": "log_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took,
+        "sf": float(sf_dir.rstrip("/").rpartition("sf")[2] or 0),
+    }))
     spark.stop()
 
 

@@ -75,5 +75,10 @@ def match_ranges(cell: Column, pattern: Pattern, limit: int = 200) -> Column:
     between = F.split(cell, pattern.regex, -1)
     pairs = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(found, F.length).alias("n"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    step = lambda a, p: F.struct((a["at"] + p["gap"] + F.coalesce(p["n"], F.lit(0))).alias("at"), F.when(F.coalesce(p["n"], F.lit(0)) > 0, F.concat(a["out"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), p["n"].alias("length"))))).otherwise(a["out"]).alias("out"))
+    step = lambda a, p: F.struct(
+        (a["at"] + p["gap"] + F.coalesce(p["n"], F.lit(0))).alias("at"),
+        F.when(
+            F.coalesce(p["n"], F.lit(0)) > 0, F.concat(a["out"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), p["n"].alias("length")))),
+        ).otherwise(a["out"]).alias("out"),
+    )
     return F.slice(F.aggregate(pairs, start, step, lambda a: a["out"]), 1, limit)

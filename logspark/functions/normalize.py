@@ -133,9 +133,13 @@ def split_cells(line: Column, delimiter: str) -> Column:
     cells = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(rf'(?s){d}((?:"(?:[^"]|"")*(?:"|\z)|[^"{d}])*)'), 1)
 
     def unquote(segment: Column) -> Column:
-        return F.when(segment.startswith('"'), F.replace(F.regexp_replace(segment, r'(?s)\A"((?:[^"]|"")*)(?:"|\z)\z', "$1"), F.lit('""'), F.lit('"'))).otherwise(segment)
+        return F.when(
+            segment.startswith('"'), F.replace(F.regexp_replace(segment, r'(?s)\A"((?:[^"]|"")*)(?:"|\z)\z', "$1"), F.lit('""'), F.lit('"')),
+        ).otherwise(segment)
 
-    return F.transform(cells, lambda c: F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r'(?s)("(?:[^"]|"")*(?:"|\z)|[^"]+)'), 1), unquote), ""))
+    return F.transform(
+        cells, lambda c: F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r'(?s)("(?:[^"]|"")*(?:"|\z)|[^"]+)'), 1), unquote), ""),
+    )
 
 
 def cell_text(column: str) -> Column:

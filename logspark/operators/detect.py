@@ -24,7 +24,9 @@ def _heads(lines: DataFrame) -> DataFrame:
     """source_idx, source_name and sample, of lines or of files whose heads are read (sources.lines.read_heads)."""
     if "sample" in lines.columns:
         return lines.select("source_idx", "source_name", "sample")
-    return sample_head(lines).groupBy("source_idx", "source_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]).alias("sample"))
+    return sample_head(lines).groupBy("source_idx", "source_name").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"],
+    ).alias("sample"))
 
 
 def _score(f: X.FormatSpec) -> Column:
@@ -58,7 +60,9 @@ def detect_format(lines: DataFrame, format: str = "auto") -> DataFrame:
     if format not in ("", "auto"):
         chosen, score = F.lit(X.find_format(format).id), F.col(f"score_{format}")
     else:
-        best = F.greatest(*(F.struct(F.col(f"score_{f.id}").alias("score"), F.lit(-k).alias("k"), F.lit(f.id).alias("id")) for k, f in enumerate(X.REGISTRY) if f.id != "generic"))
+        best = F.greatest(*(F.struct(
+            F.col(f"score_{f.id}").alias("score"), F.lit(-k).alias("k"), F.lit(f.id).alias("id"),
+        ) for k, f in enumerate(X.REGISTRY) if f.id != "generic"))
         chosen, score = F.when(best["score"] >= LEAST_SCORE, best["id"]).otherwise("generic"), best["score"]
     return probed.select("source_idx", "source_name", chosen.alias("format_id"), score.alias("score"))
 

@@ -19,7 +19,10 @@ from . import formats as X
 from .detect import detect_format, learn, require_same_format
 from .ordered import carry, number
 
-COLUMNS = ["source_idx", "source_name", "format_id", "entry_no", "first_line", "physical_lines", "time", "level", "level_idx", "raw_level", "thread", "target", "host", "pid", "extra", "message"]
+COLUMNS = [
+    "source_idx", "source_name", "format_id", "entry_no", "first_line", "physical_lines", "time", "level", "level_idx", "raw_level", "thread",
+    "target", "host", "pid", "extra", "message",
+]
 
 
 def reference_date(lines: DataFrame, given: date | None) -> Column:
@@ -35,14 +38,20 @@ def mark_starts(lines: DataFrame, spec: X.FormatSpec) -> DataFrame:
 
 def assign_entries(lines: DataFrame, merge_continuations: bool = True) -> DataFrame:
     """Adds entry_start, the line that starts the line's entry; lines before the first start are left out."""
-    filled = carry(lines, ["source_idx"], "block", ["line_no"], F.when(F.col("start"), F.col("line_no")), "entry_start").where("entry_start is not null")
+    filled = carry(
+        lines, ["source_idx"], "block", ["line_no"], F.when(F.col("start"), F.col("line_no")), "entry_start",
+    ).where("entry_start is not null")
     return filled if merge_continuations else filled.withColumn("entry_start", F.col("line_no"))
 
 
 def fold_entries(lines: DataFrame) -> DataFrame:
     """One row for each entry: its first line's text, all lines in order, and the first line's number and block."""
-    keep = [c for c in lines.columns if c not in ("source_idx", "source_name", "block", "line_no", "text", "start", "entry_start", "modified", "encoding")]
-    folded = lines.groupBy("source_idx", "source_name", "entry_start").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_l"), F.min("block").alias("block"), *(F.first(c).alias(c) for c in keep))
+    keep = [c for c in lines.columns if c not in (
+        "source_idx", "source_name", "block", "line_no", "text", "start", "entry_start", "modified", "encoding",
+    )]
+    folded = lines.groupBy("source_idx", "source_name", "entry_start").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_l"), F.min("block").alias("block"), *(F.first(c).alias(c) for c in keep),
+    )
     return folded.withColumn("lines", F.transform("_l", lambda x: x["text"])).withColumn("text", F.col("lines")[0]).drop("_l")
 
 
@@ -62,7 +71,9 @@ def parse_entries(folded: DataFrame, spec: X.FormatSpec, merge_continuations: bo
     return folded.select(
         "source_idx", "source_name", F.lit(spec.id).alias("format_id"), "block", "entry_start", *(c for c in folded.columns if c == "entry_no"), F.size("lines").alias("physical_lines"),
         F.when(parsed, fields.get("time", F.lit(None))).cast("timestamp").alias("time"), level.alias("level"), raw.alias("raw_level"),
-        *(text(c).alias(c) for c in ("thread", "target", "host", "pid")), F.when(parsed, fields.get("extra", X.no_extra())).otherwise(X.no_extra()).alias("extra"),
+        *(text(c).alias(c) for c in ("thread", "target", "host", "pid")), F.when(
+            parsed, fields.get("extra", X.no_extra()),
+        ).otherwise(X.no_extra()).alias("extra"),
         F.when(parsed, joined).otherwise(whole).alias("message"), *(c for c in folded.columns if c == "truncated"),
     ).withColumn("level_idx", N.level_index(F.col("level")))
 
@@ -70,11 +81,17 @@ def parse_entries(folded: DataFrame, spec: X.FormatSpec, merge_continuations: bo
 def block_edges(marked: DataFrame) -> DataFrame:
     """For each block of marked lines (source_idx, block, place, start): the lines and entries before it in its source, the
     last entry before it (owner: its block and number there, from 1) and whether the block begins with lines of that one."""
-    per = marked.groupBy("source_idx", "block").agg(F.count(F.lit(1)).alias("n"), F.count_if("start").alias("starts"), F.min_by("start", "place").alias("first"))
+    per = marked.groupBy("source_idx", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("start").alias("starts"), F.min_by("start", "place").alias("first"),
+    )
     before = Window.partitionBy("source_idx").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    owner = F.last(F.when(F.col("starts") > 0, F.struct(F.col("block").alias("block"), F.col("starts").alias("piece"))), ignorenulls=True).over(before)
+    owner = F.last(
+        F.when(F.col("starts") > 0, F.struct(F.col("block").alias("block"), F.col("starts").alias("piece"))), ignorenulls=True,
+    ).over(before)
     sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{name}_before") for c, name in (("n", "lines"), ("starts", "entries"))]
-    return per.select("source_idx", "block", *sums, owner.alias("owner"), "first").withColumn("spills", F.col("owner").isNotNull() & ~F.col("first")).drop("first")
+    return per.select(
+        "source_idx", "block", *sums, owner.alias("owner"), "first",
+    ).withColumn("spills", F.col("owner").isNotNull() & ~F.col("first")).drop("first")
 
 
 def fold_blocks(marked: DataFrame, edges: DataFrame, spills: bool = True) -> DataFrame:
@@ -86,14 +103,24 @@ def fold_blocks(marked: DataFrame, edges: DataFrame, spills: bool = True) -> Dat
     """
     shared = [c for c in marked.columns if c not in ("source_idx", "block", "place", "start", "text")]
     inside = Window.partitionBy("source_idx", "block").orderBy("place")
-    numbered = marked.withColumn("k", F.row_number().over(inside)).withColumn("piece", F.sum(F.col("start").cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    pieces = numbered.groupBy("source_idx", "block", "piece").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("l"), F.min("k").alias("k"), *(F.first(c).alias(c) for c in shared))
+    numbered = marked.withColumn("k", F.row_number().over(inside)).withColumn(
+        "piece", F.sum(F.col("start").cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+    )
+    pieces = numbered.groupBy("source_idx", "block", "piece").agg(
+        F.array_sort(F.collect_list(F.struct("k", "text"))).alias("l"), F.min("k").alias("k"), *(F.first(c).alias(c) for c in shared),
+    )
     pieces = pieces.withColumn("lines", F.transform("l", lambda x: x["text"])).drop("l")
     own = pieces.where("piece > 0").join(edges, ["source_idx", "block"])
     if spills:
-        late = pieces.where("piece = 0").join(edges.where("spills"), ["source_idx", "block"]).groupBy("source_idx", F.col("owner.block").alias("block"), F.col("owner.piece").alias("piece"))
-        late = late.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(edges["block"].alias("at"), "lines"))), lambda x: x["lines"])).alias("late"))
-        own = own.join(late, ["source_idx", "block", "piece"], "left").withColumn("lines", F.when(F.col("late").isNull(), F.col("lines")).otherwise(F.concat("lines", "late")))
+        late = pieces.where("piece = 0").join(edges.where("spills"), ["source_idx", "block"]).groupBy(
+            "source_idx", F.col("owner.block").alias("block"), F.col("owner.piece").alias("piece"),
+        )
+        late = late.agg(F.flatten(F.transform(
+            F.array_sort(F.collect_list(F.struct(edges["block"].alias("at"), "lines"))), lambda x: x["lines"],
+        )).alias("late"))
+        own = own.join(late, ["source_idx", "block", "piece"], "left").withColumn(
+            "lines", F.when(F.col("late").isNull(), F.col("lines")).otherwise(F.concat("lines", "late")),
+        )
     return own.select(
         "source_idx", "block", *shared, (F.col("k") + F.col("lines_before")).alias("entry_start"), (F.col("entries_before") + F.col("piece") - 1).cast("long").alias("entry_no"),
         "lines", F.col("lines")[0].alias("text"))
@@ -102,7 +129,9 @@ def fold_blocks(marked: DataFrame, edges: DataFrame, spills: bool = True) -> Dat
 def _finished(parsed: DataFrame, spec: X.FormatSpec) -> DataFrame:
     """Parsed entries with their numbers as the schema has them."""
     first = F.col("entry_no") + 1 if spec.sequential else F.col("entry_start")
-    return parsed.withColumn("first_line", first.cast("long")).withColumn("entry_no", F.col("entry_no").cast("long")).select(COLUMNS + [c for c in parsed.columns if c == "truncated"])
+    return parsed.withColumn("first_line", first.cast("long")).withColumn(
+        "entry_no", F.col("entry_no").cast("long"),
+    ).select(COLUMNS + [c for c in parsed.columns if c == "truncated"])
 
 
 def entries_of_lines(lines: DataFrame, format: str = "auto", merge_continuations: bool = True, reference: date | None = None) -> DataFrame:
@@ -121,7 +150,10 @@ def entries_of_lines(lines: DataFrame, format: str = "auto", merge_continuations
     return _finished(number(parsed, ["source_idx"], "block", ["entry_start"], "entry_no", first=0), spec)
 
 
-def read_logs(spark: SparkSession, paths: list[str] | str, format: str = "auto", max_lines: int = 0, merge_continuations: bool = True, reference: date | None = None, encoding: str | None = None) -> DataFrame:
+def read_logs(
+    spark: SparkSession, paths: list[str] | str, format: str = "auto", max_lines: int = 0, merge_continuations: bool = True,
+    reference: date | None = None, encoding: str | None = None,
+) -> DataFrame:
     """Entries of log files of one format: lines scanned, decoded, stripped of escapes, folded and parsed.
 
     At once: the head of each file is read for encoding and format, and line and entry starts are counted by split, which is the

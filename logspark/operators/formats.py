@@ -100,7 +100,10 @@ class FormatSpec:
 
 
 def by_pattern(id: str, name: str, pattern: str, fields: Callable[[], Fields]) -> FormatSpec:
-    return FormatSpec(id, name, lambda: fields() | {"parsed": fits(pattern)}, lambda: F.col("text").rlike(pattern), lambda text: text.rlike(pattern), lambda: groups(F.col("text"), pattern))
+    return FormatSpec(
+        id, name, lambda: fields() | {"parsed": fits(pattern)}, lambda: F.col("text").rlike(pattern), lambda text: text.rlike(pattern),
+        lambda: groups(F.col("text"), pattern),
+    )
 
 
 def _tracing() -> Fields:
@@ -121,7 +124,10 @@ def _syslog3164() -> Fields:
     prefix = F.substring(g(5), F.lit(1), colon - 1)
     leveled = g(5).rlike("^[A-Z]") & (colon >= 2) & (colon <= 11) & (N.normalize_level(prefix) != "OTHER")
     message = F.when(leveled, F.trim(F.substring(g(5), colon + 1, F.length(g(5))))).otherwise(g(5))
-    return {"time": N.parse_time(g(1), F.col("reference")), "raw_level": F.when(leveled, prefix).otherwise(""), "host": g(2), "target": g(3), "pid": g(4), "message": message}
+    return {
+        "time": N.parse_time(g(1), F.col("reference")), "raw_level": F.when(leveled, prefix).otherwise(""), "host": g(2), "target": g(3), "pid": g(4),
+        "message": message,
+    }
 
 
 def json_map(text: Column) -> Column:
@@ -136,7 +142,9 @@ def _json() -> Fields:
     level = F.when(raw.rlike(r"^\d+$"), N.level_from_priority(raw.try_cast("int"))).otherwise(N.normalize_level(raw))
     return {
         "parsed": m.isNotNull(), "time": N.time_of_value(F.col("m.stamp"), F.col("reference")), "raw_level": raw, "level": level, "host": F.col("m.host"), "pid": F.col("m.pid"),
-        "target": F.col("m.target"), "extra": F.coalesce(F.transform_values(rest, lambda _, v: N.or_empty(v)), no_extra()), "message": F.col("m.message"),
+        "target": F.col("m.target"), "extra": F.coalesce(
+            F.transform_values(rest, lambda _, v: N.or_empty(v)), no_extra(),
+        ), "message": F.col("m.message"),
     }
 
 
@@ -178,7 +186,11 @@ def _logfmt() -> Fields:
     trimmed = F.trim(text)
     rest = F.when(consumed * 100 < F.length(trimmed) * 50, F.trim(F.substring(trimmed, consumed + 1, F.length(trimmed)))).otherwise("")
     message = F.trim(F.concat_ws(" ", F.filter(F.array(at(2), rest), lambda x: x != "")))
-    return {"parsed": F.size(pairs) > 0, "time": N.time_of_value(at(0), F.col("reference")), "raw_level": at(1), "host": at(3), "pid": at(4), "target": at(5), "extra": F.map_filter(pairs, lambda k, _: ~F.array_contains(F.array(*taken), k)), "message": F.when(message == "", trimmed).otherwise(message)}
+    return {
+        "parsed": F.size(pairs) > 0, "time": N.time_of_value(at(0), F.col("reference")), "raw_level": at(1), "host": at(3), "pid": at(4),
+        "target": at(5), "extra": F.map_filter(pairs, lambda k, _: ~F.array_contains(F.array(*taken), k)),
+        "message": F.when(message == "", trimmed).otherwise(message),
+    }
 
 
 def _logfmt_probe(text: Column) -> Column:
@@ -196,14 +208,18 @@ def csv_cells(text: Column) -> Column:
 def _csv_match() -> Column:
     """The cells with their column's name, also in lower case."""
     header = F.transform("csv_header", lambda h: F.trim(h))
-    cells = F.zip_with(header, F.transform(csv_cells(F.col("text")), lambda c: F.trim(c)), lambda h, v: F.struct(h.alias("h"), F.lower(h).alias("l"), v.alias("v")))
+    cells = F.zip_with(
+        header, F.transform(csv_cells(F.col("text")), lambda c: F.trim(c)), lambda h, v: F.struct(h.alias("h"), F.lower(h).alias("l"), v.alias("v")),
+    )
     return F.filter(cells, lambda c: c["h"].isNotNull() & c["v"].isNotNull())
 
 
 def _csv() -> Fields:
     cells = F.col("m")
     named = F.filter(cells, lambda c: c["h"] != "")
-    pick = lambda test, last=False: N.or_empty(F.try_element_at(F.transform(F.filter(named, lambda c: test(c["l"])), lambda c: c["v"]), F.lit(-1 if last else 1)))
+    pick = lambda test, last=False: N.or_empty(F.try_element_at(
+        F.transform(F.filter(named, lambda c: test(c["l"])), lambda c: c["v"]), F.lit(-1 if last else 1),
+    ))
     is_time = lambda n: n.contains("time") | (n == "date")
     is_level = lambda n: n.contains("level") | n.contains("severity")
     is_message, is_host = (lambda n: n.isin("message", "msg", "eventdata")), (lambda n: n.isin("host", "hostname"))
@@ -212,11 +228,21 @@ def _csv() -> Fields:
     joined = F.concat_ws(" ", F.try_element_at(cells, date_at.cast("int"))["v"], F.try_element_at(cells, (date_at + 1).cast("int"))["v"])
     # The first readable time cell; a date cell reads together with the cell after it.
     times = F.transform(F.filter(named, lambda c: c["l"].contains("time")), lambda c: N.time_of_value(c["v"], F.col("reference")))
-    time = F.coalesce(F.when(date_at > 0, N.time_of_value(joined, F.col("reference"))), F.try_element_at(F.filter(times, lambda t: t.isNotNull()), F.lit(1)))
-    other = F.filter(named, lambda c: ~(is_time(c["l"]) | is_level(c["l"]) | is_message(c["l"]) | is_host(c["l"]) | is_pid(c["l"]) | is_target(c["l"])) & (F.length(c["v"]) <= N.LONGEST_EXTRA))
+    time = F.coalesce(
+        F.when(date_at > 0, N.time_of_value(joined, F.col("reference"))), F.try_element_at(F.filter(times, lambda t: t.isNotNull()), F.lit(1)),
+    )
+    other = F.filter(
+        named,
+        lambda c: ~(is_time(c["l"]) | is_level(c["l"]) | is_message(c["l"]) | is_host(c["l"]) | is_pid(c["l"]) | is_target(c["l"])) & (F.length(c["v"]) <= N.LONGEST_EXTRA),
+    )
     message = pick(is_message)
     every = F.concat_ws(" ", F.transform(cells, lambda c: F.concat(c["h"], F.lit("="), c["v"])))
-    return {"parsed": _csv_starts(), "time": time, "raw_level": pick(is_level, True), "host": pick(is_host, True), "pid": pick(is_pid, True), "target": pick(is_target, True), "extra": F.map_from_entries(F.transform(other, lambda c: F.struct(c["h"].alias("key"), c["v"].alias("value")))), "message": F.when(message == "", every).otherwise(message)}
+    return {
+        "parsed": _csv_starts(), "time": time, "raw_level": pick(is_level, True), "host": pick(is_host, True), "pid": pick(is_pid, True),
+        "target": pick(is_target, True),
+        "extra": F.map_from_entries(F.transform(other, lambda c: F.struct(c["h"].alias("key"), c["v"].alias("value")))),
+        "message": F.when(message == "", every).otherwise(message),
+    }
 
 
 def _csv_starts() -> Column:
@@ -247,16 +273,30 @@ def _log4j() -> Fields:
 
 def _event_text_match() -> Column:
     """Of each line the field, its value and the trimmed line."""
-    return F.transform("lines", lambda x: F.struct(F.regexp_extract(x, FIELD, 1).alias("f"), F.regexp_extract(x, FIELD, 2).alias("v"), F.trim(x).alias("t")))
+    return F.transform(
+        "lines", lambda x: F.struct(F.regexp_extract(x, FIELD, 1).alias("f"), F.regexp_extract(x, FIELD, 2).alias("v"), F.trim(x).alias("t")),
+    )
 
 
 def _event_text() -> Fields:
     fields = F.col("m")
-    value = lambda *names: N.or_empty(F.try_element_at(F.transform(F.filter(fields, lambda c: F.lower(c["f"]).isin([n.lower() for n in names])), lambda c: c["v"]), F.lit(-1)))
-    parts = F.aggregate(fields, F.array().cast("array<string>"), lambda a, c: F.when((F.lower(c["f"]) == "message") & (c["v"] != ""), F.array_append(a, c["v"])).when((c["f"] == "") & (c["t"] != "") & (F.size(a) > 0), F.array_append(a, c["t"])).otherwise(a))
+    value = lambda *names: N.or_empty(F.try_element_at(
+        F.transform(F.filter(fields, lambda c: F.lower(c["f"]).isin([n.lower() for n in names])), lambda c: c["v"]), F.lit(-1),
+    ))
+    parts = F.aggregate(
+        fields, F.array().cast("array<string>"), lambda a,
+        c: F.when((F.lower(c["f"]) == "message") & (c["v"] != ""), F.array_append(a, c["v"])).when(
+            (c["f"] == "") & (c["t"] != "") & (F.size(a) > 0), F.array_append(a, c["t"]),
+        ).otherwise(a),
+    )
     known = ["timecreated", "leveldisplayname", "level", "providername", "message", "processid", "machinename", ""]
     rest = F.filter(fields, lambda c: ~F.lower(c["f"]).isin(known) & (c["v"] != "") & (F.length(c["v"]) <= N.LONGEST_EXTRA))
-    return {"time": N.parse_time(value("TimeCreated")), "raw_level": value("LevelDisplayName", "Level"), "target": value("ProviderName"), "pid": value("ProcessId"), "host": value("MachineName"), "extra": F.map_from_entries(F.transform(rest, lambda c: F.struct(c["f"].alias("key"), c["v"].alias("value")))), "message": F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(F.array_join("lines", "\n"))}
+    return {
+        "time": N.parse_time(value("TimeCreated")), "raw_level": value("LevelDisplayName", "Level"), "target": value("ProviderName"),
+        "pid": value("ProcessId"), "host": value("MachineName"),
+        "extra": F.map_from_entries(F.transform(rest, lambda c: F.struct(c["f"].alias("key"), c["v"].alias("value")))),
+        "message": F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(F.array_join("lines", "\n")),
+    }
 
 
 def _event_tsv() -> Fields:
@@ -266,7 +306,10 @@ def _event_tsv() -> Fields:
     more = F.array_join(F.slice(F.col("lines"), 2, 2_147_483_646), "\n")
     whole = F.regexp_replace(F.concat(F.regexp_replace(first, '^"', ""), F.lit("\n"), more), '"$', "")
     task = F.when(F.lower(cell(5)).isin(NO_TASK), "").otherwise(cell(5))
-    return {"parsed": _event_tsv_starts(), "time": N.parse_time(cell(2)), "raw_level": cell(1), "target": cell(3), "extra": extra({"Event ID": cell(4), "Task": task}), "message": F.when(F.size("lines") > 1, whole).otherwise(first)}
+    return {
+        "parsed": _event_tsv_starts(), "time": N.parse_time(cell(2)), "raw_level": cell(1), "target": cell(3),
+        "extra": extra({"Event ID": cell(4), "Task": task}), "message": F.when(F.size("lines") > 1, whole).otherwise(first),
+    }
 
 
 def _event_tsv_starts() -> Column:
@@ -290,16 +333,25 @@ def _iis_match() -> Column:
 def _iis() -> Fields:
     pairs = F.col("m")
     at = lambda k: N.or_empty(F.try_element_at(pairs, F.lit(k)))
-    named = F.map_filter(pairs, lambda k, v: ~k.isin("date", "time", "cs-method", "cs-uri-stem", "sc-status", "s-ip") & ((v != "-") | (k == "cs(User-Agent)")))
+    named = F.map_filter(
+        pairs, lambda k, v: ~k.isin("date", "time", "cs-method", "cs-uri-stem", "sc-status", "s-ip") & ((v != "-") | (k == "cs(User-Agent)")),
+    )
     named = F.transform_keys(named, lambda k, _: F.when(k == "cs(User-Agent)", "UserAgent").otherwise(k))
-    return {"parsed": pairs.isNotNull(), "time": N.parse_time(F.concat(at("date"), F.lit(" "), at("time"))), "raw_level": at("sc-status"), "level": F.when(at("sc-status") == "", "OTHER").otherwise(N.http_level(at("sc-status"))), "host": at("s-ip"), "extra": F.coalesce(named, no_extra()), "message": F.trim(F.concat_ws(" ", at("cs-method"), at("cs-uri-stem"), at("sc-status")))}
+    return {
+        "parsed": pairs.isNotNull(), "time": N.parse_time(F.concat(at("date"), F.lit(" "), at("time"))), "raw_level": at("sc-status"),
+        "level": F.when(at("sc-status") == "", "OTHER").otherwise(N.http_level(at("sc-status"))), "host": at("s-ip"),
+        "extra": F.coalesce(named, no_extra()), "message": F.trim(F.concat_ws(" ", at("cs-method"), at("cs-uri-stem"), at("sc-status"))),
+    }
 
 
 def _generic() -> Fields:
     matched = fits(GENERIC)
     # Of the groups that may be the level, or the message, at most one is not empty.
     time = F.when(matched & (g(1) != ""), N.parse_time(g(1))).when(matched, N.parse_time(g(7), F.col("reference")))
-    return {"time": time, "raw_level": F.when(matched, F.concat(g(2), g(4))).otherwise(""), "message": F.when(matched, F.concat(g(3), g(5), g(6), g(8))).otherwise(F.col("text"))}
+    return {
+        "time": time, "raw_level": F.when(matched, F.concat(g(2), g(4))).otherwise(""),
+        "message": F.when(matched, F.concat(g(3), g(5), g(6), g(8))).otherwise(F.col("text")),
+    }
 
 
 def _xml() -> Fields:
@@ -321,7 +373,9 @@ def count(test: Callable[[Column], Column]) -> Column:
 def _csv_profile() -> Column:
     """table (whether the sample is one), delimiter and header."""
     head = F.col("sample")[0]
-    counts = [F.struct((F.length(head) - F.length(F.replace(head, F.lit(d)))).alias("n"), F.lit(-k).alias("k"), F.lit(d).alias("d")) for k, d in enumerate(CSV_DELIMITERS)]
+    counts = [F.struct(
+        (F.length(head) - F.length(F.replace(head, F.lit(d)))).alias("n"), F.lit(-k).alias("k"), F.lit(d).alias("d"),
+    ) for k, d in enumerate(CSV_DELIMITERS)]
 
     def by(delimiter: Column) -> Column:
         def cells(text: Column) -> Column:
@@ -374,7 +428,9 @@ def _event_text_score() -> Column:
 def _event_tsv_score() -> Column:
     first = F.col("sample")[0]
     markers = reduce(lambda a, b: a + b, [F.contains(F.lower(first), F.lit(m.lower())).cast("int") for m in EVENT_HEADER])
-    return F.when((F.regexp_count(first, F.lit("\t")) >= 3) & (markers >= 3), 95).when(share(count(lambda x: x.rlike(EVENT_LEVEL))) >= 50, 80).otherwise(0)
+    return F.when(
+        (F.regexp_count(first, F.lit("\t")) >= 3) & (markers >= 3), 95,
+    ).when(share(count(lambda x: x.rlike(EVENT_LEVEL))) >= 50, 80).otherwise(0)
 
 
 def _event_xml_score() -> Column:
@@ -398,11 +454,20 @@ REGISTRY: list[FormatSpec] = [
     by_pattern("python_logging", "Python logging", PYTHON, _python),
     FormatSpec("serilog", "Serilog", _serilog, lambda: _serilog_line(F.col("text")), _serilog_line, _serilog_match),
     by_pattern("log4j_logback", "Log4j / Logback", LOG4J, _log4j),
-    FormatSpec("wevt_text", "Windows event text export", _event_text, lambda: F.col("text").rlike(TIME_CREATED), match=_event_text_match, score=_event_text_score, block=True),
-    FormatSpec("wevt_tsv", "Windows event text export (tab separated)", _event_tsv, _event_tsv_starts, match=lambda: F.split("text", "\t"), score=_event_tsv_score, sequential=True, block=True),
+    FormatSpec(
+        "wevt_text", "Windows event text export", _event_text, lambda: F.col("text").rlike(TIME_CREATED), match=_event_text_match,
+        score=_event_text_score, block=True,
+    ),
+    FormatSpec(
+        "wevt_tsv", "Windows event text export (tab separated)", _event_tsv, _event_tsv_starts, match=lambda: F.split("text", "\t"),
+        score=_event_tsv_score, sequential=True, block=True,
+    ),
     FormatSpec("wevt_xml", "Windows event XML export", _xml, lambda: F.lit(False), score=_event_xml_score, sequential=True),
     FormatSpec("iis_w3c", "IIS W3C log", _iis, _iis_starts, match=_iis_match, score=_iis_score, learn=_iis_learn),
-    FormatSpec("generic", "Generic text", _generic, lambda: F.col("text").rlike(ANCHORS) | ~F.coalesce(F.col("anchored"), F.lit(False)), lambda text: text.rlike(ANCHORS), lambda: groups(F.col("text"), GENERIC), learn=_generic_learn),
+    FormatSpec(
+        "generic", "Generic text", _generic, lambda: F.col("text").rlike(ANCHORS) | ~F.coalesce(F.col("anchored"), F.lit(False)),
+        lambda text: text.rlike(ANCHORS), lambda: groups(F.col("text"), GENERIC), learn=_generic_learn,
+    ),
 ]
 
 

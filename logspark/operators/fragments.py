@@ -18,7 +18,10 @@ STYLE = "start int, length int, bold boolean, italic boolean, underline boolean,
 _CONTROL = re.compile(CONTROL.replace(r"\z", r"\Z").replace("(?s)", ""), re.S)
 _SGR = re.compile(r"\x1b\[([0-9;]*)m\Z")
 _PLAIN = {"bold": False, "italic": False, "underline": False, "strike": False, "fg": -1, "bg": -1, "fg_rgb": "", "bg_rgb": ""}
-_SWITCH = {1: ("bold", True), 3: ("italic", True), 4: ("underline", True), 9: ("strike", True), 22: ("bold", False), 23: ("italic", False), 24: ("underline", False), 29: ("strike", False)}
+_SWITCH = {
+    1: ("bold", True), 3: ("italic", True), 4: ("underline", True), 9: ("strike", True), 22: ("bold", False), 23: ("italic", False),
+    24: ("underline", False), 29: ("strike", False),
+}
 
 
 def _indexed(n: int) -> str:
@@ -99,7 +102,13 @@ def styled_spans(raw: DataFrame, keys: list[str], text: str = "raw", message: st
                     if end > start:
                         take.append(k)
                         rows.append(s | {"start": start, "length": end - start})
-            yield pa.record_batch([*(b.column(c).take(pa.array(take, pa.int64())) for c in keys), *(pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True))], names=[*keys, *names])
+            yield pa.record_batch(
+                [
+                    *(b.column(c).take(pa.array(take, pa.int64())) for c in keys),
+                    *(pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)),
+                ],
+                names=[*keys, *names],
+            )
 
     kinds = ", ".join(f"{c} {picked.schema[c].dataType.simpleString()}" for c in keys)
     return picked.mapInArrow(run, f"{kinds}, {STYLE}")
@@ -216,9 +225,18 @@ def yaml_blocks(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int,
 
 
 TOKENS = {
-    "json": re.compile(r'(?P<Key>"(?:[^"\\]|\\.)*"(?=\s*:)|[A-Za-z_][\w.\-]*(?=\s*:))|(?P<String>"(?:[^"\\]|\\.)*")|(?P<Constant>\b(?:true|false|null)\b)|(?P<Number>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<Punctuation>[{}\[\],:])', re.S),
-    "xml": re.compile(r"(?P<Comment><!--.*?-->)|(?P<TagName>(?<=<)[/?!]?[\w:.\-]+|(?<=</)[\w:.\-]+)|(?P<Key>[\w:.\-]+(?=\s*=))|(?P<AttributeValue>\"[^\"]*\"|'[^']*')|(?P<Punctuation></?|/?>)", re.S),
-    "yaml": re.compile(r"(?P<Comment>(?<!\S)#[^\n]*)|(?P<Key>(?m:^)[ \t]*(?:-[ \t]+)?[A-Za-z_][\w.\-]*(?=\s*:))|(?P<String>\"[^\"\n]*\"|'[^'\n]*')|(?P<Constant>\b(?:true|false|null|yes|no)\b)|(?P<Number>(?<![\w.])[+-]?\d+(?:\.\d+)?(?![\w.]))|(?P<Punctuation>[:\-](?=\s|$))", re.S),
+    "json": re.compile(
+        r'(?P<Key>"(?:[^"\\]|\\.)*"(?=\s*:)|[A-Za-z_][\w.\-]*(?=\s*:))|(?P<String>"(?:[^"\\]|\\.)*")|(?P<Constant>\b(?:true|false|null)\b)|(?P<Number>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<Punctuation>[{}\[\],:])',
+        re.S,
+    ),
+    "xml": re.compile(
+        r"(?P<Comment><!--.*?-->)|(?P<TagName>(?<=<)[/?!]?[\w:.\-]+|(?<=</)[\w:.\-]+)|(?P<Key>[\w:.\-]+(?=\s*=))|(?P<AttributeValue>\"[^\"]*\"|'[^']*')|(?P<Punctuation></?|/?>)",
+        re.S,
+    ),
+    "yaml": re.compile(
+        r"(?P<Comment>(?<!\S)#[^\n]*)|(?P<Key>(?m:^)[ \t]*(?:-[ \t]+)?[A-Za-z_][\w.\-]*(?=\s*:))|(?P<String>\"[^\"\n]*\"|'[^'\n]*')|(?P<Constant>\b(?:true|false|null|yes|no)\b)|(?P<Number>(?<![\w.])[+-]?\d+(?:\.\d+)?(?![\w.]))|(?P<Punctuation>[:\-](?=\s|$))",
+        re.S,
+    ),
 }
 
 
@@ -244,7 +262,13 @@ def extract_snippets(entries: DataFrame, keys: list[str] = ("source_idx", "entry
         for b in batches:
             found = [(i, kind, s, e - s, t[s:e]) for i, t in enumerate(b.column("_text").to_pylist()) for kind, s, e in snippets_of(t)]
             cols = list(zip(*found, strict=True)) if found else [[]] * 5
-            yield pa.record_batch([*(b.column(c).take(pa.array(list(cols[0]), pa.int64())) for c in keys), *(pa.array(list(c), t) for c, t in zip(cols[1:], (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True))], names=[*keys, "kind", "start", "length", "text"])
+            yield pa.record_batch(
+                [
+                    *(b.column(c).take(pa.array(list(cols[0]), pa.int64())) for c in keys),
+                    *(pa.array(list(c), t) for c, t in zip(cols[1:], (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)),
+                ],
+                names=[*keys, "kind", "start", "length", "text"],
+            )
 
     kinds = ", ".join(f"{c} {picked.schema[c].dataType.simpleString()}" for c in keys)
     return picked.mapInArrow(run, f"{kinds}, kind string, start int, length int, text string")
@@ -256,9 +280,17 @@ def snippet_tokens(snippets: DataFrame, keys: list[str] = ("source_idx", "entry_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, k, s + at, n) for i, (kind, at, t) in enumerate(zip(b.column("kind").to_pylist(), b.column("start").to_pylist(), b.column("text").to_pylist(), strict=True)) for k, s, n in tokens_of(kind, t)]
+            found = [(i, k, s + at, n) for i, (kind, at, t) in enumerate(zip(
+                b.column("kind").to_pylist(), b.column("start").to_pylist(), b.column("text").to_pylist(), strict=True,
+            )) for k, s, n in tokens_of(kind, t)]
             cols = list(zip(*found, strict=True)) if found else [[]] * 4
-            yield pa.record_batch([*(b.column(c).take(pa.array(list(cols[0]), pa.int64())) for c in keys), *(pa.array(list(c), t) for c, t in zip(cols[1:], (pa.string(), pa.int32(), pa.int32()), strict=True))], names=[*keys, "token", "start", "length"])
+            yield pa.record_batch(
+                [
+                    *(b.column(c).take(pa.array(list(cols[0]), pa.int64())) for c in keys),
+                    *(pa.array(list(c), t) for c, t in zip(cols[1:], (pa.string(), pa.int32(), pa.int32()), strict=True)),
+                ],
+                names=[*keys, "token", "start", "length"],
+            )
 
     picked = snippets.select(*keys, "kind", "start", "text")
     kinds = ", ".join(f"{c} {picked.schema[c].dataType.simpleString()}" for c in keys)

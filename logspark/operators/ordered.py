@@ -16,7 +16,9 @@ def _before(keys: list[str], segment: str):
 
 def number(df: DataFrame, keys: list[str], segment: str, order: list, out: str, first: int = 1) -> DataFrame:
     """Adds a gapless number within keys."""
-    sizes = df.groupBy(*keys, segment).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(_before(keys, segment)), F.lit(0))).drop("_n")
+    sizes = df.groupBy(*keys, segment).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(_before(keys, segment)), F.lit(0)),
+    ).drop("_n")
     local = df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, segment).orderBy(*order)))
     return local.join(sizes, [*keys, segment]).withColumn(out, F.col("_k") + F.col("_before") + (first - 1)).drop("_k", "_before")
 

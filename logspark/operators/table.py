@@ -28,8 +28,13 @@ SEGMENT = 100_000
 def column_fill(entries: DataFrame, sample: int | None = None) -> DataFrame:
     """column, filled, total: in how many entries each standard column and extra key is not empty; of the first entries only, with a sample."""
     rows = entries.where(F.col("entry_no") < sample) if sample else entries
-    standard = {"time": F.col("time").isNotNull(), "level": (F.col("level") != "OTHER") | (F.col("raw_level") != ""), **{c: F.col(c) != "" for c in FIXED}}
-    marks = F.concat(F.filter(F.array(*(F.when(test, F.lit(c)) for c, test in standard.items())), lambda x: x.isNotNull()), F.transform(F.map_keys(F.map_filter("extra", lambda _, v: v != "")), lambda k: F.concat(F.lit("extra:"), k)))
+    standard = {
+        "time": F.col("time").isNotNull(), "level": (F.col("level") != "OTHER") | (F.col("raw_level") != ""), **{c: F.col(c) != "" for c in FIXED},
+    }
+    marks = F.concat(
+        F.filter(F.array(*(F.when(test, F.lit(c)) for c, test in standard.items())), lambda x: x.isNotNull()),
+        F.transform(F.map_keys(F.map_filter("extra", lambda _, v: v != "")), lambda k: F.concat(F.lit("extra:"), k)),
+    )
     # One row without a column counts the entries.
     counted = rows.select(F.explode(F.concat(F.array(F.lit("")), marks)).alias("column")).groupBy("column").agg(F.count(F.lit(1)).alias("filled"))
     total = F.max(F.when(F.col("column") == "", F.col("filled"))).over(Window.partitionBy())
@@ -44,7 +49,10 @@ def infer_columns(entries: DataFrame, sample: int | None = SAMPLE) -> list[str]:
         return ["line", "time", "level", "message"]
     files = entries.select("source_idx").distinct().limit(2).count() > 1
     extras = sorted(c for c, share in found.items() if c.startswith("extra:") and share >= FILLED)
-    return ["line", *["file"] * files, *(c for c in ("time", "level") if c in found), *(c for c in FIXED if found.get(c, 0) >= FILLED), *extras, "message"]
+    return [
+        "line", *["file"] * files, *(c for c in ("time", "level") if c in found), *(c for c in FIXED if found.get(c, 0) >= FILLED), *extras,
+        "message",
+    ]
 
 
 def hide_columns(columns: list[str], hidden: set[str] | list[str]) -> list[str]:
@@ -135,7 +143,9 @@ def find_matches(entries: DataFrame, pattern: Pattern, columns: list[str] = ("me
     """source_idx, entry_no, column, start, length of every match. Places are sought only in entries that a plain test lets through."""
     hit = entries.where(N.fold([matches(N.cell_text(c), pattern) for c in columns]))
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), match_ranges(N.cell_text(c), pattern).alias("ranges")) for c in columns)))
-    return hit.select("source_idx", "entry_no", cells.alias("c")).select("source_idx", "entry_no", F.col("c.column").alias("column"), F.explode("c.ranges").alias("m")).select("source_idx", "entry_no", "column", "m.start", "m.length")
+    return hit.select("source_idx", "entry_no", cells.alias("c")).select(
+        "source_idx", "entry_no", F.col("c.column").alias("column"), F.explode("c.ranges").alias("m"),
+    ).select("source_idx", "entry_no", "column", "m.start", "m.length")
 
 
 def match_count(entries: DataFrame, pattern: Pattern, columns: list[str] = ("message",)) -> DataFrame:
@@ -150,9 +160,13 @@ def navigate(entries: DataFrame, pattern: Pattern, columns: list[str] = ("messag
     hits = _ordinal(find_rows(entries, pattern, columns).where("hit").select("source_idx", "entry_no"), "ordinal", 1)
     count = hits.agg(F.max("ordinal").alias("n"))
     at = hits.select(F.col("ordinal").alias("k"), F.struct("source_idx", "entry_no").alias("row"))
-    around = hits.join(F.broadcast(count)).withColumn("after", F.col("ordinal") % F.col("n") + 1).withColumn("before", (F.col("ordinal") + F.col("n") - 2) % F.col("n") + 1)
+    around = hits.join(F.broadcast(count)).withColumn("after", F.col("ordinal") % F.col("n") + 1).withColumn(
+        "before", (F.col("ordinal") + F.col("n") - 2) % F.col("n") + 1,
+    )
     nxt = around.join(at.select(F.col("k").alias("after"), F.col("row").alias("next")), "after")
-    return nxt.join(at.select(F.col("k").alias("before"), F.col("row").alias("previous")), "before").select("source_idx", "entry_no", "ordinal", "next", "previous")
+    return nxt.join(
+        at.select(F.col("k").alias("before"), F.col("row").alias("previous")), "before",
+    ).select("source_idx", "entry_no", "ordinal", "next", "previous")
 
 
 # Counts --------------------------------------------------------------------------------------------------------------
@@ -174,10 +188,15 @@ def document_info(entries: DataFrame, sizes: DataFrame | None = None) -> DataFra
     """name ("first + k more files" for several), format_id, entries, sources; sizes (sources.lines.document_sizes) adds bytes, truncated and encoding."""
     per = entries.groupBy("source_idx", "source_name").agg(F.first("format_id").alias("format_id"), F.count(F.lit(1)).alias("n"))
     per = per.join(sizes, "source_idx", "left") if sizes is not None else per
-    more = [F.sum("bytes").alias("bytes"), F.max("truncated").alias("truncated"), F.min_by("encoding", "source_idx").alias("encoding")] if sizes is not None else []
+    more = [
+        F.sum("bytes").alias("bytes"), F.max("truncated").alias("truncated"), F.min_by("encoding", "source_idx").alias("encoding"),
+    ] if sizes is not None else []
     first = F.min_by("source_name", "source_idx")
     name = F.when(F.count(F.lit(1)) > 1, F.concat(first, F.lit(" + "), (F.count(F.lit(1)) - 1).cast("string"), F.lit(" more files"))).otherwise(first)
-    return per.agg(name.alias("name"), F.min_by("format_id", "source_idx").alias("format_id"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.count(F.lit(1)).alias("sources"), *more)
+    return per.agg(
+        name.alias("name"), F.min_by("format_id", "source_idx").alias("format_id"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"),
+        F.count(F.lit(1)).alias("sources"), *more,
+    )
 
 
 # Merging -------------------------------------------------------------------------------------------------------------

@@ -70,7 +70,11 @@ def sql_case(values: dict) -> str:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with clock (to the millisecond), iso, level and message."""
     clock = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
-    return load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props", clock.alias("clock"), F.concat(F.replace(clock, F.lit(" "), F.lit("T")), F.lit("Z")).alias("iso"), by_type(LEVEL).alias("lv"), F.concat(F.lit("user "), "user_id", F.lit(" did "), "event_type").alias("msg"))
+    return load(spark, sf_dir, "events").select(
+        "event_id", "user_id", "event_type", "props", clock.alias("clock"),
+        F.concat(F.replace(clock, F.lit(" "), F.lit("T")), F.lit("Z")).alias("iso"), by_type(LEVEL).alias("lv"),
+        F.concat(F.lit("user "), "user_id", F.lit(" did "), "event_type").alias("msg"),
+    )
 
 
 def text(*parts) -> Column:
@@ -90,7 +94,10 @@ def shown(entries: DataFrame) -> DataFrame:
     return entries.select("entry_no", N.cell_text("time").alias("time"), "level", "thread", "target", "host", "pid", extra.alias("extra"), "message")
 
 
-def sql_shown(level: dict, thread="''", target="''", host="''", pid="''", extra="''", message="'user ' || user_id || ' did ' || event_type", fmt="%Y-%m-%d %H:%M:%S.%g", tail="") -> str:
+def sql_shown(
+    level: dict, thread="''", target="''", host="''", pid="''", extra="''", message="'user ' || user_id || ' did ' || event_type",
+    fmt="%Y-%m-%d %H:%M:%S.%g", tail="",
+) -> str:
     levels = sql_case(level)
     return f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS entry_no, strftime(ts, '{fmt}'){tail} AS time, {levels} AS level, {thread} AS thread, {target} AS target, {host} AS host, {pid} AS pid, {extra} AS extra, {message} AS message FROM events"
 
@@ -130,23 +137,33 @@ def ingest_generic(spark, sf_dir):
 @query(sql_shown(LEVEL | {"signup": "INFO"}, thread="'worker-' || (user_id % 4)", target="'shop::events'", extra="'ThreadId=' || (user_id % 16)"))
 def ingest_tracing(spark, sf_dir):
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, text("$iso", "  ", by_type(LEVEL | {"signup": "INFO"}), " worker-", user(4), " ThreadId(", user(16), ") shop::events: ", "$msg"))))
+    return shown(entries_of_lines(as_lines(
+        e, text("$iso", "  ", by_type(LEVEL | {"signup": "INFO"}), " worker-", user(4), " ThreadId(", user(16), ") shop::events: ", "$msg"),
+    )))
 
 
 @query(sql_shown(LEVEL, target="'shop'", host="'host' || (user_id % 4)", pid="user_id::VARCHAR", extra="'MsgId=' || event_type"))
 def ingest_syslog5424(spark, sf_dir):
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, text("<", by_type(PRIORITY) + 8, ">1 ", "$iso", " host", user(4), " shop ", "$user_id", " ", "$event_type", " ", "$msg"))))
+    return shown(entries_of_lines(as_lines(
+        e, text("<", by_type(PRIORITY) + 8, ">1 ", "$iso", " host", user(4), " shop ", "$user_id", " ", "$event_type", " ", "$msg"),
+    )))
 
 
 def _syslog3164(spark, sf_dir, format):
     e = load(spark, sf_dir, "events").withColumn("lv", by_type(LEVEL))
     line = text(F.date_format("ts", "MMM dd HH:mm:ss"), " host", user(4), " shop[", "$user_id", "]: ", F.initcap("lv"), ": user did ", "$event_type")
-    lines = lines_from_df(e, F.col("event_id"), line, F.datediff(F.to_date("ts"), F.lit(date(2000, 1, 1))), F.concat(F.lit("app."), F.date_format("ts", "yyyy-MM-dd"), F.lit(".log")))
+    lines = lines_from_df(
+        e, F.col("event_id"), line, F.datediff(F.to_date("ts"), F.lit(date(2000, 1, 1))),
+        F.concat(F.lit("app."), F.date_format("ts", "yyyy-MM-dd"), F.lit(".log")),
+    )
     return shown(entries_of_lines(lines, format)).drop("entry_no")
 
 
-SYSLOG3164_SQL = sql_shown(LEVEL, target="'shop'", host="'host' || (user_id % 4)", pid="user_id::VARCHAR", message="'user did ' || event_type", fmt="%Y-%m-%d %H:%M:%S", tail=" || '.000'").replace("row_number() OVER (ORDER BY event_id) - 1 AS entry_no, ", "")
+SYSLOG3164_SQL = sql_shown(
+    LEVEL, target="'shop'", host="'host' || (user_id % 4)", pid="user_id::VARCHAR", message="'user did ' || event_type", fmt="%Y-%m-%d %H:%M:%S",
+    tail=" || '.000'",
+).replace("row_number() OVER (ORDER BY event_id) - 1 AS entry_no, ", "")
 
 
 @query(SYSLOG3164_SQL)
@@ -162,27 +179,40 @@ def ingest_journalctl_short(spark, sf_dir):
 @query(sql_shown(LEVEL, target="'shop'", host="'host' || (user_id % 4)", pid="user_id::VARCHAR"))
 def ingest_journal_json(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("micros", (F.unix_millis(F.to_timestamp("clock")) * 1000).cast("string"))
-    line = F.to_json(F.struct(F.col("micros").alias("__REALTIME_TIMESTAMP"), by_type(PRIORITY).cast("string").alias("PRIORITY"), F.col("msg").alias("MESSAGE"), text("host", user(4)).alias("_HOSTNAME"), F.lit("shop").alias("SYSLOG_IDENTIFIER"), F.col("user_id").cast("string").alias("_PID")))
+    line = F.to_json(F.struct(
+        F.col("micros").alias("__REALTIME_TIMESTAMP"), by_type(PRIORITY).cast("string").alias("PRIORITY"), F.col("msg").alias("MESSAGE"),
+        text("host", user(4)).alias("_HOSTNAME"), F.lit("shop").alias("SYSLOG_IDENTIFIER"), F.col("user_id").cast("string").alias("_PID"),
+    ))
     return shown(entries_of_lines(as_lines(e, line)))
 
 
 @query(sql_shown(LEVEL, host="'host' || (user_id % 4)", extra="'user=' || user_id"))
 def ingest_json_lines(spark, sf_dir):
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, F.to_json(F.struct(F.col("iso").alias("time"), F.lower("lv").alias("level"), F.col("msg").alias("message"), text("host", user(4)).alias("host"), F.col("user_id").alias("user"))))))
+    return shown(entries_of_lines(as_lines(
+        e,
+        F.to_json(F.struct(
+            F.col("iso").alias("time"), F.lower("lv").alias("level"), F.col("msg").alias("message"), text("host", user(4)).alias("host"),
+            F.col("user_id").alias("user"),
+        )),
+    )))
 
 
 @query(sql_shown(LEVEL, host="'host' || (user_id % 4)", extra="'user=' || user_id"))
 def ingest_logfmt(spark, sf_dir):
     legacy_charsets(spark)
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, text("time=", "$iso", " level=", F.lower("lv"), ' msg="', "$msg", '" host=host', user(4), " user=", "$user_id"))))
+    return shown(entries_of_lines(as_lines(
+        e, text("time=", "$iso", " level=", F.lower("lv"), ' msg="', "$msg", '" host=host', user(4), " user=", "$user_id"),
+    )))
 
 
 @query(sql_shown(LEVEL, target="'shop'", extra="'User=' || user_id", message="'user, \"' || user_id || '\" did ' || event_type"))
 def ingest_csv(spark, sf_dir):
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, text("$iso", ",", "$lv", ',shop,"user, ""', "$user_id", '"" did ', "$event_type", '",', "$user_id"), "Time,Level,Logger,Message,User")))
+    return shown(entries_of_lines(as_lines(
+        e, text("$iso", ",", "$lv", ',shop,"user, ""', "$user_id", '"" did ', "$event_type", '",', "$user_id"), "Time,Level,Logger,Message,User",
+    )))
 
 
 @query(sql_shown(LEVEL, target="'shop.events'"))
@@ -200,25 +230,48 @@ def ingest_serilog(spark, sf_dir):
 @query(sql_shown(LEVEL, thread="'main-' || (user_id % 4)", target="'com.shop.Events'"))
 def ingest_log4j(spark, sf_dir):
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, text(F.replace("clock", F.lit("."), F.lit(",")), " [main-", user(4), "] ", "$lv", "  com.shop.Events - ", "$msg"))))
+    return shown(entries_of_lines(as_lines(
+        e, text(F.replace("clock", F.lit("."), F.lit(",")), " [main-", user(4), "] ", "$lv", "  com.shop.Events - ", "$msg"),
+    )))
 
 
-@query(sql_shown({"view": "TRACE", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, target="'shop'", extra="'EventId=' || user_id", message="'user ' || user_id || ' did ' || event_type || ' again'"))
+@query(sql_shown(
+    {"view": "TRACE", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, target="'shop'", extra="'EventId=' || user_id",
+    message="'user ' || user_id || ' did ' || event_type || ' again'",
+))
 def ingest_wevt_text(spark, sf_dir):
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, text("TimeCreated      : ", "$clock", "\nProviderName     : shop\nEventId          : ", "$user_id", "\nLevelDisplayName : ", by_type(EVENT), "\nMessage          : ", "$msg", "\n  again"))))
-
-
-@query(sql_shown({"view": "TRACE", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, target="'shop'", extra="'Event ID=' || user_id", message="'user ' || user_id || chr(10) || 'did ' || event_type"))
+    return shown(entries_of_lines(as_lines(
+        e,
+        text(
+            "TimeCreated      : ", "$clock", "\nProviderName     : shop\nEventId          : ", "$user_id", "\nLevelDisplayName : ", by_type(EVENT),
+            "\nMessage          : ", "$msg", "\n  again",
+        ),
+    )))
+
+
+@query(sql_shown(
+    {"view": "TRACE", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, target="'shop'", extra="'Event ID=' || user_id",
+    message="'user ' || user_id || chr(10) || 'did ' || event_type",
+))
 def ingest_wevt_tsv(spark, sf_dir):
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, text(by_type(EVENT), "\t", "$clock", "\tshop\t", "$user_id", '\tNone\t"user ', "$user_id", "\ndid ", "$event_type", '"'), "Level\tDate and Time\tSource\tEvent ID\tTask Category")))
+    return shown(entries_of_lines(as_lines(
+        e, text(by_type(EVENT), "\t", "$clock", "\tshop\t", "$user_id", '\tNone\t"user ', "$user_id", "\ndid ", "$event_type", '"'),
+        "Level\tDate and Time\tSource\tEvent ID\tTask Category",
+    )))
 
 
-@query(sql_shown({"view": "TRACE", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, target="'shop'", host="'host' || (user_id % 4)", extra="'Data=user=' || user_id || '; did=' || event_type || ';Event ID=7'", message="'user=' || user_id || '; did=' || event_type"))
+@query(sql_shown(
+    {"view": "TRACE", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, target="'shop'", host="'host' || (user_id % 4)",
+    extra="'Data=user=' || user_id || '; did=' || event_type || ';Event ID=7'", message="'user=' || user_id || '; did=' || event_type",
+))
 def ingest_wevt_xml(spark, sf_dir):
     e = _event_xml(spark, sf_dir)
-    return shown(entries_of_events(e.select(F.lit(0).alias("source_idx"), F.lit("events.xml").alias("source_name"), F.floor(F.col("event_id") / 10_000).alias("block"), F.col("event_id").alias("position"), "xml")))
+    return shown(entries_of_events(e.select(
+        F.lit(0).alias("source_idx"), F.lit("events.xml").alias("source_name"), F.floor(F.col("event_id") / 10_000).alias("block"),
+        F.col("event_id").alias("position"), "xml",
+    )))
 
 
 @query(SQL["ingest_wevt_xml"].replace("row_number() OVER (ORDER BY event_id) - 1 AS entry_no, ", ""))
@@ -231,13 +284,27 @@ def read_event_xml_files(spark, sf_dir):
 def _event_xml(spark, sf_dir) -> DataFrame:
     """events with xml: each as an Event element without its end tag."""
     e = events(spark, sf_dir)
-    return e.withColumn("xml", text('<Event xmlns="urn:x"><System><Provider Name="shop"/><EventID>7</EventID><Level>', by_type(EVENT_NUMBER), '</Level><TimeCreated SystemTime="', "$iso", '"/><Computer>host', user(4), '</Computer></System><EventData><Data Name="user">', "$user_id", '</Data><Data Name="did">', "$event_type", "</Data></EventData>"))
-
-
-@query(sql_shown({"view": "INFO", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, host="'10.0.0.' || (user_id % 4)", extra="'UserAgent=agent' || (user_id % 16)", message="'GET /' || event_type || ' ' || " + sql_case(STATUS), fmt="%Y-%m-%d %H:%M:%S", tail=" || '.000'"))
+    return e.withColumn(
+        "xml",
+        text(
+            '<Event xmlns="urn:x"><System><Provider Name="shop"/><EventID>7</EventID><Level>', by_type(EVENT_NUMBER),
+            '</Level><TimeCreated SystemTime="', "$iso", '"/><Computer>host', user(4), '</Computer></System><EventData><Data Name="user">',
+            "$user_id", '</Data><Data Name="did">', "$event_type", "</Data></EventData>",
+        ),
+    )
+
+
+@query(sql_shown(
+    {"view": "INFO", "click": "INFO", "signup": "INFO", "purchase": "WARN", "error": "ERROR"}, host="'10.0.0.' || (user_id % 4)",
+    extra="'UserAgent=agent' || (user_id % 16)", message="'GET /' || event_type || ' ' || " + sql_case(STATUS), fmt="%Y-%m-%d %H:%M:%S",
+    tail=" || '.000'",
+))
 def ingest_iis(spark, sf_dir):
     e = events(spark, sf_dir)
-    return shown(entries_of_lines(as_lines(e, text(F.substring("clock", 1, 19), " 10.0.0.", user(4), " GET /", "$event_type", " ", by_type(STATUS), " agent", user(16)), "#Fields: date time s-ip cs-method cs-uri-stem sc-status cs(User-Agent)")))
+    return shown(entries_of_lines(as_lines(
+        e, text(F.substring("clock", 1, 19), " 10.0.0.", user(4), " GET /", "$event_type", " ", by_type(STATUS), " agent", user(16)),
+        "#Fields: date time s-ip cs-method cs-uri-stem sc-status cs(User-Agent)",
+    )))
 
 
 DETECTED = ["tracing", "syslog5424", "json_lines", "logfmt", "python_logging", "serilog", "log4j_logback", "generic"]
@@ -247,9 +314,16 @@ DETECTED = ["tracing", "syslog5424", "json_lines", "logfmt", "python_logging", "
 def detect_format_mixed(spark, sf_dir):
     e = events(spark, sf_dir)
     lv = by_type(LEVEL | {"signup": "INFO"})
-    rendered = [text("$iso", "  ", lv, " w ThreadId(1) shop: ", "$msg"), text("<11>1 ", "$iso", " h shop 1 m ", "$msg"), F.to_json(F.struct(F.col("iso").alias("time"), F.col("msg").alias("message"))), text("time=", "$iso", ' msg="', "$msg", '"'), text("$clock", " - ", "$lv", " - shop - ", "$msg"), text("$clock", " [", by_type(SHORT), "] ", "$msg"), text("$clock", " [main] ", "$lv", " shop.A - ", "$msg"), text("$msg")]
+    rendered = [
+        text("$iso", "  ", lv, " w ThreadId(1) shop: ", "$msg"), text("<11>1 ", "$iso", " h shop 1 m ", "$msg"),
+        F.to_json(F.struct(F.col("iso").alias("time"), F.col("msg").alias("message"))), text("time=", "$iso", ' msg="', "$msg", '"'),
+        text("$clock", " - ", "$lv", " - shop - ", "$msg"), text("$clock", " [", by_type(SHORT), "] ", "$msg"),
+        text("$clock", " [main] ", "$lv", " shop.A - ", "$msg"), text("$msg"),
+    ]
     every = e.select("event_id", F.posexplode(F.array(*rendered)).alias("i", "t"))
-    return detect.detect_format(lines_from_df(every, F.col("event_id"), F.col("t"), F.col("i"))).select("source_idx", "format_id", F.col("score").cast("int").alias("score"))
+    return detect.detect_format(lines_from_df(every, F.col("event_id"), F.col("t"), F.col("i"))).select(
+        "source_idx", "format_id", F.col("score").cast("int").alias("score"),
+    )
 
 
 # Entries -------------------------------------------------------------------------------------------------------------
@@ -267,7 +341,10 @@ DOCUMENTS = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 @query(f"SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 2 AS physical_lines, 'doc ' || doc_id || chr(10) || text AS message FROM {DOCUMENTS}")
 def fold_continuations(spark, sf_dir):
     e = entries_of_lines(document_lines(spark, sf_dir), "generic")
-    return e.select(F.regexp_extract("message", r"^doc (\d+)", 1).cast("long").alias("doc_id"), F.col("physical_lines").cast("long").alias("physical_lines"), "message")
+    return e.select(
+        F.regexp_extract("message", r"^doc (\d+)", 1).cast("long").alias("doc_id"), F.col("physical_lines").cast("long").alias("physical_lines"),
+        "message",
+    )
 
 
 @query(
@@ -276,7 +353,9 @@ def fold_continuations(spark, sf_dir):
 )
 def no_merge_continuations(spark, sf_dir):
     e = entries_of_lines(document_lines(spark, sf_dir), "generic", merge_continuations=False)
-    return e.groupBy(F.when(F.col("raw_level") == "INFO", "first").otherwise("rest").alias("source")).agg(F.count(F.lit(1)).alias("entries"), F.sum(F.length("message")).alias("chars"))
+    return e.groupBy(F.when(F.col("raw_level") == "INFO", "first").otherwise("rest").alias("source")).agg(
+        F.count(F.lit(1)).alias("entries"), F.sum(F.length("message")).alias("chars"),
+    )
 
 
 # Filters, find, columns ----------------------------------------------------------------------------------------------
@@ -337,7 +416,9 @@ HITS_SQL = f"(SELECT entry_no, row_number() OVER (ORDER BY entry_no) AS ordinal
 
 @query(f"SELECT entry_no, ordinal, coalesce(lead(entry_no) OVER (ORDER BY ordinal), min(entry_no) OVER ()) AS next_entry, coalesce(lag(entry_no) OVER (ORDER BY ordinal), max(entry_no) OVER ()) AS previous_entry FROM {HITS_SQL}")
 def find_next_prev(spark, sf_dir):
-    return T.navigate(talk_entries(spark, sf_dir), Pattern("that")).select("entry_no", "ordinal", F.col("next.entry_no").alias("next_entry"), F.col("previous.entry_no").alias("previous_entry"))
+    return T.navigate(talk_entries(spark, sf_dir), Pattern("that")).select(
+        "entry_no", "ordinal", F.col("next.entry_no").alias("next_entry"), F.col("previous.entry_no").alias("previous_entry"),
+    )
 
 
 @query(f"SELECT count(*) AS match_count FROM {HITS_SQL}")
@@ -348,7 +429,9 @@ def match_count(spark, sf_dir):
 @query("SELECT doc_id, (length(text) - length(replace(text, 'tion', ''))) // 4 AS found, instr(text, 'tion') - 1 AS first_start FROM documents WHERE contains(text, 'tion')")
 def match_ranges_regex(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", match_ranges(F.col("text"), Pattern("tion", "regex", True), 1_000_000).alias("r"))
-    return d.where(F.size("r") > 0).select("doc_id", F.size("r").cast("long").alias("found"), F.col("r")[0]["start"].cast("long").alias("first_start"))
+    return d.where(F.size("r") > 0).select(
+        "doc_id", F.size("r").cast("long").alias("found"), F.col("r")[0]["start"].cast("long").alias("first_start"),
+    )
 
 
 @query("SELECT doc_id, coalesce(regexp_matches(text, '(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])'), false) AS hit FROM documents")
@@ -360,7 +443,10 @@ def match_ranges_word(spark, sf_dir):
 def sparse_entries(spark, sf_dir) -> DataFrame:
     """JSON entries with an extra key in every second, in every third and in every entry."""
     e = events(spark, sf_dir)
-    line = F.to_json(F.struct(F.col("iso").alias("time"), F.lower("lv").alias("level"), F.col("msg").alias("message"), F.when(F.col("event_id") % 2 == 0, "x").alias("half"), F.when(F.col("event_id") % 3 == 0, "x").alias("third"), F.col("user_id").alias("user")))
+    line = F.to_json(F.struct(
+        F.col("iso").alias("time"), F.lower("lv").alias("level"), F.col("msg").alias("message"),
+        F.when(F.col("event_id") % 2 == 0, "x").alias("half"), F.when(F.col("event_id") % 3 == 0, "x").alias("third"), F.col("user_id").alias("user"),
+    ))
     return entries_of_lines(as_lines(e, line), "json_lines")
 
 
@@ -386,7 +472,9 @@ def infer_columns(spark, sf_dir):
 @query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS entry_no, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS time, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE '' END AS half, user_id::VARCHAR AS \"user\" FROM events")
 def wide_table(spark, sf_dir):
     columns = T.hide_columns(["line", "time", "message", "extra:half", "extra:user"], {"message"})
-    return T.wide_table(sparse_entries(spark, sf_dir), columns).select("entry_no", "time", F.col("`extra:half`").alias("half"), F.col("`extra:user`").alias("user"))
+    return T.wide_table(sparse_entries(spark, sf_dir), columns).select(
+        "entry_no", "time", F.col("`extra:half`").alias("half"), F.col("`extra:user`").alias("user"),
+    )
 
 
 @query("SELECT 'a.log + 3 more files' AS name, 'generic' AS format_id, count(*) AS entries, count(DISTINCT user_id % 4) AS sources FROM events")
@@ -399,7 +487,9 @@ def document_info(spark, sf_dir):
 
 def _four_sources(spark, sf_dir) -> DataFrame:
     """Events in four sources by user; every seventh steps back by an hour."""
-    e = load(spark, sf_dir, "events").withColumn("t", F.col("ts") - F.when(F.col("event_id") % 7 == 0, F.expr("interval 1 hour")).otherwise(F.expr("interval 0 hour")))
+    e = load(spark, sf_dir, "events").withColumn(
+        "t", F.col("ts") - F.when(F.col("event_id") % 7 == 0, F.expr("interval 1 hour")).otherwise(F.expr("interval 0 hour")),
+    )
     line = text(F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSS"), " INFO ", "$event_id")
     name = F.concat(F.element_at(F.array(*(F.lit(x) for x in "abcd")), (user(4) + 1).cast("int")), F.lit(".log"))
     return entries_of_lines(lines_from_df(e, F.col("event_id"), line, user(4), name), "generic")
@@ -436,18 +526,26 @@ def concat_no_time(spark, sf_dir):
 def epoch_units(spark, sf_dir):
     e = load(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
     show = lambda c, f: F.date_format(N.time_of_value(c.cast("string")), f)
-    return e.select("event_id", show(F.floor(F.col("ms") / 1000), "yyyy-MM-dd HH:mm:ss").alias("of_seconds"), show(F.col("ms"), "yyyy-MM-dd HH:mm:ss.SSS").alias("of_millis"), show(F.col("ms") * 1000, "yyyy-MM-dd HH:mm:ss.SSS").alias("of_micros"))
+    return e.select(
+        "event_id", show(F.floor(F.col("ms") / 1000), "yyyy-MM-dd HH:mm:ss").alias("of_seconds"),
+        show(F.col("ms"), "yyyy-MM-dd HH:mm:ss.SSS").alias("of_millis"), show(F.col("ms") * 1000, "yyyy-MM-dd HH:mm:ss.SSS").alias("of_micros"),
+    )
 
 
 @query(f"SELECT event_id, {sql_case(LEVEL)} AS bracketed, {sql_case(LEVEL | {'signup': 'INFO'})} AS short, 'OTHER' AS rejected, {sql_case(LEVEL)} AS by_priority FROM events")
 def normalize_levels(spark, sf_dir):
     e = load(spark, sf_dir, "events")
-    return e.select("event_id", N.normalize_level(text("[", F.lower(by_type(LEVEL)), "]: ")).alias("bracketed"), N.normalize_level(by_type(SHORT)).alias("short"), N.normalize_level(text(by_type(LEVEL), "/", "$user_id")).alias("rejected"), N.level_from_priority(by_type(PRIORITY)).alias("by_priority"))
+    return e.select(
+        "event_id", N.normalize_level(text("[", F.lower(by_type(LEVEL)), "]: ")).alias("bracketed"), N.normalize_level(by_type(SHORT)).alias("short"),
+        N.normalize_level(text(by_type(LEVEL), "/", "$user_id")).alias("rejected"), N.level_from_priority(by_type(PRIORITY)).alias("by_priority"),
+    )
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity * 12 >= 500 THEN 'ERROR' WHEN l_quantity * 12 >= 400 THEN 'WARN' ELSE 'INFO' END AS level FROM lineitem")
 def http_levels(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.http_level((F.col("l_quantity") * 12).cast("int").cast("string")).alias("level"))
+    return load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", N.http_level((F.col("l_quantity") * 12).cast("int").cast("string")).alias("level"),
+    )
 
 
 # Escapes and fragments -----------------------------------------------------------------------------------------------
@@ -463,7 +561,9 @@ def strip_control_codes(spark, sf_dir):
 def styled_spans(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").where(F.length("text") > 0)
     raw = c.select("conv_id", "turn", text("$role", " ", "\x1b[1;31m", "$text", "\x1b[0m").alias("raw"))
-    return fragments.styled_spans(raw, ["conv_id", "turn"]).select("conv_id", "turn", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), "fg", "bold")
+    return fragments.styled_spans(raw, ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), "fg", "bold",
+    )
 
 
 @query("SELECT event_id, 'json' AS kind, 6 AS start, length(props) AS length, props AS text FROM events WHERE length(props) >= 8")
@@ -490,7 +590,9 @@ def snippet_token_counts(spark, sf_dir):
 def export_flat_tsv(spark, sf_dir):
     e = entries_of_lines(document_lines(spark, sf_dir), "generic")
     flat = T.text_rows(e, ["message"], flat=True)
-    head = T.text_rows(e.withColumn("message", F.regexp_extract("message", r"^doc \d+", 0)), ["message", "level"], flat=True).select("entry_no", F.col("value").alias("head"))
+    head = T.text_rows(
+        e.withColumn("message", F.regexp_extract("message", r"^doc \d+", 0)), ["message", "level"], flat=True,
+    ).select("entry_no", F.col("value").alias("head"))
     return flat.join(head, "entry_no").select("entry_no", "head", "value")
 
 
@@ -510,7 +612,9 @@ def read_log_files(spark, sf_dir):
 @query("SELECT count(*) AS lines, count(*) AS distinct_places, 'UTF-8' AS encoding FROM events")
 def scan_numbered_lines(spark, sf_dir):
     lines = scan_lines(spark, [event_files(spark, sf_dir)], max_lines=0)
-    return lines.agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("source_idx", "line_no").alias("distinct_places"), F.max("encoding").alias("encoding"))
+    return lines.agg(
+        F.count(F.lit(1)).alias("lines"), F.countDistinct("source_idx", "line_no").alias("distinct_places"), F.max("encoding").alias("encoding"),
+    )
 
 
 def stream_rows(spark, stream: DataFrame, mode: str, ends: bool = True) -> DataFrame:
@@ -569,7 +673,9 @@ def encoded_files(spark, sf_dir) -> list[str]:
 @query("SELECT encoding, count(*) AS lines, sum(length('用户 user ' || user_id || ' did ' || event_type)) AS chars, count(*) AS marked FROM events, (VALUES " + ", ".join(f"('{x}')" for x in ENCODINGS) + ") AS t(encoding) GROUP BY encoding")
 def decode_lines(spark, sf_dir):
     lines = scan_lines(spark, encoded_files(spark, sf_dir))
-    return lines.groupBy("encoding").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("text").startswith("用户 user ")).alias("marked"))
+    return lines.groupBy("encoding").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("text").startswith("用户 user ")).alias("marked"),
+    )
 
 
 @query("SELECT 'generic' AS format_id, count(*) AS entries, sum(length(strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' ' || " + sql_case(LEVEL) + " || ' user ' || user_id || ' did ' || event_type) + 1)::BIGINT AS bytes, 'UTF-8' AS encoding, false AS truncated FROM events")
@@ -621,13 +727,17 @@ def filter_presets(spark, sf_dir):
 @query("SELECT event_id, 'xml' AS kind, 5 AS start, length(x) AS length, x AS text FROM (SELECT event_id, '<e id=\"' || event_id || '\"><kind>' || event_type || '</kind><br/></e>' AS x FROM events)")
 def xml_snippets_of_events(spark, sf_dir):
     x = text('<e id="', "$event_id", '"><kind>', "$event_type", "</kind><br/></e>")
-    return fragments.extract_snippets(load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("got: "), x, F.lit(" < 3")).alias("message")), ["event_id"])
+    return fragments.extract_snippets(
+        load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("got: "), x, F.lit(" < 3")).alias("message")), ["event_id"],
+    )
 
 
 @query("SELECT event_id, 'yaml' AS kind, 7 AS start, length(x) AS length, x AS text FROM (SELECT event_id, 'user: ' || user_id || chr(10) || 'kind: ' || event_type || chr(10) || '- item of a list' AS x FROM events)")
 def yaml_snippets_of_events(spark, sf_dir):
     x = text("user: ", "$user_id", "\nkind: ", "$event_type", "\n- item of a list")
-    return fragments.extract_snippets(load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("report\n"), x, F.lit("\nthat is all")).alias("message")), ["event_id"])
+    return fragments.extract_snippets(
+        load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("report\n"), x, F.lit("\nthat is all")).alias("message")), ["event_id"],
+    )
 
 
 @query("SELECT token, (count(*) * n)::BIGINT AS n FROM events, (VALUES ('TagName', 5), ('Key', 1), ('AttributeValue', 1), ('Punctuation', 10)) AS t(token, n) GROUP BY token, n")
@@ -637,8 +747,12 @@ def xml_token_counts(spark, sf_dir):
 
 @query("SELECT event_id, 4::BIGINT AS fragments, 3 AS first_start FROM events")
 def snippet_budget(spark, sf_dir):
-    e = load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("6: "), F.repeat(text('{"user": ', "$user_id", "} "), F.lit(6))).alias("message"))
-    return fragments.extract_snippets(e, ["event_id"]).groupBy("event_id").agg(F.count(F.lit(1)).alias("fragments"), F.min("start").alias("first_start"))
+    e = load(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("6: "), F.repeat(text('{"user": ', "$user_id", "} "), F.lit(6))).alias("message"),
+    )
+    return fragments.extract_snippets(e, ["event_id"]).groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("fragments"), F.min("start").alias("first_start"),
+    )
 
 
 @query("SELECT (row_number() OVER (ORDER BY event_id))::VARCHAR AS line, " + sql_case(LEVEL) + " AS level, 'user \"' || user_id || '\", did' || chr(10) || event_type AS message FROM events")
@@ -647,7 +761,9 @@ def export_csv(spark, sf_dir):
     folder = new_folder(spark, "csv")
     entries = entries_of_lines(lines, "generic").withColumn("first_line", F.col("entry_no") + 1)
     T.write_csv(entries, ["line", "level", "message"], folder)
-    return spark.read.csv(folder, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).select("line", "level", "message")
+    return spark.read.csv(
+        folder, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).select("line", "level", "message")
 
 
 @query("SELECT " + sql_case(LEVEL) + " || chr(9) || 'user ' || user_id || ' did ' || event_type AS value FROM events")

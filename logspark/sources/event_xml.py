@@ -21,15 +21,29 @@ def entries_of_events(records: DataFrame) -> DataFrame:
     found = records.withColumn("at", F.instr("xml", "<Event ")).where("at > 0")
     event = F.concat(F.expr("substring(xml, at)"), F.lit("</Event>"))
     read = found.select("source_idx", "source_name", "block", "position", event.alias("xml"))
-    e = read.withColumn("e", F.from_xml(F.col("xml"), SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})).where("e is not null and e._corrupt is null")
+    e = read.withColumn(
+        "e", F.from_xml(F.col("xml"), SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}),
+    ).where("e is not null and e._corrupt is null")
     shown, numeric = F.trim(N.or_empty(F.col("e.RenderingInfo.Level"))), F.col("e.System.Level").try_cast("int")
     named = N.normalize_level(shown)
     level = F.when((shown != "") & (named != "OTHER"), named).otherwise(N.event_level(numeric))
     raw = F.when((shown != "") & (named != "OTHER"), shown).when(level != "OTHER", level).otherwise("")
-    data = F.filter(F.coalesce(F.col("e.EventData.Data"), F.array()), lambda d: (F.trim(N.or_empty(d["_VALUE"])) != "") & (F.length(F.trim(d["_VALUE"])) <= N.LONGEST_EXTRA))
-    joined = F.array_join(F.transform(data, lambda d: F.when(N.or_empty(d["_Name"]) == "", F.trim(d["_VALUE"])).otherwise(F.concat(d["_Name"], F.lit("="), F.trim(d["_VALUE"])))), "; ")
+    data = F.filter(
+        F.coalesce(F.col("e.EventData.Data"), F.array()),
+        lambda d: (F.trim(N.or_empty(d["_VALUE"])) != "") & (F.length(F.trim(d["_VALUE"])) <= N.LONGEST_EXTRA),
+    )
+    joined = F.array_join(
+        F.transform(
+            data,
+            lambda d: F.when(N.or_empty(d["_Name"]) == "", F.trim(d["_VALUE"])).otherwise(F.concat(d["_Name"], F.lit("="), F.trim(d["_VALUE"]))),
+        ),
+        "; ",
+    )
     message = F.trim(N.or_empty(F.col("e.RenderingInfo.Message")))
-    extra = F.map_filter(F.create_map(F.lit("Event ID"), F.trim(N.or_empty(F.col("e.System.EventID"))), F.lit("Data"), F.substring(joined, 1, N.LONGEST_EXTRA)), lambda _, v: v != "")
+    extra = F.map_filter(
+        F.create_map(F.lit("Event ID"), F.trim(N.or_empty(F.col("e.System.EventID"))), F.lit("Data"), F.substring(joined, 1, N.LONGEST_EXTRA)),
+        lambda _, v: v != "",
+    )
     out = number(e, ["source_idx"], "block", ["position"], "n").select(
         "source_idx", "source_name", F.lit("wevt_xml").alias("format_id"), (F.col("n") - 1).cast("long").alias("entry_no"), F.col("n").cast("long").alias("first_line"), F.lit(1).alias("physical_lines"),
         N.parse_time(N.or_empty(F.col("e.System.TimeCreated._SystemTime"))).alias("time"), level.alias("level"), N.level_index(level).alias("level_idx"), raw.alias("raw_level"),
@@ -42,5 +56,8 @@ def read_event_xml(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Entries of event XML files; the reader splits large files at end tags."""
     from .lines import source_map
 
-    raw = spark.read.text(paths, lineSep="</Event>").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("position"), F.col("value").alias("xml"))
+    raw = spark.read.text(paths, lineSep="</Event>").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("position"), F.col("value").alias("xml"),
+    )
     return entries_of_events(raw.join(source_map(spark, paths), "file").drop("file"))

@@ -32,12 +32,16 @@ def source_map(spark: SparkSession, paths: list[str]) -> DataFrame:
     """source_idx, source_name, file, bytes and modified of each file that paths name, in the order of paths, then by name."""
     found = None
     for k, p in enumerate(paths):
-        one = spark.read.format("binaryFile").load(p).select(F.lit(k).alias("given"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+        one = spark.read.format("binaryFile").load(p).select(
+            F.lit(k).alias("given"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"),
+        )
         found = one if found is None else found.unionByName(one)
     # One row for each file.
     files = found.groupBy("path").agg(F.min("given").alias("given"), F.first("bytes").alias("bytes"), F.first("modified").alias("modified"))
     place = (F.row_number().over(Window.orderBy("given", "path")) - 1).cast("int")
-    return files.select(place.alias("source_idx"), F.element_at(F.split("path", "/"), -1).alias("source_name"), F.col("path").alias("file"), "bytes", "modified")
+    return files.select(
+        place.alias("source_idx"), F.element_at(F.split("path", "/"), -1).alias("source_name"), F.col("path").alias("file"), "bytes", "modified",
+    )
 
 
 def _head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +59,9 @@ def _head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoding_of(b"\n".join(raw)[:HEAD_BYTES])
         texts = [decode_line(x, encoding) for x in raw] if encoding not in WIDE else b"\n".join(raw).decode(encoding, "replace").replace("\n\n", "\n").split("\n")
         sample = [x.removeprefix("\ufeff") for x in texts[:HEAD_LINES]]
-        yield pa.record_batch([pa.array([file]), pa.array([encoding]), pa.array([sample], pa.list_(pa.string()))], names=["file", "encoding", "sample"])
+        yield pa.record_batch(
+            [pa.array([file]), pa.array([encoding]), pa.array([sample], pa.list_(pa.string()))], names=["file", "encoding", "sample"],
+        )
 
 
 def read_heads(spark: SparkSession, paths: list[str], encoding: str | None = None) -> DataFrame:
@@ -76,7 +82,9 @@ def read_heads(spark: SparkSession, paths: list[str], encoding: str | None = Non
     known = source_map(spark, paths).join(found, "file", "left")
     own = F.lit(encoding) if encoding else F.coalesce("encoding", F.lit("UTF-8"))
     sample = F.transform(F.coalesce("sample", F.array().cast("array<string>")), strip_control)
-    known.select("source_idx", "source_name", "file", "bytes", "modified", own.alias("encoding"), sample.alias("sample")).write.parquet(f"{folder}-named")
+    known.select(
+        "source_idx", "source_name", "file", "bytes", "modified", own.alias("encoding"), sample.alias("sample"),
+    ).write.parquet(f"{folder}-named")
     return spark.read.parquet(f"{folder}-named")
 
 
@@ -86,11 +94,16 @@ def placed_lines(spark: SparkSession, heads: DataFrame) -> DataFrame:
     LF, CRLF and CR all end a line, LF and CRLF in UTF-16; a last line without an end counts.
     """
     files = heads.select("source_idx", "file", "encoding")
-    of = {r["wide"]: r for r in files.groupBy(F.when(F.col("encoding").isin(WIDE), F.col("encoding")).alias("wide")).agg(F.count(F.lit(1)).alias("n"), F.collect_list("file").alias("files")).collect()}
+    of = {r["wide"]: r for r in files.groupBy(F.when(F.col("encoding").isin(WIDE), F.col("encoding")).alias("wide")).agg(
+        F.count(F.lit(1)).alias("n"), F.collect_list("file").alias("files"),
+    ).collect()}
     out = None
     for wide, r in of.items():
         reader = spark.read.option("encoding", wide).option("lineSep", "\n") if wide else spark.read
-        raw = reader.text(r["files"]).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"))
+        raw = reader.text(r["files"]).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"),
+        )
         named = raw.join(F.broadcast(files) if r["n"] <= BROADCAST_FILES else files, "file")
         text = F.regexp_replace(F.decode(F.col("raw").cast("binary"), wide), "\r$", "") if wide else decoded(F.col("raw"), F.col("encoding"))
         # A mark of the byte order may begin a file.
@@ -114,14 +127,18 @@ def scan_lines(spark: SparkSession, paths: list[str] | DataFrame, max_lines: int
         about = about.join(placed.groupBy("source_idx").agg(F.count(F.lit(1)).alias("lines")), "source_idx", "left")
         numbered = numbered.where(F.col("line_no") <= max_lines)
     truncated = F.col("lines") >= max_lines if max_lines else F.lit(False)
-    return numbered.join(about, "source_idx").select("source_idx", "source_name", "block", "line_no", "text", truncated.alias("truncated"), "modified", "encoding")
+    return numbered.join(about, "source_idx").select(
+        "source_idx", "source_name", "block", "line_no", "text", truncated.alias("truncated"), "modified", "encoding",
+    )
 
 
 def document_sizes(heads: DataFrame, max_lines: int = 0, lines: DataFrame | None = None) -> DataFrame:
     """What table.document_info shows of files (read_heads): source_idx, bytes, encoding, truncated (by max_lines, of scanned lines)."""
     cut = lines.groupBy("source_idx").agg(F.max("truncated").alias("truncated")) if max_lines and lines is not None else None
     out = heads.select("source_idx", "bytes", "encoding")
-    return out.join(cut, "source_idx", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False))) if cut is not None else out.withColumn("truncated", F.lit(False))
+    return out.join(cut, "source_idx", "left").withColumn(
+        "truncated", F.coalesce("truncated", F.lit(False)),
+    ) if cut is not None else out.withColumn("truncated", F.lit(False))
 
 
 def decode_line(raw: bytes, encoding: str) -> str:
@@ -168,11 +185,19 @@ def legacy_charsets(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
 
 
-def lines_from_df(df: DataFrame, order: Column, text: Column, source_idx: Column | None = None, source_name: Column | None = None, segment: Column | None = None) -> DataFrame:
+def lines_from_df(
+    df: DataFrame, order: Column, text: Column, source_idx: Column | None = None, source_name: Column | None = None, segment: Column | None = None,
+) -> DataFrame:
     """Lines of a table's texts, each cut at its line ends, in the order of a number that no two rows of a source share.
 
     segment rises with order; by default a segment is 10,000 consecutive numbers.
     """
     block = F.floor(order.cast("long") / 10_000) if segment is None else segment
-    own = df.select((F.lit(0) if source_idx is None else source_idx).cast("int").alias("source_idx"), (F.lit("table.log") if source_name is None else source_name).alias("source_name"), order.cast("long").alias("_order"), block.alias("block"), F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("_part", "text"))
-    return number(own, ["source_idx"], "block", ["_order", "_part"], "line_no").select("source_idx", "source_name", "block", "line_no", strip_control(F.col("text")).alias("text"))
+    own = df.select(
+        (F.lit(0) if source_idx is None else source_idx).cast("int").alias("source_idx"),
+        (F.lit("table.log") if source_name is None else source_name).alias("source_name"), order.cast("long").alias("_order"), block.alias("block"),
+        F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("_part", "text"),
+    )
+    return number(own, ["source_idx"], "block", ["_order", "_part"], "line_no").select(
+        "source_idx", "source_name", "block", "line_no", strip_control(F.col("text")).alias("text"),
+    )

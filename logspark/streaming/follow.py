@@ -127,9 +127,13 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the lines of files that are put into a folder whole: file, generation (0), position (the line's number from 0), raw.
     A file is one row before its lines are, so files should be cut to what a task can hold, as rotated logs are; where lines
     need no order, landed_lines takes files of any size."""
-    whole = spark.readStream.option("wholetext", "true").text(folder).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"(\r\n|\r|\n)\z", "").alias("value"))
+    whole = spark.readStream.option("wholetext", "true").text(folder).select(
+        F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"(\r\n|\r|\n)\z", "").alias("value"),
+    )
     lines = F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("position", "raw")
-    return whole.where(F.length("value") > 0).select("file", lines).select("file", F.lit(0).cast("long").alias("generation"), F.col("position").cast("long").alias("position"), "raw")
+    return whole.where(F.length("value") > 0).select("file", lines).select(
+        "file", F.lit(0).cast("long").alias("generation"), F.col("position").cast("long").alias("position"), "raw",
+    )
 
 
 def landed_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,11 +154,15 @@ def _learned(lines: DataFrame, spec: X.FormatSpec, heads: DataFrame | None, name
         if spec.id == "generic":
             return lines.withColumn("anchored", F.lit(True))
         raise ValueError(f"{spec.id} needs the heads of the files that are followed")
-    known = heads.groupBy(F.col("source_name").alias(name)).agg(F.first("sample").alias("sample")).select(name, *(c.alias(k) for k, c in spec.learn().items()))
+    known = heads.groupBy(F.col("source_name").alias(name)).agg(F.first("sample").alias("sample")).select(
+        name, *(c.alias(k) for k, c in spec.learn().items()),
+    )
     return lines.join(F.broadcast(known), name, "left")
 
 
-def follow_folded(lines: DataFrame, spec: X.FormatSpec, flush_after_ms: int = 1000, heads: DataFrame | None = None, forget_after_ms: int = FORGET_MS) -> DataFrame:
+def follow_folded(
+    lines: DataFrame, spec: X.FormatSpec, flush_after_ms: int = 1000, heads: DataFrame | None = None, forget_after_ms: int = FORGET_MS,
+) -> DataFrame:
     """Closed entries of a stream of lines, as their lines. State for each file and generation: the open entry's lines and two
     counters, until nothing came for forget_after_ms. A task holds what one micro-batch brings of one file."""
     text = _learned(lines.withColumn("text", strip_control(F.col("raw"))), spec, heads, "file")
@@ -187,7 +195,9 @@ def follow_folded(lines: DataFrame, spec: X.FormatSpec, flush_after_ms: int = 10
     return marked.groupBy("file", "generation").applyInPandasWithState(step, FOLDED, STATE, "append", "ProcessingTimeTimeout")
 
 
-def follow_entries(lines: DataFrame, format: str, flush_after_ms: int = 1000, heads: DataFrame | None = None, reference: date | None = None) -> DataFrame:
+def follow_entries(
+    lines: DataFrame, format: str, flush_after_ms: int = 1000, heads: DataFrame | None = None, reference: date | None = None,
+) -> DataFrame:
     """A stream of entries, with generation: of files that all have the named format. An unfinished last line waits for its end.
 
     heads: what read_heads found of the files, for formats that learn from it. A date that a line lacks is that of the file's name, else reference.
@@ -196,9 +206,16 @@ def follow_entries(lines: DataFrame, format: str, flush_after_ms: int = 1000, he
     folded = follow_folded(lines, spec, flush_after_ms, heads).withColumn("text", F.col("lines")[0])
     day = F.coalesce(N.date_of_name(F.col("file")), F.lit(reference).cast("date"))
     place = F.struct("generation", "entry_no", "entry_start").alias("entry_start")
-    ready = folded.select(F.lit(0).alias("source_idx"), F.col("file").alias("source_name"), F.col("generation").alias("block"), place, "lines", "text", day.alias("reference"))
+    ready = folded.select(
+        F.lit(0).alias("source_idx"), F.col("file").alias("source_name"), F.col("generation").alias("block"), place, "lines", "text",
+        day.alias("reference"),
+    )
     parsed = parse_entries(_learned(ready, spec, heads, "source_name"), spec)
-    return parsed.select("source_name", F.col("entry_start.generation").alias("generation"), F.col("entry_start.entry_no").alias("entry_no"), F.col("entry_start.entry_start").alias("first_line"), "physical_lines", "time", "level", "level_idx", "raw_level", "thread", "target", "host", "pid", "extra", "message")
+    return parsed.select(
+        "source_name", F.col("entry_start.generation").alias("generation"), F.col("entry_start.entry_no").alias("entry_no"),
+        F.col("entry_start.entry_start").alias("first_line"), "physical_lines", "time", "level", "level_idx", "raw_level", "thread", "target", "host",
+        "pid", "extra", "message",
+    )
 
 
 def line_entries(lines: DataFrame, format: str, heads: DataFrame | None = None, reference: date | None = None) -> DataFrame:
@@ -206,7 +223,10 @@ def line_entries(lines: DataFrame, format: str, heads: DataFrame | None = None,
     spec = X.find_format(format)
     day = F.coalesce(N.date_of_name(F.col("file")), F.lit(reference).cast("date"))
     text = strip_control(F.col("raw"))
-    ready = lines.select(F.lit(0).alias("source_idx"), F.col("file").alias("source_name"), F.lit(0).alias("block"), F.lit(0).alias("entry_start"), F.array(text).alias("lines"), text.alias("text"), day.alias("reference"))
+    ready = lines.select(
+        F.lit(0).alias("source_idx"), F.col("file").alias("source_name"), F.lit(0).alias("block"), F.lit(0).alias("entry_start"),
+        F.array(text).alias("lines"), text.alias("text"), day.alias("reference"),
+    )
     return parse_entries(_learned(ready, spec, heads, "source_name"), spec).drop("source_idx", "block", "entry_start")
 
 
@@ -215,7 +235,9 @@ def running_level_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("level_idx", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-def start(stream: DataFrame, sink: str, checkpoint: str, name: str | None = None, mode: str = "append", poll: str | None = POLL, **options) -> StreamingQuery:
+def start(
+    stream: DataFrame, sink: str, checkpoint: str, name: str | None = None, mode: str = "append", poll: str | None = POLL, **options,
+) -> StreamingQuery:
     """Starts a query that looks for new lines every ``poll``; with None it takes what is there and ends."""
     writer = stream.writeStream.format(sink).outputMode(mode).option("checkpointLocation", checkpoint).options(**options)
     writer = writer.queryName(name) if name else writer
