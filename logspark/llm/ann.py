@@ -112,32 +112,49 @@ class Forest:
 FOREST = "dim int, block int, reps binary, vectors binary, keys binary, ranks binary"
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", trees: int = TREES, candidates: float = CANDIDATES, growth: float = GROWTH, block_bytes: int = BLOCK_BYTES, query_block: int = QUERIES) -> DataFrame:
+def nearest(
+    rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", trees: int = TREES,
+    candidates: float = CANDIDATES, growth: float = GROWTH, block_bytes: int = BLOCK_BYTES, query_block: int = QUERIES,
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row that is_query picks (an expression on id_column)."""
-    table = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(takes_part("v") & F.col("vec_id").isNotNull())
+    table = rows.select(
+        F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"),
+        F.coalesce(is_query, F.lit(False)).alias("q"),
+    ).where(takes_part("v") & F.col("vec_id").isNotNull())
     table = materialize(table, "vectors")
     # The k + 1 smallest ids of a vector are all that can be among any query's k nearest; ranks are cut before the shuffle.
-    first = table.select("v", "vec_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    first = table.select("v", "vec_id").distinct().withColumn(
+        "r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id")),
+    ).where(F.col("r") <= k + 1)
     index = first.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0]).withColumn("dim", F.size("v"))
     index = materialize(index, "index")
     queries = table.where("q").select(F.col("vec_id").alias("query_id"), "v").distinct().join(index.select("v", "rep", "dim"), "v").select("query_id", "rep", "dim")
     queries = materialize(queries, "queries")
-    counts = {r["dim"]: (r["n"], r["longest"]) for r in index.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).collect()}
+    counts = {r["dim"]: (r["n"], r["longest"]) for r in index.groupBy("dim").agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest"),
+    ).collect()}
     if not counts:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = {r["dim"]: r["n"] for r in queries.groupBy("dim").agg(F.countDistinct("rep").alias("n")).collect()}
-    number = lambda values, size: F.create_map(*(F.lit(x) for d in counts for x in (d, max(1, -(-values.get(d, 0) // size(d))))))[F.col("dim")]
+    number = lambda values, size: F.create_map(*(F.lit(x) for d in counts for x in (
+        d, max(1, -(-values.get(d, 0) // size(d))),
+    )))[F.col("dim")]
     blocks, parts = number({d: n for d, (n, _) in counts.items()}, lambda d: max(1, block_bytes // (8 * d))), number(asked, lambda d: query_block)
 
     def build(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values("rep")
         forest = Forest.build(np.vstack(held["v"].to_list()), counts[int(key[0])][1], trees)
-        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "reps": [held["rep"].to_numpy(np.int64).tobytes()], "vectors": [forest.rows.tobytes()], "keys": [forest.keys.tobytes()], "ranks": [forest.order.tobytes()]})
+        return pd.DataFrame({
+            "dim": [key[0]], "block": [key[1]], "reps": [held["rep"].to_numpy(np.int64).tobytes()], "vectors": [forest.rows.tobytes()],
+            "keys": [forest.keys.tobytes()], "ranks": [forest.order.tobytes()],
+        })
 
     dealt = index.select("rep", "v", "dim", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
     built = materialize(dealt.groupBy("dim", "block").applyInPandas(build, FOREST), "forest")
     right = built.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    left = queries.select("rep", "dim").distinct().join(index.select("rep", F.col("v").alias("asked")), "rep").select("rep", "asked", "dim", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    left = queries.select("rep", "dim").distinct().join(index.select("rep", F.col("v").alias("asked")), "rep").select(
+        "rep", "asked", "dim", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
+    )
 
     def search(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
@@ -147,12 +164,19 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "ve
         of = lambda name, kind, n: np.frombuffer(block[name], kind).reshape(n, -1)
         forest = Forest(of("vectors", np.float64, len(near)), of("keys", np.uint32, trees), of("ranks", np.uint32, trees))
         found = forest.search(np.vstack(asked["asked"].to_list()), k + 1, candidates, growth)
-        return pd.DataFrame({"rep": np.repeat(asked["rep"].to_numpy(), [len(i) for i, _ in found]), "near": np.concatenate([near[i] for i, _ in found]), "score": np.concatenate([s for _, s in found])})
+        return pd.DataFrame({
+            "rep": np.repeat(asked["rep"].to_numpy(), [len(i) for i, _ in found]), "near": np.concatenate([near[i] for i, _ in found]),
+            "score": np.concatenate([s for _, s in found]),
+        })
 
     key = ["dim", "block", "part"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "rep long, near long, score double")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "near"))).where(F.col("r") <= k + 1)
-    ids = best.join(index.select(F.col("rep").alias("near"), "ids"), "near").select("rep", F.explode(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("vec_id")))).alias("c"))
+    ids = best.join(index.select(F.col("rep").alias("near"), "ids"), "near").select(
+        "rep", F.explode(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("vec_id")))).alias("c"),
+    )
     lists = ids.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("c")), 1, k + 1).alias("near"))
     own = queries.join(lists, "rep").select("query_id", F.slice(F.filter("near", lambda c: c["vec_id"] != F.col("query_id")), 1, k).alias("near"))
-    return own.select("query_id", F.posexplode("near").alias("at", "c")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("c.vec_id").alias("vec_id"), (-F.col("c.s")).alias("score"))
+    return own.select("query_id", F.posexplode("near").alias("at", "c")).select(
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("c.vec_id").alias("vec_id"), (-F.col("c.s")).alias("score"),
+    )

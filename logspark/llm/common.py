@@ -54,9 +54,13 @@ def with_rank(df: DataFrame, keys: list[str], order: list[str], out: str, rows:
     n = max(least, -(-rows // per_bucket))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0)),
+    ).drop("_n")
     within = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
-    return dealt.withColumn("_within", within).join(offsets, [*keys, "_bucket"]).withColumn(out, (F.col("_within") + F.col("_before")).cast("long")).drop("_bucket", "_within", "_before")
+    return dealt.withColumn("_within", within).join(offsets, [*keys, "_bucket"]).withColumn(
+        out, (F.col("_within") + F.col("_before")).cast("long"),
+    ).drop("_bucket", "_within", "_before")
 
 
 def word_hash(word: str) -> int:

@@ -225,7 +225,9 @@ def windows_of_item(text: str | None) -> list[tuple]:
             continue
         hashes = _hash_list(tokens, size).view(np.int64).tolist()
         rich = _rich(values, size).tolist()
-        roles = [_who(v) if k == NAME and v else f"{v} {after}" for k, v, after in zip(tokens, values, [*(w or t for t, w in zip(tokens[1:], values[1:], strict=True)), ""], strict=True)]
+        roles = [_who(v) if k == NAME and v else f"{v} {after}" for k, v, after in zip(
+            tokens, values, [*(w or t for t, w in zip(tokens[1:], values[1:], strict=True)), ""], strict=True,
+        )]
         for p, h in enumerate(hashes):
             if reading != LITERAL and not rich[p]:
                 continue
@@ -233,7 +235,10 @@ def windows_of_item(text: str | None) -> list[tuple]:
             if reading != LITERAL:
                 rich_places[first:end] = True
             slots = [k for k in range(p, p + size) if values[k] is not None]
-            out.append((reading, p, h, " ".join(tokens[p : p + size]), [values[k] for k in slots], [roles[k] for k in slots], slots, first, end, bool(rich_places[first])))
+            out.append((
+                reading, p, h, " ".join(tokens[p : p + size]), [values[k] for k in slots], [roles[k] for k in slots], slots, first, end,
+                bool(rich_places[first]),
+            ))
     return out
 
 
@@ -249,12 +254,17 @@ def windows_of_document(text: str | None, sizes: list[int], keep) -> list[tuple]
             if reading != LITERAL:
                 ok = ok & _rich(values, size)
             for p in np.flatnonzero(ok).tolist():
-                out.append((reading, p, int(hashes[p : p + 1].view(np.int64)[0]), " ".join(tokens[p : p + size]), [v for v in values[p : p + size] if v is not None]))
+                out.append((
+                    reading, p, int(hashes[p : p + 1].view(np.int64)[0]), " ".join(tokens[p : p + size]),
+                    [v for v in values[p : p + size] if v is not None],
+                ))
     return out
 
 
 WINDOW_FIELDS = {"reading": pa.int32(), "position": pa.int32(), "hash": pa.int64(), "window": pa.string(), "slots": pa.list_(pa.string())}
-ITEM_FIELDS = WINDOW_FIELDS | {"roles": pa.list_(pa.string()), "places": pa.list_(pa.int32()), "first": pa.int32(), "end": pa.int32(), "rich": pa.bool_()}
+ITEM_FIELDS = WINDOW_FIELDS | {
+    "roles": pa.list_(pa.string()), "places": pa.list_(pa.int32()), "first": pa.int32(), "end": pa.int32(), "rich": pa.bool_(),
+}
 WINDOW_SCHEMA = "reading int, position int, hash long, window string, slots array<string>"
 
 
@@ -263,7 +273,9 @@ def _arrow(ids: pa.Array, per_row: list[list], name: str, fields: dict[str, pa.D
     flat = [w for r in per_row for w in r]
     take = np.repeat(np.arange(len(counts)), counts)
     cols = list(zip(*flat, strict=True)) if flat else [[]] * len(fields)
-    return pa.record_batch([ids.take(pa.array(take, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, fields.values(), strict=True))], names=[name, *fields])
+    return pa.record_batch(
+        [ids.take(pa.array(take, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, fields.values(), strict=True))], names=[name, *fields],
+    )
 
 
 def item_windows(texts: DataFrame) -> DataFrame:
@@ -273,7 +285,9 @@ def item_windows(texts: DataFrame) -> DataFrame:
         for ids, found in chunks(batches):
             yield _arrow(ids, [windows_of_item(t) for t in found], "item", ITEM_FIELDS)
 
-    return map_batches(texts.select("item", "text"), run, f"item long, {WINDOW_SCHEMA}, roles array<string>, places array<int>, first int, end int, rich boolean")
+    return map_batches(
+        texts.select("item", "text"), run, f"item long, {WINDOW_SCHEMA}, roles array<string>, places array<int>, first int, end int, rich boolean",
+    )
 
 
 def bloom(items: DataFrame) -> np.ndarray:
@@ -281,7 +295,9 @@ def bloom(items: DataFrame) -> np.ndarray:
     hashes = items.select("hash").distinct()
     power = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, BITS_PER_WINDOW * hashes.count())))))
     mask = (1 << power) - 1
-    slots = hashes.select(F.explode(F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask))).alias("slot")).distinct()
+    slots = hashes.select(F.explode(F.array(
+        F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask),
+    )).alias("slot")).distinct()
 
     def gather(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(1 << CHUNK_BITS, bool)
@@ -289,7 +305,9 @@ def bloom(items: DataFrame) -> np.ndarray:
         return pd.DataFrame({"chunk": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     out = np.zeros((1 << (power - CHUNK_BITS), 1 << (CHUNK_BITS - 5)), np.uint32)
-    for r in slots.withColumn("chunk", F.shiftright("slot", CHUNK_BITS)).groupBy("chunk").applyInPandas(gather, "chunk long, bits binary").toLocalIterator():
+    for r in slots.withColumn(
+        "chunk", F.shiftright("slot", CHUNK_BITS),
+    ).groupBy("chunk").applyInPandas(gather, "chunk long, bits binary").toLocalIterator():
         out[r["chunk"]] = np.frombuffer(r["bits"], "<u4")
     return out.reshape(-1)
 
@@ -340,9 +358,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     """doc_id, item_id, windows (of the item, matched with consistent slots), item_windows, coverage, exact (all matched windows
     hold the item's own values) for each document that leaks an item of benchmark (item_id, text)."""
     texts = materialize(benchmark.select("text").where("text is not null").distinct().withColumn("item", F.monotonically_increasing_id()), "texts")
-    members = materialize(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().join(texts, "text").select("item", "item_id"), "members")
+    members = materialize(
+        benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().join(texts, "text").select("item", "item_id"), "members",
+    )
     items = materialize(item_windows(texts), "items")
-    totals = materialize(items.where(F.col("reading") == LITERAL).groupBy("item").agg(F.countDistinct("position").alias("all_places"), F.countDistinct(F.when(F.col("rich"), F.col("position"))).alias("rich_places")), "totals")
+    totals = materialize(
+        items.where(F.col("reading") == LITERAL).groupBy("item").agg(
+            F.countDistinct("position").alias("all_places"), F.countDistinct(F.when(F.col("rich"), F.col("position"))).alias("rich_places"),
+        ),
+        "totals",
+    )
     sizes = sorted(r[0] for r in items.select(F.size(F.split("window", " "))).distinct().collect())
     hits = document_windows(docs, bloom(items), sizes).distinct()
     ours = items.withColumnRenamed("slots", "theirs").withColumnRenamed("position", "item_position")
@@ -359,12 +384,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
                 rows += [(k, p, w["rich"], exact, alone) for w, exact in kept for p in range(w["first"], w["end"])]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             take = pa.array(list(cols[0]), pa.int64())
-            yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(list(cols[1]), pa.int32()), *(pa.array(list(c), pa.bool_()) for c in cols[2:])], names=["doc_id", "item", "place", "rich", "exact", "alone"])
-
-    places = map_batches(along.select("doc_id", "item", "reading", "found"), judge, "doc_id long, item long, place int, rich boolean, exact boolean, alone boolean")
+            yield pa.record_batch(
+                [
+                    batch.column(0).take(take), batch.column(1).take(take), pa.array(list(cols[1]), pa.int32()),
+                    *(pa.array(list(c), pa.bool_()) for c in cols[2:]),
+                ],
+                names=["doc_id", "item", "place", "rich", "exact", "alone"],
+            )
+
+    places = map_batches(
+        along.select("doc_id", "item", "reading", "found"), judge, "doc_id long, item long, place int, rich boolean, exact boolean, alone boolean",
+    )
     places = places.groupBy("doc_id", "item", "place").agg(*(F.max(c).alias(c) for c in ("rich", "exact", "alone")))
-    out = places.groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("n"), F.count_if("rich").alias("n_rich"), F.min("exact").alias("exact"), F.max("alone").alias("alone")).join(totals, "item")
-    share = lambda n, of: F.struct(F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(0.0).alias("coverage"), F.col(n).alias("windows"), F.col(of).alias("item_windows"))
+    out = places.groupBy("doc_id", "item").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("rich").alias("n_rich"), F.min("exact").alias("exact"), F.max("alone").alias("alone"),
+    ).join(totals, "item")
+    share = lambda n, of: F.struct(
+        F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(0.0).alias("coverage"), F.col(n).alias("windows"), F.col(of).alias("item_windows"),
+    )
     out = out.withColumn("best", F.greatest(share("n", "all_places"), share("n_rich", "rich_places")))
     out = out.where((F.col("best.coverage") >= coverage) | F.col("alone"))
     return out.join(members, "item").select("doc_id", "item_id", "best.windows", "best.item_windows", "best.coverage", "exact")

@@ -80,7 +80,10 @@ def _profiles(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 for row in signature(s, a, b).reshape(bands, rows).T if len(s) else ():
                     h = mixed(h * np.uint64(0x100000001B3) + row)
                 hashes.append(h.view(np.int64) if len(s) else None)
-            yield pa.record_batch([ids, pa.array(keys, pa.binary()), pa.array(grams, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "key", "grams", "bands"])
+            yield pa.record_batch(
+                [ids, pa.array(keys, pa.binary()), pa.array(grams, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "grams", "bands"],
+            )
 
     return map_batches(docs, run, "doc_id long, key binary, grams int, bands array<long>")
 
@@ -100,7 +103,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialize(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # Small star: smaller neighbours, and the node itself, go to the least of them.
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        after = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
+        after = large.join(least, "a").select(F.explode(F.array(
+            F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
+        )).alias("e"))
         after = materialize(after.select("e.a", "e.b").where("a <> b").distinct(), "edges")
         discard(edges, low, large, least)
         edges = after
@@ -109,7 +114,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
     # Every edge now goes from a node to its component's least.
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return edges.select(
+        F.col("a").alias("node"), F.col("b").alias("component"),
+    ).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def _shared(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
@@ -163,7 +170,9 @@ def verify(key: tuple, rows: pd.DataFrame, threshold: float = THRESHOLD) -> pd.D
         if i != j:
             out += [(r, None, int(k), int(w)) for r, k, w in zip(ry.tolist(), links.sum(axis=0), links.T @ cx, strict=True) if k]
         out += [(a, b, 0, 0) for a, b in _stars(links, rx, ry)]
-    return pd.DataFrame(out, columns=["node", "other", "texts", "docs"]).astype({"node": "Int64", "other": "Int64", "texts": "int64", "docs": "int64"})
+    return pd.DataFrame(
+        out, columns=["node", "other", "texts", "docs"],
+    ).astype({"node": "Int64", "other": "Int64", "texts": "int64", "docs": "int64"})
 
 
 def _blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -173,9 +182,14 @@ def _blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     touch = materialize(band.join(hubs, "hash"), "buckets")
     homes = touch.groupBy("node").agg(F.min("hub").alias("home"))
     member = materialize(homes.join(classes.select("node", "key", "rep", "grams", "copies"), "node"), "homes")
-    sizes = materialize(member.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS)).alias("blocks")), "sizes")
+    sizes = materialize(
+        member.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS)).alias("blocks")), "sizes",
+    )
     # Should two blocks have one hash, they are one larger block.
-    dealt = materialize(member.join(sizes, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("blocks")))).drop("home", "blocks"), "members")
+    dealt = materialize(
+        member.join(sizes, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("blocks")))).drop("home", "blocks"),
+        "members",
+    )
     at = materialize(touch.select("node", "hash").join(dealt.select("node", "block"), "node").select("hash", "block").distinct(), "touched")
     across = at.withColumnRenamed("block", "i").join(at.withColumnRenamed("block", "j"), "hash").where("i < j").select("i", "j").distinct()
     inside = dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("block").alias("i"), F.col("block").alias("j"))
@@ -191,14 +205,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     bands, rows = choose_bands(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = materialize(_profiles(docs, n, bands, rows), "profile")
-    classes = profile.where("grams > 0").groupBy("key", "grams").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    classes = profile.where("grams > 0").groupBy("key", "grams").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"),
+    )
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     member, pairs = _blocks(classes)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
             made = [ngram_set(t, n).tobytes() for t in texts]
-            yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(s) for s in made], pa.binary()), pa.array(made, pa.binary())], names=["key", "set"])
+            yield pa.record_batch(
+                [pa.array([xxhash.xxh3_128_digest(s) for s in made], pa.binary()), pa.array(made, pa.binary())], names=["key", "set"],
+            )
 
     # Only the members' texts are read for their sets: by id, or all texts without one if a member has none. The key then tells them apart.
     reps = materialize(member.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "reps")
@@ -207,10 +225,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
         source = source.unionByName(docs.where("doc_id is null"))
     full = map_batches(source, sets, "key binary, set binary").groupBy("key").agg(F.first("set").alias("set"))
     sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    found = member.join(sides, "block").join(full, "key").groupBy("i", "j").applyInPandas(lambda key, pdf: verify(key, pdf, threshold), "node long, other long, texts long, docs long")
+    found = member.join(sides, "block").join(full, "key").groupBy("i", "j").applyInPandas(
+        lambda key, pdf: verify(key, pdf, threshold), "node long, other long, texts long, docs long",
+    )
     found = materialize(found, "links")
     linked = found.where("other is null").groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    joined = materialize(components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).join(classes.select("node", "rep"), "node"), "joined")
+    joined = materialize(
+        components(found.where("other is not null").select(
+            F.col("node").alias("a"), F.col("other").alias("b"),
+        )).join(classes.select("node", "rep"), "node"),
+        "joined",
+    )
     names = materialize(joined.groupBy("component").agg(F.min("rep").alias("class_id")), "names")
     named = joined.join(names, "component").select("node", "class_id", F.lit(True).alias("named"))
     labels = classes.select("node", "key", "rep", "copies").join(named, "node", "left").join(linked, "node", "left").select(

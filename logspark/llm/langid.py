@@ -140,7 +140,12 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         for lang, texts in chunks(batches):
             made = [ngrams(t) for t in texts]
             keep = [bool(len(i)) for i, _ in made]
-            cols = [lang.filter(pa.array(keep)), *(pa.array([m[j].astype(t).tobytes() for m, k in zip(made, keep, strict=True) if k], pa.binary()) for j, t in ((0, "<u2"), (1, "<u4")))]
+            cols = [
+                lang.filter(pa.array(keep)),
+                *(pa.array(
+                    [m[j].astype(t).tobytes() for m, k in zip(made, keep, strict=True) if k], pa.binary(),
+                ) for j, t in ((0, "<u2"), (1, "<u4"))),
+            ]
             yield pa.record_batch(cols, names=["lang", "idx", "n"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +153,10 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         # An order that does not hang on partitions: by a hash of the features.
         rows.sort(key=_order)
         m = train(rows, languages)
-        yield pa.record_batch([pa.array([m.idf.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.temperature])], names=["idf", "weights", "temperature"])
+        yield pa.record_batch(
+            [pa.array([m.idf.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.temperature])],
+            names=["idf", "weights", "temperature"],
+        )
 
     vectors = map_batches(sample.select("lang", "text"), extract, "lang string, idx binary, n binary")
     r = map_batches(vectors.repartition(1), learn, "idf binary, weights binary, temperature double").first()
@@ -168,6 +176,9 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
             found = [model.predict(t) for t in texts]
-            yield pa.record_batch([ids, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[id_column, "lang_pred", "score"])
+            yield pa.record_batch(
+                [ids, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
+                names=[id_column, "lang_pred", "score"],
+            )
 
     return map_batches(docs.select(id_column, text_column), run, f"{id_column} {kind}, lang_pred string, score double")

@@ -229,7 +229,9 @@ def passages(text: list[str], held: np.ndarray, template: list[str], coverage: f
     return sorted(out, key=lambda f: (-f[0], f[1]))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_column: str = "doc_id", text_column: str = "text",
+) -> DataFrame:
     """id_column, license, coverage, first_word, end_word (of the best passage), passages for each row and license found in it."""
     parsed = {name: words(t) for name, t in (templates or TEMPLATES).items()}
     if not all(parsed.values()) or len(parsed) > 64:
@@ -252,6 +254,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                     if held.sum() >= coverage * len(template) and (best := passages(found, held.astype(np.int64), template, coverage)):
                         rows.append((i, name, best[0][0], best[0][1], best[0][2], len(best)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.record_batch([ids.take(pa.array(list(cols[0]), pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols[1:], (pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()), strict=True))], names=[id_column, "license", "coverage", "first_word", "end_word", "passages"])
+            yield pa.record_batch(
+                [
+                    ids.take(pa.array(list(cols[0]), pa.int64())),
+                    *(pa.array(list(c), t) for c, t in zip(cols[1:], (pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()), strict=True)),
+                ],
+                names=[id_column, "license", "coverage", "first_word", "end_word", "passages"],
+            )
 
-    return map_batches(docs.select(id_column, text_column), run, f"{id_column} {kind}, license string, coverage double, first_word int, end_word int, passages int")
+    return map_batches(
+        docs.select(id_column, text_column), run, f"{id_column} {kind}, license string, coverage double, first_word int, end_word int, passages int",
+    )

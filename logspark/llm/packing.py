@@ -112,7 +112,9 @@ class _Encoder:
         plain = [self._is_plain(t or "") for t in texts]
         parts = [self.split((t or "").lower()) if p else re.split(f"[{BLANKS}]", t) for t, p in zip(texts, plain, strict=True)]
         long = []
-        for kept, learn, mine in ((self.words, self._learn, True), (self.strings, lambda new: self.strings.update(zip(new, self._whole(new), strict=True)), False)):
+        for kept, learn, mine in (
+            (self.words, self._learn, True), (self.strings, lambda new: self.strings.update(zip(new, self._whole(new), strict=True)), False),
+        ):
             kept.trim()
             new = kept.missing(set().union(*(x for x, p in zip(parts, plain, strict=True) if p is mine)))
             if new:
@@ -148,7 +150,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                     piece = data[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
             doc, piece, start, length, crc = zip(*rows, strict=True)
-            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.record_batch(
+                [
+                    pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+                    pa.array(crc, pa.int64()),
+                ],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, PIECES)
 
@@ -393,7 +401,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                 run = runs[np.searchsorted(runs[:, 0], rank[rows], "right") - 1]
                 at, among = np.divmod(rank[rows] - run[:, 0], run[:, 1])
                 seq[rows], off[rows] = run[:, 2] + at, run[:, 3] + among * length[rows]
-            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.record_batch(
+                [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(off)],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+            )
 
     if not histogram and not full:
         return spark.createDataFrame([], PIECES + ", sequence_id long, offset long")

@@ -37,7 +37,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), leaves=40)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +136,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_leaks, op2_ngram_jaccard, op3_kd_shards, op4_url_filter, op5_revisit_resolution, op6_toxic_segments, op7_license_alignment, op8_language_id, op9_hash_prefix_forest, op10_bin_completion)}
+    return {f.__name__: f for f in (
+        op1_template_leaks, op2_ngram_jaccard, op3_kd_shards, op4_url_filter, op5_revisit_resolution, op6_toxic_segments, op7_license_alignment,
+        op8_language_id, op9_hash_prefix_forest, op10_bin_completion,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:

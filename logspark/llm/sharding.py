@@ -37,11 +37,16 @@ def coordinates(docs: DataFrame, id_column: str, text_column: str, labels: list[
     A coordinate is spread by a hash of the row's number inside steps of 1/1024 (labels) or 1/65536 (size), so that a value
     that many rows share can still be cut in two.
     """
-    docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), *(F.col(c).alias(f"label{k}") for k, c in enumerate(labels, 1)), F.monotonically_increasing_id().alias("row"))
+    docs = docs.select(
+        F.col(id_column).alias("id"), F.col(text_column).alias("text"), *(F.col(c).alias(f"label{k}") for k, c in enumerate(labels, 1)),
+        F.monotonically_increasing_id().alias("row"),
+    )
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
     stepped = lambda value, steps, k: (F.floor(F.least(value, F.lit(1 - 1e-9)) * steps) + _unit(F.col("row"), F.lit(k))) / steps
     dims = [stepped(F.log2(size.cast("double")) / 40.0, 65536, 0)]
-    dims += [stepped(F.when(F.col(f"label{k}").isNull(), F.lit(0.0)).otherwise(_unit(F.col(f"label{k}"))), 1024, k) for k in range(1, len(labels) + 1)]
+    dims += [stepped(
+        F.when(F.col(f"label{k}").isNull(), F.lit(0.0)).otherwise(_unit(F.col(f"label{k}"))), 1024, k,
+    ) for k in range(1, len(labels) + 1)]
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     return docs.select("id", size.alias("size"), crc.cast("long").alias("text_crc32"), "row", *(d.alias(f"c{k}") for k, d in enumerate(dims)))
 
@@ -57,13 +62,24 @@ def kd_partition(points: DataFrame, dims: list[str], weight: str, leaves: int) -
         widest = F.greatest(*widths) if len(widths) > 1 else widths[0]
         goal = (F.sum(weight) * F.floor(F.col("span") / 2) / F.col("span")).cast("double")
         cuts = tree.where("span > 1").groupBy("node", "span").agg(goal.alias("goal"), widest.alias("w"))
-        cuts = materialize(cuts.select("node", "goal", (-F.col("w.dim")).alias("dim"), F.col("w.lo").alias("lo"), (F.col("w.width") / CELLS).alias("step"), F.lit(0.0).alias("below")), "cuts")
+        cuts = materialize(
+            cuts.select(
+                "node", "goal", (-F.col("w.dim")).alias("dim"), F.col("w.lo").alias("lo"), (F.col("w.width") / CELLS).alias("step"),
+                F.lit(0.0).alias("below"),
+            ),
+            "cuts",
+        )
         for finer in (False, True):
             found = _cells(tree, cuts, dims, weight, leaves, finer)
             at = F.col("lo") + F.coalesce("cell", F.lit(0)) * F.col("step")
             # The second histogram's cell ends at the cut.
             lo, step = (at + F.col("step"), F.col("step")) if finer else (at, F.col("step") / CELLS)
-            after = materialize(cuts.join(found, "node", "left").select("node", "goal", "dim", lo.alias("lo"), step.alias("step"), (F.col("below") + F.coalesce("prior", F.lit(0.0))).alias("below")), "cuts")
+            after = materialize(
+                cuts.join(found, "node", "left").select(
+                    "node", "goal", "dim", lo.alias("lo"), step.alias("step"), (F.col("below") + F.coalesce("prior", F.lit(0.0))).alias("below"),
+                ),
+                "cuts",
+            )
             discard(cuts)
             cuts = after
         right = F.coalesce(_along(dims) > F.col("lo"), F.lit(False))
@@ -96,7 +112,9 @@ def _cells(tree: DataFrame, cuts: DataFrame, dims: list[str], weight: str, leave
     rows = rows.select("node", weight, "goal", "below", "x", "lo", cell.alias("cell"))
     if finer:
         rows = rows.where((F.col("cell") >= 0) & (F.col("cell") < CELLS) | (F.col("x") == F.col("lo")) & (F.col("below") == 0))
-    histogram = rows.groupBy("node", "goal", "below", F.greatest(F.least("cell", F.lit(CELLS - 1)), F.lit(0)).alias("cell")).agg(F.sum(weight).alias("w"))
+    histogram = rows.groupBy(
+        "node", "goal", "below", F.greatest(F.least("cell", F.lit(CELLS - 1)), F.lit(0)).alias("cell"),
+    ).agg(F.sum(weight).alias("w"))
     upto = Window.partitionBy("node").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     running = histogram.withColumn("upto", F.sum("w").over(upto))
     parts = F.struct("cell", (F.col("upto") - F.col("w")).cast("double").alias("prior"))
@@ -104,7 +122,10 @@ def _cells(tree: DataFrame, cuts: DataFrame, dims: list[str], weight: str, leave
     return running.groupBy("node").agg(F.coalesce(F.min(F.when(reached, parts)), F.max(parts)).alias("r")).select("node", "r.cell", "r.prior")
 
 
-def shard(docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None, id_column: str = "doc_id", text_column: str = "text", labels: list[str] = ("source", "lang")) -> DataFrame:
+def shard(
+    docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None, id_column: str = "doc_id", text_column: str = "text",
+    labels: list[str] = ("source", "lang"),
+) -> DataFrame:
     """id_column, size, text_crc32, shard, slot for each row of docs: by number of leaves, or by the bytes that a leaf may hold."""
     points = materialize(coordinates(docs, id_column, text_column, list(labels)), "points")
     rows, total = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()

@@ -128,7 +128,9 @@ def _training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Dat
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
-            yield pa.record_batch([ids, pa.array([xxhash.xxh3_128_digest(ngram_set(t).tobytes()) for t in texts], pa.binary())], names=["doc_id", "key"])
+            yield pa.record_batch(
+                [ids, pa.array([xxhash.xxh3_128_digest(ngram_set(t).tobytes()) for t in texts], pa.binary())], names=["doc_id", "key"],
+            )
 
     # About max_labelled rows of 16 bytes are broadcast.
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -150,23 +152,33 @@ def _counts(train: DataFrame) -> pd.DataFrame:
                 out[g].update({f for w in words for f in features(w)})
                 out[g][""] += len(words)
             names = list(set().union(*out))
-            yield pa.record_batch([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in out)], names=["feature", *(f"n{g}" for g in groups)])
+            yield pa.record_batch(
+                [pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in out)],
+                names=["feature", *(f"n{g}" for g in groups)],
+            )
 
     columns = [f"n{g}" for g in groups]
-    counts = map_batches(train, count, "feature string, " + ", ".join(f"{c} long" for c in columns)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns))
+    counts = map_batches(
+        train, count, "feature string, " + ", ".join(f"{c} long" for c in columns),
+    ).groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns))
     counts = materialize(counts, "counts")
     total = counts.where("feature = ''").toPandas()
     other, toxic = ("+".join(columns[:FOLDS]), "+".join(columns[FOLDS:]))
     share = total[columns[FOLDS:]].to_numpy().sum() / max(1, total[columns[:FOLDS]].to_numpy().sum())
     # A rare word tells nothing under the prior, nor does one that both classes hold as often; the driver sees the others.
     tells = f"abs(ln(({toxic} + {PRIOR}) / (({other}) * {float(share)} + {PRIOR}))) >= {TOLERANCE}"
-    return pd.concat([total, counts.where(f"feature <> '' and ({toxic} >= {LEAST_TOXIC} or ({other}) * {float(share)} >= {LEAST_EXPECTED}) and {tells}").toPandas()])
+    return pd.concat([
+        total, counts.where(f"feature <> '' and ({toxic} >= {LEAST_TOXIC} or ({other}) * {float(share)} >= {LEAST_EXPECTED}) and {tells}").toPandas(),
+    ])
 
 
 def lexicon_without(counts: pd.DataFrame, fold: int | None = None) -> dict[str, float]:
     """log_odds by the rows of all folds but one; empty without rows of both classes."""
     folds = [f for f in range(FOLDS) if f != fold]
-    sums = pd.DataFrame({"feature": counts["feature"], "toxic": counts[[f"n{FOLDS + f}" for f in folds]].sum(axis=1), "other": counts[[f"n{f}" for f in folds]].sum(axis=1)})
+    sums = pd.DataFrame({
+        "feature": counts["feature"], "toxic": counts[[f"n{FOLDS + f}" for f in folds]].sum(axis=1),
+        "other": counts[[f"n{f}" for f in folds]].sum(axis=1),
+    })
     words = sums[sums["feature"] == ""][["toxic", "other"]].sum()
     if not words["toxic"] or not words["other"]:
         return {}
@@ -201,9 +213,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
                 found.append(segment_scores)
                 cells.append(list(Counter(np.rint(s / CELL).astype(int).tolist()).items()) if g < FOLDS else [])
             pair = pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int64())]))
-            yield pa.record_batch([pa.array([g >= FOLDS for g in group.to_pylist()]), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(found, pa.list_(pa.float64())), pa.array([[{"cell": c, "n": k} for c, k in x] for x in cells], pair)], names=["toxic", "n", "best", "found", "cells"])
-
-    rows = materialize(map_batches(train, scan, "toxic boolean, n long, best double, found array<double>, cells array<struct<cell:int,n:long>>"), "scanned")
+            yield pa.record_batch(
+                [
+                    pa.array([g >= FOLDS for g in group.to_pylist()]), pa.array(n, pa.int64()), pa.array(best, pa.float64()),
+                    pa.array(found, pa.list_(pa.float64())), pa.array([[{"cell": c, "n": k} for c, k in x] for x in cells], pair),
+                ],
+                names=["toxic", "n", "best", "found", "cells"],
+            )
+
+    rows = materialize(
+        map_batches(train, scan, "toxic boolean, n long, best double, found array<double>, cells array<struct<cell:int,n:long>>"), "scanned",
+    )
     cells = rows.select(F.explode("cells").alias("c")).groupBy("c.cell").agg(F.sum("c.n").alias("n")).toPandas()
     model.lam = karlin_lambda(cells["cell"].to_numpy(float) * CELL, cells["n"].to_numpy(float), max(model.lexicon.values()) - DRIFT)
     k = rows.where("not toxic").agg((F.count(F.lit(1)) / F.sum(F.col("n") * F.exp(-model.lam * F.col("best")))).alias("k")).first()["k"]
@@ -275,7 +295,9 @@ def score_texts(texts: list[str | None], model: Model) -> Iterator[tuple[float,
         passages = []
         if any(e < MAX_E for e in expected):
             spans, at = [m.span() for m in WORD.finditer(lower)], original_places(t, lower)
-            passages = [{"start": int(at[spans[a][0]]), "end": int(at[spans[b - 1][1] - 1]) + 1, "score": s, "expected": e} for (a, b, s), e in zip(found, expected, strict=True) if e < MAX_E]
+            passages = [{
+                "start": int(at[spans[a][0]]), "end": int(at[spans[b - 1][1] - 1]) + 1, "score": s, "expected": e,
+            } for (a, b, s), e in zip(found, expected, strict=True) if e < MAX_E]
         yield 1 / (1 + math.exp(-max(-40.0, min(40.0, model.slope * math.log1p(total) + model.intercept)))), total, passages
 
 
@@ -287,6 +309,14 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
             value, weight, found = zip(*score_texts(texts, model), strict=True)
-            yield pa.record_batch([ids, pa.array(value, pa.float64()), pa.array([int(v >= 0.5) for v in value], pa.int32()), pa.array(weight, pa.float64()), pa.array(found, passage)], names=[id_column, "score", "predicted", "evidence", "passages"])
-
-    return map_batches(docs.select(id_column, text_column), run, f"{id_column} {kind}, score double, predicted int, evidence double, passages {PASSAGE}")
+            yield pa.record_batch(
+                [
+                    ids, pa.array(value, pa.float64()), pa.array([int(v >= 0.5) for v in value], pa.int32()), pa.array(weight, pa.float64()),
+                    pa.array(found, passage),
+                ],
+                names=[id_column, "score", "predicted", "evidence", "passages"],
+            )
+
+    return map_batches(
+        docs.select(id_column, text_column), run, f"{id_column} {kind}, score double, predicted int, evidence double, passages {PASSAGE}",
+    )

@@ -130,7 +130,13 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_column
             fits = np.ones((len(texts), len(rules) + 1), bool)
             fits[:, :-1] = automaton.run(texts)[:, longest_first]
             first = fits.argmax(axis=1)
-            yield pa.record_batch([batch.column(id_column), batch.column("host"), batch.column("path"), pa.array(names[first], pa.string()), pa.array(verdicts[first], pa.string())], names=[id_column, "host", "path", "rule", "verdict"])
+            yield pa.record_batch(
+                [
+                    batch.column(id_column), batch.column("host"), batch.column("path"), pa.array(names[first], pa.string()),
+                    pa.array(verdicts[first], pa.string()),
+                ],
+                names=[id_column, "host", "path", "rule", "verdict"],
+            )
 
     parts = pages.select(id_column, host_of(F.col(url_column)).alias("host"), path_of(F.col(url_column)).alias("path"))
     kind = parts.schema[id_column].dataType.simpleString()
