@@ -1,0 +1,158 @@
+"""Vector codes and the manifest against plain versions, and on awkward tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from compare import connect, differences
+from pyspark.sql import functions as F
+
+from logspark.llm import codes, manifest
+from logspark.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["op12_slice_codes", "op13_merkle_manifest"])
+def test_query_equals_its_sql(spark, name):
+    assert differences(Q.queries()[name](spark, SF), connect(SF), Q.oracle_sql()[name]) == []
+
+
+# Vector codes
+
+
+def plain_codes(rows, parts=8, entries=16, rounds=6):
+    """rows (id, vector, label), by loops over Python's own integers."""
+    kept = [(i, [int(np.floor(4096 * float(x))) for x in v], label) for i, v, label in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n in sorted({len(v) for _, v, _ in kept}):
+        group = sorted((r for r in kept if len(r[1]) == n), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        w = n // parts
+        cut = lambda v, p: tuple(v[p * w : (p + 1) * w])
+        books = [[cut(v, p) for _, v, _ in group[:entries]] for p in range(parts)]
+
+        def near(x, book):
+            return min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), k) for k, c in enumerate(book))
+
+        for _ in range(rounds):
+            for p in range(parts):
+                own = {}
+                for _, v, _ in group:
+                    own.setdefault(near(cut(v, p), books[p])[1], []).append(cut(v, p))
+                books[p] = [tuple(sum(c) // len(own[k]) for c in zip(*own[k], strict=True)) if k in own else b for k, b in enumerate(books[p])]
+        digest = hashlib.sha256(",".join(str(x) for book in books for c in book for x in c).encode()).hexdigest()
+        for i, v, label in group:
+            found = [near(cut(v, p), books[p]) for p in range(parts)]
+            out.append([i, "".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found), label, digest])
+    sums = {}
+    for r in out:
+        sums[r[3]] = sums.get(r[3], 0) + r[2]
+    return sorted((r[0] is None, r[0] or 0, r[1], r[2], sums[r[3]], r[4]) for r in out)
+
+
+def found_codes(df):
+    return sorted((r["vec_id"] is None, r["vec_id"] or 0, r["code"], r["error"], r["label_error"], r["codebooks_sha256"]) for r in df.collect())
+
+
+KIND = "extra string, vec_id long, embedding array<float>, label int, id int, v string"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([("x", i, v, label, 1, "y") for i, v, label in rows], KIND)
+
+
+def test_codes_on_awkward_vectors(spark):
+    r = random.Random(5)
+    rows = [(r.choice([None, *range(60)]), [r.choice([-1.5, -0.25, 0.0, 0.125, r.uniform(-2, 2)]) for _ in range(16)], r.choice([None, 1, 2])) for _ in range(150)]
+    rows += [(7, [0.5] * 16, 3)] * 20 + [(900, None, 1), (901, [], 1), (902, [None] * 16, 1), (903, [float("nan")] * 16, 2), (904, [float("inf")] * 16, 2)]
+    rows += [(k, [float(k)] * 8, 1) for k in range(5)]
+    assert found_codes(codes.compress(vectors(spark, rows))) == plain_codes(rows)
+
+
+def test_codes_of_few_and_of_no_vectors(spark):
+    rows = [(3, [1.0] * 8, None), (1, [2.0] * 8, None)]
+    assert found_codes(codes.compress(vectors(spark, rows))) == plain_codes(rows)
+    assert codes.compress(vectors(spark, [(1, None, 2)])).collect() == []
+    with pytest.raises(Exception, match="equal parts"):
+        codes.compress(vectors(spark, [(1, [1.0] * 9, 2)])).collect()
+
+
+def test_slices_find_the_nearest_of_any_number_of_entries():
+    g = np.random.default_rng(3)
+    for n, d, spread in ((1, 3, 50), (2, 1, 3), (16, 8, 4000), (64, 2, 5), (130, 4, 100)):
+        entries, x = g.integers(-spread, spread, (n, d)), g.integers(-3 * spread, 3 * spread, (500, d))
+        apart = ((x[:, None] - entries[None]) ** 2).sum(axis=2)
+        best, error = codes.SliceIndex(entries).nearest(x)
+        assert (best == apart.argmin(axis=1)).all() and (error == apart.min(axis=1)).all()
+
+
+# The manifest
+
+
+def H(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def plain_tree(nodes):
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([H("".join(out[-1][i : i + 2])) for i in range(0, len(out[-1]), 2)])
+    return out
+
+
+def steps_of(tree, at):
+    out = []
+    for nodes in tree[:-1]:
+        out.append((at % 2 == 1, nodes[at ^ 1] if at ^ 1 < len(nodes) else ""))
+        at //= 2
+    return out
+
+
+def plain_manifest(rows):
+    """rows (doc_id, source, lang, n_chars, text)."""
+    def leaf(r, more=0):
+        values = [r[0], r[1], r[2], r[3] if r[3] is None else r[3] + more, r[4]]
+        return H("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    groups = [sorted((r for r in rows if r[2] == x), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for x in langs]
+    trees = [plain_tree([leaf(r) for r in g]) for g in groups]
+    top = plain_tree([t[-1][0] for t in trees])
+    out = []
+    for k, (group, tree) in enumerate(zip(groups, trees, strict=True)):
+        for at, r in enumerate(group):
+            steps = steps_of(tree, at) + steps_of(top, k)
+            tampers = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0
+            node = leaf(r, 1) if tampers else leaf(r)
+            for right, other in steps:
+                node = H(other + node if right else node + other)
+            out.append((r[0], leaf(r), tree[-1][0], top[-1][0], H("".join(s for _, s in steps)), node, node == top[-1][0]))
+    return sorted(out, key=str)
+
+
+def test_manifest_over_several_superblocks(spark):
+    r = random.Random(9)
+    rows = [(k, r.choice([None, "web", "é"]), r.choice(["en", "en", "de", "", None, "ü"]), r.choice([None, k]), r.choice([None, "", "x" * k, "ñandú"])) for k in range(150)]
+    rows += [(None, "web", "en", 1, f"t{k % 4}") for k in range(30)] + [rows[0]] * 9 + [(5, None, "only", None, None), (2**63 - 2, "w", "en", 2**62, "z")]
+    docs = spark.createDataFrame([(*x, "a", "b", "c") for x in rows], "doc_id long, source string, lang string, n_chars long, text string, grp string, place string, node string")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    leaf = manifest.digest_of([F.col(c) for c in fields])
+    raised = manifest.digest_of([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, raised).otherwise(leaf)
+    for levels in (2, 10):
+        found = manifest.prove(docs, F.col("lang"), F.col("doc_id"), leaf, claimed, [F.col("doc_id")], levels)
+        got = found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")), "folded_root", "verified").collect()
+        assert sorted(map(tuple, got), key=str) == plain_manifest(rows)
+
+
+def test_manifest_of_one_and_of_no_rows(spark):
+    kind = "doc_id long, lang string, text string"
+    one = spark.createDataFrame([(1, None, "a")], kind)
+    leaf = manifest.digest_of([F.col("text")])
+    r = manifest.prove(one, F.col("lang"), F.col("doc_id"), leaf, keep=[F.col("doc_id")]).first()
+    assert r["root"] == r["subroot"] == r["leaf"] == r["folded_root"] == H("1:a") and list(r["proof"]) == [] and r["verified"] and r["position"] == 0
+    assert manifest.prove(one.where("false"), F.col("lang"), F.col("doc_id"), leaf).collect() == []
