@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, codes, decontaminate, jaccard, langid, licenses, manifest, packing, revisits, sharding, toxicity, urlfilter
+from . import ann, codes, decontaminate, jaccard, langid, licenses, manifest, packing, revisits, secretscan, sharding, toxicity, urlfilter
 from .common import crc32_text, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -88,6 +88,15 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secretscan.scan(docs, secretscan.fit(docs))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secretscan.KINDS[:3]))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 def op12_slice_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -216,7 +225,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_template_leaks, op2_ngram_jaccard, op3_kd_shards, op4_url_filter, op5_revisit_resolution, op6_toxic_segments, op7_license_alignment,
-        op8_language_id, op9_hash_prefix_forest, op10_bin_completion, op12_slice_codes, op13_merkle_manifest,
+        op8_language_id, op9_hash_prefix_forest, op10_bin_completion, op11_secret_field, op12_slice_codes, op13_merkle_manifest,
     )}
 
 
