@@ -369,7 +369,7 @@ class Scanner:
                     found[-1][1], last = m.end(), k
             at, reach = 0, 0
             for start, end in found:
-                while at < len(out) and base[at][0] < end:
+                while at < len(base) and base[at][0] < end:
                     reach = max(reach, base[at][3])
                     at += 1
                 if reach <= start:

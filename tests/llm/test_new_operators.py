@@ -264,6 +264,8 @@ def test_the_field_adds_secrets_and_leaves_clean_texts_alone(field):
     scanner = secretscan.Scanner(field)
     upper = 'the old key credential = "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B" was there'
     assert [(k, upper[a:b]) for k, a, b in scanner.spans(upper)] == [("field", "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B")]
+    both = f"{upper} and {upper} then token = abcdefgh or {upper}"
+    assert [k for k, _, _ in scanner.spans(both)] == ["field", "field", "assign", "field"]
     for text in ["the quick brown fox, jumps over the lazy dog.", "In 2024 it cost 12.50 on 3/4", "call 555-1234 or write to bob", ""]:
         assert scanner.spans(text) == []
 
