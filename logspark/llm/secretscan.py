@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, hash_share, map_batches
+from .common import chunks, hash_share, map_batches, materialize
 
 KINDS = ["assign", "access", "hex", "field"]
 #: The patterns, and the least length of the value (group 2 of the first, else the whole match).
@@ -155,7 +155,7 @@ def _sample(docs: DataFrame) -> list:
 
     found = map_batches(rows, run, "marked boolean, h long, tokens array<string>, tags array<long>, file array<string>")
     # Copies are one window.
-    own = found.groupBy("marked", "h").agg(F.first("tokens").alias("tokens"), F.first("tags").alias("tags"), F.first("file").alias("file"))
+    own = materialize(found.groupBy("marked", "h").agg(F.first("tokens").alias("tokens"), F.first("tags").alias("tags"), F.first("file").alias("file")), "windows")
     return [r for marked, most in ((True, MAX_MARKED), (False, MAX_PLAIN)) for r in own.where(F.col("marked") == marked).orderBy("h").limit(most).collect()]
 
 
