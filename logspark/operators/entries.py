@@ -6,8 +6,12 @@ level_idx, raw_level, thread, target, host, pid, extra, message. A missing time
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -150,41 +154,174 @@ def entries_of_lines(lines: DataFrame, format: str = "auto", merge_continuations
     return _finished(number(parsed, ["source_idx"], "block", ["entry_start"], "entry_no", first=0), spec)
 
 
-def read_logs(
-    spark: SparkSession, paths: list[str] | str, format: str = "auto", max_lines: int = 0, merge_continuations: bool = True,
-    reference: date | None = None, encoding: str | None = None,
-) -> DataFrame:
-    """Entries of log files of one format: lines scanned, decoded, stripped of escapes, folded and parsed.
+# Files: folded where they are read --------------------------------------------------------------------------------
 
-    At once: the head of each file is read for encoding and format, and line and entry starts are counted by split, which is the
-    index that numbers rest on. The entries are lazy: one more scan, whose lines are dealt once.
-    max_lines: the most lines read of each file, 0: all; if given, entries also have truncated (their file has max_lines or more).
-    """
+
+def _folder(lists: int):
+    """Folds marked lines that stand by file and block into pieces: an entry's lines in a block; piece 0 are the lines before the first
+    start. Columns: source_idx, block, start, then so many texts that become lists."""
+    names = ["source_idx", "block", "piece", "k", "n", *["lines", "raws"][:lists]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, piece, k, held = None, 0, 0, None
+
+        def finished() -> pa.RecordBatch:
+            texts = [pa.concat_arrays(x) for x in held[4]]
+            n = len(texts[0])
+            return pa.record_batch([
+                pa.array([held[0]], pa.int32()), pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int64()), pa.array([held[3]], pa.int64()),
+                pa.array([n], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x) for x in texts),
+            ], names=names)
+
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            source, block = (batch.column(c).to_numpy() for c in (0, 1))
+            start = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
+            texts = [batch.column(3 + c) for c in range(lists)]
+            other = np.r_[(source[0], block[0]) != key, (source[1:] != source[:-1]) | (block[1:] != block[:-1])]
+            # Pieces and lines are counted from the block's beginning, which may be in an earlier batch.
+            segment, starts, row = np.cumsum(other), np.cumsum(start), np.arange(size)
+            firsts = np.flatnonzero(other)
+            pieces = starts - np.r_[-piece, starts[firsts] - start[firsts]][segment]
+            places = row - np.r_[-k, firsts][segment] + 1
+            at = np.flatnonzero(other | start)
+            upto = at[0] if len(at) else size
+            if upto:
+                for slices, text in zip(held[4], texts, strict=True):
+                    slices.append(text.slice(0, upto))
+            if len(at):
+                if held:
+                    yield finished()
+                if len(at) > 1:
+                    offsets, own = pa.array(at, pa.int32()), at[:-1]
+                    yield pa.record_batch([
+                        pa.array(source[own], pa.int32()), pa.array(block[own], pa.int64()), pa.array(pieces[own], pa.int64()), pa.array(places[own], pa.int64()),
+                        pa.array(np.diff(at), pa.int32()), *(pa.ListArray.from_arrays(offsets, text) for text in texts),
+                    ], names=names)
+                last = at[-1]
+                held = [int(source[last]), int(block[last]), int(pieces[last]), int(places[last]), [[text.slice(last)] for text in texts]]
+            key, piece, k = (source[-1], block[-1]), int(pieces[-1]), int(places[-1])
+        if held:
+            yield finished()
+
+    return run
+
+
+def _folded_edges(folded: DataFrame) -> DataFrame:
+    """As block_edges, of folded pieces; and the characters of the lines that a block begins with and that belong before it."""
+    per = folded.groupBy("source_idx", "block").agg(
+        F.sum(F.col("n").cast("long")).alias("n"), F.count_if(F.col("piece") > 0).alias("starts"), F.max(F.col("piece") == 0).alias("late"),
+    )
+    before = Window.partitionBy("source_idx").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    owner = F.last(F.when(F.col("starts") > 0, F.struct(F.col("block").alias("block"), F.col("starts").alias("piece"))), ignorenulls=True).over(before)
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{name}_before") for c, name in (("n", "lines"), ("starts", "entries"))]
+    return per.select("source_idx", "block", "starts", *sums, owner.alias("owner"), "late").withColumn("spills", F.col("owner").isNotNull() & F.col("late")).drop("late")
+
+
+#: Most blocks whose edges are broadcast; more are shuffled.
+BROADCAST_BLOCKS = 500_000
+
+
+@dataclass(frozen=True)
+class OpenLogs:
+    """Opened files of one format. entries is lazy; what it rests on is written: the files' heads, their lines folded block by block
+    (folded), and where each block's entries begin in its file (edges)."""
+
+    entries: DataFrame
+    heads: DataFrame
+    spec: X.FormatSpec
+    folded: DataFrame | None = None
+    edges: DataFrame | None = None
+    finish: Callable[[DataFrame], DataFrame] | None = None
+
+    def first(self, n: int) -> DataFrame:
+        """The first n entries of each source: only the blocks that hold them, and there the pages with the first n pieces, are read."""
+        if self.folded is None:
+            return self.entries.where(F.col("entry_no") < n)
+        needed = self.edges.where(F.col("entries_before") < n)
+        upto = needed.agg(F.max("block")).first()[0] or 0
+        # What spills into later blocks belongs to entries that are asked for, so one more block with a start is looked at.
+        after = self.edges.where(F.col("block") > upto).groupBy("source_idx").agg(F.min(F.when(F.col("starts") > 0, F.col("block"))).alias("b")).agg(F.max("b")).first()[0]
+        some = self.folded.where((F.col("block") <= max(upto, after or upto)) & (F.col("piece") <= n))
+        return self.finish(some).where(F.col("entry_no") < n)
+
+
+def _joined(folded: DataFrame, edges: DataFrame, lists: list[str]) -> DataFrame:
+    """Folded pieces as entries: with the lines that begin later blocks, entry_start and entry_no."""
+    few = edges.count() <= BROADCAST_BLOCKS
+    near = F.broadcast if few else (lambda x: x)
+    placed = folded.join(near(edges.select("source_idx", "block", "starts", "lines_before", "entries_before")), ["source_idx", "block"])
+    own = placed.where("piece > 0")
+    if not edges.where("spills").isEmpty():
+        # Only a block's last entry can go on in the next one, so no other rows are shuffled.
+        owners = near(edges.where("spills").select("source_idx", "block", F.col("owner.block").alias("own_block"), F.col("owner.piece").alias("own_piece")))
+        late = folded.where("piece = 0").join(owners, ["source_idx", "block"]).groupBy("source_idx", F.col("own_block").alias("block"), F.col("own_piece").alias("piece")).agg(
+            F.array_sort(F.collect_list(F.struct(F.col("block").alias("at"), *lists))).alias("late"),
+        )
+        last = own.where("piece = starts").join(late, ["source_idx", "block", "piece"], "left")
+        # Text goes to where its entry is: folded.block is one name on both sides.
+        more = {x: F.when(F.col("late").isNull(), F.col(x)).otherwise(F.concat(F.col(x), F.flatten(F.transform("late", lambda e: e[x])))) for x in lists}
+        own = own.where("piece < starts").unionByName(last.withColumns(more).select(own.columns))
+    return own.select(
+        "source_idx", "block", (F.col("k") + F.col("lines_before")).alias("entry_start"), (F.col("entries_before") + F.col("piece") - 1).cast("long").alias("entry_no"),
+        *lists, F.col("lines")[0].alias("text"),
+    )
+
+
+def open_logs(
+    spark: SparkSession, paths: list[str] | str, format: str = "auto", max_lines: int = 0, merge_continuations: bool = True,
+    reference: date | None = None, encoding: str | None = None, styles: bool = False,
+) -> OpenLogs:
+    """Log files of one format, opened: see read_logs. The files' text is read once, now: each task folds its lines where it reads them and
+    writes the pieces, and all numbers rest on what is written, however Spark splits files later and whatever is appended to them."""
     L.legacy_charsets(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if format == "wevt_xml":
-        from logspark.sources.event_xml import read_event_xml
-
-        return read_event_xml(spark, paths)
     heads = L.read_heads(spark, paths, encoding)
     if format in ("", "auto"):
         format = require_same_format(detect_format(heads))
-        if format == "wevt_xml":
-            from logspark.sources.event_xml import read_event_xml
-
-            return read_event_xml(spark, paths)
     spec = X.find_format(format)
+    if spec.id == "wevt_xml":
+        from logspark.sources.event_xml import read_event_xml
+
+        return OpenLogs(read_event_xml(spark, heads, max_lines=max_lines), heads, spec)
     if max_lines or not merge_continuations:
         lines = L.scan_lines(spark, heads, max_lines)
-        return entries_of_lines(lines if max_lines else lines.drop("truncated"), format, merge_continuations, reference)
+        return OpenLogs(entries_of_lines(lines if max_lines else lines.drop("truncated"), format, merge_continuations, reference), heads, spec)
     learned = {name: c.alias(name) for name, c in (spec.learn() if spec.learn else {}).items()}
-    sources = heads.select("source_idx", "source_name", reference_date(heads, reference).alias("reference"), *learned.values())
-    lines = L.placed_lines(spark, heads)
-    if learned:
-        lines = lines.join(sources.select("source_idx", *learned), "source_idx")
-    marked = lines.select("source_idx", "block", "place", spec.starts().alias("start"), "text")
-    folder = new_folder(spark, "edges")
-    block_edges(marked).write.parquet(folder)
-    edges = spark.read.parquet(folder)
-    folded = fold_blocks(marked, edges, not edges.where("spills").isEmpty())
-    return _finished(parse_entries(folded.join(sources, "source_idx"), spec), spec)
+    lists = ["lines", "raws"] if styles else ["lines"]
+    known = heads.select("source_idx", "source_name", "file", "encoding", reference_date(heads, reference).alias("reference"), *learned.values())
+    lines, by_block = L.placed_lines(spark, known, about=list(learned), raw=styles)
+    marked = lines.select("source_idx", "block", spec.starts().alias("start"), "text", *(["raw"] if styles else []), "place")
+    if not by_block:
+        marked = marked.repartition("source_idx", "block").sortWithinPartitions("source_idx", "block", "place")
+    L.bound_batches(spark)
+    folder = new_folder(spark, "folded")
+    schema = "source_idx int, block long, piece long, k long, n int, " + ", ".join(f"{x} array<string>" for x in lists)
+    marked.drop("place").mapInArrow(_folder(len(lists)), schema).write.parquet(f"{folder}")
+    folded = spark.read.schema(schema).parquet(folder)
+    _folded_edges(folded).write.parquet(f"{folder}-edges")
+    edges = spark.read.parquet(f"{folder}-edges")
+    sources = known.drop("file", "encoding")
+
+    def finish(some: DataFrame) -> DataFrame:
+        named = F.broadcast(sources) if by_block else sources
+        joined = _joined(some, edges, lists).join(named, "source_idx")
+        parsed = _finished(parse_entries(joined, spec), spec)
+        return parsed
+
+    return OpenLogs(finish(folded), heads, spec, folded, edges, finish)
+
+
+def read_logs(
+    spark: SparkSession, paths: list[str] | str, format: str = "auto", max_lines: int = 0, merge_continuations: bool = True,
+    reference: date | None = None, encoding: str | None = None, styles: bool = False,
+) -> DataFrame:
+    """Entries of log files of one format: lines scanned, decoded, stripped of escapes, folded and parsed.
+
+    The files are read now (open_logs); fields are parsed when entries are asked for. A file that grows meanwhile has the lines that it had.
+    max_lines: the most lines read of each file, 0: all; if given, entries also have truncated (their file has max_lines or more).
+    styles: entries also have raws and offsets of their messages, for fragments.entry_spans.
+    """
+    return open_logs(spark, paths, format, max_lines, merge_continuations, reference, encoding, styles).entries

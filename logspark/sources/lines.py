@@ -5,8 +5,11 @@ A lines table has source_idx, source_name, block (a split of the source, rising)
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +21,9 @@ from .scratch import new_folder
 
 #: Bytes of a file that its encoding is guessed from, and lines that its format is.
 HEAD_BYTES, HEAD_LINES = 4096, 200
+#: Files of more bytes are looked at by a range of their first records of HEAD_BYTES each, so many files a job. The end of a file is then
+#: out of reach of what is read ahead.
+RANGED, RANGED_RECORDS, RANGED_FILES = 32 << 20, 64, 20_000
 #: Legacy encodings in the order in which they are tried.
 LEGACY = ["GB18030", "Big5", "Shift_JIS", "windows-1252"]
 #: Encodings whose line ends are two bytes, so that files are cut at other bytes.
@@ -30,20 +36,53 @@ _WHOLE = str(1 << 46)
 
 def source_map(spark: SparkSession, paths: list[str]) -> DataFrame:
     """source_idx, source_name, file, bytes and modified of each file that paths name, in the order of paths, then by name."""
-    found = None
-    for k, p in enumerate(paths):
-        one = spark.read.format("binaryFile").load(p).select(
-            F.lit(k).alias("given"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"),
-        )
-        found = one if found is None else found.unionByName(one)
+    every = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    if len(paths) == 1:
+        files = every.distinct().withColumn("given", F.lit(0))
+    else:
+        # A path names a file, or a folder above files; what a pattern names is asked for pattern by pattern.
+        plain = [(k, _qualified(spark, p)) for k, p in enumerate(paths) if not _GLOB.search(p)]
+        steps = F.split("path", "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+        named = every.select("path", F.explode(above).alias("named")).join(spark.createDataFrame(plain, "given int, named string"), "named").select("path", "given")
+        for k, p in enumerate(paths):
+            if _GLOB.search(p):
+                named = named.unionByName(spark.read.format("binaryFile").load(p).select("path", F.lit(k).alias("given")))
+        files = every.distinct().join(named.groupBy("path").agg(F.min("given").alias("given")), "path")
     # One row for each file.
-    files = found.groupBy("path").agg(F.min("given").alias("given"), F.first("bytes").alias("bytes"), F.first("modified").alias("modified"))
     place = (F.row_number().over(Window.orderBy("given", "path")) - 1).cast("int")
     return files.select(
         place.alias("source_idx"), F.element_at(F.split("path", "/"), -1).alias("source_name"), F.col("path").alias("file"), "bytes", "modified",
     )
 
 
+_GLOB = re.compile(r"[*?{\[]")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as the file system names it."""
+    jvm = spark._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return found.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+
+
+def head_of(data: bytes, whole: bool) -> tuple[str, list[str]]:
+    """The encoding of a file that begins with data, and its first lines; whole: data is all of the file. A line that is cut off
+    counts only if there is no other."""
+    encoding = encoding_of(data[:HEAD_BYTES])
+    if encoding in WIDE:
+        texts = data[: len(data) // 2 * 2].decode(encoding, "replace").replace("\r\n", "\n").split("\n")
+    else:
+        texts = [decode_line(x, encoding) for x in re.split(rb"\r\n|\r|\n", data)]
+    if len(texts) > 1 and (not whole or not texts[-1]):
+        texts.pop()
+    return encoding, [x.removeprefix("\ufeff") for x in texts[:HEAD_LINES]]
+
+
+HEADS = "file string, encoding string, sample array<string>"
+
+
 def _head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first lines of a partition that is one file, and its encoding; the rest of the file is not read."""
     file, raw, size = None, [], 0
@@ -64,22 +103,58 @@ def _head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def read_heads(spark: SparkSession, paths: list[str], encoding: str | None = None) -> DataFrame:
-    """The files of paths: source_idx, source_name, file, bytes, modified, encoding (the given one, or that of the first bytes)
-    and sample (the first lines; empty for an empty file). Reads the beginning of each file now, and writes what it found."""
+def _read_small_heads(spark: SparkSession, paths: list[str], folder: str) -> None:
+    """Heads of files up to RANGED bytes: their first lines, one partition a file. Other files are left out before they are opened."""
     names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
     before = {k: spark.conf.get(k) for k in names}
-    folder = new_folder(spark, "heads")
     try:
         for k in names:
             spark.conf.set(k, _WHOLE)
-        raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
-        raw.mapInArrow(_head, "file string, encoding string, sample array<string>").write.parquet(folder)
+        raw = spark.read.text(paths).where(F.col("_metadata.file_size") <= RANGED)
+        raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
+        raw.mapInArrow(_head, HEADS).write.parquet(folder)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    found = spark.read.schema("file string, encoding string, sample array<string>").parquet(folder)
-    known = source_map(spark, paths).join(found, "file", "left")
+
+
+def _read_ranges(spark: SparkSession, files: DataFrame, folder: str) -> None:
+    """Heads of larger files: their first bytes, whatever their lines are. Records of a fixed length are read, one partition a file, and
+    no more than the first of them are taken."""
+    sc = spark.sparkContext
+    names = (r["file"] for r in files.where(F.col("bytes") > RANGED).select("file").toLocalIterator())
+    while some := list(itertools.islice(names, RANGED_FILES)):
+        # Signs of patterns, and then of lists, are ordinary here.
+        given = [re.sub(r"([\\,])", r"\\\1", re.sub(r"([{}\[\]*?\\])", r"\\\1", f)) for f in some]
+        raw = sc.newAPIHadoopRDD(
+            "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
+            conf={
+                "mapreduce.input.fileinputformat.inputdir": ",".join(given), "fixedlengthinputformat.record.length": str(HEAD_BYTES),
+                "mapreduce.input.fileinputformat.split.minsize": str(1 << 62),
+            },
+        )
+        if raw.getNumPartitions() != len(some):
+            raise ValueError("a file was replaced while its head was read")
+
+        def first(k: int, records: Iterator[tuple], some=some) -> Iterator[tuple]:
+            data = b"".join(bytes(x) for _, x in itertools.islice(records, RANGED_RECORDS))
+            return iter([(some[k], *head_of(data, False))])
+
+        spark.createDataFrame(raw.mapPartitionsWithIndex(first), HEADS).write.mode("append").parquet(folder)
+
+
+def read_heads(spark: SparkSession, paths: list[str], encoding: str | None = None) -> DataFrame:
+    """The files of paths: source_idx, source_name, file, bytes, modified, encoding (the given one, or that of the first bytes)
+    and sample (the first lines; empty for an empty file). Reads the beginning of each file now, and writes what it found.
+
+    Of a file of more than RANGED bytes a range of 256 kB is read, so one line of gigabytes does no harm."""
+    folder = new_folder(spark, "heads")
+    source_map(spark, paths).write.parquet(f"{folder}-files")
+    files = spark.read.parquet(f"{folder}-files")
+    _read_small_heads(spark, paths, folder)
+    _read_ranges(spark, files, folder)
+    found = spark.read.schema(HEADS).parquet(folder)
+    known = files.join(found, "file", "left")
     own = F.lit(encoding) if encoding else F.coalesce("encoding", F.lit("UTF-8"))
     sample = F.transform(F.coalesce("sample", F.array().cast("array<string>")), strip_control)
     known.select(
@@ -88,39 +163,73 @@ def read_heads(spark: SparkSession, paths: list[str], encoding: str | None = Non
     return spark.read.parquet(f"{folder}-named")
 
 
-def placed_lines(spark: SparkSession, heads: DataFrame) -> DataFrame:
-    """The lines of files (read_heads): source_idx, block, place (rising in a block) and text; no shuffle but for very many files.
+def placed_lines(spark: SparkSession, heads: DataFrame, separator: str | None = None, about: list[str] = (), raw: bool = False) -> tuple[DataFrame, bool]:
+    """The lines of files (read_heads): source_idx, block, place (rising in a block), text and the columns of heads that about names; with
+    raw, also the text with its escapes, where it has any. And whether a task's rows stand by file and block, in order: with
+    very many files they are shuffled instead.
 
-    LF, CRLF and CR all end a line, LF and CRLF in UTF-16; a last line without an end counts.
+    LF, CRLF and CR all end a line, LF and CRLF in UTF-16; a last line without an end counts. separator: records that end with it, not lines.
     """
-    files = heads.select("source_idx", "file", "encoding")
+    files = heads.select("source_idx", "file", "encoding", *about)
     of = {r["wide"]: r for r in files.groupBy(F.when(F.col("encoding").isin(WIDE), F.col("encoding")).alias("wide")).agg(
         F.count(F.lit(1)).alias("n"), F.collect_list("file").alias("files"),
     ).collect()}
-    out = None
+    out, few = None, sum(r["n"] for r in of.values()) <= BROADCAST_FILES
     for wide, r in of.items():
-        reader = spark.read.option("encoding", wide).option("lineSep", "\n") if wide else spark.read
-        raw = reader.text(r["files"]).select(
+        reader = spark.read.option("encoding", wide) if wide else spark.read
+        end = separator or ("\n" if wide else None)
+        reader = reader.option("lineSep", end) if end else reader
+        read = reader.text(r["files"]).select(
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"),
         )
-        named = raw.join(F.broadcast(files) if r["n"] <= BROADCAST_FILES else files, "file")
-        text = F.regexp_replace(F.decode(F.col("raw").cast("binary"), wide), "\r$", "") if wide else decoded(F.col("raw"), F.col("encoding"))
+        named = read.join(F.broadcast(files) if few else files, "file")
+        text = F.decode(F.col("raw").cast("binary"), wide) if wide else decoded(F.col("raw"), F.col("encoding"))
+        text = F.regexp_replace(text, "\r$", "") if wide and not separator else text
         # A mark of the byte order may begin a file.
         text = F.when((F.col("block") == 0) & text.startswith("\ufeff"), F.substring(text, 2, 2_147_483_646)).otherwise(text)
-        some = named.select("source_idx", "block", "place", strip_control(text).alias("text"))
+        escaped = [F.when(text.contains("\x1b"), text).alias("raw")] if raw else []
+        some = named.select("source_idx", "block", "place", strip_control(text).alias("text"), *escaped, *about)
         out = some if out is None else out.unionByName(some)
-    return out if out is not None else spark.createDataFrame([], "source_idx int, block long, place long, text string")
+    if out is None:
+        out = heads.limit(0).select("source_idx", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("place"), F.lit("").alias("text"), *([F.lit("").alias("raw")] if raw else []), *about)
+    return out, few
+
+
+def _first_of_blocks(most: int):
+    """The first lines of each block, for lines that stand by file and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, seen = None, 0
+        for batch in batches:
+            source, block = (batch.column(k).to_numpy() for k in (0, 1))
+            begins = np.flatnonzero(np.r_[True, (source[1:] != source[:-1]) | (block[1:] != block[:-1])]) if len(source) else []
+            for at, end in zip(begins, [*begins[1:], len(source)], strict=True):
+                seen = seen if key == (source[at], block[at]) else 0
+                key = (source[at], block[at])
+                take = min(end - at, max(0, most - seen))
+                seen += end - at
+                if take:
+                    yield batch.slice(at, take)
+
+    return run
 
 
 def scan_lines(spark: SparkSession, paths: list[str] | DataFrame, max_lines: int = 0, encoding: str | None = None) -> DataFrame:
     """Lines of files (paths, or what read_heads found), numbered within each.
 
-    max_lines: the most lines read of each file; 0: all. encoding: decodes what is not valid UTF-8; None finds it for each file from its first bytes. Columns besides those of
-    a lines table: truncated (the file has max_lines or more), modified (of the file).
+    Files are read once, now, and their lines written; numbers rest on what was written, however Spark splits files later. max_lines: the most lines of each
+    file, 0: all; of each block so many are kept at most. encoding: decodes what is not valid UTF-8; None finds it for each file from its
+    first bytes. Columns besides those of a lines table: truncated (the file has max_lines or more), modified (of the file).
     """
     heads = paths if isinstance(paths, DataFrame) else read_heads(spark, [paths] if isinstance(paths, str) else paths, encoding)
-    placed = placed_lines(spark, heads)
+    placed, by_block = placed_lines(spark, heads)
+    if max_lines and by_block:
+        bound_batches(spark)
+        placed = placed.mapInArrow(_first_of_blocks(max_lines), placed.schema)
+    folder = new_folder(spark, "lines")
+    placed.write.parquet(folder)
+    placed = spark.read.schema(placed.schema).parquet(folder)
     numbered = number(placed, ["source_idx"], "block", ["place"], "line_no")
     about = heads.select("source_idx", "source_name", "modified", "encoding")
     if max_lines:
@@ -185,6 +294,12 @@ def legacy_charsets(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Session settings that bound an Arrow batch of lines, which may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def lines_from_df(
     df: DataFrame, order: Column, text: Column, source_idx: Column | None = None, source_name: Column | None = None, segment: Column | None = None,
 ) -> DataFrame:
