@@ -15,7 +15,6 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
-import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -30,8 +29,9 @@ from .common import chunks, map_batches, materialize, releases, with_rank
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: The longest that the driver searches for a packing with fewer bins; it ends sooner where the packing is proved the best.
-SECONDS = 60.0
+#: Nodes of the search for a packing with fewer bins, which ends sooner where the packing is proved the best. Nodes and not time, so
+#: that the same documents are always packed alike.
+NODES = 3_000_000
 #: Words, whose merges cost most, and blank-separated strings that a worker keeps ids of (twice that at most), and the longest kept.
 WORD_CACHE, STRING_CACHE, LONGEST = 200_000, 20_000, 64
 #: The characters for which lower() is the vocabulary's normalization, what parts strings, and contractions that it splits off.
@@ -161,8 +161,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, PIECES)
 
 
-class OutOfTime(Exception):
-    """The search has used up its time."""
+class OutOfNodes(Exception):
+    """The search has used up its nodes."""
 
 
 def _reach(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
@@ -285,14 +285,14 @@ def _put(open_bins: dict, rooms: list, room: int, item: list) -> None:
     open_bins[room].append(item)
 
 
-def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, seconds: float = SECONDS) -> list[tuple[tuple[int, ...], int]]:
+def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in falling order) with multiplicities that use up the histogram in as few bins as the search finds.
 
     Depth first with limited discrepancy: the largest remaining length is completed by its undominated fillings, least
     waste first, as often as counts allow, or once; the j-th choice of a node costs j of a path's discrepancies, of which
     there are 0, 1, 2, 4 and so on until no choice is left out. A branch ends when its waste and the volume that is left need
     as many bins as the incumbent has. The incumbent is best-fit decreasing until a completion is as good. The search
-    ends when the incumbent meets the lower bound or the tree is exhausted, and both prove it the best, or after ``seconds``.
+    ends when the incumbent meets the lower bound or the tree is exhausted, and both prove it the best, or after so many ``nodes``.
     """
     total = sum(x * n for x, n in histogram.items())
     start = {x: n for x, n in histogram.items() if n}
@@ -301,11 +301,11 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, seconds:
     best = best_fit(histogram, capacity)
     # A completion with as many bins takes the place of best-fit's packing.
     limit, bound = sum(m for _, m in best) + 1, least_bins(start, capacity)
-    until = time.monotonic() + seconds
+    left = iter(range(nodes))
 
     def tick() -> None:
-        if time.monotonic() > until:
-            raise OutOfTime
+        if next(left, None) is None:
+            raise OutOfNodes
 
     def choice(counts: dict[int, int], most_waste: int, k: int) -> tuple[int, tuple[int, ...], int] | None:
         """(waste, pattern, how often) of the k-th choice of an open decision."""
@@ -361,12 +361,12 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, seconds:
             if not left_out:
                 break
             allowed = max(1, 2 * allowed)
-    except OutOfTime:
+    except OutOfNodes:
         pass
     return best
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, seconds: float = SECONDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, nodes: int = NODES) -> DataFrame:
     """One row for each piece of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Pieces of full length have a sequence of their own; the others share sequences by ``complete_bins``.
@@ -376,7 +376,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     pieces = materialize(token_pieces(docs, tokenizer_path, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     full = histogram.pop(capacity, 0)
-    plan = [((capacity,), full)] * bool(full) + complete_bins(histogram, capacity, seconds)
+    plan = [((capacity,), full)] * bool(full) + complete_bins(histogram, capacity, nodes)
     # By length: first rank, places in each bin, first sequence, first offset.
     places, seen, sequence = defaultdict(list), Counter(), 0
     for pattern, times in plan:

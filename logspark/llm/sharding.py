@@ -1,7 +1,7 @@
 """K-d tree sharding by weighted medians.
 
 Rows are points in a unit cube of metadata dimensions and weigh their bytes. Level by level, every node that stands
-for more than one leaf is cut along its widest dimension, at the weighted quantile that gives each side its share of
+for more than one leaf is cut along its widest dimension, at the place next to the weighted quantile that gives each side its share of
 leaves (the median for an even number). A level is three small aggregates over a narrow table (no text): extents,
 a histogram of each node's widest dimension, and one finer histogram of the cell that holds the quantile; histograms
 have at most ``CELLS`` cells a node, so no task gathers a node's rows. Cuts are a table of fewer rows than leaves, which
@@ -72,8 +72,10 @@ def kd_partition(points: DataFrame, dims: list[str], weight: str, leaves: int) -
         for finer in (False, True):
             found = _cells(tree, cuts, dims, weight, leaves, finer)
             at = F.col("lo") + F.coalesce("cell", F.lit(0)) * F.col("step")
-            # The second histogram's cell ends at the cut.
-            lo, step = (at + F.col("step"), F.col("step")) if finer else (at, F.col("step") / CELLS)
+            # The second histogram's cell ends at the cut, or begins there if that is nearer to the goal and leaves something on the left.
+            before = F.col("below") + F.coalesce("prior", F.lit(0.0))
+            short = (before > 0) & (F.col("goal") - before < before + F.coalesce("w", F.lit(0)) - F.col("goal"))
+            lo, step = (F.when(short, at).otherwise(at + F.col("step")), F.col("step")) if finer else (at, F.col("step") / CELLS)
             after = materialize(
                 cuts.join(found, "node", "left").select(
                     "node", "goal", "dim", lo.alias("lo"), step.alias("step"), (F.col("below") + F.coalesce("prior", F.lit(0.0))).alias("below"),
@@ -117,9 +119,9 @@ def _cells(tree: DataFrame, cuts: DataFrame, dims: list[str], weight: str, leave
     ).agg(F.sum(weight).alias("w"))
     upto = Window.partitionBy("node").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     running = histogram.withColumn("upto", F.sum("w").over(upto))
-    parts = F.struct("cell", (F.col("upto") - F.col("w")).cast("double").alias("prior"))
+    parts = F.struct("cell", (F.col("upto") - F.col("w")).cast("double").alias("prior"), "w")
     reached = F.col("below") + F.col("upto") >= F.col("goal")
-    return running.groupBy("node").agg(F.coalesce(F.min(F.when(reached, parts)), F.max(parts)).alias("r")).select("node", "r.cell", "r.prior")
+    return running.groupBy("node").agg(F.coalesce(F.min(F.when(reached, parts)), F.max(parts)).alias("r")).select("node", "r.cell", "r.prior", "r.w")
 
 
 def shard(
