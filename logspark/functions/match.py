@@ -51,9 +51,23 @@ class Pattern:
         return self
 
 
+def literal(cell: Column, pattern: Pattern) -> Column | None:
+    """A cheap test that every match of a word pattern passes; None where there is none."""
+    text = pattern.text.strip()
+    if pattern.mode != "word" or not text.isascii():
+        return None
+    if pattern.case_sensitive:
+        return cell.contains(text)
+    # Some letters beyond ASCII fold to letters within, so cells that hold any are left to the pattern.
+    return F.lower(cell).contains(text.lower()) | (F.octet_length(cell) != F.length(cell))
+
+
 def matches(cell: Column, pattern: Pattern) -> Column:
     """At least one match, which may be empty; false for a blank pattern."""
-    return F.lit(False) if pattern.blank else F.coalesce(cell.rlike(pattern.regex), F.lit(False))
+    if pattern.blank:
+        return F.lit(False)
+    whole, first = cell.rlike(pattern.regex), literal(cell, pattern)
+    return F.coalesce(whole if first is None else first & whole, F.lit(False))
 
 
 def finds(cell: Column, pattern: Pattern) -> Column:

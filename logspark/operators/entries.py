@@ -78,7 +78,7 @@ def parse_entries(folded: DataFrame, spec: X.FormatSpec, merge_continuations: bo
         *(text(c).alias(c) for c in ("thread", "target", "host", "pid")), F.when(
             parsed, fields.get("extra", X.no_extra()),
         ).otherwise(X.no_extra()).alias("extra"),
-        F.when(parsed, joined).otherwise(whole).alias("message"), *(c for c in folded.columns if c == "truncated"),
+        F.when(parsed, joined).otherwise(whole).alias("message"), *(c for c in folded.columns if c in ("truncated", "raw")),
     ).withColumn("level_idx", N.level_index(F.col("level")))
 
 
@@ -135,7 +135,7 @@ def _finished(parsed: DataFrame, spec: X.FormatSpec) -> DataFrame:
     first = F.col("entry_no") + 1 if spec.sequential else F.col("entry_start")
     return parsed.withColumn("first_line", first.cast("long")).withColumn(
         "entry_no", F.col("entry_no").cast("long"),
-    ).select(COLUMNS + [c for c in parsed.columns if c == "truncated"])
+    ).select(COLUMNS + [c for c in parsed.columns if c in ("truncated", "raw")])
 
 
 def entries_of_lines(lines: DataFrame, format: str = "auto", merge_continuations: bool = True, reference: date | None = None) -> DataFrame:
@@ -287,6 +287,8 @@ def open_logs(
 
         return OpenLogs(read_event_xml(spark, heads, max_lines=max_lines), heads, spec)
     if max_lines or not merge_continuations:
+        if styles:
+            raise ValueError("styles are kept where all lines are read and continuations merged")
         lines = L.scan_lines(spark, heads, max_lines)
         return OpenLogs(entries_of_lines(lines if max_lines else lines.drop("truncated"), format, merge_continuations, reference), heads, spec)
     learned = {name: c.alias(name) for name, c in (spec.learn() if spec.learn else {}).items()}
@@ -308,8 +310,10 @@ def open_logs(
     def finish(some: DataFrame) -> DataFrame:
         named = F.broadcast(sources) if by_block else sources
         joined = _joined(some, edges, lists).join(named, "source_idx")
-        parsed = _finished(parse_entries(joined, spec), spec)
-        return parsed
+        if styles:
+            whole = F.array_join(F.transform(F.arrays_zip("lines", "raws"), lambda x: F.coalesce(x["raws"], x["lines"])), "\n")
+            joined = joined.withColumn("raw", F.when(F.exists("raws", lambda x: x.isNotNull()), whole)).drop("raws")
+        return _finished(parse_entries(joined, spec), spec)
 
     return OpenLogs(finish(folded), heads, spec, folded, edges, finish)
 
@@ -322,6 +326,6 @@ def read_logs(
 
     The files are read now (open_logs); fields are parsed when entries are asked for. A file that grows meanwhile has the lines that it had.
     max_lines: the most lines read of each file, 0: all; if given, entries also have truncated (their file has max_lines or more).
-    styles: entries also have raws and offsets of their messages, for fragments.entry_spans.
+    styles: entries also have raw, all their lines with their escapes where there are any, for fragments.entry_spans.
     """
     return open_logs(spark, paths, format, max_lines, merge_continuations, reference, encoding, styles).entries

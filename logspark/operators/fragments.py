@@ -82,23 +82,24 @@ def spans_of(text: str) -> tuple[str, list[dict]]:
 
 
 def styled_spans(raw: DataFrame, keys: list[str], text: str = "raw", message: str | None = None) -> DataFrame:
-    """keys and the styled ranges of a text that still has its escapes, in code points; with message (a column that ends
-    the cleaned text), clipped to it and counted from its beginning."""
+    """keys and the styled ranges of a text that still has its escapes, in code points; with message (a column that the
+    cleaned text holds), of its first place there, clipped to it and counted from its beginning. A style holds until it is changed, over line ends too."""
     some = raw.where(F.col(text).contains("\x1b"))
     if message:
-        some = some.withColumn("_from", F.greatest(F.length(strip_control(F.col(text))) - F.length(message), F.lit(0)))
+        at = F.position(F.col(message), strip_control(F.col(text)))
+        some = some.withColumn("_from", at - 1).withColumn("_n", F.length(message)).where("_from >= 0 and _n > 0")
     else:
-        some = some.withColumn("_from", F.lit(0))
-    picked = some.select(*keys, F.col("_from").cast("int").alias("_from"), F.col(text).alias("_text"))
+        some = some.withColumn("_from", F.lit(0)).withColumn("_n", F.lit(2_147_483_647))
+    picked = some.select(*keys, F.col("_from").cast("int").alias("_from"), F.col("_n").cast("int").alias("_n"), F.col(text).alias("_text"))
     names = [x.split(" ")[0] for x in STYLE.split(", ")]
     types = [pa.int32(), pa.int32(), *[pa.bool_()] * 4, pa.int32(), pa.int32(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             take, rows = [], []
-            for k, (skip, t) in enumerate(zip(b.column("_from").to_pylist(), b.column("_text").to_pylist(), strict=True)):
+            for k, (skip, most, t) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_from", "_n", "_text")), strict=True)):
                 for s in spans_of(t)[1]:
-                    start, end = max(s["start"] - skip, 0), s["start"] + s["length"] - skip
+                    start, end = max(s["start"] - skip, 0), min(s["start"] + s["length"] - skip, most)
                     if end > start:
                         take.append(k)
                         rows.append(s | {"start": start, "length": end - start})
@@ -114,6 +115,11 @@ def styled_spans(raw: DataFrame, keys: list[str], text: str = "raw", message: st
     return picked.mapInArrow(run, f"{kinds}, {STYLE}")
 
 
+def entry_spans(entries: DataFrame) -> DataFrame:
+    """source_idx, entry_no and the styled ranges of the messages of entries that were read with their styles (read_logs, styles=True)."""
+    return styled_spans(entries, ["source_idx", "entry_no"], "raw", "message")
+
+
 # Snippets ------------------------------------------------------------------------------------------------------------
 
 SHORTEST, LONGEST, MOST = 8, 2000, 4

@@ -34,3 +34,11 @@ def running_max(df: DataFrame, keys: list[str], segment: str, order: list, value
     carried = valued.groupBy(*keys, segment).agg(F.max("_v").alias("_m")).withColumn("_c", F.max("_m").over(_before(keys, segment))).drop("_m")
     local = valued.withColumn("_l", F.max("_v").over(Window.partitionBy(*keys, segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     return local.join(carried, [*keys, segment]).withColumn(out, F.greatest("_l", "_c")).drop("_v", "_l", "_c")
+
+
+def running_sum(df: DataFrame, keys: list[str], segment: str, order: list, value: Column, out: str) -> DataFrame:
+    """Adds the sum of value up to and with each row."""
+    valued = df.withColumn("_v", value)
+    before = valued.groupBy(*keys, segment).agg(F.sum("_v").alias("_m")).withColumn("_c", F.coalesce(F.sum("_m").over(_before(keys, segment)), F.lit(0))).drop("_m")
+    local = valued.withColumn("_l", F.sum("_v").over(Window.partitionBy(*keys, segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return local.join(before, [*keys, segment]).withColumn(out, F.col("_l") + F.col("_c")).drop("_v", "_l", "_c")

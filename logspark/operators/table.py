@@ -13,6 +13,7 @@ from logspark.functions import normalize as N
 from logspark.functions.match import Pattern, finds, match_ranges, matches
 from logspark.sources.scratch import new_folder
 
+from .entries import OpenLogs
 from .ordered import number, running_max
 
 #: Share of entries in which a field must be filled to be a column, and the entries that are looked at.
@@ -25,9 +26,8 @@ SEGMENT = 100_000
 # Columns -------------------------------------------------------------------------------------------------------------
 
 
-def column_fill(entries: DataFrame, sample: int | None = None) -> DataFrame:
-    """column, filled, total: in how many entries each standard column and extra key is not empty; of the first entries only, with a sample."""
-    rows = entries.where(F.col("entry_no") < sample) if sample else entries
+def _fill_counts(rows: DataFrame) -> DataFrame:
+    """column and filled, and the row of all entries, whose column is ''; low and high: the first and last source."""
     standard = {
         "time": F.col("time").isNotNull(), "level": (F.col("level") != "OTHER") | (F.col("raw_level") != ""), **{c: F.col(c) != "" for c in FIXED},
     }
@@ -35,23 +35,31 @@ def column_fill(entries: DataFrame, sample: int | None = None) -> DataFrame:
         F.filter(F.array(*(F.when(test, F.lit(c)) for c, test in standard.items())), lambda x: x.isNotNull()),
         F.transform(F.map_keys(F.map_filter("extra", lambda _, v: v != "")), lambda k: F.concat(F.lit("extra:"), k)),
     )
-    # One row without a column counts the entries.
-    counted = rows.select(F.explode(F.concat(F.array(F.lit("")), marks)).alias("column")).groupBy("column").agg(F.count(F.lit(1)).alias("filled"))
+    return rows.select("source_idx", F.explode(F.concat(F.array(F.lit("")), marks)).alias("column")).groupBy("column").agg(
+        F.count(F.lit(1)).alias("filled"), F.min("source_idx").alias("low"), F.max("source_idx").alias("high"),
+    )
+
+
+def column_fill(entries: DataFrame, sample: int | None = None) -> DataFrame:
+    """column, filled, total: in how many entries each standard column and extra key is not empty; of the first entries only, with a sample."""
+    counted = _fill_counts(entries.where(F.col("entry_no") < sample) if sample else entries).select("column", "filled")
     total = F.max(F.when(F.col("column") == "", F.col("filled"))).over(Window.partitionBy())
     return counted.withColumn("total", total).where(F.col("column") != "")
 
 
-def infer_columns(entries: DataFrame, sample: int | None = SAMPLE) -> list[str]:
-    """The columns worth showing, in order: line, file (if several sources), time, level, thread, pid, host, target, extras by key, message."""
-    found = {r["column"]: r["filled"] / r["total"] for r in column_fill(entries, sample).collect()}
-    some = bool(found) or not entries.isEmpty()
-    if not some:
+def infer_columns(entries: DataFrame | OpenLogs, sample: int | None = SAMPLE) -> list[str]:
+    """The columns worth showing, in order: line, file (if several sources), time, level, thread, pid, host, target, extras by key, message.
+    Of opened files (entries.open_logs) only what holds the first entries is read."""
+    first = entries.first(sample) if sample and not isinstance(entries, DataFrame) else entries if isinstance(entries, DataFrame) else entries.entries
+    found = {r["column"]: r for r in _fill_counts(first.where(F.col("entry_no") < sample) if sample else first).collect()}
+    if "" not in found:
         return ["line", "time", "level", "message"]
-    files = entries.select("source_idx").distinct().limit(2).count() > 1
-    extras = sorted(c for c, share in found.items() if c.startswith("extra:") and share >= FILLED)
+    every = found.pop("")
+    share = {c: r["filled"] / every["filled"] for c, r in found.items()}
+    extras = sorted(c for c, x in share.items() if c.startswith("extra:") and x >= FILLED)
     return [
-        "line", *["file"] * files, *(c for c in ("time", "level") if c in found), *(c for c in FIXED if found.get(c, 0) >= FILLED), *extras,
-        "message",
+        "line", *["file"] * (every["low"] != every["high"]), *(c for c in ("time", "level") if c in share), *(c for c in FIXED if share.get(c, 0) >= FILLED),
+        *extras, "message",
     ]
 
 
@@ -155,18 +163,34 @@ def match_count(entries: DataFrame, pattern: Pattern, columns: list[str] = ("mes
 def navigate(entries: DataFrame, pattern: Pattern, columns: list[str] = ("message",)) -> DataFrame:
     """Each hit with ordinal (from 1), and the entries (source_idx, entry_no) that next and previous lead to, around the ends.
 
-    The hit after ordinal k is k + 1, so neighbours are found by a join on the ordinal.
+    Entries are searched once, now, and the places of hits written. Ranks and neighbours are found inside segments, and over one row for
+    each segment: how many hits stand before it, and which are the last before and the first after it.
     """
-    hits = _ordinal(find_rows(entries, pattern, columns).where("hit").select("source_idx", "entry_no"), "ordinal", 1)
-    count = hits.agg(F.max("ordinal").alias("n"))
-    at = hits.select(F.col("ordinal").alias("k"), F.struct("source_idx", "entry_no").alias("row"))
-    around = hits.join(F.broadcast(count)).withColumn("after", F.col("ordinal") % F.col("n") + 1).withColumn(
-        "before", (F.col("ordinal") + F.col("n") - 2) % F.col("n") + 1,
+    place = F.struct("source_idx", "entry_no")
+    folder = new_folder(entries.sparkSession, "hits")
+    find_rows(entries, pattern, columns).where("hit").select("source_idx", "entry_no").write.parquet(folder)
+    hits = entries.sparkSession.read.schema("source_idx int, entry_no long").parquet(folder)
+    dealt = hits.withColumn("segment", F.struct("source_idx", F.floor(F.col("entry_no") / SEGMENT).alias("at")))
+    # One row for each segment with a hit.
+    order = Window.orderBy("segment")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    segments = dealt.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("low"), F.max(place).alias("high")).select(
+        "segment", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank"), F.coalesce(F.last("high").over(before), F.last("high").over(every)).alias("left"),
+        F.coalesce(F.first("low").over(after), F.first("low").over(every)).alias("right"),
+    )
+    inside = Window.partitionBy("segment").orderBy("entry_no")
+    local = dealt.select(
+        "source_idx", "entry_no", "segment", F.row_number().over(inside).alias("k"), F.lead(place).over(inside).alias("later"), F.lag(place).over(inside).alias("earlier"),
+    )
+    return local.join(segments, "segment").select(
+        "source_idx", "entry_no", (F.col("k") + F.col("rank")).alias("ordinal"), F.coalesce("later", "right").alias("next"), F.coalesce("earlier", "left").alias("previous"),
     )
-    nxt = around.join(at.select(F.col("k").alias("after"), F.col("row").alias("next")), "after")
-    return nxt.join(
-        at.select(F.col("k").alias("before"), F.col("row").alias("previous")), "before",
-    ).select("source_idx", "entry_no", "ordinal", "next", "previous")
+
+
+def nth_hit(navigated: DataFrame, ordinal: int) -> DataFrame:
+    """source_idx and entry_no of one hit by its ordinal."""
+    return navigated.where(F.col("ordinal") == ordinal).select("source_idx", "entry_no")
 
 
 # Counts --------------------------------------------------------------------------------------------------------------
@@ -202,9 +226,10 @@ def document_info(entries: DataFrame, sizes: DataFrame | None = None) -> DataFra
 # Merging -------------------------------------------------------------------------------------------------------------
 
 
-def can_time_merge(entries: DataFrame) -> bool:
-    """Whether the first entry of every source has a time."""
-    first = entries.groupBy("source_idx").agg(F.min_by(F.col("time").isNotNull(), "entry_no").alias("timed"))
+def can_time_merge(entries: DataFrame | OpenLogs) -> bool:
+    """Whether the first entry of every source has a time. Of opened files only what holds the first entries is read."""
+    rows = entries if isinstance(entries, DataFrame) else entries.first(1)
+    first = rows.groupBy("source_idx").agg(F.min_by(F.col("time").isNotNull(), "entry_no").alias("timed"))
     return bool(first.agg(F.coalesce(F.every("timed"), F.lit(True))).first()[0])
 
 
@@ -220,9 +245,10 @@ def concat_sources(entries: DataFrame) -> DataFrame:
     return entries.withColumn("merge_time", F.lit(None).cast("timestamp"))
 
 
-def merge_documents(entries: DataFrame) -> tuple[DataFrame, bool]:
+def merge_documents(entries: DataFrame | OpenLogs) -> tuple[DataFrame, bool]:
     """entries in order, and whether they are merged by time (else source by source)."""
     timed = can_time_merge(entries)
+    entries = entries if isinstance(entries, DataFrame) else entries.entries
     merged = time_merge(entries) if timed else concat_sources(entries)
     return merged.orderBy(F.asc_nulls_first("merge_time"), "source_idx", "entry_no"), timed
 

@@ -281,6 +281,23 @@ def read_event_xml_files(spark, sf_dir):
     return shown(read_event_xml(spark, [folder])).drop("entry_no")
 
 
+@query(SQL["ingest_wevt_xml"])
+def read_event_xml_utf16(spark, sf_dir):
+    # Three events on each physical line, in two bytes a character, over several splits.
+    folder, key = new_folder(spark, "event-xml-wide"), "spark.sql.files.maxPartitionBytes"
+    e = _event_xml(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 3).alias("k")).agg(F.array_sort(F.collect_list(F.struct("event_id", "xml"))).alias("x"))
+    line = F.array_join(F.transform("x", lambda x: F.concat(x["xml"], F.lit("</Event>"))), "")
+    e.repartitionByRange(4, "k").sortWithinPartitions("k").select(line.alias("value")).write.option("encoding", "UTF-16LE").option("quote", "").csv(folder)
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "100001")
+        entries = read_logs(spark, [folder])
+    finally:
+        spark.conf.set(key, before)
+    # Numbers are by file here, so they are carried on over the files.
+    return shown(T.visible_rows(entries, T.FilterSpec()).drop("entry_no").withColumnRenamed("visible_no", "entry_no"))
+
+
 def _event_xml(spark, sf_dir) -> DataFrame:
     """events with xml: each as an Event element without its end tag."""
     e = events(spark, sf_dir)
@@ -609,6 +626,34 @@ def read_log_files(spark, sf_dir):
     return T.level_counts(read_logs(spark, [event_files(spark, sf_dir)]))
 
 
+@query(f"SELECT entry_no, level, message || chr(10) || '  at ' || user_id AS message FROM {ENTRY_SQL}")
+def read_logs_split_otherwise(spark, sf_dir):
+    # One file, opened with some splits and asked for entries with others.
+    folder, key = new_folder(spark, "one-log"), "spark.sql.files.maxPartitionBytes"
+    e = events(spark, sf_dir).select(F.lit("all.log").alias("name"), F.col("event_id").alias("at"), text("$clock", " ", "$lv", " ", "$msg", "\n  at ", "$user_id").alias("value"))
+    named_files(spark, e, folder)
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "20000")
+        entries = read_logs(spark, [folder])
+    finally:
+        spark.conf.set(key, before)
+    return entries.select("entry_no", "level", "message")
+
+
+@query("SELECT entry_no, first_start, length(message) AS chars, spans FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS entry_no, 5 AS first_start, 'user ' || user_id || chr(10) || 'did ' || event_type AS message, 2::BIGINT AS spans FROM events)")
+def styled_spans_of_files(spark, sf_dir):
+    # A style begins in an entry's first line and holds over the line's end; another begins in the second.
+    folder = new_folder(spark, "styled")
+    e = events(spark, sf_dir).select(
+        F.lit("all.log").alias("name"), F.col("event_id").alias("at"), text("$clock", " \x1b[2m", "$lv", "\x1b[0m user \x1b[1;31m", "$user_id", "\ndid\x1b[32m ", "$event_type", "\x1b[0m").alias("value"),
+    )
+    named_files(spark, e, folder)
+    entries = read_logs(spark, [folder], styles=True)
+    spans = fragments.entry_spans(entries).groupBy("entry_no").agg(F.min("start").alias("first_start"), F.max(F.col("start") + F.col("length")).alias("chars"), F.count(F.lit(1)).alias("spans"))
+    return spans.select("entry_no", F.col("first_start").cast("int").alias("first_start"), F.col("chars").cast("long").alias("chars"), "spans")
+
+
 @query("SELECT count(*) AS lines, count(*) AS distinct_places, 'UTF-8' AS encoding FROM events")
 def scan_numbered_lines(spark, sf_dir):
     lines = scan_lines(spark, [event_files(spark, sf_dir)], max_lines=0)
@@ -617,15 +662,21 @@ def scan_numbered_lines(spark, sf_dir):
     )
 
 
-def stream_rows(spark, stream: DataFrame, mode: str, ends: bool = True) -> DataFrame:
-    """What a stream has put out when all that is there is read."""
-    name = f"rows_{new_folder(spark, 's').rpartition('-')[2]}"
-    q = follow.start(stream, "memory", new_folder(spark, "stream"), name, mode, None if ends else follow.POLL)
+def stream_rows(spark, stream: DataFrame, mode: str, ends: bool = True, state: str | None = None) -> DataFrame:
+    """What a stream has put out, as Parquet, when all that is there is read. state: a folder in which the stream goes on later."""
+    state = state or new_folder(spark, "stream")
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", follow.STORE)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{state}/checkpoint")
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{state}/rows")
+    else:
+        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{state}/rows"))
+    q = (writer.trigger(availableNow=True) if ends else writer.trigger(processingTime=follow.POLL)).start()
     try:
         q.awaitTermination() if ends else q.processAllAvailable()
     finally:
         q.stop()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{state}/rows")
 
 
 @query(SQL["level_counts_generic"].replace("LEFT JOIN", "JOIN"))
@@ -637,13 +688,61 @@ def stream_level_counts(spark, sf_dir):
 
 @query(f"SELECT level, message FROM {ENTRY_SQL} WHERE level = 'ERROR' AND contains(message, '7')")
 def tail_filtered(spark, sf_dir):
-    # A followed file is opened by its path.
-    folder = event_files(spark, sf_dir).removeprefix("file://")
+    folder = event_files(spark, sf_dir)
     entries = follow.line_entries(follow.tail(spark, f"{folder}/part-*.txt"), "generic")
     spec = T.FilterSpec(frozenset(["ERROR"]), pattern=Pattern("7", "regex"))
     return stream_rows(spark, T.apply_filter(entries, spec).select("level", "message"), "append", ends=False)
 
 
+def named_files(spark, rows: DataFrame, folder: str) -> None:
+    """Rows (name, at, value) as one file for each name, in the order of at, put in the place of what has the name."""
+    made = new_folder(spark, "made")
+    rows.repartition("name").sortWithinPartitions("name", "at").select("name", "value").write.partitionBy("name").text(made)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda *x: jvm.org.apache.hadoop.fs.Path("/".join(x))
+    system = path(made).getFileSystem(conf)
+    system.mkdirs(path(folder))
+    for of_name in system.globStatus(path(made, "name=*", "part-*")):
+        to = path(folder, of_name.getPath().getParent().getName().removeprefix("name="))
+        system.delete(to, False)
+        system.rename(of_name.getPath(), to)
+
+
+@query("SELECT l.level_idx, l.level, count(*) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'FATAL' ELSE 'INFO' END AS level FROM events WHERE user_id % 4 < 2 AND event_id % 2 = 0 "
+       f"UNION ALL SELECT {sql_case(LEVEL)} FROM events WHERE user_id % 4 >= 2) e JOIN {LEVEL_ROWS} ON l.level = e.level GROUP BY l.level_idx, l.level")
+def stream_counts_after_rotation(spark, sf_dir):
+    # Four files are followed; then two of them are replaced by others, and the stream goes on where it stood.
+    folder, state = new_folder(spark, "rotated"), new_folder(spark, "stream")
+    e = events(spark, sf_dir).select("event_id", F.concat(F.lit("app"), user(4).cast("string"), F.lit(".log")).alias("name"), F.col("event_id").alias("at"), "clock", "lv", "msg", user(4).alias("u"))
+    # The last entry of a file stays open, so each file ends with one that does not count.
+    last = e.groupBy("name").agg(F.max("at").alias("at")).select("name", F.col("at") + 1, F.lit("2024-01-01 00:00:00.000 INFO open").alias("value"))
+    named_files(spark, e.select("name", "at", text("$clock", " ", "$lv", " ", "$msg", "\n  more of it").alias("value")).union(last), folder)
+    changes = lambda: follow.level_changes(follow.follow_entries(follow.tail(spark, folder + "/app*.log"), "generic", 3_600_000))
+    stream_rows(spark, changes(), "append", ends=False, state=state)
+    new = e.where("u < 2 AND event_id % 2 = 0").select("name", "at", text("$clock", F.when(F.col("event_id") % 3 == 0, " FATAL").otherwise(" INFO"), " replaced").alias("value"))
+    named_files(spark, new.union(last.where("name in ('app0.log', 'app1.log')")), folder)
+    return follow.counts_of_changes(stream_rows(spark, changes(), "append", ends=False, state=state)).select(
+        F.col("level_idx").cast("int").alias("level_idx"), "level", "n",
+    )
+
+
+@query(f"SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 2 AS physical_lines, length('doc ' || doc_id || chr(10) || text) AS chars FROM {DOCUMENTS}")
+def stream_folded_documents(spark, sf_dir):
+    folder = new_folder(spark, "documents")
+    shown = F.regexp_replace(strip_control(F.coalesce("text", F.lit(""))), "\r", "")
+    d = load(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.pmod("doc_id", F.lit(8)).cast("string"), F.lit(".log")).alias("name"), F.col("doc_id").alias("at"),
+        text("2024-01-01 00:00:00 INFO doc ", "$doc_id", "\n", shown).alias("value"),
+    )
+    last = d.groupBy("name").agg(F.max("at").alias("at")).select("name", F.col("at") + 1, F.lit("2024-01-01 00:00:00 INFO open").alias("value"))
+    named_files(spark, d.union(last), folder)
+    e = stream_rows(spark, follow.follow_entries(follow.tail(spark, folder + "/d*.log"), "generic", 3_600_000), "append", ends=False)
+    return e.select(
+        F.regexp_extract("message", r"^doc (\d+)", 1).cast("long").alias("doc_id"), F.col("physical_lines").cast("long").alias("physical_lines"),
+        F.length("message").cast("long").alias("chars"),
+    )
+
+
 # Limits, encodings, sinks --------------------------------------------------------------------------------------------
 
 

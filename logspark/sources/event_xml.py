@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from logspark.functions import normalize as N
 from logspark.operators.formats import no_extra
-from logspark.operators.ordered import number
+from logspark.operators.ordered import number, running_sum
+
+from . import lines as L
+from .scratch import new_folder
 
 SCHEMA = (
     "System struct<Provider:struct<_Name:string>,EventID:string,Level:string,TimeCreated:struct<_SystemTime:string>,Computer:string>,"
@@ -15,12 +18,13 @@ SCHEMA = (
 )
 
 
-def entries_of_events(records: DataFrame) -> DataFrame:
-    """Entries of records (source_idx, source_name, block, position, xml: text that ends where an event's end tag stood).
-    What precedes the event in a record is skipped; a record without an event, or with a malformed one, gives no entry."""
+def parsed_events(records: DataFrame) -> DataFrame:
+    """The events of records (source_idx, source_name, block, position, xml: text that ends where an event's end tag stood), without
+    their numbers. What precedes the event in a record is skipped; a record without an event, or with a malformed one, gives no entry."""
     found = records.withColumn("at", F.instr("xml", "<Event ")).where("at > 0")
     event = F.concat(F.expr("substring(xml, at)"), F.lit("</Event>"))
-    read = found.select("source_idx", "source_name", "block", "position", event.alias("xml"))
+    more = [c for c in records.columns if c == "truncated"]
+    read = found.select("source_idx", "source_name", "block", "position", event.alias("xml"), *more)
     e = read.withColumn(
         "e", F.from_xml(F.col("xml"), SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}),
     ).where("e is not null and e._corrupt is null")
@@ -44,20 +48,57 @@ def entries_of_events(records: DataFrame) -> DataFrame:
         F.create_map(F.lit("Event ID"), F.trim(N.or_empty(F.col("e.System.EventID"))), F.lit("Data"), F.substring(joined, 1, N.LONGEST_EXTRA)),
         lambda _, v: v != "",
     )
-    out = number(e, ["source_idx"], "block", ["position"], "n").select(
-        "source_idx", "source_name", F.lit("wevt_xml").alias("format_id"), (F.col("n") - 1).cast("long").alias("entry_no"), F.col("n").cast("long").alias("first_line"), F.lit(1).alias("physical_lines"),
+    return e.select(
+        "source_idx", "source_name", "block", "position", F.lit("wevt_xml").alias("format_id"), F.lit(1).alias("physical_lines"),
         N.parse_time(N.or_empty(F.col("e.System.TimeCreated._SystemTime"))).alias("time"), level.alias("level"), N.level_index(level).alias("level_idx"), raw.alias("raw_level"),
         F.lit("").alias("thread"), N.or_empty(F.col("e.System.Provider._Name")).alias("target"), F.trim(N.or_empty(F.col("e.System.Computer"))).alias("host"), F.lit("").alias("pid"), F.coalesce(extra, no_extra()).alias("extra"),
-        F.when(message != "", message).when(joined != "", joined).otherwise(F.substring("xml", 1, 500)).alias("message"))
-    return out
+        F.when(message != "", message).when(joined != "", joined).otherwise(F.substring("xml", 1, 500)).alias("message"), *more,
+    )
 
 
-def read_event_xml(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Entries of event XML files; the reader splits large files at end tags."""
-    from .lines import source_map
+COLUMNS = [
+    "source_idx", "source_name", "format_id", "entry_no", "first_line", "physical_lines", "time", "level", "level_idx", "raw_level", "thread",
+    "target", "host", "pid", "extra", "message",
+]
 
-    raw = spark.read.text(paths, lineSep="</Event>").select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("position"), F.col("value").alias("xml"),
-    )
-    return entries_of_events(raw.join(source_map(spark, paths), "file").drop("file"))
+
+def numbered_events(parsed: DataFrame) -> DataFrame:
+    """Parsed events with their numbers: entry_no from 0, and first_line, which counts events from 1."""
+    return number(parsed, ["source_idx"], "block", ["position"], "n").withColumn("entry_no", (F.col("n") - 1).cast("long")).withColumn(
+        "first_line", F.col("n").cast("long"),
+    ).select(COLUMNS + [c for c in parsed.columns if c == "truncated"])
+
+
+def entries_of_events(records: DataFrame) -> DataFrame:
+    """Entries of records, see parsed_events."""
+    return numbered_events(parsed_events(records))
+
+
+def _upto_line(records: DataFrame, max_lines: int) -> DataFrame:
+    """The records that end within the first lines of their source, and truncated: whether it has as many lines or more."""
+    breaks = F.regexp_count("xml", F.lit(r"\r\n|\r|\n"))
+    counted = running_sum(records, ["source_idx"], "block", ["position"], breaks.cast("long"), "breaks")
+    # A last line without an end counts, as long as there is something in it.
+    last = F.max(F.struct("block", "position", F.length(F.regexp_extract("xml", r"[^\r\n]*\z", 0)).alias("n")))["n"] > 0
+    sizes = counted.groupBy("source_idx").agg((F.max("breaks") + last.cast("int") >= max_lines).alias("truncated"))
+    return counted.where(F.col("breaks") < max_lines).drop("breaks").join(sizes, "source_idx")
+
+
+def read_event_xml(spark: SparkSession, paths: list[str] | DataFrame, encoding: str | None = None, max_lines: int = 0) -> DataFrame:
+    """Entries of event XML files (paths, or what read_heads found of them) in any encoding that lines may have; large files are split at end
+    tags, also where all is one line. max_lines: only events that end within the first lines of their file; entries then have truncated.
+
+    The files are read once, now, and what was parsed is written, so numbers don't hang on how Spark splits the files later.
+    """
+    heads = paths if isinstance(paths, DataFrame) else L.read_heads(spark, [paths] if isinstance(paths, str) else list(paths), encoding)
+    L.legacy_charsets(spark)
+    found, _ = L.placed_lines(spark, heads, separator="</Event>", about=["source_name"])
+    records = found.withColumnsRenamed({"place": "position", "text": "xml"})
+    if max_lines:
+        folder = new_folder(spark, "records")
+        records.write.parquet(folder)
+        records = _upto_line(spark.read.schema(records.schema).parquet(folder), max_lines)
+    parsed = parsed_events(records)
+    folder = new_folder(spark, "events")
+    parsed.write.parquet(folder)
+    return numbered_events(spark.read.schema(parsed.schema).parquet(folder))

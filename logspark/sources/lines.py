@@ -5,12 +5,12 @@ A lines table has source_idx, source_name, block (a split of the source, rising)
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +21,8 @@ from .scratch import new_folder
 
 #: Bytes of a file that its encoding is guessed from, and lines that its format is.
 HEAD_BYTES, HEAD_LINES = 4096, 200
-#: Files of more bytes are looked at by a range of their first records of HEAD_BYTES each, so many files a job. The end of a file is then
-#: out of reach of what is read ahead.
-RANGED, RANGED_RECORDS, RANGED_FILES = 32 << 20, 64, 20_000
+#: Files of more bytes are looked at by a range of so many bytes.
+RANGED, RANGE = 4 << 20, 256 << 10
 #: Legacy encodings in the order in which they are tried.
 LEGACY = ["GB18030", "Big5", "Shift_JIS", "windows-1252"]
 #: Encodings whose line ends are two bytes, so that files are cut at other bytes.
@@ -103,58 +102,63 @@ def _head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _read_small_heads(spark: SparkSession, paths: list[str], folder: str) -> None:
-    """Heads of files up to RANGED bytes: their first lines, one partition a file. Other files are left out before they are opened."""
+def _read_first_lines(spark: SparkSession, paths: list[str], folder: str, most: int | None = None) -> None:
+    """Heads of files by their first lines, one partition a file; files of more than most bytes are left out before they are opened."""
     names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
     before = {k: spark.conf.get(k) for k in names}
     try:
         for k in names:
             spark.conf.set(k, _WHOLE)
-        raw = spark.read.text(paths).where(F.col("_metadata.file_size") <= RANGED)
+        raw = spark.read.text(paths)
+        raw = raw.where(F.col("_metadata.file_size") <= most) if most else raw
         raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
-        raw.mapInArrow(_head, HEADS).write.parquet(folder)
+        raw.mapInArrow(_head, HEADS).write.mode("append").parquet(folder)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
 
 
-def _read_ranges(spark: SparkSession, files: DataFrame, folder: str) -> None:
-    """Heads of larger files: their first bytes, whatever their lines are. Records of a fixed length are read, one partition a file, and
-    no more than the first of them are taken."""
-    sc = spark.sparkContext
-    names = (r["file"] for r in files.where(F.col("bytes") > RANGED).select("file").toLocalIterator())
-    while some := list(itertools.islice(names, RANGED_FILES)):
-        # Signs of patterns, and then of lists, are ordinary here.
-        given = [re.sub(r"([\\,])", r"\\\1", re.sub(r"([{}\[\]*?\\])", r"\\\1", f)) for f in some]
-        raw = sc.newAPIHadoopRDD(
-            "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
-            conf={
-                "mapreduce.input.fileinputformat.inputdir": ",".join(given), "fixedlengthinputformat.record.length": str(HEAD_BYTES),
-                "mapreduce.input.fileinputformat.split.minsize": str(1 << 62),
-            },
-        )
-        if raw.getNumPartitions() != len(some):
-            raise ValueError("a file was replaced while its head was read")
-
-        def first(k: int, records: Iterator[tuple], some=some) -> Iterator[tuple]:
-            data = b"".join(bytes(x) for _, x in itertools.islice(records, RANGED_RECORDS))
-            return iter([(some[k], *head_of(data, False))])
-
-        spark.createDataFrame(raw.mapPartitionsWithIndex(first), HEADS).write.mode("append").parquet(folder)
+def first_bytes(uri: str, most: int) -> bytes | None:
+    """The first bytes of a file in a file system that Arrow opens; None of another."""
+    scheme, _, rest = uri.partition(":")
+    authority, _, path = rest.removeprefix("//").partition("/") if rest.startswith("//") else ("", "", rest.removeprefix("/"))
+    try:
+        if scheme == "file":
+            system, base = fs.LocalFileSystem(), ""
+        else:
+            system, base = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+        with system.open_input_file(f"{base.rstrip('/')}/{path}") as f:
+            return f.read(most)
+    except (OSError, ValueError, ImportError, NotImplementedError):
+        return None
+
+
+def _ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Heads of files by a range of bytes."""
+    for batch in batches:
+        for name in batch.column(0).to_pylist():
+            if data := first_bytes(name, RANGE):
+                encoding, sample = head_of(data, len(data) < RANGE)
+                yield pa.record_batch([pa.array([name]), pa.array([encoding]), pa.array([sample], pa.list_(pa.string()))], names=["file", "encoding", "sample"])
 
 
 def read_heads(spark: SparkSession, paths: list[str], encoding: str | None = None) -> DataFrame:
     """The files of paths: source_idx, source_name, file, bytes, modified, encoding (the given one, or that of the first bytes)
     and sample (the first lines; empty for an empty file). Reads the beginning of each file now, and writes what it found.
 
-    Of a file of more than RANGED bytes a range of 256 kB is read, so one line of gigabytes does no harm."""
+    Of a file of more than RANGED bytes a range of 256 kB is read in file systems that Arrow opens, so one line of gigabytes does no harm;
+    smaller files, and those in other file systems, are read up to the end of their first lines."""
     folder = new_folder(spark, "heads")
     source_map(spark, paths).write.parquet(f"{folder}-files")
     files = spark.read.parquet(f"{folder}-files")
-    _read_small_heads(spark, paths, folder)
-    _read_ranges(spark, files, folder)
+    large = files.where(F.col("bytes") > RANGED).select("file")
+    large.repartition(F.col("file")).mapInArrow(_ranged, HEADS).write.parquet(folder)
+    _read_first_lines(spark, paths, folder, RANGED)
+    if missed := [r["file"] for r in large.join(spark.read.schema(HEADS).parquet(folder), "file", "left_anti").collect()]:
+        _read_first_lines(spark, missed, folder)
     found = spark.read.schema(HEADS).parquet(folder)
-    known = files.join(found, "file", "left")
+    # A file that several paths name was looked at more than once.
+    known = files.join(found.dropDuplicates(["file"]), "file", "left")
     own = F.lit(encoding) if encoding else F.coalesce("encoding", F.lit("UTF-8"))
     sample = F.transform(F.coalesce("sample", F.array().cast("array<string>")), strip_control)
     known.select(

@@ -1,8 +1,9 @@
-"""Following logs: growing files as a stream, entries folded across micro-batches.
+"""Following logs: growing files as a stream, entries folded across micro-batches, counts that follow replaced files.
 
 ``TailSource`` is a stream source of growing files: it hands out bytes up to the last line end, so an unfinished line
-waits; a file that shrinks or is replaced starts a new generation. ``follow_entries`` keeps, for each file and
-generation, the entry that may still grow; it is emitted when the next one begins or after a time without lines.
+waits; a file that shrinks or is replaced starts a new generation. ``follow_entries`` keeps, for each file, the entry that
+may still grow; it is emitted when the next one begins or after a time without lines. ``level_changes`` takes back what a
+replaced file counted.
 
 What is appended to a file after the last poll before it is replaced is not seen. A generation is told by the file's first
 line, so a file that is replaced by one with the same first line and is not smaller is taken for the same file.
@@ -10,29 +11,34 @@ line, so a file that is replaced by one with the same first line and is not smal
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import json
-import os
 import re
 import zlib
 from collections.abc import Iterator
 from datetime import date
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from logspark.functions import normalize as N
 from logspark.functions.ansi import strip_control
 from logspark.operators import formats as X
 from logspark.operators.entries import parse_entries
+from logspark.sources.lines import HEAD_BYTES, WIDE, decode_line, encoding_of
 
 #: How often files are looked at.
 POLL = "300 milliseconds"
 #: Bytes of a file in one input partition, and of its first line that tell its generation.
 RANGE, FIRST_LINE = 16 << 20, 256
+#: Most bytes of a file in one micro-batch, and bytes in which a line end is looked for at once.
+PER_FILE, LOOK = 64 << 20, 65536
 #: The counters of a generation that had no line for so long are dropped.
 FORGET_MS = 24 * 3600 * 1000
 
@@ -42,69 +48,172 @@ class _Range(InputPartition):
         self.path, self.generation, self.start, self.end = path, generation, start, end
 
 
-def last_line_end(path: str, start: int, end: int) -> int:
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system that a path or URI names (local, HDFS, or an object store that Arrow knows), and the path there."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def files_of(system: fs.FileSystem, pattern: str) -> list[fs.FileInfo]:
+    """The files that a pattern names; ``*`` and its like stand for parts of one name, in any part of the path."""
+    parts = pattern.split("/")
+    fixed = next((k for k, x in enumerate(parts) if re.search(r"[*?\[]", x)), len(parts))
+    if fixed == len(parts):
+        found = [system.get_file_info(pattern)]
+    else:
+        found = system.get_file_info(fs.FileSelector("/".join(parts[:fixed]) or "/", allow_not_found=True, recursive=fixed < len(parts) - 1))
+    fits = lambda path: len(x := path.split("/")) == len(parts) and all(map(fnmatch.fnmatchcase, x[fixed:], parts[fixed:]))
+    return sorted((f for f in found if f.type == fs.FileType.File and fits(f.path)), key=lambda f: f.path)
+
+
+def _ends(data: bytes, wide: str | None, at: int) -> list[int]:
+    """Places after line ends in data, which begins at byte ``at`` of its file: CR, LF and CRLF; LF in two-byte text."""
+    if wide:
+        end = "\n".encode(wide)
+        return [m.end() for m in re.finditer(re.escape(end), data) if (at + m.start()) % 2 == 0]
+    return [m.end() for m in re.finditer(rb"\r\n|\r|\n", data)]
+
+
+def last_line_end(f: pa.NativeFile, start: int, end: int, wide: str | None = None) -> int:
     """The place after the last line end in [start, end); start if there is none. A CR at the very end may be half of CRLF and waits."""
-    with open(path, "rb") as f:
-        at = end
-        while at > start:
-            low = max(start, at - 65536)
-            f.seek(low)
-            data = f.read(at - low)
-            tail = data[:-1] if at == end and data.endswith(b"\r") else data
-            k = max(tail.rfind(b"\n"), tail.rfind(b"\r"))
-            if k >= 0:
-                return low + k + 1
-            at = low
+    at = end
+    while at > start:
+        low = max(start, at - LOOK)
+        f.seek(low)
+        data = f.read(at - low + (1 if wide and at < end else 0))
+        data = data[:-1] if at == end and data.endswith(b"\r") and not wide else data
+        if found := _ends(data, wide, low):
+            return low + found[-1]
+        at = low
+    return start
+
+
+def first_line_end(f: pa.NativeFile, start: int, end: int, wide: str | None = None) -> int:
+    """The place after the first line end in [start, end); start if there is none."""
+    at = low = start
+    while at < end:
+        f.seek(low)
+        data = f.read(min(end, at + LOOK) - low)
+        data = data[:-1] if data.endswith(b"\r") and not wide else data
+        if found := _ends(data, wide, low):
+            return low + found[0]
+        at = min(end, at + LOOK)
+        # A line end may lie across two pieces.
+        low = max(start, at - 2)
     return start
 
 
-def generation_of(path: str) -> int:
-    """A number that tells a file with a finished line from another of the same name: of its first line."""
-    with open(path, "rb") as f:
-        return zlib.crc32(re.split(rb"[\r\n]", f.read(FIRST_LINE))[0])
+def head_of_file(f: pa.NativeFile) -> tuple[int, str]:
+    """A number that tells a file with a finished line from another of the same name, of its first line; and its encoding."""
+    f.seek(0)
+    data = f.read(HEAD_BYTES)
+    return zlib.crc32(re.split(rb"[\r\n]", data[:FIRST_LINE])[0]), encoding_of(data)
+
+
+def _wide(encoding: str) -> str | None:
+    return encoding if encoding in WIDE else None
 
 
 class TailReader(DataSourceStreamReader):
-    """Offsets are {path: [generation, bytes]} as a JSON value. They say all that is needed to go on, so a reader keeps nothing."""
+    """Offsets are {path: [generation, bytes]} as a JSON value. A batch takes at most per_file bytes of a file, in whole lines.
+
+    What was handed out is remembered; after a restart it is known from the folder progress, where each finished batch is noted, which
+    may be one batch late, so the first batch then is up to twice as large. Without that folder the first batch after a restart takes all
+    that is there. Files that did not change since they were looked at are not opened.
+    """
 
-    def __init__(self, pattern: str):
-        self.pattern = pattern
+    def __init__(self, pattern: str, per_file: int = PER_FILE, progress: str | None = None):
+        self.pattern, self.per_file, self.progress = pattern, per_file, progress
+        self.at: dict | None = None
+        self.looked: dict[str, tuple] = {}
 
     def initialOffset(self) -> dict:
+        self.at = {}
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
-        found = {path: last_line_end(path, 0, os.stat(path).st_size) for path in sorted(glob.glob(self.pattern))}
-        return {"files": json.dumps({path: [generation_of(path), end] for path, end in found.items() if end}, sort_keys=True)}
+        system, pattern = file_system(self.pattern)
+        most = self.per_file
+        if self.at is None and self.progress:
+            self.at, most = self.noted(), 2 * self.per_file
+        found = {}
+        for info in files_of(system, pattern):
+            looks = (info.size, info.mtime_ns)
+            known = self.looked.get(info.path)
+            if known and known[0] == looks and known[3]:
+                found[info.path] = [known[1], known[2]]
+                continue
+            with system.open_input_file(info.path) as f:
+                generation, encoding = head_of_file(f)
+                had, start = (self.at or {}).get(info.path, [generation, 0])
+                start = start if had == generation and start <= info.size else 0
+                upto = info.size if self.at is None else min(info.size, start + most)
+                end = last_line_end(f, start, upto, _wide(encoding))
+                if end == start and upto < info.size:
+                    end = first_line_end(f, upto, info.size, _wide(encoding))
+                    end = end if end > upto else start
+            if end:
+                found[info.path] = [generation, end]
+            # Of a file that is not read up to its end there is more to come.
+            self.looked[info.path] = (looks, generation, end, bool(end) and upto == info.size)
+        self.at = found
+        return {"files": json.dumps(found, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
+        system, _ = file_system(self.pattern)
         out = []
         for path, (generation, upto) in after.items():
             had, at = before.get(path, [generation, 0])
             if had != generation or upto < at:
                 at = 0
-            while at < upto:
-                cut = upto if upto - at <= RANGE else last_line_end(path, at, at + RANGE)
-                out.append(_Range(path, generation, at, cut if cut > at else upto))
-                at = out[-1].end
+            if at == upto:
+                continue
+            with system.open_input_file(path) as f:
+                _, encoding = head_of_file(f)
+                while at < upto:
+                    cut = upto
+                    if upto - at > RANGE:
+                        cut = last_line_end(f, at, at + RANGE, _wide(encoding))
+                        if cut == at:
+                            cut = first_line_end(f, at + RANGE, upto, _wide(encoding))
+                            cut = cut if cut > at + RANGE else upto
+                    out.append(_Range(path, generation, at, cut))
+                    at = cut
         return out
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        system, _ = file_system(self.pattern)
+        with system.open_input_file(partition.path) as f:
+            _, encoding = head_of_file(f)
             f.seek(partition.start)
             data = f.read(partition.end - partition.start)
-        at = partition.start
-        for line in re.findall(rb"[^\r\n]*(?:\r\n|\r|\n)", data):
-            yield os.path.basename(partition.path), partition.generation, at, line.rstrip(b"\r\n").decode("utf-8", "replace")
-            at += len(line)
+        at, wide = 0, _wide(encoding)
+        for end in _ends(data, wide, partition.start):
+            raw = data[at:end]
+            text = raw.decode(wide, "replace") if wide else decode_line(raw.rstrip(b"\r\n"), encoding)
+            text = text.rstrip("\r\n").removeprefix("\ufeff") if partition.start + at == 0 else text.rstrip("\r\n")
+            yield partition.path.rpartition("/")[2], partition.generation, partition.start + at, text
+            at = end
 
     def commit(self, end: dict) -> None:
-        pass
+        if self.progress:
+            system, folder = file_system(self.progress)
+            system.create_dir(folder)
+            with system.open_output_stream(f"{folder}/next") as f:
+                f.write(end["files"].encode())
+            system.move(f"{folder}/next", f"{folder}/done")
+
+    def noted(self) -> dict | None:
+        system, folder = file_system(self.progress)
+        if system.get_file_info(f"{folder}/done").type != fs.FileType.File:
+            return None
+        with system.open_input_stream(f"{folder}/done") as f:
+            return json.loads(f.read())
 
 
 class TailSource(DataSource):
-    """Option path: a file or a glob of files that every executor can open."""
+    """Options: path, a file or a pattern of files in any file system that Arrow opens and every executor reaches; perfile, the most bytes
+    of a file in one batch; progress, a folder in which finished batches are noted."""
 
     @classmethod
     def name(cls) -> str:
@@ -114,13 +223,14 @@ class TailSource(DataSource):
         return "file string, generation long, position long, raw string"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return TailReader(self.options["path"])
+        return TailReader(self.options["path"], int(self.options.get("perfile", PER_FILE)), self.options.get("progress"))
 
 
-def tail(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of finished lines: file, generation, position, raw."""
+def tail(spark: SparkSession, path: str, per_file: int = 0, progress: str | None = None) -> DataFrame:
+    """A stream of finished lines: file, generation, position, raw. See TailSource."""
     spark.dataSource.register(TailSource)
-    return spark.readStream.format("log_tail").option("path", path).load()
+    reader = spark.readStream.format("log_tail").option("path", path).option("perfile", str(per_file or PER_FILE))
+    return (reader.option("progress", progress) if progress else reader).load()
 
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,9 +252,6 @@ def landed_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 FOLDED = "file string, generation long, entry_no long, entry_start long, lines array<string>"
-STATE = "open array<string>, start long, line_no long, entry_no long"
-
-
 def _learned(lines: DataFrame, spec: X.FormatSpec, heads: DataFrame | None, name: str) -> DataFrame:
     """lines with what the format learns of each file's head (sources.lines.read_heads), by the file's name; without heads,
     plain logs count as ones whose entries begin with a time."""
@@ -160,39 +267,126 @@ def _learned(lines: DataFrame, spec: X.FormatSpec, heads: DataFrame | None, name
     return lines.join(F.broadcast(known), name, "left")
 
 
+#: State that processors keep by file needs this store.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Fold(StatefulProcessor):
+    """Entries of a file's lines. The open entry is a list that lines are only appended to, so an entry of many batches is written once;
+    beside it stand the file's generation, how many generations there were, and where the open entry begins."""
+
+    def __init__(self, flush_after_ms: int, forget_after_ms: int):
+        self.flush_after, self.forget_after = flush_after_ms, forget_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "text string", self.forget_after)
+        self.known = handle.getValueState("known", "generation long, epoch long, begun long, line_no long, entry_no long", self.forget_after)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("position", kind="stable")
+        out, state = [], self.known.get() if self.known.exists() else None
+        for generation, lines in frame.groupby("generation", sort=False):
+            if state is None or state[0] != generation:
+                if state is not None and state[2]:
+                    out.append(self.closed(key, state))
+                self.open.clear()
+                state = (int(generation), state[1] + 1 if state is not None else 0, 0, 0, 0)
+            state = self.fold(key, state, list(lines["text"]), lines["start"].fillna(False).to_numpy(bool), out)
+        self.known.update(state)
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        if state[2]:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.flush_after)
+        yield self.frame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.known.get() if self.known.exists() else None
+        if state is not None and state[2]:
+            entry = self.closed(key, state)
+            self.open.clear()
+            self.known.update((state[0], state[1], 0, state[3], state[4] + 1))
+            yield self.frame([entry])
+
+    def closed(self, key: tuple, state: tuple, more: list = ()) -> tuple:
+        return key[0], state[1], state[4], state[2], [x[0] for x in self.open.get()] + list(more)
+
+    def fold(self, key: tuple, state: tuple, texts: list, starts: np.ndarray, out: list) -> tuple:
+        generation, epoch, begun, line_no, entry_no = state
+        at = np.flatnonzero(starts)
+        upto = int(at[0]) if len(at) else len(texts)
+        if not len(at):
+            if begun and texts:
+                self.open.appendList([(t,) for t in texts])
+            return generation, epoch, begun, line_no + len(texts), entry_no
+        if begun:
+            out.append(self.closed(key, state, texts[:upto]))
+            entry_no += 1
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            out.append((key[0], epoch, entry_no, line_no + int(a) + 1, texts[a:b]))
+            entry_no += 1
+        self.open.put([(t,) for t in texts[at[-1] :]])
+        return generation, epoch, line_no + int(at[-1]) + 1, line_no + len(texts), entry_no
+
+    def frame(self, out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["file", "generation", "entry_no", "entry_start", "lines"])
+
+    def close(self) -> None:
+        pass
+
+
 def follow_folded(
     lines: DataFrame, spec: X.FormatSpec, flush_after_ms: int = 1000, heads: DataFrame | None = None, forget_after_ms: int = FORGET_MS,
 ) -> DataFrame:
-    """Closed entries of a stream of lines, as their lines. State for each file and generation: the open entry's lines and two
-    counters, until nothing came for forget_after_ms. A task holds what one micro-batch brings of one file."""
+    """Closed entries of a stream of lines, as their lines; generation counts a file's generations from 0. State by file, until nothing
+    came for forget_after_ms. A task holds what one micro-batch brings of one file."""
+    lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     text = _learned(lines.withColumn("text", strip_control(F.col("raw"))), spec, heads, "file")
     marked = text.withColumn("start", spec.starts()).select("file", "generation", "position", "text", "start")
+    return marked.groupBy("file").transformWithStateInPandas(_Fold(flush_after_ms, forget_after_ms), FOLDED, "Append", "ProcessingTime")
+
+
+CHANGES = "source_name string, generation long, level_idx int, level string, change long"
+
+
+class _Changes(StatefulProcessor):
+    """Counts by level of a file's newest generation; a newer one takes back all that the one before counted."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "generation long")
+        self.counts = handle.getMapState("counts", "level_idx int", "level string, n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))
+        before, now = self.newest.get()[0] if self.newest.exists() else -1, int(frame["generation"].max())
+        out = []
+        if now > before:
+            if before >= 0:
+                out = [(key[0], before, level[0], name, -n) for level, (name, n) in self.counts.iterator()]
+                self.counts.clear()
+            self.newest.update((now,))
+        fresh = frame[frame["generation"] == max(now, before)]
+        for (level, name), n in fresh.groupby(["level_idx", "level"]).size().items():
+            had = self.counts.getValue((int(level),)) if self.counts.containsKey((int(level),)) else None
+            self.counts.updateValue((int(level),), (name, int(n) + (had[1] if had else 0)))
+            out.append((key[0], max(now, before), int(level), name, int(n)))
+        yield pd.DataFrame(out, columns=["source_name", "generation", "level_idx", "level", "change"])
+
+    def close(self) -> None:
+        pass
+
+
+def level_changes(entries: DataFrame) -> DataFrame:
+    """A stream of changes of level counts, of a stream of entries (follow_entries): by file, generation and level. When a file has been
+    replaced, the counts of its former generation are taken back, so the sum of changes is what the files hold now (counts_of_changes)."""
+    entries.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    rows = entries.select("source_name", "generation", "level_idx", "level")
+    return rows.groupBy("source_name").transformWithStateInPandas(_Changes(), CHANGES, "Append", "None")
+
 
-    def step(key, batches, state):
-        held, begun, line_no, entry_no = state.get if state.exists else ([], 0, 0, 0)
-        held, out = list(held), []
-        if not state.hasTimedOut:
-            rows = pd.concat(list(batches)).sort_values("position", kind="stable")
-            for text, start in zip(rows["text"], rows["start"], strict=True):
-                line_no += 1
-                if start:
-                    if held:
-                        out.append((key[0], key[1], entry_no, begun, held))
-                        entry_no += 1
-                    held, begun = [text], line_no
-                elif held:
-                    held.append(text)
-        elif held:
-            out.append((key[0], key[1], entry_no, begun, held))
-            entry_no, held = entry_no + 1, []
-        else:
-            state.remove()
-            return
-        state.update((held, begun, line_no, entry_no))
-        state.setTimeoutDuration(flush_after_ms if held else forget_after_ms)
-        yield pd.DataFrame(out, columns=["file", "generation", "entry_no", "entry_start", "lines"])
-
-    return marked.groupBy("file", "generation").applyInPandasWithState(step, FOLDED, STATE, "append", "ProcessingTimeTimeout")
+def counts_of_changes(changes: DataFrame) -> DataFrame:
+    """level_idx, level, n: the sums of changes that a stream has put out."""
+    return changes.groupBy("level_idx", "level").agg(F.sum("change").alias("n")).where("n <> 0")
 
 
 def follow_entries(

@@ -47,6 +47,78 @@ def test_tail_reader(tmp_path):
     assert json.loads(r.latestOffset()["files"]) == {}
 
 
+def lines_of(reader, a, b):
+    return [(x[2], x[3]) for p in reader.partitions(a, b) for x in reader.read(p)]
+
+
+@pytest.mark.parametrize("encoding", ["utf-16-le", "utf-16-be", "gb18030", "utf-8"])
+def test_tail_in_any_encoding(tmp_path, encoding):
+    f = tmp_path / "a.log"
+    texts = ["错误 一", "Ā\u0a15 ok", "", "信息 三"] * 30
+    mark = "\ufeff" if encoding.startswith("utf-16") else ""
+    f.write_bytes((mark + "".join(t + "\r\n" for t in texts) + "open").encode(encoding))
+    r = follow.TailReader(f.as_uri())
+    assert [t for _, t in lines_of(r, r.initialOffset(), r.latestOffset())] == texts
+
+
+def test_tail_in_bounded_batches(tmp_path, monkeypatch):
+    monkeypatch.setattr(follow, "LOOK", 8)
+    monkeypatch.setattr(follow, "RANGE", 50)
+    (tmp_path / "logs" / "x").mkdir(parents=True)
+    lines = {name: [f"{name} {k} " + "y" * (k * 7 % 90) for k in range(60)] for name in ("a.log", "b.log")}
+    for name, own in lines.items():
+        (tmp_path / "logs" / "x" / name).write_text("\n".join(own) + "\n")
+    (tmp_path / "logs" / "other.log").write_text("not asked for\n")
+    pattern, progress = (tmp_path / "logs" / "*" / "*.log").as_uri(), (tmp_path / "progress").as_uri()
+    r = follow.TailReader(pattern, 100, progress)
+    at, got, batches = r.initialOffset(), {}, 0
+    while (to := r.latestOffset()) != at:
+        batches += 1
+        parts = r.partitions(at, to)
+        assert all(p.end - p.start <= 150 for p in parts)
+        for p in parts:
+            for name, _, _, text in r.read(p):
+                got.setdefault(name, []).append(text)
+        at = to
+        if batches % 5 == 0:
+            # A new reader goes on from what was noted, which may be the batch before.
+            r = follow.TailReader(pattern, 100, progress)
+        elif batches % 5 != 4:
+            r.commit(at)
+    assert got == lines and batches > 20
+
+
+def test_an_entry_over_many_batches(spark, tmp_path):
+    f = tmp_path / "long.log"
+    f.write_text("2026-01-01 00:00:00 ERROR failed\n" + "".join(f"  at {k}\n" for k in range(3000)) + "2026-01-01 00:00:01 INFO open\n")
+    entries = follow.follow_entries(follow.tail(spark, f.as_uri(), 1000), "generic", 600_000)
+    q = run(spark, tmp_path, "long_entry", entries)
+    try:
+        wait_for(lambda: spark.table("long_entry").count() >= 1)
+        batches = q.lastProgress["batchId"]
+        r = spark.table("long_entry").first()
+    finally:
+        q.stop()
+    assert r["message"] == "failed\n" + "\n".join(f"  at {k}" for k in range(3000)) and r["physical_lines"] == 3001 and batches > 20
+
+
+def test_counts_after_truncation(spark, tmp_path):
+    f = tmp_path / "a.log"
+    (tmp_path / "b.log").write_text("2026-01-01 00:00:00 WARN kept\n2026-01-01 00:00:01 INFO open\n")
+    f.write_text("2026-01-01 00:00:00 ERROR one\n  more\n2026-01-01 00:00:01 WARN two\n2026-01-01 00:00:01 INFO open\n")
+    entries = follow.follow_entries(follow.tail(spark, (tmp_path / "*.log").as_uri()), "generic", 600_000)
+    q = run(spark, tmp_path, "changes", follow.level_changes(entries))
+    counts = lambda: {r["level"]: r["n"] for r in follow.counts_of_changes(spark.table("changes")).collect()}
+    try:
+        wait_for(lambda: counts() == {"ERROR": 1, "WARN": 2})
+        f.write_text("2026-01-02 00:00:00 FATAL new\n2026-01-02 00:00:01 INFO open\n")
+        wait_for(lambda: counts() == {"FATAL": 1, "WARN": 1})
+        f.write_text("2026-01-03 00:00:00 DEBUG newer\n2026-01-03 00:00:00 DEBUG newest\n2026-01-03 00:00:01 INFO open\n")
+        wait_for(lambda: counts() == {"DEBUG": 2, "WARN": 1})
+    finally:
+        q.stop()
+
+
 def test_follow_folds_across_batches(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
