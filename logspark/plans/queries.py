@@ -718,10 +718,10 @@ def stream_counts_after_rotation(spark, sf_dir):
     last = e.groupBy("name").agg(F.max("at").alias("at")).select("name", F.col("at") + 1, F.lit("2024-01-01 00:00:00.000 INFO open").alias("value"))
     named_files(spark, e.select("name", "at", text("$clock", " ", "$lv", " ", "$msg", "\n  more of it").alias("value")).union(last), folder)
     changes = lambda: follow.level_changes(follow.follow_entries(follow.tail(spark, folder + "/app*.log"), "generic", 3_600_000))
-    stream_rows(spark, changes(), "append", ends=False, state=state)
+    stream_rows(spark, changes(), "append", state=state)
     new = e.where("u < 2 AND event_id % 2 = 0").select("name", "at", text("$clock", F.when(F.col("event_id") % 3 == 0, " FATAL").otherwise(" INFO"), " replaced").alias("value"))
     named_files(spark, new.union(last.where("name in ('app0.log', 'app1.log')")), folder)
-    return follow.counts_of_changes(stream_rows(spark, changes(), "append", ends=False, state=state)).select(
+    return follow.counts_of_changes(stream_rows(spark, changes(), "append", state=state)).select(
         F.col("level_idx").cast("int").alias("level_idx"), "level", "n",
     )
 
@@ -736,7 +736,7 @@ def stream_folded_documents(spark, sf_dir):
     )
     last = d.groupBy("name").agg(F.max("at").alias("at")).select("name", F.col("at") + 1, F.lit("2024-01-01 00:00:00 INFO open").alias("value"))
     named_files(spark, d.union(last), folder)
-    e = stream_rows(spark, follow.follow_entries(follow.tail(spark, folder + "/d*.log"), "generic", 3_600_000), "append", ends=False)
+    e = stream_rows(spark, follow.follow_entries(follow.tail(spark, folder + "/d*.log"), "generic", 3_600_000), "append")
     return e.select(
         F.regexp_extract("message", r"^doc (\d+)", 1).cast("long").alias("doc_id"), F.col("physical_lines").cast("long").alias("physical_lines"),
         F.length("message").cast("long").alias("chars"),

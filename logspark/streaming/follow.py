@@ -116,8 +116,8 @@ def _wide(encoding: str) -> str | None:
 class TailReader(DataSourceStreamReader):
     """Offsets are {path: [generation, bytes]} as a JSON value. A batch takes at most per_file bytes of a file, in whole lines.
 
-    What was handed out is remembered; after a restart it is known from the folder progress, where each finished batch is noted, which
-    may be one batch late, so the first batch then is up to twice as large. Without that folder the first batch after a restart takes all
+    What was handed out is remembered. When a query starts, new or again, it is known from the folder progress, where each finished batch
+    is noted; the note may be one batch late, so the first batch then is up to twice as large. Without that folder the first batch takes all
     that is there. Files that did not change since they were looked at are not opened.
     """
 
@@ -127,14 +127,13 @@ class TailReader(DataSourceStreamReader):
         self.looked: dict[str, tuple] = {}
 
     def initialOffset(self) -> dict:
-        self.at = {}
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
         system, pattern = file_system(self.pattern)
         most = self.per_file
         if self.at is None and self.progress:
-            self.at, most = self.noted(), 2 * self.per_file
+            self.at, most = self.noted() or {}, 2 * self.per_file
         found = {}
         for info in files_of(system, pattern):
             looks = (info.size, info.mtime_ns)
