@@ -55,8 +55,8 @@ def main() -> None:
         "open_level_counts": lambda: T.level_counts(entries()).collect(),
         "level_counts": lambda: T.level_counts(parsed()).collect(),
         "filter_level_time": lambda: T.apply_filter(parsed(), spec).agg(F.count(F.lit(1))).collect(),
-        "filter_keyword": lambda: T.shown_of_total(parsed(), T.FilterSpec(pattern=Pattern("part 155"))).collect(),
-        "find_matches": lambda: T.find_matches(parsed(), Pattern("part 155")).agg(F.count(F.lit(1))).collect(),
+        "filter_keyword": lambda: T.shown_of_total(parsed(), T.FilterSpec(pattern=Pattern("part 155"), columns=("message",))).collect(),
+        "find_matches": lambda: T.find_matches(parsed(), Pattern("part 155"), ["message"]).agg(F.count(F.lit(1))).collect(),
         "merge_sources": lambda: T.merge_documents(parsed())[0].write.format("noop").mode("overwrite").save(),
     }
     took = {}

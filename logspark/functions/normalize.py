@@ -51,7 +51,10 @@ def normalize_level(text: Column) -> Column:
     """One of LEVELS: the token without brackets and punctuation, if it is a known one of at most 12 characters."""
     token = F.regexp_replace(F.regexp_replace(F.trim(or_empty(text)), r"^[\[({<\s]+", ""), r"[\])}>:,\-\s]+$", "")
     tokens = {t: level for level, ts in LEVEL_TOKENS.items() for t in ts}
-    return F.when(F.length(token) > 12, "OTHER").otherwise(F.coalesce(F.try_element_at(literal_map(tokens), F.upper(token)), F.lit("OTHER")))
+    # Most texts are names of levels as they are.
+    return F.when(or_empty(text).isin(LEVELS[:7]), text).when(F.length(token) > 12, "OTHER").otherwise(
+        F.coalesce(F.try_element_at(literal_map(tokens), F.upper(token)), F.lit("OTHER")),
+    )
 
 
 def level_from_priority(n: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta
 from functools import reduce
 
@@ -79,7 +79,8 @@ def wide_table(entries: DataFrame, columns: list[str]) -> DataFrame:
 @dataclass(frozen=True)
 class FilterSpec:
     """What to keep: levels (none: all), a closed time range, entries without a time (only asked while a range is set) and a
-    pattern that some visible column must match, or none, inverted. A blank pattern filters nothing."""
+    pattern that some searched column must match, or none, inverted. A blank pattern filters nothing. columns: those that are searched; None:
+    all that the table shows (infer_columns); on a stream, all but extras."""
 
     levels: frozenset[str] = frozenset()
     start: datetime | None = None
@@ -87,7 +88,14 @@ class FilterSpec:
     include_untimed: bool = False
     pattern: Pattern | None = None
     invert: bool = False
-    columns: tuple[str, ...] = ("message",)
+    columns: tuple[str, ...] | None = None
+
+
+def searched(entries: DataFrame, columns: list[str] | tuple[str, ...] | None) -> list[str]:
+    """The columns that a pattern is sought in."""
+    if columns is not None:
+        return list(columns)
+    return ["time", "level", *FIXED, "message"] if entries.isStreaming else infer_columns(entries)
 
 
 def time_preset(name: str, now: datetime) -> tuple[datetime | None, datetime | None]:
@@ -100,7 +108,8 @@ def time_preset(name: str, now: datetime) -> tuple[datetime | None, datetime | N
 
 
 def compile_filter(spec: FilterSpec, spark=None) -> Column:
-    """One predicate, cheapest tests first. With a session, a bad pattern fails here and not in the job."""
+    """One predicate, cheapest tests first. With a session, a bad pattern fails here and not in the job. Here the columns must be named if
+    there is a pattern."""
     tests = []
     if spec.levels and set(spec.levels) < set(N.LEVELS):
         tests.append(F.col("level_idx").isin([N.LEVELS.index(x) for x in sorted(spec.levels)]))
@@ -114,18 +123,26 @@ def compile_filter(spec: FilterSpec, spark=None) -> Column:
     if spec.pattern and not spec.pattern.blank:
         if spark is not None:
             spec.pattern.check(spark)
+        if spec.columns is None:
+            raise ValueError("which columns are searched depends on the entries: use apply_filter, or name them")
         hit = N.fold([matches(N.cell_text(c), spec.pattern) for c in spec.columns])
         tests.append(~hit if spec.invert else hit)
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+def _test(entries: DataFrame, spec: FilterSpec) -> Column:
+    if spec.pattern and not spec.pattern.blank:
+        spec = replace(spec, columns=tuple(searched(entries, spec.columns)))
+    return compile_filter(spec, entries.sparkSession)
+
+
 def apply_filter(entries: DataFrame, spec: FilterSpec) -> DataFrame:
-    return entries.where(compile_filter(spec, entries.sparkSession))
+    return entries.where(_test(entries, spec))
 
 
 def shown_of_total(entries: DataFrame, spec: FilterSpec) -> DataFrame:
     """shown and total, in one pass."""
-    return entries.agg(F.count_if(compile_filter(spec, entries.sparkSession)).alias("shown"), F.count(F.lit(1)).alias("total"))
+    return entries.agg(F.count_if(_test(entries, spec)).alias("shown"), F.count(F.lit(1)).alias("total"))
 
 
 def visible_rows(entries: DataFrame, spec: FilterSpec) -> DataFrame:
@@ -141,14 +158,15 @@ def _ordinal(rows: DataFrame, out: str, first: int) -> DataFrame:
 # Find ----------------------------------------------------------------------------------------------------------------
 
 
-def find_rows(entries: DataFrame, pattern: Pattern, columns: list[str] = ("message",)) -> DataFrame:
+def find_rows(entries: DataFrame, pattern: Pattern, columns: list[str] | None = None) -> DataFrame:
     """entries with hit: whether some visible cell has a match that is not empty."""
     pattern.check(entries.sparkSession)
-    return entries.withColumn("hit", N.fold([finds(N.cell_text(c), pattern) for c in columns]))
+    return entries.withColumn("hit", N.fold([finds(N.cell_text(c), pattern) for c in searched(entries, columns)]))
 
 
-def find_matches(entries: DataFrame, pattern: Pattern, columns: list[str] = ("message",)) -> DataFrame:
+def find_matches(entries: DataFrame, pattern: Pattern, columns: list[str] | None = None) -> DataFrame:
     """source_idx, entry_no, column, start, length of every match. Places are sought only in entries that a plain test lets through."""
+    columns = searched(entries, columns)
     hit = entries.where(N.fold([matches(N.cell_text(c), pattern) for c in columns]))
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), match_ranges(N.cell_text(c), pattern).alias("ranges")) for c in columns)))
     return hit.select("source_idx", "entry_no", cells.alias("c")).select(
@@ -156,11 +174,11 @@ def find_matches(entries: DataFrame, pattern: Pattern, columns: list[str] = ("me
     ).select("source_idx", "entry_no", "column", "m.start", "m.length")
 
 
-def match_count(entries: DataFrame, pattern: Pattern, columns: list[str] = ("message",)) -> DataFrame:
+def match_count(entries: DataFrame, pattern: Pattern, columns: list[str] | None = None) -> DataFrame:
     return find_rows(entries, pattern, columns).agg(F.count_if("hit").alias("match_count"))
 
 
-def navigate(entries: DataFrame, pattern: Pattern, columns: list[str] = ("message",)) -> DataFrame:
+def navigate(entries: DataFrame, pattern: Pattern, columns: list[str] | None = None) -> DataFrame:
     """Each hit with ordinal (from 1), and the entries (source_idx, entry_no) that next and previous lead to, around the ends.
 
     Entries are searched once, now, and the places of hits written. Ranks and neighbours are found inside segments, and over one row for

@@ -227,6 +227,13 @@ def ingest_serilog(spark, sf_dir):
     return shown(entries_of_lines(as_lines(e, text("$clock", " +00:00 [", by_type(SHORT), "] ", "$msg"))))
 
 
+@query(sql_shown(LEVEL | {"signup": "INFO"}, fmt="2024-05-06 %H:%M:%S.%g"))
+def ingest_serilog_clock(spark, sf_dir):
+    # The short form has only a clock time; the date is given.
+    e = events(spark, sf_dir)
+    return shown(entries_of_lines(as_lines(e, text("[", F.substring("clock", 12, 12), " ", by_type(SHORT), "] ", "$msg")), reference=date(2024, 5, 6)))
+
+
 @query(sql_shown(LEVEL, thread="'main-' || (user_id % 4)", target="'com.shop.Events'"))
 def ingest_log4j(spark, sf_dir):
     e = events(spark, sf_dir)
@@ -457,6 +464,13 @@ def match_ranges_word(spark, sf_dir):
     return d.select("doc_id", (F.size(match_ranges(F.col("text"), Pattern("the", case_sensitive=True))) > 0).alias("hit"))
 
 
+@query(f"SELECT entry_no, message FROM {ENTRY_SQL} WHERE contains(message, 'user 7') OR level = 'ERROR' OR contains((entry_no + 1)::VARCHAR, '77')")
+def filter_all_columns(spark, sf_dir):
+    # In every column that the table shows: here line, time, level and message.
+    spec = T.FilterSpec(pattern=Pattern("user 7|ERROR|^\\d*77\\d*$", "regex", True))
+    return T.apply_filter(generic_entries(spark, sf_dir), spec).select("entry_no", "message")
+
+
 def sparse_entries(spark, sf_dir) -> DataFrame:
     """JSON entries with an extra key in every second, in every third and in every entry."""
     e = events(spark, sf_dir)
@@ -519,6 +533,13 @@ def time_merge(spark, sf_dir):
     return T.merge_numbers(T.time_merge(_four_sources(spark, sf_dir))).select("merge_no", "message")
 
 
+@query(SQL["time_merge"])
+def merge_documents_by_time(spark, sf_dir):
+    merged, timed = T.merge_documents(_four_sources(spark, sf_dir))
+    assert timed
+    return T.merge_numbers(merged).select("merge_no", "message")
+
+
 # Sources are numbered by name; a missing name is the last.
 SOURCE_SQL = "(SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS LAST) - 1 AS source_idx FROM documents)"
 
@@ -690,7 +711,7 @@ def stream_level_counts(spark, sf_dir):
 def tail_filtered(spark, sf_dir):
     folder = event_files(spark, sf_dir)
     entries = follow.line_entries(follow.tail(spark, f"{folder}/part-*.txt"), "generic")
-    spec = T.FilterSpec(frozenset(["ERROR"]), pattern=Pattern("7", "regex"))
+    spec = T.FilterSpec(frozenset(["ERROR"]), pattern=Pattern("7", "regex"), columns=("message",))
     return stream_rows(spark, T.apply_filter(entries, spec).select("level", "message"), "append", ends=False)
 
 
@@ -844,6 +865,11 @@ def xml_token_counts(spark, sf_dir):
     return fragments.snippet_tokens(xml_snippets_of_events(spark, sf_dir), ["event_id"]).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT token, (count(*) * n)::BIGINT AS n FROM events, (VALUES ('Key', 2), ('Number', 1), ('Punctuation', 3)) AS t(token, n) GROUP BY token, n")
+def yaml_token_counts(spark, sf_dir):
+    return fragments.snippet_tokens(yaml_snippets_of_events(spark, sf_dir), ["event_id"]).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT event_id, 4::BIGINT AS fragments, 3 AS first_start FROM events")
 def snippet_budget(spark, sf_dir):
     e = load(spark, sf_dir, "events").select(

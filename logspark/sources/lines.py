@@ -152,10 +152,11 @@ def read_heads(spark: SparkSession, paths: list[str], encoding: str | None = Non
     source_map(spark, paths).write.parquet(f"{folder}-files")
     files = spark.read.parquet(f"{folder}-files")
     large = files.where(F.col("bytes") > RANGED).select("file")
-    large.repartition(F.col("file")).mapInArrow(_ranged, HEADS).write.parquet(folder)
     _read_first_lines(spark, paths, folder, RANGED)
-    if missed := [r["file"] for r in large.join(spark.read.schema(HEADS).parquet(folder), "file", "left_anti").collect()]:
-        _read_first_lines(spark, missed, folder)
+    if not large.isEmpty():
+        large.repartition(F.col("file")).mapInArrow(_ranged, HEADS).write.mode("append").parquet(folder)
+        if missed := [r["file"] for r in large.join(spark.read.schema(HEADS).parquet(folder), "file", "left_anti").collect()]:
+            _read_first_lines(spark, missed, folder)
     found = spark.read.schema(HEADS).parquet(folder)
     # A file that several paths name was looked at more than once.
     known = files.join(found.dropDuplicates(["file"]), "file", "left")

@@ -148,11 +148,11 @@ def test_navigation_over_segments(spark, monkeypatch):
     r = random.Random(3)
     rows = [(s, i, "hit" if r.random() < 0.1 else "no") for s in range(3) for i in range(200)]
     hits = [(s, i) for s, i, m in rows if m == "hit"]
-    got = T.navigate(spark.createDataFrame(rows, "source_idx int, entry_no long, message string"), Pattern("hit"))
+    got = T.navigate(spark.createDataFrame(rows, "source_idx int, entry_no long, message string"), Pattern("hit"), ["message"])
     found = {r["ordinal"]: ((r["source_idx"], r["entry_no"]), tuple(r["next"]), tuple(r["previous"])) for r in got.collect()}
     assert found == {k + 1: (h, hits[(k + 1) % len(hits)], hits[k - 1]) for k, h in enumerate(hits)}
     assert tuple(T.nth_hit(got, 5).first()) == hits[4]
-    one = T.navigate(spark.createDataFrame([(0, 4, "hit")], "source_idx int, entry_no long, message string"), Pattern("hit")).first()
+    one = T.navigate(spark.createDataFrame([(0, 4, "hit")], "source_idx int, entry_no long, message string"), Pattern("hit"), ["message"]).first()
     assert tuple(one["next"]) == tuple(one["previous"]) == (0, 4)
 
 
