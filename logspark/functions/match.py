@@ -88,6 +88,9 @@ def match_ranges(cell: Column, pattern: Pattern, limit: int = 200) -> Column:
     found = F.regexp_extract_all(cell, F.lit(f"({pattern.regex})"), 1)
     between = F.split(cell, pattern.regex, -1)
     pairs = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(found, F.length).alias("n"))
+    if pattern.mode == "word":
+        # None is empty, so no more of them are looked at than are kept.
+        pairs = F.slice(pairs, 1, limit)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
     step = lambda a, p: F.struct(
         (a["at"] + p["gap"] + F.coalesce(p["n"], F.lit(0))).alias("at"),

@@ -22,7 +22,7 @@ LEVEL_TOKENS = {
 }
 PRIORITIES = {0: "FATAL", 1: "FATAL", 2: "FATAL", 3: "ERROR", 4: "WARN", 5: "NOTICE", 6: "INFO", 7: "DEBUG"}
 EVENT_LEVELS = {0: "INFO", 1: "FATAL", 2: "ERROR", 3: "WARN", 4: "INFO", 5: "TRACE"}
-MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 TIME_KEYS = ["@timestamp", "timestamp", "time", "ts", "datetime", "TimeCreated", "__REALTIME_TIMESTAMP", "_SOURCE_REALTIME_TIMESTAMP"]
 LEVEL_KEYS = ["level", "severity", "lvl", "log_level", "levelname", "LevelDisplayName", "PRIORITY"]
 MESSAGE_KEYS = ["message", "msg", "MESSAGE", "text", "event", "renderedMessage"]

@@ -8,7 +8,8 @@ list, whether a plain log is anchored at all) finds it in the columns that its l
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -485,6 +486,16 @@ def register_format(spec: FormatSpec) -> None:
     REGISTRY.insert(len(REGISTRY) - 1, spec)
 
 
+@contextmanager
+def registered(spec: FormatSpec) -> Iterator[FormatSpec]:
+    """The format is known inside the block; what was opened there stays as it is."""
+    register_format(spec)
+    try:
+        yield spec
+    finally:
+        REGISTRY.remove(spec)
+
+
 def list_formats(spark):
     """id, name and rank of every format."""
     return spark.createDataFrame([(f.id, f.name, k) for k, f in enumerate(REGISTRY)], "id string, name string, rank int")

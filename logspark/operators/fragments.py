@@ -5,6 +5,7 @@ Both are jobs that a native test narrows to the rows that can hold such a part,
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,12 +25,15 @@ _SWITCH = {
 }
 
 
+# The steps of the colour cube.
+_STEPS = [0, 95, 135, 175, 215, 255]
+
+
 def _indexed(n: int) -> str:
     """The colour of one of the 240 numbers above the first 16: a cube of six steps, then a ramp of greys."""
     if n >= 232:
         return "{0},{0},{0}".format(8 + (n - 232) * 10)
-    steps = [0, *range(95, 256, 40)]
-    return ",".join(str(steps[(n - 16) // d % 6]) for d in (36, 6, 1))
+    return ",".join(str(_STEPS[(n - 16) // d % 6]) for d in (36, 6, 1))
 
 
 def restyle(style: dict, codes: list[int]) -> dict:
@@ -211,22 +215,25 @@ def snippets_of(text: str) -> list[tuple[str, int, int]]:
 
 
 def yaml_blocks(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Runs of two lines or more that are YAML (a key, or an item that is long or has a key below it) and lie outside of what is taken."""
-    lines, place, block, out = text.split("\n"), 0, [], []
-    spans = []
-    for line in lines:
-        spans.append((place, place + len(line)))
-        place += len(line) + 1
-    keyed = [bool(_YAML_KEY.match(x)) for x in lines]
-    for k, (start, end) in enumerate([*spans, (place, place)]):
-        if k < len(lines):
-            listed = bool(_YAML_ITEM.match(lines[k])) and (len(lines[k].strip()) > 3 or k + 1 < len(lines) and keyed[k + 1])
-            if (keyed[k] or listed) and not any(s < end and e > start for s, e in taken):
-                block.append((start, end))
-                continue
-        if len(block) >= 2 and SHORTEST <= block[-1][1] - block[0][0] <= LONGEST:
-            out.append(("yaml", block[0][0], block[-1][1]))
-        block = []
+    """Runs of two lines or more that are YAML and lie outside of what is taken. A key is YAML; so is an item of a list of more than one
+    character, or one of a single character that a key follows, as then it begins a mapping."""
+    lines = text.split("\n")
+    ends = list(itertools.accumulate((len(x) + 1 for x in lines), initial=0))
+    keys = [bool(_YAML_KEY.match(x)) for x in lines] + [False]
+
+    def is_yaml(k: int) -> bool:
+        start, end = ends[k], ends[k + 1] - 1
+        if any(s < end and e > start for s, e in taken):
+            return False
+        item = lines[k].strip() if _YAML_ITEM.match(lines[k]) else ""
+        return keys[k] or len(item) > 3 or bool(item) and keys[k + 1]
+
+    out = []
+    for fits, run in itertools.groupby(range(len(lines)), is_yaml):
+        block = list(run)
+        start, end = ends[block[0]], ends[block[-1] + 1] - 1
+        if fits and len(block) >= 2 and SHORTEST <= end - start <= LONGEST:
+            out.append(("yaml", start, end))
     return out
 
 

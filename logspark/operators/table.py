@@ -14,13 +14,15 @@ from logspark.functions.match import Pattern, finds, match_ranges, matches
 from logspark.sources.scratch import new_folder
 
 from .entries import OpenLogs
-from .ordered import number, running_max
+from .ordered import number
 
 #: Share of entries in which a field must be filled to be a column, and the entries that are looked at.
 FILLED, SAMPLE = 0.5, 200
 FIXED = ["thread", "pid", "host", "target"]
 #: Ids in one segment of prefix computations over entries.
 SEGMENT = 100_000
+#: Most segments whose runs are broadcast; more are joined by a shuffle.
+BROADCAST_SEGMENTS = 500_000
 
 
 # Columns -------------------------------------------------------------------------------------------------------------
@@ -254,9 +256,28 @@ def can_time_merge(entries: DataFrame | OpenLogs) -> bool:
 def time_merge(entries: DataFrame) -> DataFrame:
     """entries with merge_time, by which and source_idx, entry_no they are to be sorted: the merge of sources on the times of
     their heads, in which each source keeps its order even where its times step back. An entry without a time follows
-    the one before it."""
-    dealt = entries.withColumn("_segment", F.floor(F.col("entry_no") / SEGMENT))
-    return running_max(dealt, ["source_idx"], "_segment", ["entry_no"], F.col("time"), "merge_time").drop("_segment")
+    the one before it.
+
+    Times alone are looked at first, now: a segment whose entries all have times, in order and from where the segments before it left off, is a
+    sorted run, and its entries merge by their own times where they are. Only entries of other segments are shuffled for a running maximum.
+    """
+    spark, dealt = entries.sparkSession, entries.withColumn("_segment", F.floor(F.col("entry_no") / SEGMENT))
+    inside, before = Window.partitionBy("source_idx", "_segment").orderBy("entry_no"), Window.partitionBy("source_idx").orderBy("_segment")
+    times = dealt.select("source_idx", "_segment", "entry_no", "time", (F.lag("time").over(inside) > F.col("time")).alias("back"))
+    runs = times.groupBy("source_idx", "_segment").agg(
+        F.min("time").alias("low"), F.max("time").alias("high"), (F.every(F.col("time").isNotNull()) & ~F.coalesce(F.some("back"), F.lit(False))).alias("run"),
+    ).withColumn("_c", F.max("high").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    sorted_ = (F.col("run") & F.coalesce(F.col("low") >= F.col("_c"), F.lit(True))).alias("_sorted")
+    folder = new_folder(spark, "runs")
+    runs.select("source_idx", "_segment", "_c", sorted_).write.parquet(folder)
+    known = spark.read.schema("source_idx int, _segment long, _c timestamp, _sorted boolean").parquet(folder)
+    counts = {r["_sorted"]: r["count"] for r in known.groupBy("_sorted").count().collect()}
+    placed = dealt.join(F.broadcast(known) if sum(counts.values()) <= BROADCAST_SEGMENTS else known, ["source_idx", "_segment"])
+    merged = [placed.where("_sorted").withColumn("merge_time", F.col("time"))] if counts.get(True) or not counts else []
+    if counts.get(False):
+        own = F.max("time").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        merged.append(placed.where("not _sorted").withColumn("merge_time", F.greatest(own, "_c")))
+    return reduce(DataFrame.unionByName, merged).drop("_segment", "_c", "_sorted")
 
 
 def concat_sources(entries: DataFrame) -> DataFrame:

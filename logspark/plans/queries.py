@@ -16,6 +16,7 @@ from logspark.functions import normalize as N
 from logspark.functions.ansi import strip_control
 from logspark.functions.match import Pattern, match_ranges
 from logspark.operators import detect, fragments
+from logspark.operators import formats as X
 from logspark.operators import table as T
 from logspark.operators.entries import entries_of_lines, read_logs
 from logspark.sources.event_xml import entries_of_events, read_event_xml
@@ -334,8 +335,8 @@ def ingest_iis(spark, sf_dir):
 DETECTED = ["tracing", "syslog5424", "json_lines", "logfmt", "python_logging", "serilog", "log4j_logback", "generic"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}', {0 if x == 'generic' else 100})" for i, x in enumerate(DETECTED)) + ") AS t(source_idx, format_id, score)")
-def detect_format_mixed(spark, sf_dir):
+def _mixed_lines(spark, sf_dir) -> DataFrame:
+    """Events in a source for each of DETECTED."""
     e = events(spark, sf_dir)
     lv = by_type(LEVEL | {"signup": "INFO"})
     rendered = [
@@ -345,9 +346,31 @@ def detect_format_mixed(spark, sf_dir):
         text("$clock", " [main] ", "$lv", " shop.A - ", "$msg"), text("$msg"),
     ]
     every = e.select("event_id", F.posexplode(F.array(*rendered)).alias("i", "t"))
-    return detect.detect_format(lines_from_df(every, F.col("event_id"), F.col("t"), F.col("i"))).select(
-        "source_idx", "format_id", F.col("score").cast("int").alias("score"),
-    )
+    return lines_from_df(every, F.col("event_id"), F.col("t"), F.col("i"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}', {0 if x == 'generic' else 100})" for i, x in enumerate(DETECTED)) + ") AS t(source_idx, format_id, score)")
+def detect_format_mixed(spark, sf_dir):
+    return detect.detect_format(_mixed_lines(spark, sf_dir)).select("source_idx", "format_id", F.col("score").cast("int").alias("score"))
+
+
+@query("SELECT t.*, (SELECT count(*) FROM events) AS lines FROM (VALUES (0, 'tracing', 0), (1, 'Syslog (RFC 5424)', 1), (2, 'JSON lines', 5), (3, 'logfmt (key=value)', 6), (4, 'Python logging', 8), "
+       "(5, 'Serilog', 9), (6, 'Log4j / Logback', 10), (7, 'Generic text', 15)) AS t(source_idx, name, rank)")
+def list_formats_of_sources(spark, sf_dir):
+    lines = _mixed_lines(spark, sf_dir)
+    named = detect.detect_format(lines).join(X.list_formats(spark).withColumnRenamed("id", "format_id"), "format_id")
+    return named.join(lines.groupBy("source_idx").agg(F.count(F.lit(1)).alias("lines")), "source_idx").select("source_idx", "name", "rank", "lines")
+
+
+@query(sql_shown(LEVEL, pid="user_id::VARCHAR", extra="'kind=' || event_type"))
+def ingest_registered_format(spark, sf_dir):
+    # A format of the user's own, found by its score among the others.
+    def fields():
+        return {"time": N.parse_time(X.g(1)), "raw_level": X.g(2), "pid": X.g(3), "extra": X.extra({"kind": X.g(4)}), "message": X.g(5)}
+
+    spec = X.by_pattern("bars", "Bars", r"^EV\|([^|]*)\|([A-Z]+)\|(\d+)\|(\w+)\|(.*)$", fields)
+    with X.registered(spec):
+        return shown(entries_of_lines(as_lines(events(spark, sf_dir), text("EV|", "$clock", "|", "$lv", "|", "$user_id", "|", "$event_type", "|", "$msg"))))
 
 
 # Entries -------------------------------------------------------------------------------------------------------------
@@ -764,6 +787,27 @@ def stream_folded_documents(spark, sf_dir):
     )
 
 
+@query(SQL["read_event_xml_files"])
+def follow_event_xml(spark, sf_dir):
+    # Two events on a line, each of which goes on in the next line; a file's last event stays open.
+    folder = new_folder(spark, "event-xml-tail")
+    e = _event_xml(spark, sf_dir).select(F.concat(F.lit("e"), user(4).cast("string"), F.lit(".xml")).alias("name"), F.col("event_id").alias("at"), F.replace("xml", F.lit("<EventData>"), F.lit("\n<EventData>")).alias("xml"))
+    last = e.groupBy("name").agg(F.max("at").alias("at")).select("name", (F.col("at") + 1).alias("at"), F.lit("<Event open").alias("value"))
+    pairs = e.groupBy("name", F.floor(F.col("at") / 8).alias("k")).agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "xml"))).alias("x"))
+    rows = pairs.select("name", "at", F.array_join(F.transform("x", lambda x: F.concat(x["xml"], F.lit("</Event>"))), "").alias("value"))
+    named_files(spark, rows.union(last), folder)
+    found = follow.follow_entries(follow.tail(spark, f"{folder}/e*.xml"), "wevt_xml", 3_600_000)
+    return shown(stream_rows(spark, found, "append")).drop("entry_no")
+
+
+@query("SELECT 'user ' || user_id || ' did ' || event_type AS line FROM events")
+def tail_unfinished_lines(spark, sf_dir):
+    # What follows the last line end of a file is no line yet: here a bar, which stands before every line but the first.
+    folder = new_folder(spark, "unfinished")
+    events(spark, sf_dir).select(F.concat("msg", F.lit("\n")).alias("value")).repartition(4).write.option("lineSep", "|").text(folder)
+    return stream_rows(spark, follow.tail(spark, f"{folder}/part-*.txt").select(F.regexp_replace("raw", r"^\|", "").alias("line")), "append")
+
+
 # Limits, encodings, sinks --------------------------------------------------------------------------------------------
 
 

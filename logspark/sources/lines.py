@@ -55,6 +55,11 @@ def source_map(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
+def _as_it_is(path: str) -> str:
+    """A file's path so that signs of patterns in its name are no pattern."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
 _GLOB = re.compile(r"[*?{\[]")
 
 
@@ -155,7 +160,7 @@ def read_heads(spark: SparkSession, paths: list[str], encoding: str | None = Non
     _read_first_lines(spark, paths, folder, RANGED)
     if not large.isEmpty():
         large.repartition(F.col("file")).mapInArrow(_ranged, HEADS).write.mode("append").parquet(folder)
-        if missed := [r["file"] for r in large.join(spark.read.schema(HEADS).parquet(folder), "file", "left_anti").collect()]:
+        if missed := [_as_it_is(r["file"]) for r in large.join(spark.read.schema(HEADS).parquet(folder), "file", "left_anti").collect()]:
             _read_first_lines(spark, missed, folder)
     found = spark.read.schema(HEADS).parquet(folder)
     # A file that several paths name was looked at more than once.
@@ -184,7 +189,7 @@ def placed_lines(spark: SparkSession, heads: DataFrame, separator: str | None =
         reader = spark.read.option("encoding", wide) if wide else spark.read
         end = separator or ("\n" if wide else None)
         reader = reader.option("lineSep", end) if end else reader
-        read = reader.text(r["files"]).select(
+        read = reader.text([_as_it_is(f) for f in r["files"]]).select(
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"),
         )

@@ -16,6 +16,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import replace
 from datetime import date
 
 import numpy as np
@@ -31,6 +32,7 @@ from logspark.functions import normalize as N
 from logspark.functions.ansi import strip_control
 from logspark.operators import formats as X
 from logspark.operators.entries import parse_entries
+from logspark.sources.event_xml import parsed_events
 from logspark.sources.lines import HEAD_BYTES, WIDE, decode_line, encoding_of
 
 #: How often files are looked at.
@@ -396,6 +398,8 @@ def follow_entries(
     heads: what read_heads found of the files, for formats that learn from it. A date that a line lacks is that of the file's name, else reference.
     """
     spec = X.find_format(format)
+    if spec.id == "wevt_xml":
+        return _follow_events(lines, spec, flush_after_ms)
     folded = follow_folded(lines, spec, flush_after_ms, heads).withColumn("text", F.col("lines")[0])
     day = F.coalesce(N.date_of_name(F.col("file")), F.lit(reference).cast("date"))
     place = F.struct("generation", "entry_no", "entry_start").alias("entry_start")
@@ -411,6 +415,22 @@ def follow_entries(
     )
 
 
+def _follow_events(lines: DataFrame, spec: X.FormatSpec, flush_after_ms: int) -> DataFrame:
+    """follow_entries of event XML: lines are cut after end tags, and an event begins where its tag opens, so it may share a line with others
+    or take many; one that is malformed gives no entry, as in files that are read at once."""
+    cut = lines.select("file", "generation", "position", F.posexplode(F.split("raw", "(?<=</Event>)")).alias("piece", "raw")).where("piece = 0 or raw != ''")
+    begins = replace(spec, starts=lambda: F.col("text").contains("<Event "))
+    # A piece is at least a character, so places stay in order.
+    folded = follow_folded(cut.withColumn("position", F.col("position") + F.col("piece")).drop("piece"), begins, flush_after_ms)
+    xml = F.regexp_replace(F.array_join("lines", "\n"), r"(?s)</Event>.*\z", "")
+    place = F.struct("generation", "entry_no", "entry_start").alias("position")
+    parsed = parsed_events(folded.select(F.lit(0).alias("source_idx"), F.col("file").alias("source_name"), F.lit(0).alias("block"), place, xml.alias("xml")))
+    return parsed.select(
+        "source_name", "position.generation", "position.entry_no", (F.col("position.entry_no") + 1).alias("first_line"), "physical_lines", "time", "level", "level_idx",
+        "raw_level", "thread", "target", "host", "pid", "extra", "message",
+    )
+
+
 def line_entries(lines: DataFrame, format: str, heads: DataFrame | None = None, reference: date | None = None) -> DataFrame:
     """A stream in which every line is an entry of its own, for counts and filters that need no continuations: source_name and the fields of an entry."""
     spec = X.find_format(format)

@@ -101,6 +101,7 @@ def test_encodings(spark, tmp_path):
     assert [r["text"] for r in scan_lines(spark, [str(tmp_path / "g.log")]).orderBy("line_no").collect()] == ["错误 一", "信息 二"]
 
 
+# Texts and what they give, which pin rules of escapes, levels, times and formats, down to FORMATS.
 @pytest.mark.parametrize("text,plain", [
     ("\x1b[31mred\x1b[0m plain", "red plain"), ("A\x1b[6nB\x1b[?7hC\x1b]0;window title\x07D\x1b[18tE\x1b( BF", "ABCDEF"),
     ("a\rb\x07c\x7fd\x85e", "abcde"), ("abc\x1b[", "abc"), ("abc\x1b", "abc"), ("x\x1bdy", "xy"), ("a\tb\nc", "a\tb\nc"),
@@ -140,6 +141,7 @@ def test_name_dates_and_cells(spark):
     assert value(spark, N.split_cells(F.col("t"), ","), t='a,"b, ""c""",,d"e,f"g') == ["a", 'b, "c"', "", "de,fg"]
 
 
+# A text of each format and its fields.
 FORMATS = {
     "tracing": ("2026-09-28T22:15:44.0881187+08:00  INFO tokio-rt-worker ThreadId(27) a::b: listening on 127.0.0.1:1081", {"level": "INFO", "thread": "tokio-rt-worker", "target": "a::b", "extra": {"ThreadId": "27"}, "message": "listening on 127.0.0.1:1081"}),
     "syslog5424": ('<34>1 2026-09-28T22:15:43.303587+08:00 myhost app 1234 ID47 [exampleSDID@32473 iut="3"] application event', {"level": "FATAL", "host": "myhost", "target": "app", "pid": "1234", "message": "application event"}),
@@ -222,10 +224,13 @@ def test_pattern_problems_and_ranges(spark):
     assert [tuple(r) for r in value(spark, match_ranges(F.col("t"), Pattern("ab")), t="ab cd ab")] == [(0, 2), (6, 2)]
 
 
-def test_merge_is_a_merge_of_heads(spark):
+def test_merge_is_a_merge_of_heads(spark, monkeypatch):
     rng = random.Random(3)
-    for _ in range(3):
+    for segment, stepping in ((100_000, True), (3, True), (3, False)):
+        monkeypatch.setattr(T, "SEGMENT", segment)
         sources = [[rng.randint(0, 9) for _ in range(rng.randint(1, 12))] for _ in range(3)]
+        # Sorted runs, the last of which steps back as a whole; or none in order.
+        sources = sources if stepping else [sorted(s) for s in sources[:2]] + [[5, 6, 7, 1, 2, 3, 8, 9]]
         expect, heads = [], [(s[0], i, 0) for i, s in enumerate(sources)]
         heapq.heapify(heads)
         while heads:

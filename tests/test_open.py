@@ -92,6 +92,13 @@ def test_a_line_of_any_length_is_looked_at_by_its_beginning(spark, tmp_path):
     assert len(heads["small.log"]["sample"]) == 10
 
 
+def test_names_that_look_like_patterns(spark, tmp_path):
+    (tmp_path / "a [1] {x} é.log").write_text(log(3))
+    (tmp_path / "a 1 x é.log").write_text(log(2))
+    got = read_logs(spark, str(tmp_path)).groupBy("source_name").count().collect()
+    assert {r["source_name"]: r["count"] for r in got} == {"a [1] {x} é.log": 3, "a 1 x é.log": 2}
+
+
 def test_heads_where_arrow_opens_nothing(spark, tmp_path, monkeypatch):
     (tmp_path / "a.log").write_text(log(9))
     monkeypatch.setattr(L, "RANGED", 10)
