@@ -1,19 +1,21 @@
-"""Secret scans, vector codes and the manifest against plain versions, and on awkward tables."""
+"""Secret scans, vector codes, the manifest and the language model against plain versions, and on awkward tables."""
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from compare import connect, differences
 from pyspark.sql import functions as F
 
-from logspark.llm import codes, manifest, secretscan
+from logspark.llm import codes, langid, manifest, secretscan
 from logspark.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -295,3 +297,86 @@ def test_secret_query(spark):
     for r in got:
         kept = [s for s in r["spans"].split(",") if s and not s.startswith("field")]
         assert H(",".join(kept)) == r["base_sha256"]
+
+
+# Language identification
+
+
+def test_language_model_equals_plain_python(spark):
+    """TF-IDF, FTRL and temperature over dictionaries, weight by weight."""
+    r = random.Random(12)
+    syllables = {"aa": ["ka", "lo", "mi", "ñu"], "bb": ["schn", "ei", "der", "üb"], "cc": ["tion", "ing", "the", "w"]}
+    rows = [(k, lang, " ".join("".join(r.choices(syllables[lang], k=r.randint(1, 3))) for _ in range(r.randint(3, 12))) + r.choice([".", "! 12", ""])) for k, lang in enumerate(r.choices(list(syllables), k=70))]
+    docs = spark.createDataFrame(rows + [(90, None, "no label"), (91, "aa", None), (92, "bb", "123 ...")], "doc_id long, lang string, text string")
+
+    def features(text):
+        # A blank, the letters with one blank for each run of other characters, and a blank.
+        out, letter = [" "], False
+        for c in text.lower():
+            if c.isalpha():
+                out.append(c)
+            elif letter:
+                out.append(" ")
+            letter = c.isalpha()
+        out.append(" ")
+        found = {}
+        for n in (1, 2, 3):
+            for k in range(len(out) - n + 1):
+                h = 0
+                for c in out[k : k + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                f = (h * 0x9E3779B97F4A7C15) % 2**64 >> 48
+                found[f] = found.get(f, 0) + 1
+        return found
+
+    data = [(lang, features(text)) for _, lang, text in rows]
+    data.sort(key=lambda d: xxhash.xxh3_64_intdigest(np.array(sorted(d[1]), "<u2").tobytes() + np.array([d[1][f] for f in sorted(d[1])], "<u4").tobytes()))
+    learn, apart, langs = [d for k, d in enumerate(data) if k % 10], data[::10], sorted(syllables)
+    idf = {}
+    for _, found in learn:
+        for f in found:
+            idf[f] = idf.get(f, 0) + 1
+    weight_of = lambda f: math.log((1 + len(learn)) / (1 + idf.get(f, 0))) + 1
+
+    def unit(found):
+        x = {f: math.log(1 + n) * weight_of(f) for f, n in found.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {f: v / norm for f, v in x.items()}
+
+    z, n = {}, {}
+
+    def weight(f, y):
+        a, b = z.get((f, y), 0.0), n.get((f, y), 0.0)
+        if abs(a) <= langid.L1:
+            return 0.0
+        return -(a - math.copysign(langid.L1, a)) / ((langid.BETA + math.sqrt(b)) / langid.ALPHA + langid.L2)
+
+    def chances(x, t=1.0):
+        s = [sum(v * weight(f, y) for f, v in x.items()) / t for y in range(3)]
+        e = [math.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e]
+
+    for _ in range(langid.EPOCHS):
+        for lang, found in learn:
+            x = unit(found)
+            p = chances(x)
+            p[langs.index(lang)] -= 1
+            old = {(f, y): weight(f, y) for f in x for y in range(3)}
+            for f, v in x.items():
+                for y in range(3):
+                    g, before = v * p[y], n.get((f, y), 0.0)
+                    z[f, y] = z.get((f, y), 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / langid.ALPHA * old[f, y]
+                    n[f, y] = before + g * g
+    loss = lambda t: sum(-math.log(chances(unit(found), t)[langs.index(lang)]) for lang, found in apart)
+    temperature = min(np.geomspace(0.05, 5, 60), key=loss)
+    model = langid.fit(docs)
+    assert model.languages == langs and np.isclose(model.temperature, temperature)
+    plain = np.zeros((1 << 16, 3))
+    for f, y in z:
+        plain[f, y] = weight(f, y)
+    assert np.abs(model.weights - plain).max() < 1e-4 and np.abs(plain).max() > 0.1
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in langid.predict(docs, model).collect()}
+    for k, _, text in rows:
+        p = chances(unit(features(text)), temperature)
+        assert got[k][0] == langs[p.index(max(p))] and abs(got[k][1] - max(p)) < 1e-3
+    assert got[91] == got[92] == ("und", 0.0)
