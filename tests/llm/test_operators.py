@@ -157,7 +157,8 @@ def test_a_chain_of_near_copies_is_one_class(spark):
     words = prose(rng, 400).split()
     texts = [" ".join(words[k : k + 100]) for k in range(0, 300, 5)]
     got = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {r["class_id"] for r in got} == {0} and Counter(r["links"] for r in got) == Counter({1: 2, 2: 2, 3: 2, 4: 54})
+    # Of 96 n-grams, neighbours share 91 (0.90), the next 86 (0.81) and those after them 81 (0.73).
+    assert {r["class_id"] for r in got} == {0} and Counter(r["links"] for r in got) == Counter({2: 2, 3: 2, 4: 56})
 
 
 def test_bands_reach_recall():
