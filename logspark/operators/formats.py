@@ -373,7 +373,7 @@ def count(test: Callable[[Column], Column]) -> Column:
 
 def _csv_profile() -> Column:
     """table (whether the sample is one), delimiter and header."""
-    head = F.col("sample")[0]
+    head = F.get("sample", F.lit(0))
     counts = [F.struct(
         (F.length(head) - F.length(F.replace(head, F.lit(d)))).alias("n"), F.lit(-k).alias("k"), F.lit(d).alias("d"),
     ) for k, d in enumerate(CSV_DELIMITERS)]
@@ -401,7 +401,7 @@ def _csv_score() -> Column:
 
 def _csv_learn() -> Fields:
     found = _csv_profile()
-    return {"csv_delimiter": found["delimiter"], "csv_header": found["header"], "csv_header_line": F.col("sample")[0]}
+    return {"csv_delimiter": found["delimiter"], "csv_header": found["header"], "csv_header_line": F.get("sample", F.lit(0))}
 
 
 def _iis_fields() -> tuple[Column, Column]:
@@ -427,7 +427,7 @@ def _event_text_score() -> Column:
 
 
 def _event_tsv_score() -> Column:
-    first = F.col("sample")[0]
+    first = F.get("sample", F.lit(0))
     markers = reduce(lambda a, b: a + b, [F.contains(F.lower(first), F.lit(m.lower())).cast("int") for m in EVENT_HEADER])
     return F.when(
         (F.regexp_count(first, F.lit("\t")) >= 3) & (markers >= 3), 95,

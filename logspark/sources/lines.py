@@ -34,8 +34,11 @@ _WHOLE = str(1 << 46)
 
 
 def source_map(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """source_idx, source_name, file, bytes and modified of each file that paths name, in the order of paths, then by name."""
-    every = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    """source_idx, source_name, file, uri (file as rows of it name it), bytes and modified of each file that paths name, in the order of
+    paths, then by name."""
+    every = spark.read.format("binaryFile").load(paths).select(
+        "path", F.col("_metadata.file_path").alias("uri"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"),
+    )
     if len(paths) == 1:
         files = every.distinct().withColumn("given", F.lit(0))
     else:
@@ -51,7 +54,7 @@ def source_map(spark: SparkSession, paths: list[str]) -> DataFrame:
     # One row for each file.
     place = (F.row_number().over(Window.orderBy("given", "path")) - 1).cast("int")
     return files.select(
-        place.alias("source_idx"), F.element_at(F.split("path", "/"), -1).alias("source_name"), F.col("path").alias("file"), "bytes", "modified",
+        place.alias("source_idx"), F.element_at(F.split("path", "/"), -1).alias("source_name"), F.col("path").alias("file"), "uri", "bytes", "modified",
     )
 
 
@@ -84,7 +87,7 @@ def head_of(data: bytes, whole: bool) -> tuple[str, list[str]]:
     return encoding, [x.removeprefix("\ufeff") for x in texts[:HEAD_LINES]]
 
 
-HEADS = "file string, encoding string, sample array<string>"
+HEADS = "uri string, encoding string, sample array<string>"
 
 
 def _head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +106,7 @@ def _head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [decode_line(x, encoding) for x in raw] if encoding not in WIDE else b"\n".join(raw).decode(encoding, "replace").replace("\n\n", "\n").split("\n")
         sample = [x.removeprefix("\ufeff") for x in texts[:HEAD_LINES]]
         yield pa.record_batch(
-            [pa.array([file]), pa.array([encoding]), pa.array([sample], pa.list_(pa.string()))], names=["file", "encoding", "sample"],
+            [pa.array([file]), pa.array([encoding]), pa.array([sample], pa.list_(pa.string()))], names=["uri", "encoding", "sample"],
         )
 
 
@@ -116,7 +119,7 @@ def _read_first_lines(spark: SparkSession, paths: list[str], folder: str, most:
             spark.conf.set(k, _WHOLE)
         raw = spark.read.text(paths)
         raw = raw.where(F.col("_metadata.file_size") <= most) if most else raw
-        raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
+        raw = raw.select(F.col("_metadata.file_path").alias("uri"), F.col("value").cast("binary").alias("raw"))
         raw.mapInArrow(_head, HEADS).write.mode("append").parquet(folder)
     finally:
         for k, v in before.items():
@@ -141,14 +144,14 @@ def first_bytes(uri: str, most: int) -> bytes | None:
 def _ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Heads of files by a range of bytes."""
     for batch in batches:
-        for name in batch.column(0).to_pylist():
-            if data := first_bytes(name, RANGE):
+        for file, uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if data := first_bytes(file, RANGE):
                 encoding, sample = head_of(data, len(data) < RANGE)
-                yield pa.record_batch([pa.array([name]), pa.array([encoding]), pa.array([sample], pa.list_(pa.string()))], names=["file", "encoding", "sample"])
+                yield pa.record_batch([pa.array([uri]), pa.array([encoding]), pa.array([sample], pa.list_(pa.string()))], names=["uri", "encoding", "sample"])
 
 
 def read_heads(spark: SparkSession, paths: list[str], encoding: str | None = None) -> DataFrame:
-    """The files of paths: source_idx, source_name, file, bytes, modified, encoding (the given one, or that of the first bytes)
+    """The files of paths: source_idx, source_name, file, uri, bytes, modified, encoding (the given one, or that of the first bytes)
     and sample (the first lines; empty for an empty file). Reads the beginning of each file now, and writes what it found.
 
     Of a file of more than RANGED bytes a range of 256 kB is read in file systems that Arrow opens, so one line of gigabytes does no harm;
@@ -156,19 +159,19 @@ def read_heads(spark: SparkSession, paths: list[str], encoding: str | None = Non
     folder = new_folder(spark, "heads")
     source_map(spark, paths).write.parquet(f"{folder}-files")
     files = spark.read.parquet(f"{folder}-files")
-    large = files.where(F.col("bytes") > RANGED).select("file")
+    large = files.where(F.col("bytes") > RANGED).select("file", "uri")
     _read_first_lines(spark, paths, folder, RANGED)
     if not large.isEmpty():
-        large.repartition(F.col("file")).mapInArrow(_ranged, HEADS).write.mode("append").parquet(folder)
-        if missed := [_as_it_is(r["file"]) for r in large.join(spark.read.schema(HEADS).parquet(folder), "file", "left_anti").collect()]:
+        large.repartition(F.col("uri")).mapInArrow(_ranged, HEADS).write.mode("append").parquet(folder)
+        if missed := [_as_it_is(r["file"]) for r in large.join(spark.read.schema(HEADS).parquet(folder), "uri", "left_anti").collect()]:
             _read_first_lines(spark, missed, folder)
     found = spark.read.schema(HEADS).parquet(folder)
     # A file that several paths name was looked at more than once.
-    known = files.join(found.dropDuplicates(["file"]), "file", "left")
+    known = files.join(found.dropDuplicates(["uri"]), "uri", "left")
     own = F.lit(encoding) if encoding else F.coalesce("encoding", F.lit("UTF-8"))
     sample = F.transform(F.coalesce("sample", F.array().cast("array<string>")), strip_control)
     known.select(
-        "source_idx", "source_name", "file", "bytes", "modified", own.alias("encoding"), sample.alias("sample"),
+        "source_idx", "source_name", "file", "uri", "bytes", "modified", own.alias("encoding"), sample.alias("sample"),
     ).write.parquet(f"{folder}-named")
     return spark.read.parquet(f"{folder}-named")
 
@@ -180,7 +183,7 @@ def placed_lines(spark: SparkSession, heads: DataFrame, separator: str | None =
 
     LF, CRLF and CR all end a line, LF and CRLF in UTF-16; a last line without an end counts. separator: records that end with it, not lines.
     """
-    files = heads.select("source_idx", "file", "encoding", *about)
+    files = heads.select("source_idx", "file", "uri", "encoding", *about)
     of = {r["wide"]: r for r in files.groupBy(F.when(F.col("encoding").isin(WIDE), F.col("encoding")).alias("wide")).agg(
         F.count(F.lit(1)).alias("n"), F.collect_list("file").alias("files"),
     ).collect()}
@@ -190,10 +193,10 @@ def placed_lines(spark: SparkSession, heads: DataFrame, separator: str | None =
         end = separator or ("\n" if wide else None)
         reader = reader.option("lineSep", end) if end else reader
         read = reader.text([_as_it_is(f) for f in r["files"]]).select(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"),
         )
-        named = read.join(F.broadcast(files) if few else files, "file")
+        named = read.join(F.broadcast(files.drop("file")) if few else files.drop("file"), "uri")
         text = F.decode(F.col("raw").cast("binary"), wide) if wide else decoded(F.col("raw"), F.col("encoding"))
         text = F.regexp_replace(text, "\r$", "") if wide and not separator else text
         # A mark of the byte order may begin a file.
