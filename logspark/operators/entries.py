@@ -293,7 +293,7 @@ def open_logs(
         return OpenLogs(entries_of_lines(lines if max_lines else lines.drop("truncated"), format, merge_continuations, reference), heads, spec)
     learned = {name: c.alias(name) for name, c in (spec.learn() if spec.learn else {}).items()}
     lists = ["lines", "raws"] if styles else ["lines"]
-    known = heads.select("source_idx", "source_name", "file", "uri", "encoding", reference_date(heads, reference).alias("reference"), *learned.values())
+    known = heads.select("source_idx", "source_name", "file", "uri", "bytes", "encoding", reference_date(heads, reference).alias("reference"), *learned.values())
     lines, by_block = L.placed_lines(spark, known, about=list(learned), raw=styles)
     marked = lines.select("source_idx", "block", spec.starts().alias("start"), "text", *(["raw"] if styles else []), "place")
     if not by_block:
@@ -305,7 +305,7 @@ def open_logs(
     folded = spark.read.schema(schema).parquet(folder)
     _folded_edges(folded).write.parquet(f"{folder}-edges")
     edges = spark.read.parquet(f"{folder}-edges")
-    sources = known.drop("file", "uri", "encoding")
+    sources = known.drop("file", "uri", "bytes", "encoding")
 
     def finish(some: DataFrame) -> DataFrame:
         named = F.broadcast(sources) if by_block else sources

@@ -29,6 +29,8 @@ LEGACY = ["GB18030", "Big5", "Shift_JIS", "windows-1252"]
 WIDE = ["UTF-16LE", "UTF-16BE"]
 #: Most files whose names and encodings are broadcast to the lines; with more they are joined by a shuffle.
 BROADCAST_FILES = 100_000
+#: Bytes that a task reads at least; opening a file counts as so many.
+TASK_BYTES, OPEN_BYTES = 32 << 20, 4 << 20
 #: With splits of this many bytes and as many for opening a file, every file is one partition.
 _WHOLE = str(1 << 46)
 
@@ -179,13 +181,15 @@ def read_heads(spark: SparkSession, paths: list[str], encoding: str | None = Non
 def placed_lines(spark: SparkSession, heads: DataFrame, separator: str | None = None, about: list[str] = (), raw: bool = False) -> tuple[DataFrame, bool]:
     """The lines of files (read_heads): source_idx, block, place (rising in a block), text and the columns of heads that about names; with
     raw, also the text with its escapes, where it has any. And whether a task's rows stand by file and block, in order: with
-    very many files they are shuffled instead.
+    very many files they are shuffled instead. Small splits share tasks, each split staying a block of its own: a session's small
+    maxPartitionBytes makes many blocks, but tasks and written files only as the bytes are many.
 
     LF, CRLF and CR all end a line, LF and CRLF in UTF-16; a last line without an end counts. separator: records that end with it, not lines.
     """
     files = heads.select("source_idx", "file", "uri", "encoding", *about)
-    of = {r["wide"]: r for r in files.groupBy(F.when(F.col("encoding").isin(WIDE), F.col("encoding")).alias("wide")).agg(
-        F.count(F.lit(1)).alias("n"), F.collect_list("file").alias("files"),
+    least = 2 * spark.sparkContext.defaultParallelism
+    of = {r["wide"]: r for r in heads.groupBy(F.when(F.col("encoding").isin(WIDE), F.col("encoding")).alias("wide")).agg(
+        F.count(F.lit(1)).alias("n"), F.collect_list("file").alias("files"), F.sum("bytes").alias("bytes"),
     ).collect()}
     out, few = None, sum(r["n"] for r in of.values()) <= BROADCAST_FILES
     for wide, r in of.items():
@@ -195,7 +199,7 @@ def placed_lines(spark: SparkSession, heads: DataFrame, separator: str | None =
         read = reader.text([_as_it_is(f) for f in r["files"]]).select(
             F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"),
-        )
+        ).coalesce(max(least, (r["bytes"] + r["n"] * OPEN_BYTES) // TASK_BYTES))
         named = read.join(F.broadcast(files.drop("file")) if few else files.drop("file"), "uri")
         text = F.decode(F.col("raw").cast("binary"), wide) if wide else decoded(F.col("raw"), F.col("encoding"))
         text = F.regexp_replace(text, "\r$", "") if wide and not separator else text

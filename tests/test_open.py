@@ -171,3 +171,19 @@ def test_the_cheap_test_lets_every_match_through(spark):
             got = spark.createDataFrame([(c,) for c in cells], "c string").select("c", matches(F.col("c"), p).alias("a"), F.col("c").rlike(p.regex).alias("b")).collect()
             assert all(r["a"] == r["b"] for r in got)
     assert literal(F.col("c"), Pattern("a*", "wildcard")) is None
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-16-le"])
+def test_small_splits_share_tasks(spark, tmp_path, splits, encoding):
+    xml = '<Event xmlns="u"><System><Provider Name="p"/><EventID>{}</EventID><Level>4</Level></System></Event>'
+    (tmp_path / "e.xml").write_bytes("".join(xml.format(i) for i in range(1500)).encode(encoding))
+    (tmp_path / "a.log").write_bytes(log(1500).encode(encoding))
+    splits(2_001)
+    for name, want in (("e.xml", [(i, i + 1) for i in range(1500)]), ("a.log", [(i, 2 * i + 1) for i in range(1500)])):
+        heads = L.read_heads(spark, [str(tmp_path / name)])
+        placed, _ = L.placed_lines(spark, heads, separator="</Event>" if name == "e.xml" else None)
+        # Blocks are the splits; tasks, and with them the files that they write, are few.
+        assert placed.select("block").distinct().count() > 20 and placed.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        entries = read_logs(spark, str(tmp_path / name))
+        assert len(entries.inputFiles()) < 20
+        assert [(r["entry_no"], r["first_line"]) for r in entries.orderBy("entry_no").collect()] == want
