@@ -25,9 +25,9 @@ def parsed_events(records: DataFrame) -> DataFrame:
     event = F.concat(F.expr("substring(xml, at)"), F.lit("</Event>"))
     more = [c for c in records.columns if c == "truncated"]
     read = found.select("source_idx", "source_name", "block", "position", event.alias("xml"), *more)
-    e = read.withColumn(
-        "e", F.from_xml(F.col("xml"), SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}),
-    ).where("e is not null and e._corrupt is null")
+    # As the only element of an array that is exploded, an event is parsed once: neither the fields nor the filter on them repeat it.
+    event = F.from_xml(F.col("xml"), SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    e = read.select("*", F.explode(F.array(event)).alias("e")).where("e is not null and e._corrupt is null")
     shown, numeric = F.trim(N.or_empty(F.col("e.RenderingInfo.Level"))), F.col("e.System.Level").try_cast("int")
     named = N.normalize_level(shown)
     level = F.when((shown != "") & (named != "OTHER"), named).otherwise(N.event_level(numeric))

@@ -10,7 +10,7 @@ from logspark.operators import fragments
 from logspark.operators import table as T
 from logspark.operators.entries import open_logs, read_logs
 from logspark.sources import lines as L
-from logspark.sources.event_xml import read_event_xml
+from logspark.sources.event_xml import parsed_events, read_event_xml
 
 SPLIT = "spark.sql.files.maxPartitionBytes"
 
@@ -187,3 +187,9 @@ def test_small_splits_share_tasks(spark, tmp_path, splits, encoding):
         entries = read_logs(spark, str(tmp_path / name))
         assert len(entries.inputFiles()) < 20
         assert [(r["entry_no"], r["first_line"]) for r in entries.orderBy("entry_no").collect()] == want
+
+
+def test_an_event_is_parsed_once(spark):
+    records = spark.createDataFrame([(0, "e.xml", 0, 0, "<Event ")], "source_idx int, source_name string, block long, position long, xml string")
+    plan = parsed_events(records)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("from_xml(") + plan.count("xmltostructs(") == 1
