@@ -706,8 +706,9 @@ def scan_numbered_lines(spark, sf_dir):
     )
 
 
-def stream_rows(spark, stream: DataFrame, mode: str, ends: bool = True, state: str | None = None) -> DataFrame:
-    """What a stream has put out, as Parquet, when all that is there is read. state: a folder in which the stream goes on later."""
+def stream_rows(spark, stream: DataFrame, mode: str, ends: bool = True, state: str | None = None, bounded: bool = False) -> DataFrame:
+    """What a stream has put out, as Parquet, when all that is there is read. state: a folder in which the stream goes on later. bounded: the
+    stream is of follow.tail with its progress noted, so what is there comes in many batches, where the trigger availableNow has one."""
     state = state or new_folder(spark, "stream")
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", follow.STORE)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{state}/checkpoint")
@@ -715,9 +716,22 @@ def stream_rows(spark, stream: DataFrame, mode: str, ends: bool = True, state: s
         writer = writer.format("parquet").option("path", f"{state}/rows")
     else:
         writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{state}/rows"))
-    q = (writer.trigger(availableNow=True) if ends else writer.trigger(processingTime=follow.POLL)).start()
+    ends, key = ends and not bounded, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        # State is by file, so tasks beyond the cores would only start and end in every batch.
+        spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+        q = (writer.trigger(availableNow=True) if ends else writer.trigger(processingTime=follow.POLL)).start()
+    finally:
+        spark.conf.set(key, before)
     try:
-        q.awaitTermination() if ends else q.processAllAvailable()
+        # A batch that begins where it ends found nothing new; a query's first one may repeat what was begun before it was last ended.
+        while bounded and not (len(done := q.recentProgress) > 1 and all(x["startOffset"] == x["endOffset"] for x in done[-1]["sources"])):
+            # An error ends the waiting.
+            if q.awaitTermination(0.2):
+                raise RuntimeError("the stream ended before all was read")
+        if not bounded:
+            q.awaitTermination() if ends else q.processAllAvailable()
     finally:
         q.stop()
     return spark.read.schema(stream.schema).parquet(f"{state}/rows")
@@ -761,11 +775,11 @@ def stream_counts_after_rotation(spark, sf_dir):
     # The last entry of a file stays open, so each file ends with one that does not count.
     last = e.groupBy("name").agg(F.max("at").alias("at")).select("name", F.col("at") + 1, F.lit("2024-01-01 00:00:00.000 INFO open").alias("value"))
     named_files(spark, e.select("name", "at", text("$clock", " ", "$lv", " ", "$msg", "\n  more of it").alias("value")).union(last), folder)
-    changes = lambda: follow.level_changes(follow.follow_entries(follow.tail(spark, folder + "/app*.log"), "generic", 3_600_000))
-    stream_rows(spark, changes(), "append", state=state)
+    changes = lambda: follow.level_changes(follow.follow_entries(follow.tail(spark, folder + "/app*.log", progress=state + "-progress"), "generic", 3_600_000))
+    stream_rows(spark, changes(), "append", state=state, bounded=True)
     new = e.where("u < 2 AND event_id % 2 = 0").select("name", "at", text("$clock", F.when(F.col("event_id") % 3 == 0, " FATAL").otherwise(" INFO"), " replaced").alias("value"))
     named_files(spark, new.union(last.where("name in ('app0.log', 'app1.log')")), folder)
-    return follow.counts_of_changes(stream_rows(spark, changes(), "append", state=state)).select(
+    return follow.counts_of_changes(stream_rows(spark, changes(), "append", state=state, bounded=True)).select(
         F.col("level_idx").cast("int").alias("level_idx"), "level", "n",
     )
 
@@ -780,7 +794,8 @@ def stream_folded_documents(spark, sf_dir):
     )
     last = d.groupBy("name").agg(F.max("at").alias("at")).select("name", F.col("at") + 1, F.lit("2024-01-01 00:00:00 INFO open").alias("value"))
     named_files(spark, d.union(last), folder)
-    e = stream_rows(spark, follow.follow_entries(follow.tail(spark, folder + "/d*.log"), "generic", 3_600_000), "append")
+    lines = follow.tail(spark, folder + "/d*.log", progress=new_folder(spark, "progress"))
+    e = stream_rows(spark, follow.follow_entries(lines, "generic", 3_600_000), "append", bounded=True)
     return e.select(
         F.regexp_extract("message", r"^doc (\d+)", 1).cast("long").alias("doc_id"), F.col("physical_lines").cast("long").alias("physical_lines"),
         F.length("message").cast("long").alias("chars"),
@@ -796,8 +811,8 @@ def follow_event_xml(spark, sf_dir):
     pairs = e.groupBy("name", F.floor(F.col("at") / 8).alias("k")).agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "xml"))).alias("x"))
     rows = pairs.select("name", "at", F.array_join(F.transform("x", lambda x: F.concat(x["xml"], F.lit("</Event>"))), "").alias("value"))
     named_files(spark, rows.union(last), folder)
-    found = follow.follow_entries(follow.tail(spark, f"{folder}/e*.xml"), "wevt_xml", 3_600_000)
-    return shown(stream_rows(spark, found, "append")).drop("entry_no")
+    lines = follow.tail(spark, f"{folder}/e*.xml", progress=new_folder(spark, "progress"))
+    return shown(stream_rows(spark, follow.follow_entries(lines, "wevt_xml", 3_600_000), "append", bounded=True)).drop("entry_no")
 
 
 @query("SELECT 'user ' || user_id || ' did ' || event_type AS line FROM events")

@@ -12,6 +12,7 @@ line, so a file that is replaced by one with the same first line and is not smal
 from __future__ import annotations
 
 import fnmatch
+import itertools
 import json
 import re
 import zlib
@@ -22,6 +23,7 @@ from datetime import date
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,14 +35,14 @@ from logspark.functions.ansi import strip_control
 from logspark.operators import formats as X
 from logspark.operators.entries import parse_entries
 from logspark.sources.event_xml import parsed_events
-from logspark.sources.lines import HEAD_BYTES, WIDE, decode_line, encoding_of
+from logspark.sources.lines import HEAD_BYTES, WIDE, bound_batches, decode_line, encoding_of
 
 #: How often files are looked at.
 POLL = "300 milliseconds"
 #: Bytes of a file in one input partition, and of its first line that tell its generation.
-RANGE, FIRST_LINE = 16 << 20, 256
+RANGE, FIRST_LINE = 4 << 20, 256
 #: Most bytes of a file in one micro-batch, and bytes in which a line end is looked for at once.
-PER_FILE, LOOK = 64 << 20, 65536
+PER_FILE, LOOK = 32 << 20, 65536
 #: The counters of a generation that had no line for so long are dropped.
 FORGET_MS = 24 * 3600 * 1000
 
@@ -252,7 +254,45 @@ def landed_lines(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.text(folder).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
 
 
-FOLDED = "file string, generation long, entry_no long, entry_start long, lines array<string>"
+#: Lines go to the state in chunks of about so many bytes, and entries come from there likewise. What parts lines, entries and an entry's first
+#: line number in them are control characters, which no line has any more.
+CHUNK, LINE, ENTRY, NUMBER = 1 << 20, "\x1e", "\x1d", "\x1f"
+CHUNKS = "file string, generation long, position long, positions binary, starts binary, texts string"
+FOLDED = "file string, generation long, entry_no long, entries string"
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (file, generation, position, text, start) in chunks that are rows: of one file and generation, in the order of their places."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file = batch.column(0).dictionary_encode()
+        codes, generation, position = file.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        order = np.lexsort((position, generation, codes))
+        codes, generation, position = codes[order], generation[order], position[order]
+        texts, starts = batch.column(3).take(pa.array(order)), batch.column(4).fill_null(False).to_numpy(zero_copy_only=False)[order]
+        piece = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // CHUNK
+        cuts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (generation[1:] != generation[:-1]) | (piece[1:] != piece[:-1])])
+        rows = [
+            (file.dictionary[int(codes[a])].as_py(), int(generation[a]), int(position[a]), position[a:b].astype("<i8").tobytes(), starts[a:b].astype("u1").tobytes(), LINE.join(texts.slice(a, b - a).to_pylist()))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True)
+        ]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split(" ")[0] for x in CHUNKS.split(", ")])
+
+
+def _in_order(chunks: list[tuple]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Texts and starts of the chunks (position, positions, starts, texts) of a generation, by place. Chunks that overlap are merged first."""
+    chunks.sort(key=lambda c: c[0])
+    if any(np.frombuffer(c[1], "<i8")[-1] > d[0] for c, d in itertools.pairwise(chunks)):
+        order = np.argsort(np.concatenate([np.frombuffer(c[1], "<i8") for c in chunks]), kind="stable")
+        texts, starts = [t for c in chunks for t in c[3].split(LINE)], np.concatenate([np.frombuffer(c[2], "u1") for c in chunks])
+        yield [texts[k] for k in order], starts[order].astype(bool)
+        return
+    for _, _, starts, texts in chunks:
+        yield texts.split(LINE), np.frombuffer(starts, "u1").astype(bool)
+
+
 def _learned(lines: DataFrame, spec: X.FormatSpec, heads: DataFrame | None, name: str) -> DataFrame:
     """lines with what the format learns of each file's head (sources.lines.read_heads), by the file's name; without heads,
     plain logs count as ones whose entries begin with a time."""
@@ -285,21 +325,29 @@ class _Fold(StatefulProcessor):
         self.known = handle.getValueState("known", "generation long, epoch long, begun long, line_no long, entry_no long", self.forget_after)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("position", kind="stable")
-        out, state = [], self.known.get() if self.known.exists() else None
-        for generation, lines in frame.groupby("generation", sort=False):
+        of, state = {}, self.known.get() if self.known.exists() else None
+        for frame in rows:
+            for r in frame.itertuples(index=False):
+                of.setdefault(int(r.generation), []).append((int(r.position), r.positions, r.starts, r.texts))
+        for generation in sorted(of, key=lambda g: min(c[0] for c in of[g])):
+            out = []
             if state is None or state[0] != generation:
                 if state is not None and state[2]:
                     out.append(self.closed(key, state))
                 self.open.clear()
-                state = (int(generation), state[1] + 1 if state is not None else 0, 0, 0, 0)
-            state = self.fold(key, state, list(lines["text"]), lines["start"].fillna(False).to_numpy(bool), out)
+                state = (generation, state[1] + 1 if state is not None else 0, 0, 0, 0)
+            for texts, starts in _in_order(of[generation]):
+                state = self.fold(key, state, texts, starts, out)
+                if out:
+                    yield self.frame(out)
+                    out = []
+            if out:
+                yield self.frame(out)
         self.known.update(state)
         for due in list(self.handle.listTimers()):
             self.handle.deleteTimer(due)
         if state[2]:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.flush_after)
-        yield self.frame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self.known.get() if self.known.exists() else None
@@ -330,7 +378,12 @@ class _Fold(StatefulProcessor):
         return generation, epoch, line_no + int(at[-1]) + 1, line_no + len(texts), entry_no
 
     def frame(self, out: list) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["file", "generation", "entry_no", "entry_start", "lines"])
+        """Entries (file, generation, entry_no, entry_start, lines) as rows, one for those that are numbered on."""
+        rows = []
+        for _, run in itertools.groupby(enumerate(out), lambda x: (x[1][1], x[1][2] - x[0])):
+            own = [e for _, e in run]
+            rows.append((*own[0][:3], ENTRY.join(f"{e[3]}{NUMBER}{LINE.join(e[4])}" for e in own)))
+        return pd.DataFrame(rows, columns=["file", "generation", "entry_no", "entries"])
 
     def close(self) -> None:
         pass
@@ -340,11 +393,20 @@ def follow_folded(
     lines: DataFrame, spec: X.FormatSpec, flush_after_ms: int = 1000, heads: DataFrame | None = None, forget_after_ms: int = FORGET_MS,
 ) -> DataFrame:
     """Closed entries of a stream of lines, as their lines; generation counts a file's generations from 0. State by file, until nothing
-    came for forget_after_ms. A task holds what one micro-batch brings of one file."""
+    came for forget_after_ms. A task holds the text that one micro-batch brings of one file, which tail bounds when it has a folder for its progress.
+
+    Lines are put into chunks where they are read, so the task of a file's state passes on few rows; entries are cut and parsed by all tasks."""
     lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    text = _learned(lines.withColumn("text", strip_control(F.col("raw"))), spec, heads, "file")
+    bound_batches(lines.sparkSession)
+    text = _learned(lines.withColumn("text", N.or_empty(strip_control(F.col("raw")))), spec, heads, "file")
     marked = text.withColumn("start", spec.starts()).select("file", "generation", "position", "text", "start")
-    return marked.groupBy("file").transformWithStateInPandas(_Fold(flush_after_ms, forget_after_ms), FOLDED, "Append", "ProcessingTime")
+    chunks = marked.mapInArrow(_chunked, CHUNKS)
+    folded = chunks.groupBy("file").transformWithStateInPandas(_Fold(flush_after_ms, forget_after_ms), FOLDED, "Append", "ProcessingTime")
+    cut = folded.repartition("file", "entry_no").select("file", "generation", "entry_no", F.posexplode(F.split("entries", ENTRY)).alias("k", "entry"))
+    return cut.select(
+        "file", "generation", (F.col("entry_no") + F.col("k")).alias("entry_no"), F.substring_index("entry", NUMBER, 1).cast("long").alias("entry_start"),
+        F.split(F.substring_index("entry", NUMBER, -1), LINE).alias("lines"),
+    )
 
 
 CHANGES = "source_name string, generation long, level_idx int, level string, change long"

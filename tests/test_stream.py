@@ -1,11 +1,14 @@
 """Following files: appended lines, unfinished lines, truncation, entries that grow."""
 
 import json
+import random
 import time
 
+import pyarrow as pa
 import pytest
 
 from logspark.operators.table import FilterSpec, apply_filter
+from logspark.plans import queries
 from logspark.sources.lines import read_heads
 from logspark.streaming import follow
 
@@ -152,3 +155,35 @@ def test_follow_tables_and_start(spark, tmp_path):
     assert got == {("a.csv", "WARN", "one"), ("b.csv", "ERROR", "three")}
     with pytest.raises(ValueError):
         follow.follow_entries(follow.tail(spark, str(logs / "*.csv")), "csv_tsv")
+
+
+def test_all_that_is_there_in_bounded_batches(spark, tmp_path):
+    """A file of many batches is read to its end, no batch being larger than asked for; a stream that goes on later does so from where it stood."""
+    state, f = str(tmp_path / "state"), tmp_path / "logs" / "a.log"
+    f.parent.mkdir()
+    lines = lambda a, b: "".join(f"2026-01-01 00:00:00 INFO m{i}\n  at {i}\n\n" for i in range(a, b))
+    entries = lambda: follow.follow_entries(follow.tail(spark, f.as_uri(), 2000, (tmp_path / "progress").as_uri()), "generic", 3_600_000)
+    want = lambda n: [(i, 3 * i + 1, 3, f"m{i}\n  at {i}\n") for i in range(n)]
+    for n, batches in ((600, 12), (900, 18)):
+        with f.open("a") as g:
+            g.write(lines(0 if n == 600 else 600, n))
+        got = queries.stream_rows(spark, entries(), "append", state=state, bounded=True).orderBy("entry_no").collect()
+        assert [(r["entry_no"], r["first_line"], r["physical_lines"], r["message"]) for r in got] == want(n - 1)
+        assert len([x for x in (tmp_path / "state" / "checkpoint" / "commits").iterdir() if x.name.isdigit()]) >= batches
+
+
+def test_chunks_are_put_in_order(monkeypatch):
+    monkeypatch.setattr(follow, "CHUNK", 60)
+    rng = random.Random(5)
+    rows = [(name, 7, 10 * k, "" if k % 9 == 0 else f"{name} {k}", k % 4 == 0) for name in "ab" for k in range(80)]
+    names = ["file", "generation", "position", "text", "start"]
+    for shuffled in (False, True):
+        if shuffled:
+            rng.shuffle(rows)
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k : k + 30]]) for k in range(0, len(rows), 30)]
+        chunks = [r for b in follow._chunked(iter(batches)) for r in b.to_pylist()]
+        assert len(chunks) > 8
+        for name in "ab":
+            own = [(c["position"], c["positions"], c["starts"], c["texts"]) for c in chunks if c["file"] == name]
+            got = [(t, bool(s)) for texts, starts in follow._in_order(own) for t, s in zip(texts, starts, strict=True)]
+            assert got == [(r[3], r[4]) for r in sorted(rows) if r[0] == name]
