@@ -6,9 +6,11 @@ SQL computes the same answer from the rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from datetime import date, datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -753,17 +755,42 @@ def tail_filtered(spark, sf_dir):
 
 
 def named_files(spark, rows: DataFrame, folder: str) -> None:
-    """Rows (name, at, value) as one file for each name, in the order of at, put in the place of what has the name."""
+    """Rows (name, at, value) as one file for each name, in the order of at, put in the place of what has the name. Rows are sorted in ranges
+    by all tasks; the task of a name only appends the bytes of its ranges."""
     made = new_folder(spark, "made")
-    rows.repartition("name").sortWithinPartitions("name", "at").select("name", "value").write.partitionBy("name").text(made)
+    rows.repartitionByRange("name", "at").sortWithinPartitions("name", "at").select("name", "value").write.partitionBy("name").text(made)
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = lambda *x: jvm.org.apache.hadoop.fs.Path("/".join(x))
     system = path(made).getFileSystem(conf)
     system.mkdirs(path(folder))
-    for of_name in system.globStatus(path(made, "name=*", "part-*")):
-        to = path(folder, of_name.getPath().getParent().getName().removeprefix("name="))
+    parts: dict[str, list[str]] = {}
+    for found in system.globStatus(path(made, "name=*", "part-*")):
+        part = found.getPath().getName()
+        parts.setdefault(found.getPath().getParent().getName(), []).append(part)
+    in_order = [(name, sorted(own, key=lambda x: (int(x.split("-")[1]), x))) for name, own in sorted(parts.items())]
+    joined = spark.createDataFrame(in_order, "name string, parts array<string>").repartition(len(in_order), "name").mapInArrow(_appended(made), "name string, path string")
+    for name, whole in joined.collect():
+        to = path(folder, name.removeprefix("name="))
         system.delete(to, False)
-        system.rename(of_name.getPath(), to)
+        system.rename(path(whole), to)
+
+
+def _appended(made: str):
+    """Files of names (name, parts: names of files in its folder) from the bytes of their parts, in blocks; each by a name of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                whole = f"{made}/whole-{uuid.uuid4().hex}"
+                system, at = follow.file_system(whole)
+                with system.open_output_stream(at) as out:
+                    for part in parts:
+                        with system.open_input_stream(follow.file_system(f"{made}/{name}/{part}")[1]) as f:
+                            while block := f.read(4 << 20):
+                                out.write(block)
+                yield pa.record_batch([pa.array([name]), pa.array([whole])], names=["name", "path"])
+
+    return run
 
 
 @query("SELECT l.level_idx, l.level, count(*) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'FATAL' ELSE 'INFO' END AS level FROM events WHERE user_id % 4 < 2 AND event_id % 2 = 0 "

@@ -9,6 +9,7 @@ from logspark.functions.match import Pattern, literal, matches
 from logspark.operators import fragments
 from logspark.operators import table as T
 from logspark.operators.entries import open_logs, read_logs
+from logspark.plans import queries
 from logspark.sources import lines as L
 from logspark.sources.event_xml import parsed_events, read_event_xml
 
@@ -193,3 +194,20 @@ def test_an_event_is_parsed_once(spark):
     records = spark.createDataFrame([(0, "e.xml", 0, 0, "<Event ")], "source_idx int, source_name string, block long, position long, xml string")
     plan = parsed_events(records)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("from_xml(") + plan.count("xmltostructs(") == 1
+
+
+def test_files_of_names_are_sorted_by_many_tasks(spark, tmp_path):
+    rows = spark.range(4000).select(F.concat(F.lit("n"), F.col("id") % 2, F.lit(".log")).alias("name"), (5000 - F.col("id")).alias("at"), F.col("id").cast("string").alias("value"))
+    before, most = spark.conf.get("spark.sql.adaptive.enabled"), []
+    made = queries._appended
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        queries._appended = lambda folder: most.append(len(list((tmp_path.__class__(folder.removeprefix("file://"))).glob("name=*/part-*")))) or made(folder)
+        for _ in range(2):
+            queries.named_files(spark, rows, f"file://{tmp_path}/logs")
+    finally:
+        queries._appended = made
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert min(most) >= 4 and sorted(x.name for x in (tmp_path / "logs").iterdir()) == ["n0.log", "n1.log"]
+    for k in (0, 1):
+        assert (tmp_path / "logs" / f"n{k}.log").read_text() == "".join(f"{i}\n" for i in reversed(range(k, 4000, 2)))
