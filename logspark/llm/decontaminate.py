@@ -159,37 +159,46 @@ _SLOTS = [token_hashes([slot])[0] for slot in (NUM, UNIT, NAME)]
 
 
 def _reading_hashes(text: str | None) -> list[np.ndarray]:
-    """token_hashes of each reading's tokens; none of INITIALS where it equals TEMPLATE."""
-    found = TOKEN.findall(text or "")
-    h = np.frombuffer(b"".join(map(_tokens.__getitem__, found)), "<u8")
-    if not len(h):
-        return [h, h, h]
+    """token_hashes of each reading's tokens."""
+    return [h for h, _ in _hashes_of_texts([text])]
+
+
+def _hashes_of_texts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each reading the token_hashes of all texts' tokens, one text after the other, and the text's number for each token."""
+    held, sizes = [], []
+    for t in texts:
+        found = TOKEN.findall(t or "")
+        held.append(b"".join(map(_tokens.__getitem__, found)))
+        sizes.append(len(found))
+    h, of = np.frombuffer(b"".join(held), "<u8"), np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     kind = (h & CLASS).astype(np.int8)
     h = h & ~CLASS
-    begins = np.concatenate([[True], kind[:-1] == 1])
+    # What stood before the first token of a text is no part of it.
+    begins = np.concatenate([[True], (kind[:-1] == 1) | (of[1:] != of[:-1])])[: len(h)]
     kept = kind != 1
-    kind, h = kind[kept], h[kept]
-    begins = begins[kept]
-    if not len(h):
-        return [h, h, h]
+    kind, h, of, begins = kind[kept], h[kept], of[kept], begins[kept]
     num = kind == 2
-    after_num = np.concatenate([[False], num[:-1]])
+    after_num = np.concatenate([[False], num[:-1] & (of[1:] == of[:-1])])[: len(h)]
     unit = (kind == 3) | ((kind == 4) | (kind == 6)) & after_num
     capital = (kind >= 5) & ~unit
     slotted = h.copy()
     slotted[num], slotted[unit] = _SLOTS[0], _SLOTS[1]
 
-    def named(name: np.ndarray) -> np.ndarray:
+    def named(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = np.where(name, _SLOTS[2], slotted)
-        return out[~name | begins | ~np.concatenate([[False], name[:-1]])]
+        stays = ~name | begins | ~np.concatenate([[False], name[:-1]])[: len(h)]
+        return out[stays], of[stays]
 
-    return [h, named(capital & ~begins), named(capital) if (capital & begins).any() else h[:0]]
+    return [(h, of), named(capital & ~begins), named(capital)]
 
 
-def _readings(text: str | None) -> list[tuple[int, list[str], list[str | None], list[int]]]:
-    """(reading, tokens, slot values, places among the plain tokens) of each reading that differs from those before it."""
+def _readings(text: str | None, among: frozenset[int] = frozenset((LITERAL, TEMPLATE, INITIALS))) -> list[tuple[int, list[str], list[str | None], list[int]]]:
+    """(reading, tokens, slot values, places among the plain tokens) of each reading that differs from those before it. Without TEMPLATE and
+    INITIALS among those asked for, neither is made."""
     found = TOKEN.findall(text or "")
     literal = [t.lower() for t in found if t not in _STOP]
+    if not among & {TEMPLATE, INITIALS}:
+        return [(LITERAL, literal, [None] * len(literal), list(range(len(literal))))]
     plain, named = _template(found, False), _template(found, True)
     out = [(LITERAL, literal, [None] * len(literal), list(range(len(literal)))), (TEMPLATE, *plain)]
     return out if named == plain else [*out, (INITIALS, *named)]
@@ -242,10 +251,11 @@ def windows_of_item(text: str | None) -> list[tuple]:
     return out
 
 
-def windows_of_document(text: str | None, sizes: list[int], keep) -> list[tuple]:
-    """(reading, position, hash, window, slot values) of the windows of a document that keep (a test of a hash array) lets through."""
+def windows_of_document(text: str | None, sizes: list[int], keep, among: frozenset[int] = frozenset((LITERAL, TEMPLATE, INITIALS))) -> list[tuple]:
+    """(reading, position, hash, window, slot values) of the windows of a document, in the readings among those given, that keep (a test
+    of a hash array) lets through."""
     out = []
-    for reading, tokens, values, _ in _readings(text):
+    for reading, tokens, values, _ in _readings(text, among):
         for size in sizes:
             if len(tokens) < size:
                 continue
@@ -325,11 +335,13 @@ def document_windows(docs: DataFrame, filter_bits: np.ndarray, sizes: list[int])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
-            rows = []
-            for t in texts:
-                # All readings in one array: a window over two of them may only let a text through to the exact test.
-                h = np.concatenate(_reading_hashes(t))
-                rows.append(windows_of_document(t, sizes, keep) if any(keep(window_hashes(h, size)).any() for size in sizes) else [])
+            # The texts' windows are looked up together; only texts with a hit are read word for word, and those without one in a template only plainly.
+            hit = np.zeros((len(texts), 3), bool)
+            for reading, (h, of) in enumerate(_hashes_of_texts(texts)):
+                for size in sizes:
+                    at = np.flatnonzero(keep(window_hashes(h, size)))
+                    hit[of[at[of[at] == of[at + size - 1]]], reading] = True
+            rows = [windows_of_document(t, sizes, keep, frozenset(np.flatnonzero(x).tolist())) if x.any() else [] for t, x in zip(texts, hit, strict=True)]
             yield _arrow(ids, rows, "doc_id", WINDOW_FIELDS)
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, f"doc_id long, {WINDOW_SCHEMA}")

@@ -111,6 +111,17 @@ def test_templates_hash_alike():
 # 2 -------------------------------------------------------------------------------------------------------------------
 
 
+def test_texts_read_together_are_as_read_alone():
+    # A number ends a text and a unit begins the next, names meet, and texts are empty or only stops.
+    texts = ["she bought 5", "kg of Rice and met Tom", "Tom Smith went home.", None, "", "...", "Anna", "Bob saw 7 km"]
+    together = decontaminate._hashes_of_texts(texts)
+    for k, t in enumerate(texts):
+        for (h, of), alone in zip(together, decontaminate._reading_hashes(t), strict=True):
+            assert h[of == k].tolist() == alone.tolist()
+        assert together[1][0][together[1][1] == k].tolist() == decontaminate.token_hashes(decontaminate.template(t)[0]).tolist()
+        assert together[2][0][together[2][1] == k].tolist() == decontaminate.token_hashes(decontaminate.template(t, True)[0]).tolist()
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(3)
     texts = []
