@@ -20,7 +20,7 @@ from logspark.sources import lines as L
 from logspark.sources.scratch import new_folder
 
 from . import formats as X
-from .detect import detect_format, learn, require_same_format
+from .detect import detect_format, learn, require_same_format, sample_head
 from .ordered import carry, number
 
 COLUMNS = [
@@ -82,54 +82,6 @@ def parse_entries(folded: DataFrame, spec: X.FormatSpec, merge_continuations: bo
     ).withColumn("level_idx", N.level_index(F.col("level")))
 
 
-def block_edges(marked: DataFrame) -> DataFrame:
-    """For each block of marked lines (source_idx, block, place, start): the lines and entries before it in its source, the
-    last entry before it (owner: its block and number there, from 1) and whether the block begins with lines of that one."""
-    per = marked.groupBy("source_idx", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("start").alias("starts"), F.min_by("start", "place").alias("first"),
-    )
-    before = Window.partitionBy("source_idx").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    owner = F.last(
-        F.when(F.col("starts") > 0, F.struct(F.col("block").alias("block"), F.col("starts").alias("piece"))), ignorenulls=True,
-    ).over(before)
-    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{name}_before") for c, name in (("n", "lines"), ("starts", "entries"))]
-    return per.select(
-        "source_idx", "block", *sums, owner.alias("owner"), "first",
-    ).withColumn("spills", F.col("owner").isNotNull() & ~F.col("first")).drop("first")
-
-
-def fold_blocks(marked: DataFrame, edges: DataFrame, spills: bool = True) -> DataFrame:
-    """Entries of marked lines (source_idx, block, place, start, text and columns that a source's lines share): their lines, first line's
-    text, entry_start (its number in the source, from 1) and entry_no (from 0).
-
-    Lines are dealt once, by block, and folded there; the lines that begin a block before its first start are then added to the
-    entry that they belong to. spills: whether any block has such lines (block_edges).
-    """
-    shared = [c for c in marked.columns if c not in ("source_idx", "block", "place", "start", "text")]
-    inside = Window.partitionBy("source_idx", "block").orderBy("place")
-    numbered = marked.withColumn("k", F.row_number().over(inside)).withColumn(
-        "piece", F.sum(F.col("start").cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-    )
-    pieces = numbered.groupBy("source_idx", "block", "piece").agg(
-        F.array_sort(F.collect_list(F.struct("k", "text"))).alias("l"), F.min("k").alias("k"), *(F.first(c).alias(c) for c in shared),
-    )
-    pieces = pieces.withColumn("lines", F.transform("l", lambda x: x["text"])).drop("l")
-    own = pieces.where("piece > 0").join(edges, ["source_idx", "block"])
-    if spills:
-        late = pieces.where("piece = 0").join(edges.where("spills"), ["source_idx", "block"]).groupBy(
-            "source_idx", F.col("owner.block").alias("block"), F.col("owner.piece").alias("piece"),
-        )
-        late = late.agg(F.flatten(F.transform(
-            F.array_sort(F.collect_list(F.struct(edges["block"].alias("at"), "lines"))), lambda x: x["lines"],
-        )).alias("late"))
-        own = own.join(late, ["source_idx", "block", "piece"], "left").withColumn(
-            "lines", F.when(F.col("late").isNull(), F.col("lines")).otherwise(F.concat("lines", "late")),
-        )
-    return own.select(
-        "source_idx", "block", *shared, (F.col("k") + F.col("lines_before")).alias("entry_start"), (F.col("entries_before") + F.col("piece") - 1).cast("long").alias("entry_no"),
-        "lines", F.col("lines")[0].alias("text"))
-
-
 def _finished(parsed: DataFrame, spec: X.FormatSpec) -> DataFrame:
     """Parsed entries with their numbers as the schema has them."""
     first = F.col("entry_no") + 1 if spec.sequential else F.col("entry_start")
@@ -140,21 +92,10 @@ def _finished(parsed: DataFrame, spec: X.FormatSpec) -> DataFrame:
 
 def entries_of_lines(lines: DataFrame, format: str = "auto", merge_continuations: bool = True, reference: date | None = None) -> DataFrame:
     """The entries of a lines table whose sources all have one format, with truncated where the lines have it. Detection reads the first 200 lines of each source."""
-    spec = X.find_format(format if format not in ("", "auto") else require_same_format(detect_format(lines)))
-    if spec.id == "wevt_xml":
-        raise ValueError("event XML is read by records: use sources.event_xml")
-    learned = learn(lines, spec.id)
-    known = lines.join(learned, "source_idx", "left") if learned is not None else lines
-    known = mark_starts(known.withColumn("reference", reference_date(lines, reference)), spec)
-    if merge_continuations:
-        keep = [c for c in ("source_name", "reference", "truncated", *(learned.columns[1:] if learned is not None else [])) if c in known.columns]
-        marked = known.select("source_idx", "block", F.col("line_no").alias("place"), "start", "text", *keep)
-        return _finished(parse_entries(fold_blocks(marked, block_edges(marked)), spec), spec)
-    parsed = parse_entries(fold_entries(assign_entries(known, False)), spec, False)
-    return _finished(number(parsed, ["source_idx"], "block", ["entry_start"], "entry_no", first=0), spec)
+    return open_lines(lines, format, merge_continuations, reference).entries
 
 
-# Files: folded where they are read --------------------------------------------------------------------------------
+# Folded where they are read: files, and tables by block --------------------------------------------------------------------------------
 
 
 def _folder(lists: int):
@@ -210,7 +151,8 @@ def _folder(lists: int):
 
 
 def _folded_edges(folded: DataFrame) -> DataFrame:
-    """As block_edges, of folded pieces; and the characters of the lines that a block begins with and that belong before it."""
+    """For each block of folded pieces: its entries (starts), the lines and entries before it in its source, the last entry before it (owner:
+    its block and number there, from 1) and whether the block begins with lines of that one."""
     per = folded.groupBy("source_idx", "block").agg(
         F.sum(F.col("n").cast("long")).alias("n"), F.count_if(F.col("piece") > 0).alias("starts"), F.max(F.col("piece") == 0).alias("late"),
     )
@@ -270,6 +212,57 @@ def _joined(folded: DataFrame, edges: DataFrame, lists: list[str]) -> DataFrame:
     )
 
 
+def _fold(spark: SparkSession, marked: DataFrame, lists: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Marked lines (source_idx, block, start, then lists), which stand by block and in order, folded into pieces, and the edges of blocks; both are written."""
+    L.bound_batches(spark)
+    folder = new_folder(spark, "folded")
+    schema = "source_idx int, block long, piece long, k long, n int, " + ", ".join(f"{x} array<string>" for x in lists)
+    marked.mapInArrow(_folder(len(lists)), schema).write.parquet(folder)
+    folded = spark.read.schema(schema).parquet(folder)
+    _folded_edges(folded).write.parquet(f"{folder}-edges")
+    return folded, spark.read.parquet(f"{folder}-edges")
+
+
+def open_lines(lines: DataFrame, format: str = "auto", merge_continuations: bool = True, reference: date | None = None) -> OpenLogs:
+    """A lines table whose sources all have one format, opened: its lines are dealt once, now, by block, folded there into pieces and written;
+    fields are parsed when entries are asked for. Sources, with what their heads tell, are one row each."""
+    spark = lines.sparkSession
+    heads = sample_head(lines).groupBy("source_idx", "source_name").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]).alias("sample"),
+    )
+    folder = new_folder(spark, "heads")
+    heads.write.parquet(folder)
+    heads = spark.read.schema("source_idx int, source_name string, sample array<string>").parquet(folder)
+    spec = X.find_format(format if format not in ("", "auto") else require_same_format(detect_format(heads)))
+    if spec.id == "wevt_xml":
+        raise ValueError("event XML is read by records: use sources.event_xml")
+    learned = learn(heads, spec.id)
+    if not merge_continuations:
+        known = lines.join(learned, "source_idx", "left") if learned is not None else lines
+        known = mark_starts(known.withColumn("reference", reference_date(lines, reference)), spec)
+        parsed = parse_entries(fold_entries(assign_entries(known, False)), spec, False)
+        return OpenLogs(_finished(number(parsed, ["source_idx"], "block", ["entry_start"], "entry_no", first=0), spec), heads, spec)
+    about = [F.first(c).alias(c) for c in ("truncated", "modified") if c in lines.columns]
+    sources = lines.groupBy("source_idx").agg(
+        F.first("source_name").alias("source_name"), *about, F.count(F.lit(1)).alias("_rows"), F.sum(F.octet_length("text")).alias("_bytes"),
+    )
+    sources.withColumn("reference", reference_date(sources, reference)).drop("modified").write.parquet(f"{folder}-sources")
+    sources = spark.read.parquet(f"{folder}-sources")
+    total = sources.agg(F.coalesce(F.sum("_bytes"), F.lit(0)), F.coalesce(F.sum("_rows"), F.lit(0)), F.count(F.lit(1))).first()
+    near = F.broadcast if total[2] <= L.BROADCAST_FILES else (lambda x: x)
+    known = lines.join(near(learned), "source_idx", "left") if learned is not None else lines
+    marked = known.select("source_idx", F.col("block").cast("long").alias("block"), spec.starts().alias("start"), "text", "line_no")
+    marked = marked.repartition(L.sort_tasks(total[0], total[1]), "source_idx", "block").sortWithinPartitions("source_idx", "block", "line_no")
+    folded, edges = _fold(spark, marked.drop("line_no"), ["lines"])
+    sources = sources.drop("_rows", "_bytes")
+    sources = sources.join(learned, "source_idx", "left") if learned is not None else sources
+
+    def finish(some: DataFrame) -> DataFrame:
+        return _finished(parse_entries(_joined(some, edges, ["lines"]).join(near(sources), "source_idx"), spec), spec)
+
+    return OpenLogs(finish(folded), heads, spec, folded, edges, finish)
+
+
 def open_logs(
     spark: SparkSession, paths: list[str] | str, format: str = "auto", max_lines: int = 0, merge_continuations: bool = True,
     reference: date | None = None, encoding: str | None = None, styles: bool = False,
@@ -298,13 +291,7 @@ def open_logs(
     marked = lines.select("source_idx", "block", spec.starts().alias("start"), "text", *(["raw"] if styles else []), "place")
     if not by_block:
         marked = marked.repartition("source_idx", "block").sortWithinPartitions("source_idx", "block", "place")
-    L.bound_batches(spark)
-    folder = new_folder(spark, "folded")
-    schema = "source_idx int, block long, piece long, k long, n int, " + ", ".join(f"{x} array<string>" for x in lists)
-    marked.drop("place").mapInArrow(_folder(len(lists)), schema).write.parquet(f"{folder}")
-    folded = spark.read.schema(schema).parquet(folder)
-    _folded_edges(folded).write.parquet(f"{folder}-edges")
-    edges = spark.read.parquet(f"{folder}-edges")
+    folded, edges = _fold(spark, marked.drop("place"), lists)
     sources = known.drop("file", "uri", "bytes", "encoding")
 
     def finish(some: DataFrame) -> DataFrame:

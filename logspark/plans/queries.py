@@ -20,7 +20,7 @@ from logspark.functions.match import Pattern, match_ranges
 from logspark.operators import detect, fragments
 from logspark.operators import formats as X
 from logspark.operators import table as T
-from logspark.operators.entries import entries_of_lines, read_logs
+from logspark.operators.entries import OpenLogs, entries_of_lines, open_lines, read_logs
 from logspark.sources.event_xml import entries_of_events, read_event_xml
 from logspark.sources.lines import document_sizes, legacy_charsets, lines_from_df, read_heads, scan_lines
 from logspark.sources.scratch import new_folder
@@ -535,27 +535,27 @@ def wide_table(spark, sf_dir):
 
 @query("SELECT 'a.log + 3 more files' AS name, 'generic' AS format_id, count(*) AS entries, count(DISTINCT user_id % 4) AS sources FROM events")
 def document_info(spark, sf_dir):
-    return T.document_info(_four_sources(spark, sf_dir))
+    return T.document_info(_four_sources(spark, sf_dir).entries)
 
 
 # Merging -------------------------------------------------------------------------------------------------------------
 
 
-def _four_sources(spark, sf_dir) -> DataFrame:
+def _four_sources(spark, sf_dir) -> OpenLogs:
     """Events in four sources by user; every seventh steps back by an hour."""
     e = load(spark, sf_dir, "events").withColumn(
         "t", F.col("ts") - F.when(F.col("event_id") % 7 == 0, F.expr("interval 1 hour")).otherwise(F.expr("interval 0 hour")),
     )
     line = text(F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSS"), " INFO ", "$event_id")
     name = F.concat(F.element_at(F.array(*(F.lit(x) for x in "abcd")), (user(4) + 1).cast("int")), F.lit(".log"))
-    return entries_of_lines(lines_from_df(e, F.col("event_id"), line, user(4), name), "generic")
+    return open_lines(lines_from_df(e, F.col("event_id"), line, user(4), name), "generic")
 
 
 @query("""WITH e AS (SELECT event_id, user_id % 4 AS source_idx, date_trunc('millisecond', ts) - CASE WHEN event_id % 7 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS t FROM events),
 m AS (SELECT *, max(t) OVER (PARTITION BY source_idx ORDER BY event_id) AS running FROM e)
 SELECT row_number() OVER (ORDER BY running, source_idx, event_id) - 1 AS merge_no, event_id::VARCHAR AS message FROM m""")
 def time_merge(spark, sf_dir):
-    return T.merge_numbers(T.time_merge(_four_sources(spark, sf_dir))).select("merge_no", "message")
+    return T.merge_numbers(T.time_merge(_four_sources(spark, sf_dir).entries)).select("merge_no", "message")
 
 
 @query(SQL["time_merge"])

@@ -29,6 +29,8 @@ LEGACY = ["GB18030", "Big5", "Shift_JIS", "windows-1252"]
 WIDE = ["UTF-16LE", "UTF-16BE"]
 #: Most files whose names and encodings are broadcast to the lines; with more they are joined by a shuffle.
 BROADCAST_FILES = 100_000
+#: Most segments of a table whose numbers are broadcast to its lines.
+BROADCAST_SEGMENTS = 500_000
 #: Bytes that a task reads at least; opening a file counts as so many.
 TASK_BYTES, OPEN_BYTES = 32 << 20, 4 << 20
 #: With splits of this many bytes and as many for opening a file, every file is one partition.
@@ -317,19 +319,47 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+#: Bytes of text and rows that a task puts in order at most, on average: tasks grow in number with a table, not in size.
+SORT_BYTES, SORT_ROWS = 32 << 20, 200_000
+
+
+def sort_tasks(size: int | None, rows: int) -> int:
+    """Tasks for so many bytes of text in so many rows."""
+    return max(1, -(-(size or 0) // SORT_BYTES), -(-rows // SORT_ROWS))
+
+
 def lines_from_df(
     df: DataFrame, order: Column, text: Column, source_idx: Column | None = None, source_name: Column | None = None, segment: Column | None = None,
 ) -> DataFrame:
     """Lines of a table's texts, each cut at its line ends, in the order of a number that no two rows of a source share.
 
-    segment rises with order; by default a segment is 10,000 consecutive numbers.
+    segment rises with order; by default a segment is 10,000 consecutive numbers. The lines are written once, now, and their numbers rest on what
+    is written: texts are dealt by segment and put in order before they are cut.
     """
-    block = F.floor(order.cast("long") / 10_000) if segment is None else segment
+    spark, block = df.sparkSession, F.floor(order.cast("long") / 10_000) if segment is None else segment
     own = df.select(
         (F.lit(0) if source_idx is None else source_idx).cast("int").alias("source_idx"),
-        (F.lit("table.log") if source_name is None else source_name).alias("source_name"), order.cast("long").alias("_order"), block.alias("block"),
-        F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("_part", "text"),
+        (F.lit("table.log") if source_name is None else source_name).alias("source_name"), order.cast("long").alias("_order"), block.cast("long").alias("block"),
+        text.alias("text"),
     )
-    return number(own, ["source_idx"], "block", ["_order", "_part"], "line_no").select(
-        "source_idx", "source_name", "block", "line_no", strip_control(F.col("text")).alias("text"),
+    total = own.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    inside = Window.partitionBy("source_idx", "block").orderBy("_order")
+    parts = F.split("text", r"\r\n|\r|\n")
+    placed = own.repartition(sort_tasks(*total), "source_idx", "block").withColumn(
+        "_before", F.coalesce(F.sum(F.when(F.col("text").isNotNull(), F.size(parts))).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    ).select("source_idx", "source_name", "block", "_before", F.posexplode(parts).alias("_part", "text"))
+    folder, schema = new_folder(spark, "lines"), "source_idx int, source_name string, block long, place long, text string"
+    placed.select(
+        "source_idx", "source_name", "block", (F.col("_before") + F.col("_part") + 1).alias("place"), strip_control(F.col("text")).alias("text"),
+    ).write.parquet(folder)
+    written = spark.read.schema(schema).parquet(folder)
+    # One row for each segment, of how many lines are before it.
+    before = written.groupBy("source_idx", "block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(
+        F.sum("_n").over(Window.partitionBy("source_idx").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0),
+    ))
+    before.drop("_n").write.parquet(f"{folder}-before")
+    before = spark.read.schema("source_idx int, block long, _before long").parquet(f"{folder}-before")
+    before = F.broadcast(before) if before.count() <= BROADCAST_SEGMENTS else before
+    return written.join(before, ["source_idx", "block"]).select(
+        "source_idx", "source_name", "block", (F.col("place") + F.col("_before")).alias("line_no"), "text",
     )

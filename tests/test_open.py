@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logspark.functions.match import Pattern, literal, matches
 from logspark.operators import fragments
 from logspark.operators import table as T
-from logspark.operators.entries import open_logs, read_logs
+from logspark.operators.entries import entries_of_lines, open_logs, read_logs
 from logspark.plans import queries
 from logspark.sources import lines as L
 from logspark.sources.event_xml import parsed_events, read_event_xml
@@ -211,3 +211,24 @@ def test_files_of_names_are_sorted_by_many_tasks(spark, tmp_path):
     assert min(most) >= 4 and sorted(x.name for x in (tmp_path / "logs").iterdir()) == ["n0.log", "n1.log"]
     for k in (0, 1):
         assert (tmp_path / "logs" / f"n{k}.log").read_text() == "".join(f"{i}\n" for i in reversed(range(k, 4000, 2)))
+
+
+def test_a_table_is_rendered_twice_however_often_it_is_read(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def render(i):
+        seen.add(1)
+        return f'time=2026-01-01T00:00:{i % 60:02d}Z level=info msg="m {i}" user="{i}'
+
+    rows = spark.range(300).select("id", F.udf(render, "string")("id").alias("t"))
+    entries = entries_of_lines(L.lines_from_df(rows, F.col("id"), F.col("t"), F.col("id") % 3, segment=F.floor(F.col("id") / 50)))
+    merged, timed = T.merge_documents(entries)
+    assert timed and merged.count() == 300
+    # The open quote is no end of a value.
+    assert {(r["message"], r["extra"]["user"]) for r in entries.collect()} == {(f"m {i}", f'"{i}') for i in range(300)}
+    # Sizes are summed in one reading and lines written in another.
+    assert seen.value == 600
+
+
+def test_tasks_grow_with_a_table():
+    assert L.sort_tasks(None, 0) == 1 and L.sort_tasks(0, 10 * L.SORT_ROWS) == 10 and L.sort_tasks(L.SORT_BYTES * 5 + 1, 7) == 6
